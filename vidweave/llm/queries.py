@@ -8,10 +8,14 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, line_dedup
+from . import bpe_codec, line_dedup, quality_rules
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), vocabularies.path("piece_bpe_32k.model"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the text that stays (as its md5), its lines before, and the lines removed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -25,7 +29,7 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_line_dedup, op6_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op6_bpe_codec)}
 
 
 def oracle_sql() -> dict[str, str]:
