@@ -13,8 +13,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-#: Characters that a tokenizer or Python takes for white space, beside ASCII ones.
-_WIDE = r"\x1c-\x1f\x85\xa0  -     　"
+#: Characters that a tokenizer or Python takes for white space, beside the common ASCII ones.
+_WIDE = "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: What needs the careful cut: wide or rare white space, and white space beside white space or an end.
 _ODD = re.compile(rf"[\t\v\f\r{_WIDE}]|[ \n][ \n]|^[ \n]|[ \n]$")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")

@@ -8,7 +8,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, line_dedup, quality_rules
+from . import bpe_codec, line_dedup, quality_rules, token_files
 from .common import table
 
 
@@ -28,8 +28,13 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(docs, vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_files.write_files(table(spark, sf_dir, "documents"), vocabularies.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_files(manifest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op6_bpe_codec)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op6_bpe_codec, op7_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
