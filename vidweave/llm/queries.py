@@ -8,7 +8,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, line_dedup, quality_rules, token_files
+from . import bpe_codec, line_dedup, quality_rules, token_files, vector_topk
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"), vocabularies.path("piece_bpe_32k.model"))
 
 
+def op2_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0", k=5)
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the text that stays (as its md5), its lines before, and the lines removed."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -34,8 +38,8 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op6_bpe_codec, op7_token_files)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_vector_topk, op3_line_dedup, op6_bpe_codec, op7_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.ORACLE}
+    return {"op2_vector_topk": vector_topk.ORACLE, "op3_line_dedup": line_dedup.ORACLE}
