@@ -8,7 +8,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bpe_codec, line_dedup, ngram_join, quality_rules, token_files, vector_topk
+from . import best_fit_packing, bpe_codec, line_dedup, ngram_join, quality_rules, token_files, toxicity, vector_topk
 from .common import table
 
 
@@ -45,8 +45,12 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_vector_topk, op3_line_dedup, op6_bpe_codec, op7_token_files, op8_best_fit_packing, op9_ngram_join)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_vector_topk, op3_line_dedup, op6_bpe_codec, op7_token_files, op8_best_fit_packing, op9_ngram_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
