@@ -8,7 +8,7 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit_packing, bpe_codec, line_dedup, ngram_join, quality_classifier, quality_rules, token_files, toxicity, vector_topk
+from . import best_fit_packing, bpe_codec, html_extraction, line_dedup, ngram_join, quality_classifier, quality_rules, token_files, toxicity, vector_topk
 from .common import table
 
 
@@ -31,6 +31,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe_codec.digests(docs, vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN)
@@ -54,7 +58,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_vector_topk, op3_line_dedup, op4_quality_classifier, op6_bpe_codec, op7_token_files, op8_best_fit_packing, op9_ngram_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_vector_topk, op3_line_dedup, op4_quality_classifier, op5_html_extraction, op6_bpe_codec, op7_token_files, op8_best_fit_packing, op9_ngram_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
