@@ -43,15 +43,12 @@ def cut_pieces(df: DataFrame, tokenizer_file: str, end_id: int, capacity: int, t
     """A row for each piece of each document's ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = library_memo(tokenizer_file, " \x01 ", most=600_000)
+        memo = library_memo(tokenizer_file, " \x01 ")
         for pdf in batches:
             for a, b in slices(map(len, pdf["text"])):
-                memo.begin()
-                numbers = [memo.numbers(words(t)) for t in pdf["text"].iloc[a:b]]
-                memo.settle()
-                rows = []
-                for doc_id, nums in zip(pdf["doc_id"].iloc[a:b], numbers, strict=True):
-                    ids = np.append(memo.ids(nums), end_id).astype("<u4")
+                lists, rows = memo.id_lists([words(t) for t in pdf["text"].iloc[a:b]]), []
+                for doc_id, ids in zip(pdf["doc_id"].iloc[a:b], lists, strict=True):
+                    ids = np.append(ids, end_id).astype("<u4")
                     for k, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
                         rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))

@@ -1,43 +1,48 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A text's set holds the 64-bit hashes of its distinct word shingles. Two sets link when their Jaccard
-similarity is at least `threshold`. Sets that are equal form one class and are joined once, by hash.
-
-Signatures. Sizes fall into bands whose ends grow by 1/threshold, so two sets that link lie in one band or
-in neighbouring ones; an instance of the scheme covers two neighbouring bands, and each set takes part in
-two instances. In an instance, sets that link differ in at most k = (1-t)/(1+t) * (sum of the two largest
-sizes) features. The feature domain is cut by hash into n1 partitions, each into n2 = 2 second-level ones;
-of these, subsets of n2 - 1 are enumerated. At most k of the n1 * n2 cells can differ, so with
-n1 * n2 > k + m at least m + 1 cells are alike: sufficiently similar sets share signatures. A signature is
-a hash of the features in the cell. The m spare cells let a set leave out the signatures of cells with two
+similarity is at least `percent` hundredths. Sets that are equal form one class and are joined once, by hash.
+
+Signatures. Sizes fall into bands whose ends grow by 100/percent, so two sets that link lie in one band or in
+neighbouring ones; an instance of the scheme covers a band and its lower neighbour, and each set takes part
+in two instances. In an instance, sets that link differ in at most k = (100-p)/(100+p) * (sum of the two
+largest sizes) features. The feature domain is cut by hash into n1 partitions, each into n2 = 2 second-level
+ones; of these, the subsets of n2 - 1 are enumerated. At most k of the n1 * n2 cells can differ, so with
+n1 * n2 > k + m at least m + 1 cells are alike: sufficiently similar sets share signatures. A signature is a
+hash of the features in the cell. The m spare cells let a set leave out the signatures of cells with two
 features or fewer (they match by chance) if it has at most m of those; otherwise it keeps them all. Either
 way a pair that links shares a signature that both have.
 
 Candidates. Each signature shared by different classes names the smallest of them its leader; a class is a
-member of the groups of its signatures' leaders. All pairs with a common signature meet in that leader's
-group. Groups are cut by hash into blocks of bounded total size, and all pairs of blocks of a group are
-worked on; so no task holds an unbounded group. Within a block pair, sets are sorted by size; the distance of
-two sets is bounded below by that of their parity bitmaps, and only pairs that pass this bound and are not
-connected yet are compared exactly. Only links that connect something new are given out, so the output is
-linear in the group, not quadratic, and no link between different texts is lost to the components.
+member of the groups of its signatures' leaders, so all pairs with a common signature meet in a group. There,
+the distance of two sets is bounded below by that of their parity bitmaps (2048 bits, folded to 512 for a
+first look); pairs beyond the bound of a link are no candidates. The candidate graph's components hold all links between them, and each text is
+sent once to its component, where pairs are compared exactly unless connected already. Only links that
+connect something new are given out, so the output is linear in a group, not quadratic, and no link between
+different texts is lost to the components.
+
+Bounds. Groups and components are cut by hash into blocks of bounded size, and all pairs of blocks of a group
+are worked on, so no task holds an unbounded group. Which signatures are shared, and which texts are
+candidates, also goes to all tasks as a bitmap of a fixed number of bits (`filter_bits`): rows whose bit is not
+set are not shuffled a second time. The bitmap has no false negatives; on a corpus that fills it, it only
+spares less work.
 
 Skew: equal sets meet by hash with partial aggregation before the shuffle; hot signatures are joined by
 joins whose partitions Spark may split; hot groups are cut into blocks.
 
 Defined results: a text without words, or null, has an empty set and links with nothing; with fewer words
-than a shingle, the whole sequence is its only one. Repeated rows of one doc_id count as one document. An
-empty table gives an empty result. Columns other than the two named ones are not read.
+than a shingle, the whole sequence is its only one. Repeated rows of one doc_id count as documents that
+share that id. An empty table gives an empty result. Columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored
@@ -45,7 +50,8 @@ from .components import connected_components
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-BITS = 512
+BITS = 2048
+FOLD = 4
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -80,31 +86,31 @@ def shingle_set(text: str, hashes: WordHashes, width: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=16)
-def bands(threshold: float, largest: int = 1 << 40) -> np.ndarray:
+def bands(percent: int, largest: int = 1 << 40) -> np.ndarray:
     """The first sizes of the bands; a set links with sets of its own and the neighbouring bands only."""
     ends = [1]
     while ends[-1] < largest:
-        ends.append(math.floor(ends[-1] / threshold + 1e-9) + 1)
+        ends.append(100 * ends[-1] // percent + 1)
     return np.array(ends, np.int64)
 
 
-def plan(threshold: float, instance: int) -> tuple[int, int]:
-    """Cells and spare cells of an instance, which covers the bands instance - 1 and instance."""
-    most = int(bands(threshold)[instance + 1]) - 1
-    k = math.floor((1 - threshold) / (1 + threshold) * 2 * most + 1e-9)
-    spare = 0 if k == 0 else 2 + k // 8
-    return (1, 0) if k == 0 else (2 * math.ceil((k + 1 + spare) / 2), spare)
+def plan(percent: int, instance: int) -> tuple[int, int]:
+    """Cells and spare cells of an instance: it covers pairs in the band below it, and across the two."""
+    ends = bands(percent)
+    k = (100 - percent) * int(ends[instance] - 1 + ends[instance + 1] - 1) // (100 + percent)
+    spare = 2 + k // 8
+    return (1, 0) if k == 0 else (2 * -(-(k + 1 + spare) // 2), spare)
 
 
-def signatures(s: np.ndarray, threshold: float) -> np.ndarray:
+def signatures(s: np.ndarray, percent: int) -> np.ndarray:
     """All signatures of a set: 64-bit hashes."""
     if not len(s):
         return s
-    band = int(np.searchsorted(bands(threshold), len(s), "right")) - 1
+    band = int(np.searchsorted(bands(percent), len(s), "right")) - 1
     out = []
     placed, value = _mix(s + _M1), _mix(s ^ _M2)
     for instance in (band, band + 1):
-        cells, spare = plan(threshold, instance)
+        cells, spare = plan(percent, instance)
         at = (placed % np.uint64(cells)).astype(np.int64)
         sums, counts = np.zeros(cells, np.uint64), np.bincount(at, minlength=cells)
         np.add.at(sums, at, value)
@@ -122,46 +128,38 @@ def parity_bitmap(s: np.ndarray) -> np.ndarray:
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    common = len(np.intersect1d(a, b, assume_unique=True))
+    if len(a) > len(b):
+        a, b = b, a
+    common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
     return 100 * common >= percent * (len(a) + len(b) - common) and common > 0
 
 
-def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect all that is connected by links of the given sets. side: 0 or 1; if both occur,
-    only pairs across them are looked at (pairs within a side are another task's)."""
-    order = np.argsort([len(s) for s in sets], kind="stable")
-    ids, side, sets = ids[order], side[order], [sets[i] for i in order]
-    sizes = np.array([len(s) for s in sets], np.int64)
-    maps = np.stack([parity_bitmap(s) for s in sets])
-    across = len(np.unique(side)) > 1
-    root = np.arange(len(ids))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return int(i)
-
-    out = []
-    for i in range(len(ids)):
+def connecting_pairs(sizes: np.ndarray, maps: np.ndarray, side: np.ndarray, percent: int, holds) -> list[tuple[int, int]]:
+    """Pairs (places) that connect all that is connected by pairs for which holds(i, j) is true, among those
+    whose sizes and bitmaps allow a link. side: 0 or 1; if both occur, only pairs across them are looked at
+    (pairs within a side are another task's)."""
+    order = np.argsort(sizes, kind="stable")
+    sizes, side = sizes[order], side[order]
+    maps, across, label, out = maps[order], side.min() != side.max(), np.arange(len(sizes)), []
+    folded = np.bitwise_xor.reduce(maps.reshape(len(sizes), FOLD, -1), axis=1)
+    for i in range(len(sizes)):
         end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-        if end <= i + 1:
-            continue
         j = np.arange(i + 1, end)
+        j = j[label[j] != label[i]]
         if across:
             j = j[side[j] != side[i]]
         most = (sizes[i] + sizes[j]) * (100 - percent) // (100 + percent)
-        j = j[np.bitwise_count(maps[j] ^ maps[i]).sum(1) <= most]
-        for k in j:
-            a, b = find(i), find(int(k))
-            if a != b and linked(sets[i], sets[k], percent):
-                root[b] = a
-                out.append((int(ids[i]), int(ids[k])))
+        near = np.bitwise_count(folded[j] ^ folded[i]).sum(1) <= most
+        j, most = j[near], most[near]
+        for k in j[np.bitwise_count(maps[j] ^ maps[i]).sum(1) <= most]:
+            if label[k] != label[i] and holds(order[i], order[k]):
+                label[label == label[k]] = label[i]
+                out.append((order[i], order[k]))
     return out
 
 
 def _sets(df: DataFrame, width: int, what, schema: str) -> DataFrame:
-    """df (doc_id, text) mapped by what(doc_id, text, set), which gives rows of the schema, by column."""
+    """df (doc_id, text) mapped by what([(doc_id, text, set)]), which gives rows of the schema, by column."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -174,75 +172,126 @@ def _sets(df: DataFrame, width: int, what, schema: str) -> DataFrame:
 
 
 def _class_hash(s: np.ndarray) -> tuple[int, int]:
-    with np.errstate(over="ignore"):
-        return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (_mix(s + _M2), _mix(s ^ _M1)))
+    return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (_mix(s + _M2), _mix(s ^ _M1)))
+
+
+def _bits(df: DataFrame, column: str, filter_bits: int):
+    """A broadcast bitmap of fixed size with the bit of each value set; false positives only."""
+    at = F.pmod(F.xxhash64(column), F.lit(filter_bits)) + 1  # the bitmap functions count from 1
+    parts = df.select(at.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
+    held = np.zeros(filter_bits // 8, np.uint8)
+    for r in parts:
+        start = (r["n"] - 1) * 4096
+        part = np.frombuffer(bytes(r["bits"]), np.uint8)[: len(held) - start]
+        held[start : start + len(part)] |= part
+    return df.sparkSession.sparkContext.broadcast(held)
+
+
+def _tasks(members: DataFrame, group: str, weight, most: int) -> DataFrame:
+    """members dealt to tasks (group, i, j): every pair of the group's blocks of about `most` weight."""
+    blocks = members.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"))
+    placed = members.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", "blocks")
+
+
+def _by_task(df: DataFrame, columns: list[str], work) -> DataFrame:
+    """work(rows) -> [(rep, rep)] for each task; rows: tuples of the columns."""
+    df = df.select("task", *columns).repartition("task").sortWithinPartitions("task")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+        for pdf in batches:
+            for task, *row in pdf.itertuples(index=False):
+                if task != key:
+                    if len(held) > 1:
+                        yield pd.DataFrame(work(held), columns=["a", "b"])
+                    key, held = task, []
+                held.append(row)
+        if len(held) > 1:
+            yield pd.DataFrame(work(held), columns=["a", "b"])
 
+    return df.mapInPandas(run, "a long, b long")
 
-def join(df: DataFrame, width: int = 5, percent: int = 80, block_features: int = 500_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+
+def join(df: DataFrame, width: int = 5, percent: int = 80, block_sets: int = 3000, block_features: int = 4_000_000, filter_bits: int = 1 << 26, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
     import zstandard
 
-    threshold = percent / 100
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    task = F.concat_ws("-", "group", "i", "j").alias("task")
 
     def features(rows: list) -> pd.DataFrame:
-        return pd.DataFrame([(d, len(s), *_class_hash(s)) for d, _, s in rows], columns=["doc_id", "n_shingles", "h", "g"])
+        return pd.DataFrame([(d, len(s), *_class_hash(s), parity_bitmap(s).tobytes()) for d, _, s in rows], columns=["doc_id", "n_shingles", "h", "g", "map"])
 
-    measured = stored(_sets(docs, width, features, "doc_id long, n_shingles long, h long, g long"), "shingle-sets")
-    classes = measured.where("n_shingles > 0").groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
+    measured = stored(_sets(docs, width, features, "doc_id long, n_shingles long, h long, g long, map binary"), "shingle-sets")
+    classes = stored(measured.where("n_shingles > 0").groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("map").alias("map")), "shingle-classes")
 
     def signed(rows: list) -> pd.DataFrame:
-        signs = [signatures(s, threshold) for _, _, s in rows]
+        signs = [signatures(s, percent) for _, _, s in rows]
         owner = np.repeat(np.array([_class_hash(s)[0] for _, _, s in rows], np.int64), [len(x) for x in signs])
         return pd.DataFrame({"sig": np.concatenate([np.zeros(0, np.uint64), *signs]).view(np.int64), "h": owner})
 
-    signs = _sets(docs, width, signed, "sig long, h long")
-    shared = signs.groupBy("sig").agg(F.min("h").alias("leader"), F.max("h").alias("_last")).where("leader <> _last").drop("_last")
-    members = stored(signs.join(shared, "sig").groupBy("leader", "h").agg(F.count(F.lit(1)).alias("n_common")).join(classes, "h").select("leader", "rep", "n"), "candidates")
-    groups = members.groupBy("leader").agg(F.ceil(F.sum("n") / block_features).cast("int").alias("blocks"))
-    placed = members.join(groups, "leader").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    pairs = placed.select("leader", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("rep", F.xxhash64("leader", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    schema = "sig long, h long"
+    shared = _sets(docs, width, signed, schema).groupBy("sig").agg(F.min("h").alias("group"), F.max("h").alias("last")).where("group <> last").drop("last")
+    shared = stored(shared, "shared-signatures")
+    passing = _bits(shared, "sig", filter_bits)
+    again = _maybe(_sets(docs, width, signed, schema), "sig", passing, filter_bits)
+    members = again.join(shared, "sig").select("group", "h").distinct().join(classes, "h").select("group", "rep", "n", "map")
+
+    def candidates(rows: list) -> list:
+        reps, n, maps, side = zip(*rows, strict=True)
+        pairs = connecting_pairs(np.array(n, np.int64), np.frombuffer(b"".join(maps), np.uint64).reshape(len(n), -1), np.array(side), percent, lambda i, j: True)
+        return [(reps[i], reps[j]) for i, j in pairs]
+
+    placed = _tasks(stored(members, "members"), "group", F.lit(1), block_sets)
+    coarse = connected_components(_by_task(placed.select(task, "rep", "n", "map", "side"), ["rep", "n", "map", "side"], candidates), "a", "b")
+    wanted = stored(coarse.join(classes, coarse["node"] == classes["rep"]).select(F.col("component").alias("group"), "rep", "n", "map"), "candidates")
 
-    def packed(rows: list) -> pd.DataFrame:
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=1).compress
-        return pd.DataFrame({"doc_id": [d for d, _, _ in rows], "text": [pack(t.encode()) for _, t, _ in rows]})
+        for pdf in batches:
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [pack(t.encode()) for t in pdf["text"]]})
 
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    texts = _texts(docs.join(wanted, "doc_id", "left_semi"), packed)
-    dealt = pairs.join(texts, pairs["rep"] == texts["doc_id"]).select("leader", "i", "j", "side", "rep", "text")
-    dealt = dealt.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
+    texts = _maybe(docs, "doc_id", _bits(wanted, "rep", filter_bits), filter_bits).mapInPandas(packed, "doc_id long, text binary").dropDuplicates(["doc_id"])
 
-    def links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def links(rows: list) -> list:
         hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
-        key, held = None, {}
+        reps, n, maps, side, packs = zip(*rows, strict=True)
+        sets: dict[int, np.ndarray] = {}
 
-        def found() -> pd.DataFrame:
-            rows = list(held.items())
-            ids = np.array([d for (d, _), _ in rows], np.int64)
-            got = spanning_links(ids, [s for _, s in rows], np.array([x for (_, x), _ in rows]), percent) if len(rows) > 1 else []
-            return pd.DataFrame(got, columns=["a", "b"])
+        def set_of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = shingle_set(unpack(packs[i]).decode(), hashes, width)
+            return sets[i]
 
-        for pdf in batches:
-            for leader, i, j, side, rep, text in pdf.itertuples(index=False):
-                if (leader, i, j) != key:
-                    if held:
-                        yield found()
-                    key, held = (leader, i, j), {}
-                held[rep, side] = shingle_set(unpack(text).decode(), hashes, width)
-        if held:
-            yield found()
-
-    edges = dealt.mapInPandas(links, "a long, b long")
-    component = connected_components(edges, "a", "b")
+        pairs = connecting_pairs(np.array(n, np.int64), np.frombuffer(b"".join(maps), np.uint64).reshape(len(n), -1), np.array(side), percent, lambda i, j: linked(set_of(i), set_of(j), percent))
+        return [(reps[i], reps[j]) for i, j in pairs]
+
+    dealt = _tasks(wanted, "group", "n", block_features).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
+    component = connected_components(_by_task(dealt.select(task, "rep", "n", "map", "side", "text"), ["rep", "n", "map", "side", "text"], links), "a", "b")
     of_class = classes.select("h", "g", "rep").join(component, F.col("rep") == F.col("node"), "left").select("h", "g", F.coalesce("component", "rep").alias("component_id"))
     out = measured.join(of_class, ["h", "g"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _texts(df: DataFrame, packed) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield packed([(d, t, None) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True)])
+def _maybe(df: DataFrame, column: str, bits, filter_bits: int) -> DataFrame:
+    """The rows of df whose bit is set."""
+    return df.where(_bit_is_set(column, bits, filter_bits))
+
+
+def _bit_is_set(column: str, bits, filter_bits: int) -> Column:
+    @F.pandas_udf("boolean")
+    def is_set(at: pd.Series) -> pd.Series:
+        at, held = at.to_numpy(), bits.value
+        return pd.Series((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+
+    return is_set(F.pmod(F.xxhash64(column), F.lit(filter_bits)))
+
 
-    return df.mapInPandas(run, "doc_id long, text binary")
+def one_of_each(df: DataFrame, filter_bits: int = 1 << 26, **join_args) -> DataFrame:
+    """The rows of df (with doc_id and text) but those that link to a smaller doc_id, with df's columns. Only
+    rows that may be such ones are shuffled."""
+    found = stored(join(df, filter_bits=filter_bits, **join_args).where("component_id < doc_id").select("doc_id").distinct(), "linked")
+    bit = _bit_is_set("doc_id", _bits(found, "doc_id", filter_bits), filter_bits)
+    return df.where(~bit).unionByName(df.where(bit).join(found, "doc_id", "left_anti").select(df.columns))

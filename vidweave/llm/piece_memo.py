@@ -2,21 +2,21 @@
 
 Tokenizers split a text at white space before they merge, so a text's ids are the ids of its pieces
 joined, as long as it is cut only where no token can cross. Natural text repeats its words, so a worker
-encodes a small share of all pieces. The memo forgets everything when it holds too many pieces, so its
-memory is bounded.
+encodes a small share of all pieces. When a memo holds too many pieces it forgets the rarer ones, so its
+memory is bounded. A worker keeps its memos from task to task.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Callable
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
-#: Characters that a tokenizer or Python takes for white space, beside the common ASCII ones.
-_WIDE = "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: What needs the careful cut: wide or rare white space, and white space beside white space or an end.
-_ODD = re.compile(rf"[\t\v\f\r{_WIDE}]|[ \n][ \n]|^[ \n]|[ \n]$")
+_RARE = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
@@ -46,14 +46,26 @@ class PieceMemo:
         self.lengths = np.zeros(0, np.int64)
         self._starts = np.zeros(0, np.int64)
         self._flat = np.zeros(0, np.int32)
+        self._seen = np.zeros(0, np.int64)
 
     def begin(self) -> None:
         """Numbers given out before may be void from here on."""
-        if len(self._index) > self._most:
-            self._clear()
+        if self._index.new or len(self._index) <= self._most:
+            return
+        keep = np.sort(np.argpartition(-self._seen, self._most // 3)[: self._most // 3])
+        pieces, flat, lengths = list(self._index), self.ids(keep), self.lengths[keep]
+        self._clear()
+        for k in keep.tolist():
+            self._index[pieces[k]]
+        self._index.new = []
+        self.lengths, self._flat = lengths, flat
+        self._starts = np.cumsum(lengths) - lengths
+        self._seen = np.zeros(len(keep), np.int64)
 
     def numbers(self, pieces: list) -> np.ndarray:
-        return np.fromiter(map(self._index.__getitem__, pieces), np.int64, len(pieces))
+        out = np.fromiter(map(self._index.__getitem__, pieces), np.int64, len(pieces))
+        self._seen += np.bincount(out[out < len(self._seen)], minlength=len(self._seen))
+        return out
 
     def settle(self) -> None:
         """Encodes the pieces that are new."""
@@ -63,6 +75,7 @@ class PieceMemo:
         self._starts = np.concatenate([self._starts, len(self._flat) + starts])
         self.lengths = np.concatenate([self.lengths, lengths])
         self._flat = np.concatenate([self._flat, flat])
+        self._seen = np.concatenate([self._seen, np.ones(len(lengths), np.int64)])
         self._index.new = []
 
     def ids(self, numbers: np.ndarray) -> np.ndarray:
@@ -73,24 +86,33 @@ class PieceMemo:
         return self._flat[np.repeat(self._starts[numbers] - (ends - lengths), lengths) + np.arange(total)]
 
 
-def words(text: str) -> list[bytes]:
+    def id_lists(self, piece_lists: list[list]) -> list[np.ndarray]:
+        """The ids of each list of pieces, all looked up at once."""
+        self.begin()
+        numbers = self.numbers(list(chain.from_iterable(piece_lists)))
+        self.settle()
+        ends = np.cumsum(self.lengths[numbers])
+        last = np.cumsum(np.fromiter(map(len, piece_lists), np.int64, len(piece_lists)))
+        return np.split(self.ids(numbers), np.append(0, ends)[last[:-1]])
+
+
+def words(text: str) -> list[str]:
     """The text's runs without ASCII white space."""
-    return text.encode().split()
+    return [w.decode() for w in text.encode().split()] if not text.isascii() or _RARE.search(text) else text.split()
 
 
-def spaced_pieces(text: str) -> list[bytes]:
+def spaced_pieces(text: str) -> list[str]:
     """The text cut where no match of the byte-level splitting pattern can cross: before each single
-    space, and around each single line feed, between two characters that are not white space."""
-    if not text:
-        return []
-    if _ODD.search(text):
-        return [x.encode() for x in _CUT.split(text)]
-    out: list[bytes] = []
-    for line in text.encode().split(b"\n"):
-        head, *rest = line.split(b" ")
-        out.append(head)
-        out += [b" " + x for x in rest]
-        out.append(b"\n")
+    space, and around each single line feed, between two characters that are not white space. Where a
+    text has other white space, it is cut before single spaces and line feeds only."""
+    out: list[str] = []
+    for line in text.split("\n"):
+        ws = line.split()
+        if not ws or " ".join(ws) != line:
+            return _CUT.split(text) if text else []
+        out.append(ws[0])
+        out += [" " + w for w in ws[1:]]
+        out.append("\n")
     out.pop()
     return out
 
@@ -101,26 +123,28 @@ def joined(lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, np.cumsum(lengths) - lengths, np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
 
 
-def library_memo(file: str, mark: str, pack: int = 256, most: int = 300_000) -> PieceMemo:
+@lru_cache(maxsize=4)
+def library_memo(file: str, mark: str, pack: int = 512, most: int = 500_000) -> PieceMemo:
     """A memo over a tokenizer of the tokenizers library; special tokens' strings are plain text. New
     pieces are encoded many at a time with `mark` between them, a string that the tokenizer always makes
     one id of its own; pieces that hold its character themselves are encoded alone."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(file)
     tokenizer.encode_special_tokens = True
     (mark_id,) = tokenizer.encode(mark, add_special_tokens=False).ids
-    char = mark.strip(" ").encode()
+    char = mark.strip(" ")
 
     def ids_of(texts: list[str]) -> list:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_many(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def encode_many(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         alone = [k for k, p in enumerate(pieces) if char in p]
         rest = [k for k, p in enumerate(pieces) if char not in p]
         packs = [rest[k : k + pack] for k in range(0, len(rest), pack)]
         lengths, order, flats = np.zeros(len(pieces), np.int64), [], []
-        for of, ids in zip(packs, ids_of([mark.join([pieces[k].decode() for k in of]) for of in packs]), strict=True):
+        for of, ids in zip(packs, ids_of([mark.join([pieces[k] for k in of]) for of in packs]), strict=True):
             array = np.array(ids, np.int32)
             marks = array == mark_id
             at = np.flatnonzero(marks)
@@ -130,7 +154,7 @@ def library_memo(file: str, mark: str, pack: int = 256, most: int = 300_000) ->
                 order += of
             else:
                 alone += of
-        for k, ids in zip(alone, ids_of([pieces[k].decode() for k in alone]), strict=True):
+        for k, ids in zip(alone, ids_of([pieces[k] for k in alone]), strict=True):
             lengths[k] = len(ids)
             flats.append(np.array(ids, np.int32))
             order.append(k)

@@ -81,7 +81,9 @@ class FrameReader:
     """Random access to the documents of one file, given as a seekable binary stream and its size."""
 
     def __init__(self, stream, size: int) -> None:
-        self._stream = stream
+        import zstandard
+
+        self._stream, self._unpack = stream, zstandard.ZstdDecompressor().decompress
         n, flags, magic = struct.unpack("<IBI", self._at(size - 9, 9))
         if magic != SEEK_MAGIC or flags != WITH_CHECKSUMS:
             raise ValueError("not a file of checked, seekable frames")
@@ -96,10 +98,9 @@ class FrameReader:
 
     def frame(self, k: int) -> np.ndarray:
         import xxhash
-        import zstandard
 
         entry = self.entries[k]
-        plain = zstandard.ZstdDecompressor().decompress(self._at(int(self.starts[k]), int(entry["packed"])), max_output_size=max(1, int(entry["plain"])))
+        plain = self._unpack(self._at(int(self.starts[k]), int(entry["packed"])), max_output_size=max(1, int(entry["plain"])))
         if len(plain) != entry["plain"] or xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF != entry["check"]:
             raise ValueError(f"frame {k} does not match its checksum")
         return np.frombuffer(plain, "<u4")
@@ -117,7 +118,7 @@ def write_files(df: DataFrame, tokenizer_file: str, end_id: int, file_bytes: int
     folder = new_path(spark, "token-files")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = library_memo(tokenizer_file, "\n", most=600_000)
+        memo = library_memo(tokenizer_file, "\n")
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
         name = stream = writer = None
@@ -129,15 +130,13 @@ def write_files(df: DataFrame, tokenizer_file: str, end_id: int, file_bytes: int
 
         for pdf in batches:
             for start, end in slices(map(len, pdf["text"])):
-                memo.begin()
-                numbers = [memo.numbers(spaced_pieces(t)) for t in pdf["text"].iloc[start:end]]
-                memo.settle()
-                for doc_id, nums in zip(pdf["doc_id"].iloc[start:end], numbers, strict=True):
+                lists = memo.id_lists([spaced_pieces(t) for t in pdf["text"].iloc[start:end]])
+                for doc_id, ids in zip(pdf["doc_id"].iloc[start:end], lists, strict=True):
                     if writer is None:
                         name = f"{uuid.uuid4().hex}.zst"
                         stream = files.open_output_stream(f"{root}/{name}", compression=None)
                         writer = FrameWriter(stream)
-                    writer.add(int(doc_id), np.append(memo.ids(nums), end_id))
+                    writer.add(int(doc_id), np.append(ids, end_id))
                     if writer.size >= file_bytes:
                         yield close()
                         writer = None
