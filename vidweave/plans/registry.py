@@ -10,7 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    return []
+    from . import text_queries
+
+    return [text_queries]
 
 
 def queries() -> dict[str, Query]:
