@@ -1,0 +1,86 @@
+"""Subtitle quality: sampling, error rates, fusing of a spoken and a seen text, reports, prompts."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from vidweave.functions import text as T
+
+
+def systematic_sample(segments: DataFrame, n: int) -> DataFrame:
+    """Of each video's non-blank segments by start, the ranks floor(i * size / n) for i < n, or all of up to n."""
+    by = Window.partitionBy("video_id").orderBy("start_ms", "segment_index")
+    r = segments.where(F.trim("content") != "").withColumn("_rank", F.row_number().over(by) - 1).withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy("video_id")))
+    # rank r is chosen if some i has floor(i * size / n) = r; the only candidate is the smallest i that reaches r
+    i = F.ceil(F.col("_rank") * n / F.col("_size"))
+    chosen = (i < n) & (F.floor(i * F.col("_size") / n) == F.col("_rank"))
+    return r.where((F.col("_size") <= n) | chosen).drop("_rank", "_size")
+
+
+def comparable(c: Column) -> Column:
+    return F.lower(F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""), "，。", ",."))
+
+
+def cer(hypothesis: Column, reference: Column) -> Column:
+    """Edit distance over the reference's length, at most 1."""
+    h, r = comparable(hypothesis), comparable(reference)
+    return F.when(r == "", F.when(h == "", 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), F.levenshtein(h, r) / F.length(r)))
+
+
+#: Fixed values by mode: confidence for a whole-line swap, least length ratio, least and most error rate.
+FUSION_MODES: dict[str, tuple[float, float, float, float]] = {"CONSERVATIVE": (0.985, 0.62, 0.16, 0.72), "STRONG_VISUAL": (0.94, 0.45, 0.08, 0.88), "LOW_CONFIDENCE": (0.96, 0.42, 0.28, 0.92)}
+
+
+def fuse_text(asr: Column, ocr: Column, confidence: Column, mode: str = "CONSERVATIVE", least_confidence: float = 0.88) -> Column:
+    """The seen text where it may replace the spoken one, by the mode's limits; else the spoken text."""
+    sure, ratio, low, high = FUSION_MODES[mode]
+    a, o = F.trim(F.coalesce(asr, F.lit(""))), F.trim(F.coalesce(ocr, F.lit("")))
+    rate = cer(a, o)
+    lengths = F.least(F.length(a), F.length(o)) / F.greatest(F.lit(1), F.greatest(F.length(a), F.length(o)))
+    swap = (confidence >= sure) & (lengths >= ratio) & rate.between(low, high)
+    return F.when((o == "") | (confidence < least_confidence), a).when((a == "") | T.garbled(a) | swap, o).otherwise(a)
+
+
+def fusion_report(samples: DataFrame) -> DataFrame:
+    """samples (video_id, asr, ocr, fused, available) by video; without an available sample 1, 0, 1, 0."""
+    of = lambda c: F.avg(F.when(F.col("available"), c))
+    round4 = lambda c: F.floor(c * 10000 + 0.5) / 10000
+    s = samples.withColumn("_cer", cer(F.col("asr"), F.col("ocr"))).withColumn("_fused", cer(F.col("fused"), F.col("ocr")))
+    g = s.groupBy("video_id").agg(F.count(F.lit(1)).alias("sampled"), F.count(F.when(F.col("available"), 1)).alias("hits"), F.count(F.when(F.col("available") & (F.col("fused") != F.col("asr")), 1)).alias("replacements"), of(F.col("_cer")).alias("c"), of(F.col("_fused")).alias("f"))
+    return g.select("video_id", "sampled", "hits", "replacements", round4(F.coalesce("c", F.lit(1.0))).alias("cer"), round4(1 - F.coalesce("c", F.lit(1.0))).alias("similarity"), round4(F.coalesce("f", F.lit(1.0))).alias("fused_cer"), round4(1 - F.coalesce("f", F.lit(1.0))).alias("fused_similarity"))
+
+
+def apply_fusion(segments: DataFrame, replacements: DataFrame) -> DataFrame:
+    """segments with the texts of replacements (video_id, segment_index, text)."""
+    r = replacements.select("video_id", "segment_index", F.col("text").alias("_text"))
+    return segments.join(r, ["video_id", "segment_index"], "left").withColumn("content", F.coalesce("_text", "content")).withColumn("applied", F.col("_text").isNotNull()).drop("_text")
+
+
+def select_subtitle_line(boxes: DataFrame, least_score: float = 0.5, most_length: int = 90) -> DataFrame:
+    """The best line of each frame, then the best frame of each segment. boxes: video_id, segment_index, attempt,
+    width, height, box (array of points), text, score."""
+    y = F.aggregate("box", F.lit(0.0), lambda a, p: a + F.get(p, 1)) / F.size("box") / F.col("height")
+    cjk = F.regexp_count(F.col("text"), F.lit(T.CJK)) / F.greatest(F.lit(1), F.length("text"))
+    b = boxes.withColumn("_y", y).withColumn("_cjk", cjk).where((F.col("score") >= least_score) & F.length(F.trim("text")).between(2, most_length) & ~F.trim("text").rlike(r"^[\d\s:./-]+$") & (F.col("_y") >= 0.5))
+    b = b.withColumn("_rank", F.col("score") + 1.2 * F.col("_cjk") + F.col("_y") - F.least(F.length("text"), F.lit(90)) / 260)
+    frame = b.groupBy("video_id", "segment_index", "attempt").agg(F.max_by(F.struct("text", "score", "_y"), F.struct("_rank", "text")).alias("l"))
+    best = frame.groupBy("video_id", "segment_index").agg(F.max_by(F.struct("l.text", "l.score"), F.struct(F.col("l.score") + F.col("l._y"), -F.col("attempt"))).alias("l"))
+    return best.select("video_id", "segment_index", "l.text", "l.score")
+
+
+def leading_text(segments: DataFrame, least: int = 600, preview: int = 160) -> DataFrame:
+    """The first non-blank segments of each video until `least` characters, joined, with their quality."""
+    by = Window.partitionBy("video_id").orderBy("segment_index").rowsBetween(Window.unboundedPreceding, -1)
+    s = segments.where(F.trim("content") != "").withColumn("_before", F.coalesce(F.sum(F.length("content")).over(by), F.lit(0))).where(F.col("_before") < least)
+    g = s.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("segment_index", "content"))).alias("l"))
+    text = T.normalize_text(F.array_join(F.col("l.content"), " "))
+    return g.select("video_id", F.size("l").cast("long").alias("n_segments"), text.alias("text"), T.compact_text(text, preview).alias("preview"))
+
+
+def prompt_transcript(segments: DataFrame, budget: int = 8000) -> DataFrame:
+    """Timed lines while their total fits the budget; nothing after the first that does not."""
+    line = F.concat(F.lit("["), T.format_time(F.col("start_ms")), F.lit("-"), T.format_time(F.col("end_ms")), F.lit("] "), T.collapse(F.col("content")))
+    by = Window.partitionBy("video_id").orderBy("segment_index").rowsBetween(Window.unboundedPreceding, 0)
+    s = segments.where(F.trim("content") != "").withColumn("line", line).withColumn("_total", F.sum(F.length("line") + 1).over(by))
+    return s.where(F.col("_total") <= budget).select("video_id", "segment_index", "line")  # totals only grow

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from . import text_queries
+    from . import interval_queries, relational_queries, retrieval_queries, stream_queries, text_queries
 
-    return [text_queries]
+    return [text_queries, retrieval_queries, interval_queries, relational_queries, stream_queries]
 
 
 def queries() -> dict[str, Query]:
