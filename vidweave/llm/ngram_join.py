@@ -47,6 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, stored
 from .components import connected_components
+from .piece_memo import held
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -66,12 +67,17 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
 
+def word_hashes() -> WordHashes:
+    """One for each worker, kept from task to task."""
+    return held(("words",), WordHashes)
+
+
 def shingle_set(text: str, hashes: WordHashes, width: int) -> np.ndarray:
     """The sorted hashes of the distinct shingles of `width` words; A-Z are lower-cased."""
     words = text.encode().translate(_LOWER).split()
@@ -162,7 +168,7 @@ def _sets(df: DataFrame, width: int, what, schema: str) -> DataFrame:
     """df (doc_id, text) mapped by what([(doc_id, text, set)]), which gives rows of the schema, by column."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = word_hashes()
         for pdf in batches:
             for start, end in slices(map(len, pdf["text"])):
                 part = pdf.iloc[start:end]
@@ -256,7 +262,7 @@ def join(df: DataFrame, width: int = 5, percent: int = 80, block_sets: int = 300
     texts = _maybe(docs, "doc_id", _bits(wanted, "rep", filter_bits), filter_bits).mapInPandas(packed, "doc_id long, text binary").dropDuplicates(["doc_id"])
 
     def links(rows: list) -> list:
-        hashes, unpack = WordHashes(), zstandard.ZstdDecompressor().decompress
+        hashes, unpack = word_hashes(), zstandard.ZstdDecompressor().decompress
         reps, n, maps, side, packs = zip(*rows, strict=True)
         sets: dict[int, np.ndarray] = {}
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Callable
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -20,6 +19,18 @@ _RARE = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
+_slot: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What make() gives, kept in this worker from task to task until another key is asked for: a worker that
+    runs one operator after another holds the memo of one of them only."""
+    if key not in _slot:
+        _slot.clear()
+        _slot[key] = make()
+    return _slot[key]
+
+
 class _Index(dict):
     """Numbers keys in the order they come; keeps the new ones."""
 
@@ -123,8 +134,12 @@ def joined(lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, np.cumsum(lengths) - lengths, np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
 
 
-@lru_cache(maxsize=4)
-def library_memo(file: str, mark: str, pack: int = 512, most: int = 500_000) -> PieceMemo:
+def library_memo(file: str, mark: str, pack: int = 512, most: int = 400_000) -> PieceMemo:
+    """The worker's memo over a tokenizer of the tokenizers library, see _library_memo."""
+    return held(("library", file, mark, pack, most), lambda: _library_memo(file, mark, pack, most))
+
+
+def _library_memo(file: str, mark: str, pack: int, most: int) -> PieceMemo:
     """A memo over a tokenizer of the tokenizers library; special tokens' strings are plain text. New
     pieces are encoded many at a time with `mark` between them, a string that the tokenizer always makes
     one id of its own; pieces that hold its character themselves are encoded alone."""

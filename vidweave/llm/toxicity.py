@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
-from .piece_memo import PieceMemo, joined
+from .piece_memo import PieceMemo, held, joined
 
 DIMENSIONS = 1 << 18
 _WORD = re.compile(r"[^\W\d_]+")
@@ -44,8 +43,11 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-@lru_cache(maxsize=1)
 def feature_memo() -> PieceMemo:
+    return held(("features",), _feature_memo)
+
+
+def _feature_memo() -> PieceMemo:
     import xxhash
 
     def buckets(words: list[str]) -> tuple:
