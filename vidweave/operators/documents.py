@@ -1,0 +1,97 @@
+"""JSON, summary, version and repair operators over transcripts, and content checks of files."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from vidweave.functions import text as T
+
+ASR_JSON = "struct<result: struct<language: string>, transcription: array<struct<text: string, offsets: struct<`from`: bigint, `to`: bigint>>>>"
+SUMMARY_JSON = "struct<points: array<string>, items: array<string>, hooks: array<string>>"
+SNAPSHOT_JSON = "array<struct<segment_index: bigint, start_ms: bigint, end_ms: bigint, content: string>>"
+
+
+def parse_asr_json(df: DataFrame, json: str = "json") -> DataFrame:
+    """Segments of recogniser output (video_id, json): blank texts go, then the rest are numbered."""
+    p = df.select("video_id", F.from_json(json, ASR_JSON).alias("j")).select("video_id", F.coalesce("j.result.language", F.lit("unknown")).alias("language"), F.posexplode("j.transcription").alias("pos", "t"))
+    start = F.coalesce("t.offsets.from", F.lit(0))
+    p = p.select("video_id", "language", "pos", start.alias("start_ms"), F.coalesce("t.offsets.to", start + 1).alias("end_ms"), T.normalize_text(F.col("t.text")).alias("content")).where("content <> ''")
+    return p.withColumn("segment_index", (F.row_number().over(Window.partitionBy("video_id").orderBy("pos")) - 1).cast("long")).drop("pos")
+
+
+def summary_items(json: Column) -> Column:
+    """The first list with entries of points, items and hooks, trimmed; broken JSON is its only item."""
+    j = F.from_json(json, SUMMARY_JSON)
+    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
+    lists = [clean(j[k]) for k in ("points", "items", "hooks")]
+    first = F.when(F.size(lists[0]) > 0, lists[0]).when(F.size(lists[1]) > 0, lists[1]).otherwise(lists[2])
+    broken = ~F.coalesce(F.trim(json).startswith("{") & F.trim(json).endswith("}"), F.lit(False))
+    return F.when(json.isNull() | (F.trim(json) == ""), F.array().cast("array<string>")).when(broken, F.array(json)).otherwise(first)
+
+
+def parse_snapshot_json(df: DataFrame, json: str = "snapshot_json") -> DataFrame:
+    return df.select("video_id", F.inline(F.from_json(json, SNAPSHOT_JSON)))
+
+
+def version_list(versions: DataFrame, n: int = 20, preview: int = 90) -> DataFrame:
+    """The latest n versions of each video: segments, and the first text that is not blank."""
+    v = versions.withColumn("_s", F.from_json("snapshot_json", SNAPSHOT_JSON)).withColumn("_r", F.row_number().over(Window.partitionBy("video_id").orderBy(F.desc("version_no")))).where(F.col("_r") <= n)
+    first = F.get(F.filter("_s", lambda s: F.trim(s["content"]) != ""), 0)["content"]
+    return v.select("video_id", "version_no", F.size("_s").cast("long").alias("n_segments"), T.compact_text(first, preview, "...").alias("preview"))
+
+
+def render_markdown(title: Column, subtitle: Column, summary: Column, sections: Column, notes: Column, headings: tuple[str, str] = ("执行摘要", "来源片段")) -> Column:
+    """A document as Markdown. sections: array of struct heading, bullets; notes: array of string."""
+    bullets = lambda xs: F.concat(F.array_join(F.transform(xs, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), ""), F.lit("\n"))
+    body = F.array_join(F.transform(sections, lambda s: F.concat(F.lit("## "), s["heading"], F.lit("\n\n"), bullets(s["bullets"]))), "")
+    tail = F.when(F.size(notes) > 0, F.concat(F.lit(f"## {headings[1]}\n\n"), bullets(notes))).otherwise("")
+    quote = F.when(F.trim(subtitle) != "", F.concat(F.lit("> "), subtitle, F.lit("\n\n"))).otherwise("")
+    return F.concat(F.lit("# "), title, F.lit("\n\n"), quote, F.lit(f"## {headings[0]}\n\n"), summary, F.lit("\n\n"), body, tail)
+
+
+def validate_container(content: Column, name: Column, size: Column, most: int, extensions: tuple[str, ...] = ("mp4", "mov", "m4v", "mkv", "webm", "avi")) -> Column:
+    """ok, or why a file is turned away: its size, extension or first bytes."""
+    head = F.hex(F.substring(content, 1, 16))
+    magic = (F.substring(head, 9, 8) == "66747970") | head.startswith("1A45DFA3") | (head.startswith("52494646") & (F.substring(head, 17, 8) == "41564920"))
+    extension = F.regexp_extract(F.lower(F.trim(name)), r"\.([^.]*)$", 1)
+    return F.when(size <= 0, "empty").when(size > most, "size").when(~extension.isin(*extensions), "extension").when(~magic, "signature").otherwise("ok")
+
+
+def glossary_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Entries (pattern, replacement, updated) by key, the newest kept and enabled; unusable ones are passed over."""
+    n = new.select(T.collapse(F.col("pattern")).alias("pattern"), T.collapse(F.col("replacement")).alias("replacement"), "updated")
+    n = n.where("pattern <> '' AND replacement <> '' AND length(pattern) <= 255 AND length(replacement) <= 255 AND lower(pattern) <> lower(replacement)").withColumn("enabled", F.lit(True))
+    return old.unionByName(n).groupBy("pattern", "replacement").agg(F.max_by("enabled", "updated").alias("enabled"), F.max("updated").alias("updated"))
+
+
+def context_repair(segments: DataFrame, rules: list[tuple[list[str], str, str]], most_longer: int = 24) -> DataFrame:
+    """Patches of segments by rules (needles, pattern, replacement), each used only in videos with one of its needles
+    in some segment; a patch must change the text and keep its length in bounds."""
+    low = F.lower("content")
+    flags = segments.groupBy("video_id").agg(*[F.max(T.contains_any(low, needles)).alias(f"_f{k}") for k, (needles, _, _) in enumerate(rules)])
+    out, text = segments.join(flags, "video_id"), F.col("content")
+    for k, (_, pattern, replacement) in enumerate(rules):
+        text = F.when(F.col(f"_f{k}"), F.regexp_replace(text, pattern, replacement)).otherwise(text)
+    n, before = F.length("_text"), F.greatest(F.lit(1), F.length("content"))
+    out = out.withColumn("_text", text).where((F.trim("_text") != "") & (F.col("_text") != F.col("content")) & (n <= before + most_longer) & (n >= F.greatest(F.lit(1), F.floor(before / 3))))
+    return out.select("id", "video_id", F.col("_text").alias("text"))
+
+
+def repair_batch(segments: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
+    """Segments scanned and repaired of each video."""
+    s = segments.withColumn("_changed", T.correct_terms(F.col("content"), rules) != F.col("content"))
+    return s.groupBy("video_id").agg(F.count(F.lit(1)).alias("scanned"), F.count(F.when(F.col("_changed"), 1)).alias("repaired"), F.max("_changed").alias("reindexed"))
+
+
+def local_summaries(segments: DataFrame, videos: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Summaries of each type from the opening of each video's transcript. Only as many characters as the longest
+    needs are joined, so a very long video stays small."""
+    need = max(limits.values()) + 1
+    by = Window.partitionBy("video_id").orderBy("segment_index").rowsBetween(Window.unboundedPreceding, -1)
+    s = segments.withColumn("_before", F.coalesce(F.sum(F.length(F.trim("content")) + 1).over(by), F.lit(0))).where(F.col("_before") <= need)
+    g = s.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("segment_index", F.trim("content").alias("content")))).alias("l"))
+    text = T.collapse(F.array_join(F.col("l.content"), " "))
+    rows = videos.select("video_id").join(g, "video_id", "left").select("video_id", F.coalesce(text, F.lit("")).alias("t"))
+    kinds = F.array(*[F.struct(F.lit(k).alias("type"), F.when(F.col("t") == "", "no transcript").otherwise(T.compact_text(F.col("t"), n)).alias("summary")) for k, n in limits.items()])
+    return rows.select("video_id", F.inline(kinds))

@@ -1,0 +1,126 @@
+"""Queries of the document operators over the given tables, with their DuckDB oracles."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vidweave.operators import documents as D
+from vidweave.operators import relational as R
+from vidweave.sources import tables as S
+from vidweave.sources.tables import table, with_ctes
+
+RULES = [(["thand", "erst"], "the and", "THE-AND"), (["ouhe"], "of the", "OF-THE")]
+
+
+def a1_load_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The video table, with a column that old data lacks filled in."""
+    old = S.videos(spark, d).select("video_id", "user_id")
+    legacy = old.unionByName(old.limit(0).withColumn("version", F.lit(None).cast("long")), allowMissingColumns=True)
+    return legacy.withColumn("version", F.coalesce("version", F.lit(0).cast("long")))
+
+
+A1 = with_ctes("videos") + "SELECT video_id, user_id, CAST(0 AS BIGINT) AS version FROM videos"
+
+
+def a2_parse_asr_json(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    item = F.struct("i", F.col("t").alias("text"), F.struct((F.col("i").cast("long") * 1000).alias("from"), F.when(F.col("i") % 2 == 0, F.col("i").cast("long") * 1000 + 900).alias("to")).alias("offsets"))
+    j = s.groupBy("video_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("transcription"))).alias("json"))
+    return D.parse_asr_json(j).select("video_id", "language", "segment_index", "start_ms", "end_ms")
+
+
+def a6_summary_items(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' first lines as summaries: points, hooks, or no JSON at all."""
+    c = table(spark, d, "customer")
+    one = lambda k: F.to_json(F.struct(F.array(F.concat(F.lit(" "), "c_name"), F.lit("")).alias(k)))
+    json = F.when(F.col("c_custkey") % 3 == 0, one("points")).when(F.col("c_custkey") % 3 == 1, one("hooks")).otherwise(F.col("c_name"))
+    return c.select("c_custkey", F.array_join(D.summary_items(json), "|").alias("items"))
+
+
+A6 = "SELECT c_custkey, c_name AS items FROM customer"
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    none = S.videos(spark, d).limit(0).select("video_id", F.lit(0).cast("long").alias("version_no"))
+    return R.snapshot_versions(S.segments(spark, d), none)
+
+
+def a7_parse_snapshot_json(spark: SparkSession, d: str) -> DataFrame:
+    return D.parse_snapshot_json(_versions(spark, d)).select("video_id", "segment_index", "start_ms", F.md5("content").alias("content_md5"))
+
+
+A7 = with_ctes("segments") + "SELECT video_id, segment_index, start_ms, md5(content) AS content_md5 FROM segments"
+
+
+def a11_render_markdown(spark: SparkSession, d: str) -> DataFrame:
+    m = S.messages(spark, d).groupBy("video_id").agg(F.sort_array(F.collect_list("content")).alias("l"))
+    section = F.array(F.struct(F.lit("Turns").alias("heading"), F.col("l").alias("bullets")))
+    text = D.render_markdown(F.concat(F.lit("Talk "), F.col("video_id").cast("string")), F.lit(""), F.lit("-"), section, F.array(F.lit("end")), ("Summary", "Sources"))
+    return m.select("video_id", F.md5(text).alias("markdown_md5"))
+
+
+A11 = with_ctes("messages") + r"""SELECT video_id, md5('# Talk ' || video_id || chr(10) || chr(10) || '## Summary' || chr(10) || chr(10) || '-' || chr(10) || chr(10) || '## Turns' || chr(10) || chr(10)
+|| string_agg('- ' || content || chr(10), '' ORDER BY content) || chr(10) || '## Sources' || chr(10) || chr(10) || '- end' || chr(10) || chr(10)) AS markdown_md5 FROM messages GROUP BY video_id"""
+
+
+def a12_content_md5(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.md5(F.col("html").cast("binary")).alias("md5"))
+
+
+A12 = "SELECT page_id, md5(html) AS md5 FROM pages"
+
+
+def a13_validate_container(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "pages")
+    content = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("0000ftyp"), "html")).otherwise(F.col("html")).cast("binary")
+    name = F.when(F.col("page_id") % 2 == 0, "a.MP4").otherwise("b.txt")
+    return p.select("page_id", D.validate_container(content, name, F.length(content), 8000).alias("verdict"))
+
+
+A13 = """SELECT page_id, CASE WHEN n > 8000 THEN 'size' WHEN page_id % 2 = 1 THEN 'extension' WHEN page_id % 3 <> 0 THEN 'signature' ELSE 'ok' END AS verdict
+FROM (SELECT page_id, octet_length(encode(CASE WHEN page_id % 3 = 0 THEN '0000ftyp' || html ELSE html END)) AS n FROM pages)"""
+
+
+def b8_glossary_upsert(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").select((F.col("c_custkey") % 200).cast("string").alias("pattern"), F.lower("c_mktsegment").alias("replacement"), F.col("c_custkey").cast("long").alias("updated"))
+    old = c.where("updated % 2 = 0").groupBy("pattern", "replacement").agg(F.max("updated").alias("updated")).withColumn("enabled", F.lit(False))
+    return D.glossary_upsert(old, c.where("updated % 2 = 1"))
+
+
+B8 = """SELECT pattern, replacement, arg_max(updated % 2 = 1, updated) AS enabled, max(updated) AS updated FROM (SELECT CAST(c_custkey % 200 AS VARCHAR) AS pattern, lower(c_mktsegment) AS replacement, CAST(c_custkey AS BIGINT) AS updated FROM customer) GROUP BY 1, 2"""
+
+
+def b9_context_repair(spark: SparkSession, d: str) -> DataFrame:
+    return D.context_repair(S.segments(spark, d), RULES).select("id", F.md5("text").alias("text_md5"))
+
+
+B9 = with_ctes("segments") + """, f AS (SELECT video_id, bool_or(contains(lower(content), 'thand') OR contains(lower(content), 'erst')) AS f0, bool_or(contains(lower(content), 'ouhe')) AS f1 FROM segments GROUP BY 1),
+t AS (SELECT id, content, CASE WHEN f1 THEN replace(x, 'of the', 'OF-THE') ELSE x END AS y FROM (SELECT id, content, f1, CASE WHEN f0 THEN replace(content, 'the and', 'THE-AND') ELSE content END AS x FROM segments JOIN f USING (video_id)))
+SELECT id, md5(y) AS text_md5 FROM t WHERE y <> content"""
+
+
+def b10_repair_batch(spark: SparkSession, d: str) -> DataFrame:
+    return D.repair_batch(S.segments(spark, d).withColumn("content", F.trim(F.regexp_replace("content", r"\s+", " "))), [("the and", "THE-AND")])
+
+
+B10 = with_ctes("segments") + "SELECT video_id, count(*) AS scanned, count(*) FILTER (WHERE contains(c, 'the and')) AS repaired, bool_or(contains(c, 'the and')) AS reindexed FROM (SELECT video_id, regexp_replace(content, '\\s+', ' ', 'g') AS c FROM segments) GROUP BY 1"
+
+
+def g23_local_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return D.local_summaries(S.segments(spark, d), S.videos(spark, d), {"OUTLINE": 220, "POINTS": 180, "HOOKS": 150})
+
+
+G23 = with_ctes("segments") + r""", t AS (SELECT doc_id AS video_id, coalesce(x, '') AS t FROM documents LEFT JOIN (SELECT video_id, trim(regexp_replace(string_agg(trim(content), ' ' ORDER BY segment_index), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS x FROM segments GROUP BY 1) s ON s.video_id = doc_id)
+SELECT video_id, type, CASE WHEN t = '' THEN 'no transcript' WHEN length(t) > n THEN substr(t, 1, n - 1) || '…' ELSE t END AS summary FROM t, (VALUES ('OUTLINE', 220), ('POINTS', 180), ('HOOKS', 150)) k(type, n)"""
+
+
+def g26_version_list(spark: SparkSession, d: str) -> DataFrame:
+    return D.version_list(_versions(spark, d)).select("video_id", "version_no", "n_segments", F.length("preview").cast("long").alias("preview_length"))
+
+
+G26 = with_ctes("segments") + r"""SELECT video_id, CAST(1 AS BIGINT) AS version_no, count(*) AS n_segments, CASE WHEN length(arg_min(c, segment_index)) > 90 THEN 92 ELSE length(arg_min(c, segment_index)) END AS preview_length
+FROM (SELECT *, trim(regexp_replace(content, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS c FROM segments) GROUP BY 1"""
+
+QUERIES = {k: f for k, f in list(globals().items()) if k[0] in "abg" and k[1:2].isdigit()}
+ORACLES = {k: globals()[o] for k in QUERIES if (o := k.split("_")[0].upper()) in globals()}
