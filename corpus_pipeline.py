@@ -11,41 +11,40 @@ import public_tokenizers as vocabularies
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vidweave.functions.shipping import ship
 from vidweave.llm import best_fit_packing, line_dedup, ngram_join, quality_classifier, quality_rules
-from vidweave.llm.common import stored, table
+from vidweave.llm.common import prepare, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie outside their language's fertility band go."""
-    ship(spark)
+    prepare(spark)
     return quality_rules.kept_rows(docs.select(COLUMNS), vocabularies.path("piece_bpe_32k.model"))
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised scorer rejects go."""
-    ship(spark)
+    prepare(spark)
     return quality_classifier.kept_rows(docs.select(COLUMNS))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of repeated three-line windows go; n_chars follows the text."""
-    ship(spark)
+    prepare(spark)
     out = line_dedup.dedup_lines(docs.select(COLUMNS))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8), the document with the smallest id stays."""
-    ship(spark)
+    prepare(spark)
     return ngram_join.one_of_each(docs.select(COLUMNS), width=5, percent=80)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
-    ship(spark)
+    prepare(spark)
     return best_fit_packing.pack_documents(docs, vocabularies.path("word_bpe_49k.json"))
 
 

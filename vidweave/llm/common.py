@@ -11,8 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from vidweave.functions.shipping import ship
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def prepare(spark: SparkSession) -> None:
+    """Sends the package out, and bounds what a Python worker gets at once, by rows and by bytes: long texts
+    would make batches of the usual number of rows large."""
     ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

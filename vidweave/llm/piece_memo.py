@@ -8,6 +8,7 @@ memory is bounded. A worker keeps its memos from task to task.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable
@@ -27,6 +28,7 @@ def held(key: tuple, make: Callable):
     runs one operator after another holds the memo of one of them only."""
     if key not in _slot:
         _slot.clear()
+        gc.collect()
         _slot[key] = make()
     return _slot[key]
 
