@@ -18,6 +18,27 @@ def test_base_measures(spark, hostile):
     assert quality_rules.kept_rows(hostile, P.path("piece_bpe_32k.model")).columns == hostile.columns
 
 
+def test_bands_hold_with_copies_and_at_every_size(spark):
+    """Exact copies of one text leave no narrower band than the default, and few texts are judged by the same rule as many."""
+    rng = np.random.default_rng(3)
+    stems = ["Haus", "Weg", "Zeit", "Arbeit", "Wasser", "Donaudampfschifffahrt", "und", "der", "ist", "klein", "gehen", "Abend", "Stadt", "sehr", "nicht"]
+    copy = " ".join(f"{w} {k}" for k, w in enumerate(stems * 6))
+    clean = [" ".join(rng.choice(stems) + str(rng.integers(0, 60)) for _ in range(80)) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, "de") for i, t in enumerate([copy] * 300 + clean)], "doc_id long, text string, lang string")
+    measured = quality_rules.measure(df, P.path("piece_bpe_32k.model"))
+    for part in (measured, measured.where("doc_id >= 290"), measured.where("doc_id < 300"), measured.limit(0)):
+        low, high, most_bytes, least_entropy = quality_rules.fit_bands(part)["de"]
+        assert low <= 1.45 and high >= 6.5 and most_bytes >= 0.05 and least_entropy <= 0.45
+    assert quality_rules.fit_bands(measured) == quality_rules.fit_bands(measured.where("doc_id >= 299"))
+    clean_ids = {r["doc_id"] for r in measured.where("NOT base_failed AND chars_per_token BETWEEN 1.45 AND 6.5 AND byte_share <= 0.05 AND token_entropy >= 0.45").collect()}
+    assert len(clean_ids) > 300 and clean_ids <= {r["doc_id"] for r in quality_rules.kept_rows(df, P.path("piece_bpe_32k.model")).collect()}
+
+
+def test_script_counts_every_letter():
+    assert quality_rules.script_of("a漢" * 2001 + "漢") == "other" and quality_rules.script_of("a漢" * 2001 + "a") == "latin"
+    assert quality_rules.script_of("ab漢漢" * 1000 + "漢" * 3) == "other"
+
+
 def test_repeat_words_by_brute_force():
     rng = np.random.default_rng(2)
     for n in (0, 2, 3, 4, 50):

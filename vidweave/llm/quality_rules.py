@@ -4,12 +4,13 @@ A public vocabulary with byte fallback measures three things on the words of a t
 the share of tokens that are fallen-back bytes, and the entropy of the tokens (Shannon's, divided by that
 of as many distinct tokens, so that it lies in 0..1 at every length). A text is rejected if one of them
 lies outside the band of its language, or of its script where the language has no band. The bands are
-fitted to the whole table: the middle half of all texts that pass the base rules, widened on either side
-by `width` times its own width; a language or script with few texts has the default band. The base rules
-reject texts of few words and texts in which repeated three-word windows cover most words.
+fitted to the whole table: the middle half of all distinct texts that pass the base rules, widened on either
+side by `width` times its own width, and joined with the default band, so that copies, near copies or few
+texts never narrow a band below the default. The base rules reject texts of few words and texts in which
+repeated three-word windows cover most words.
 
 The measures are written once to the shared folder, as the bands need all of them; they are a few numbers
-a row. Only the bands (at most one row for each language of BANDS) reach the driver.
+a row, and so is what is shuffled to count each text once. Only the bands (at most one row for each language of BANDS) reach the driver.
 
 Words are runs without ASCII white space and are encoded one by one, so a measure does not depend on
 where a text is cut, and a worker encodes each distinct word once (piece_memo).
@@ -22,6 +23,7 @@ columns other than the named ones are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import slices, stored
 from .piece_memo import PieceMemo, held, joined, words
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_per_token double, byte_share double, token_entropy double, band string"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_per_token double, byte_share double, token_entropy double, band string, text_hash long"
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 
@@ -79,8 +81,8 @@ def repeat_words(numbers: np.ndarray) -> int:
 
 def script_of(text: str) -> str:
     """latin where most letters are in the Latin blocks below U+0250, else other."""
-    letters = [c for c in text[:: max(1, len(text) // 2000)] if c.isalpha()]
-    return "latin" if sum(c < "ɐ" for c in letters) * 2 >= len(letters) else "other"
+    letters = {c: n for c, n in Counter(text).items() if c.isalpha()}
+    return "latin" if sum(n for c, n in letters.items() if c < "ɐ") * 2 >= sum(letters.values()) else "other"
 
 
 def measure(df: DataFrame, model_file: str, min_words: int = 50, most_repeated_percent: int = 50, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
@@ -112,25 +114,27 @@ def measure(df: DataFrame, model_file: str, min_words: int = 50, most_repeated_p
                     rows.append((n, chars, len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, per_token, share, entropy, band))
                 out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_per_token", "byte_share", "token_entropy", "band"])
                 out.insert(0, "doc_id", part["_id"].to_numpy())
+                out["text_hash"] = part["_hash"].to_numpy()
                 for at, name in enumerate(carry):
                     out.insert(at, f"carried_{name}", part["_text" if name == text_col else name].to_numpy())
                 yield out
 
     others = [F.col(c) for c in carry if c != text_col]
-    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), *others)
+    texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(text_col).alias("_hash"), *others)
     fields = [f"carried_{c} {df.schema[c].dataType.simpleString()}" for c in carry]
     return texts.mapInPandas(run, ", ".join([*fields, SCHEMA]))
 
 
-def fit_bands(measured: DataFrame, width: float = 5.0, least_rows: int = 200) -> dict[str, tuple[float, float, float, float]]:
-    """Bands around the middle half of the rows of each language or script that pass the base rules."""
+def fit_bands(measured: DataFrame, width: float = 5.0) -> dict[str, tuple[float, float, float, float]]:
+    """The default bands, widened to the bands around the middle half of the distinct texts of each language or
+    script that pass the base rules. Texts of one hash and equal measures count once."""
     quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
-    rows = measured.where("NOT base_failed").groupBy("band").agg(F.count(F.lit(1)).alias("n"), *[quartiles(c).alias(c) for c in ("chars_per_token", "byte_share", "token_entropy")])
+    measures = ("chars_per_token", "byte_share", "token_entropy")
+    texts = measured.where("NOT base_failed").select("band", "text_hash", *measures).distinct()
     bands = dict(BANDS)
-    for r in rows.collect():
-        if r["n"] >= least_rows:
-            (c1, c3), (b1, b3), (e1, e3) = r["chars_per_token"], r["byte_share"], r["token_entropy"]
-            bands[r["band"]] = (c1 - width * (c3 - c1), c3 + width * (c3 - c1), max(BANDS[r["band"]][2], b3 + width * (b3 - b1)), min(BANDS[r["band"]][3], e1 - width * (e3 - e1)))
+    for r in texts.groupBy("band").agg(*[quartiles(c).alias(c) for c in measures]).collect():
+        (c1, c3), (b1, b3), (e1, e3), (low, high, most_bytes, least_entropy) = *(r[c] for c in measures), BANDS[r["band"]]
+        bands[r["band"]] = (min(low, c1 - width * (c3 - c1)), max(high, c3 + width * (c3 - c1)), max(most_bytes, b3 + width * (b3 - b1)), min(least_entropy, e1 - width * (e3 - e1)))
     return bands
 
 
@@ -139,7 +143,7 @@ def judge(measured: DataFrame, bands: dict[str, tuple[float, float, float, float
     inside = F.lit(False)
     for band, (low, high, most_bytes, least_entropy) in bands.items():
         inside = inside | ((F.col("band") == band) & F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= most_bytes) & (F.col("token_entropy") >= least_entropy))
-    return measured.withColumn("kept", ~F.col("base_failed") & inside)
+    return measured.drop("text_hash").withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def apply_rules(df: DataFrame, model_file: str, width: float = 5.0, **measure_args) -> DataFrame:
@@ -149,6 +153,6 @@ def apply_rules(df: DataFrame, model_file: str, width: float = 5.0, **measure_ar
 
 
 def kept_rows(df: DataFrame, model_file: str, width: float = 5.0) -> DataFrame:
-    """The rows of df that pass, with df's columns; no row is shuffled."""
+    """The rows of df that pass, with df's columns; no text is shuffled."""
     measured = stored(measure(df, model_file, carry=tuple(df.columns)), "quality-measures")
     return judge(measured, fit_bands(measured, width)).where("kept").select([F.col(f"carried_{c}").alias(c) for c in df.columns])
