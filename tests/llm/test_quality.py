@@ -59,6 +59,22 @@ def test_em_finds_good_labellers():
     assert accuracy[0] > accuracy[2] and ((posterior > 0.5) == truth).mean() > 0.92
 
 
+def test_variety_of_whole_texts():
+    rng = np.random.default_rng(5)
+    for n, kinds in ((0, 1), (1, 1), (399, 9), (400, 300), (401, 300), (1000, 500), (1500, 40)):
+        ws = [b"%d" % k for k in rng.integers(0, kinds, n)]
+        shares = [len(set(ws[k : k + 400])) / max(1, min(n, 400)) for k in range(max(1, n - 399))]
+        assert np.allclose(quality_classifier.varieties(ws), (np.mean(shares), min(shares)))
+    good = " ".join(f"word{chr(97 + k // 26)}{chr(97 + k % 26)}" + "." * (k % 10 == 9) for k in range(400))
+    low = " ".join(str(rng.choice(["so", "it", "goes", "on", "and", "off", "again."])) for _ in range(3000))
+    at = quality_classifier.LABELLERS.index
+    for text in (good + " " + low, low + " " + good):
+        v = quality_classifier.votes(quality_classifier.shape(text))
+        assert (v[at("variety")], v[at("prose")]) == (quality_classifier.BAD, quality_classifier.ABSTAIN)
+    v = quality_classifier.votes(quality_classifier.shape(good))
+    assert (v[at("variety")], v[at("prose")]) == (quality_classifier.ABSTAIN, quality_classifier.GOOD)
+
+
 def test_classifier_on_hostile_texts(spark, hostile):
     assert quality_classifier.classify(hostile).count() == len(HOSTILE)
     assert quality_classifier.kept_rows(hostile).columns == hostile.columns

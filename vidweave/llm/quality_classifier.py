@@ -34,6 +34,24 @@ LABELLERS = (*SHAPES, "plain", "prose")
 BAD, GOOD, ABSTAIN = 0, 1, 2
 
 
+def varieties(ws: list[bytes], width: int = 400) -> tuple[float, float]:
+    """Mean and least share of distinct words over all windows of `width` words; a shorter text is one window."""
+    n = len(ws)
+    if n <= width:
+        return (len(set(ws)) / max(1, n),) * 2
+    last: dict[bytes, int] = {}
+    before = np.empty(n, np.int64)
+    for k, w in enumerate(ws):
+        before[k] = last.get(w, -1)
+        last[w] = k
+    # word k is the first of its kind in the windows that begin after its last occurrence, up to k
+    at, starts = np.arange(n), n - width + 1
+    begin, end = np.maximum(before, at - width) + 1, np.minimum(at + 1, starts)
+    real = begin < end
+    distinct = np.cumsum(np.bincount(begin[real], minlength=starts + 1) - np.bincount(end[real], minlength=starts + 1))[:starts]
+    return float(distinct.mean()) / width, float(distinct.min()) / width
+
+
 def shape(text: str) -> dict[str, float]:
     """What the labellers look at, as shares."""
     raw = text.encode()
@@ -42,6 +60,7 @@ def shape(text: str) -> dict[str, float]:
     letters = len(raw) - len(raw.translate(None, bytes(range(65, 91)) + bytes(range(97, 123))))
     capitals = len(raw) - len(raw.translate(None, bytes(range(65, 91))))
     grams = list(zip(ws, ws[1:], ws[2:], strict=False))
+    variety, least_variety = varieties(ws)
     return {
         "n": len(ws),
         "symbols": (len(raw) - len(raw.translate(None, b"#*$%&<>"))) / n,
@@ -49,7 +68,8 @@ def shape(text: str) -> dict[str, float]:
         "repeats": 1 - len(set(grams)) / max(1, len(grams)),
         "exclamations": raw.count(b"!!") / n,
         "bars": raw.count(b"|") / n,
-        "variety": len(set(ws[:400])) / max(1, min(n, 400)),
+        "variety": variety,
+        "least_variety": least_variety,
         "word_length": sum(map(len, ws)) / n,
         "words": len(_WORD.findall(raw)) / n,
         "sentences": sum(w[-1:] in (b".", b"?", b"!") for w in ws) / n,
@@ -69,7 +89,7 @@ def votes(x: dict[str, float]) -> list[int]:
         bad(x["repeats"] > 0.5 and middle),
         bad(x["exclamations"] > 0.2),
         bad(x["bars"] > 0.2),
-        bad(x["variety"] < 0.2 and long),
+        bad(x["least_variety"] < 0.2 and long),
         bad(not 2 <= x["word_length"] <= 15 and middle),
         bad(x["sentences"] < 0.005 and long),
         bad(x["words"] < 0.7 and middle),
