@@ -1,0 +1,60 @@
+"""Queries that take all rows and whole lines of the given tables, against plain Python on a small fixture."""
+
+import hashlib
+import re
+
+import pytest
+
+from vidweave.plans import registry
+
+LINES = ["Der schöne Weg führt über die Brücke.", "Der schone Weg führt, über die Bruecke!", "word " * 30 + "end", "word " * 29 + "an end", "año ÉTÉ straße", "漢字 and kana，。", "漢字 und Kana,.", "x" * 61 + "a", "x" * 61 + "b"]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("whole"))
+    rows = [(1, "\n".join(LINES), "de", "src1", 9), (2, "\n".join(reversed(LINES)), None, "src2", 9), (3, "one line", "en", "src3", 9)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def cer(h, r):
+    h, r = (re.sub(r"[ \t\n\x0b\f\r]+", "", x).translate(str.maketrans("，。", ",.")).lower() for x in (h, r))
+    return min(1.0, distance(h, r) / len(r))
+
+
+def pairs():
+    return [(doc, k, ls[k], ls[k + 1]) for doc, ls in ((1, LINES), (2, LINES[::-1])) for k in range(len(ls) - 1)]
+
+
+def test_error_rates_and_reports_take_whole_lines(spark, folder):
+    got = {(r["video_id"], r["segment_index"]): r["cer"] for r in registry.queries()["f2_cer"](spark, folder).collect()}
+    assert got == {(v, k): pytest.approx(cer(a, o), abs=1e-6) for v, k, a, o in pairs()}
+    for r in registry.queries()["f4_fusion_report"](spark, folder).collect():
+        own = [(k, a, o) for v, k, a, o in pairs() if v == r["video_id"]]
+        seen = [x for x in own if x[0] % 3]
+        rates, fused = [cer(a, o) for _, a, o in seen], [0.0 if k % 2 == 0 else cer(a, o) for k, a, o in seen]
+        assert (r["sampled"], r["hits"], r["replacements"]) == (len(own), len(seen), sum(k % 2 == 0 for k, _, _ in seen))
+        assert (r["cer"], r["fused_cer"]) == (pytest.approx(sum(rates) / len(rates), abs=6e-5), pytest.approx(sum(fused) / len(fused), abs=6e-5))
+
+
+def test_fusions_keep_whole_lines(spark, folder):
+    f3 = {(r["video_id"], r["segment_index"]): {r["conservative"], r["strong_visual"], r["low_confidence"]} for r in registry.queries()["f3_fuse_text"](spark, folder).collect()}
+    assert f3.keys() == {(v, k) for v, k, _, _ in pairs()} and all(f3[v, k] <= {md5(a.strip()), md5(o.strip())} for v, k, a, o in pairs())
+    put = {(v, k): o for v, k, _, o in pairs() if k % 4 == 0}
+    lines = {(v, k): x for v, ls in ((1, LINES), (2, LINES[::-1]), (3, ["one line"])) for k, x in enumerate(ls)}
+    got = {r["id"]: (r["applied"], r["content_md5"]) for r in registry.queries()["f5_apply_fusion"](spark, folder).collect()}
+    assert got == {v * 100000 + k: ((v, k) in put, md5(put.get((v, k), x))) for (v, k), x in lines.items()}

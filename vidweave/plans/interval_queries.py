@@ -124,8 +124,8 @@ SELECT video_id, segment_index FROM r WHERE n <= 4 OR r IN (0, n // 4, 2 * n //
 
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Neighbouring ASCII lines of a document as spoken and seen text."""
-    s = S.segments(spark, d).where(F.col("content").rlike("^[\\x20-\\x7E]+$")).withColumn("content", F.substring("content", 1, 60))
+    """Neighbouring lines of a document, whole, as spoken and seen text."""
+    s = S.segments(spark, d)
     n = s.select("video_id", (F.col("segment_index") - 1).alias("segment_index"), F.col("content").alias("ocr"))
     return s.select("video_id", "segment_index", F.col("content").alias("asr")).join(n, ["video_id", "segment_index"])
 
