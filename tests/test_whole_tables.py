@@ -58,3 +58,14 @@ def test_fusions_keep_whole_lines(spark, folder):
     lines = {(v, k): x for v, ls in ((1, LINES), (2, LINES[::-1]), (3, ["one line"])) for k, x in enumerate(ls)}
     got = {r["id"]: (r["applied"], r["content_md5"]) for r in registry.queries()["f5_apply_fusion"](spark, folder).collect()}
     assert got == {v * 100000 + k: ((v, k) in put, md5(put.get((v, k), x))) for (v, k), x in lines.items()}
+
+
+def test_every_language_is_processed(spark, folder, tmp_path):
+    texts = {1: ("de", "Die Erthe  a.b ERTH ſ"), 2: (None, "tierra erth A.B"), 3: ("en", "earth Erth"), 4: ("fr", "été")}
+    spark.createDataFrame([(k, t, lang, "src1", 9) for k, (lang, t) in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["text_md5"] for r in registry.queries()["b7_apply_glossary"](spark, str(tmp_path)).collect()}
+    plain = lambda t: re.sub(r"(?i)a\.b", "AB", re.sub("(?i)erth", "Erth$1", re.sub(" +", " ", t)))
+    assert got == {k: md5(plain(t)) for k, (_, t) in texts.items()}
+    rows = registry.queries()["a2_parse_asr_json"](spark, folder).collect()
+    want = {(v, "unknown", k, k * 1000, k * 1000 + (900 if k % 2 == 0 else 1)) for v, n in ((1, len(LINES)), (2, len(LINES)), (3, 1)) for k in range(n)}
+    assert len(rows) == len(want) and {tuple(r[c] for c in ("video_id", "language", "segment_index", "start_ms", "end_ms")) for r in rows} == want

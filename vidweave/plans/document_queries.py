@@ -24,7 +24,7 @@ A1 = with_ctes("videos") + "SELECT video_id, user_id, CAST(0 AS BIGINT) AS versi
 
 
 def a2_parse_asr_json(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("i", "t"))
+    s = table(spark, d, "documents").select(F.col("doc_id").alias("video_id"), F.posexplode(F.split("text", "\n")).alias("i", "t"))
     item = F.struct("i", F.col("t").alias("text"), F.struct((F.col("i").cast("long") * 1000).alias("from"), F.when(F.col("i") % 2 == 0, F.col("i").cast("long") * 1000 + 900).alias("to")).alias("offsets"))
     j = s.groupBy("video_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("transcription"))).alias("json"))
     return D.parse_asr_json(j).select("video_id", "language", "segment_index", "start_ms", "end_ms")
