@@ -69,3 +69,21 @@ def test_every_language_is_processed(spark, folder, tmp_path):
     rows = registry.queries()["a2_parse_asr_json"](spark, folder).collect()
     want = {(v, "unknown", k, k * 1000, k * 1000 + (900 if k % 2 == 0 else 1)) for v, n in ((1, len(LINES)), (2, len(LINES)), (3, 1)) for k in range(n)}
     assert len(rows) == len(want) and {tuple(r[c] for c in ("video_id", "language", "segment_index", "start_ms", "end_ms")) for r in rows} == want
+
+
+def test_fusion_gates(spark):
+    from pyspark.sql import functions as F
+
+    from vidweave.operators import quality as Q
+
+    rows = [
+        ("", "a seen line", 0.90, "", "", ""), ("", "a seen line", 0.95, "", "a seen line", ""), ("", "a seen line", 0.97, "", "a seen line", "a seen line"), ("", "a seen line", 0.99, "a seen line", "a seen line", "a seen line"),
+        ("", "short", 0.99, "", "short", "short"), ("", "1234567890", 0.99, "1234567890", "", ""), ("a spoken line", "Ã Â å æ ç è é ð line", 0.99, "a spoken line", "a spoken line", "a spoken line"),
+        ("open code code now", "open claudecode now please, everyone of you in this room", 0.90, "open Claude Code now",) + ("open Claude Code now",) * 2,
+    ]
+    df = spark.createDataFrame(rows, "a string, o string, c double, conservative string, strong_visual string, low_confidence string")
+    got = df.select("*", *[Q.fuse_text(F.col("a"), F.col("o"), F.col("c"), m).alias(f"got_{m.lower()}") for m in Q.FUSION_MODES]).collect()
+    for r in got:
+        assert tuple(r)[6:] == tuple(r)[3:6], r
+    one = spark.createDataFrame([("這個句子很長很好", "这個句子很長很好", 0.97)], "a string, o string, c double")
+    assert one.select(Q.fuse_text(F.col("a"), F.col("o"), F.col("c"), "LOW_CONFIDENCE", traditional="這"), Q.fuse_text(F.col("a"), F.col("o"), F.col("c"), "LOW_CONFIDENCE")).first()[:] == ("这個句子很長很好", "這個句子很長很好")

@@ -32,14 +32,32 @@ def cer(hypothesis: Column, reference: Column) -> Column:
 FUSION_MODES: dict[str, tuple[float, float, float, float]] = {"CONSERVATIVE": (0.985, 0.62, 0.16, 0.72), "STRONG_VISUAL": (0.94, 0.45, 0.08, 0.88), "LOW_CONFIDENCE": (0.96, 0.42, 0.28, 0.92)}
 
 
-def fuse_text(asr: Column, ocr: Column, confidence: Column, mode: str = "CONSERVATIVE", least_confidence: float = 0.88) -> Column:
-    """The seen text where it may replace the spoken one, by the mode's limits; else the spoken text."""
+def tech_tokens(c: Column) -> Column:
+    """Product names spelled one way."""
+    for found, name in (("Claude\\s*Code", "Claude Code"), ("Spring\\s*Boot", "Spring Boot"), ("Spring\\s*Cloud", "Spring Cloud"), ("Rocket\\s*MQ", "RocketMQ"), ("Rabbit\\s*MQ", "RabbitMQ"), (r"\b(?:skil|skyo)\b", "skill")):
+        c = F.regexp_replace(c, "(?i)" + found, name)
+    return c
+
+
+def fuse_text(asr: Column, ocr: Column, confidence: Column, mode: str = "CONSERVATIVE", least_confidence: float = 0.88, traditional: str = "") -> Column:
+    """The seen text where it may replace the spoken one, by the mode's limits; else the spoken text, with a product
+    name of the seen one where that lowers the error rate. A spoken text with characters of `traditional` counts as
+    mistaken in LOW_CONFIDENCE."""
     sure, ratio, low, high = FUSION_MODES[mode]
-    a, o = F.trim(F.coalesce(asr, F.lit(""))), F.trim(F.coalesce(ocr, F.lit("")))
-    rate = cer(a, o)
-    lengths = F.least(F.length(a), F.length(o)) / F.greatest(F.lit(1), F.greatest(F.length(a), F.length(o)))
-    swap = (confidence >= sure) & (lengths >= ratio) & rate.between(low, high)
-    return F.when((o == "") | (confidence < least_confidence), a).when((a == "") | T.garbled(a) | swap, o).otherwise(a)
+    a, o = (tech_tokens(F.trim(F.coalesce(c, F.lit("")))) for c in (asr, ocr))
+    rate, n, m = cer(a, o), F.length(a), F.length(o)
+    lengths = F.least(n, m) / F.greatest(F.lit(1), F.greatest(n, m))
+    useful = (F.regexp_count(o, F.lit(r"[\p{L}\p{IsHan}]")) >= 2) & (F.regexp_count(o, F.lit(r"\p{Nd}")) * 2 < F.greatest(F.lit(1), m))
+    close = (lengths >= ratio) & rate.between(low, high)
+    if mode == "CONSERVATIVE":
+        swap = (m >= 8) & ((a == "") | (~T.garbled(o) & ((m >= 0.72 * n) | (m >= 12)) & close))
+    elif mode == "STRONG_VISUAL":
+        swap = useful & ~T.garbled(o) & ((a == "") | T.garbled(a) | (((m >= 0.55 * n) | (m >= 10)) & close))
+    else:
+        mistaken = (F.translate(a, traditional, "") != a) if traditional else F.lit(False)
+        swap = useful & ~T.garbled(o) & ((a == "") | T.garbled(a) | ((lengths >= ratio) & (rate <= high) & ((rate >= low) | mistaken)))
+    merged = F.when(F.lower(F.replace(o, F.lit(" "), F.lit(""))).contains("claudecode"), F.regexp_replace(a, r"(?i)Code\s*code", "Claude Code")).otherwise(a)
+    return F.when((o == "") | (confidence < least_confidence), a).when((confidence >= sure) & swap, o).when((merged != a) & (cer(merged, o) < rate), merged).otherwise(a)
 
 
 def fusion_report(samples: DataFrame) -> DataFrame:
