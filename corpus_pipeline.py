@@ -50,7 +50,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("line_dedup", lines), ("ngram_join", near_duplicates), ("best_fit_packing", packing)]
 
-#: Tokenisers, EM and the genetic packing have no SQL form; the stages are tested against brute force.
+#: Tokenisers, EM and the genetic packing have no SQL form; parts of their operators are tested in tests/llm, the stages are not.
 ORACLE_SQL = None
 
 
