@@ -22,11 +22,14 @@ def tokenizer(name):
     return t
 
 
-@pytest.mark.parametrize(("name", "cut", "mark"), [("byte_bpe_50k.json", piece_memo.spaced_pieces, "\n"), ("word_bpe_49k.json", piece_memo.words, " \x01 ")])
-def test_pieces_give_the_same_ids(name, cut, mark):
-    memo, direct = piece_memo._library_memo(P.path(name), mark, 4, 20), tokenizer(name)
+FORMS = ["Word, word. WORD; (word)... it's. IT'S! 'sx. a.b, Ünde. ÜNDE, J\u030c. j\u030c, \u0130. ΣΑΣ. σας, 12. x1, é. -. !?, Kelvin \u212a. ﬁ, \u1e9e.", "a\u0301, A\u0301. 漢字. ж, Ж. \U0001f642! x\u200d, end."]
+
+
+@pytest.mark.parametrize(("name", "cut", "mark", "lower"), [("byte_bpe_50k.json", piece_memo.spaced_pieces, "\n", False), ("word_bpe_49k.json", piece_memo.words, " \x01 ", True)])
+def test_pieces_give_the_same_ids(name, cut, mark, lower):
+    memo, direct = piece_memo._library_memo(P.path(name), mark, lower, 4, 20, 30), tokenizer(name)
     for _ in range(2):  # the small memo forgets in between
-        for texts in (TEXTS[:5], TEXTS[5:], ["a \x01 b", "c"]):
+        for texts in (TEXTS[:5], TEXTS[5:], ["a \x01 b", "c"], FORMS):
             got = memo.id_lists([cut(t) for t in texts])
             for text, ids in zip(texts, got, strict=True):
                 assert ids.tolist() == direct.encode(text, add_special_tokens=False).ids, text[:50]

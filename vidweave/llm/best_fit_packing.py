@@ -43,7 +43,7 @@ def cut_pieces(df: DataFrame, tokenizer_file: str, end_id: int, capacity: int, t
     """A row for each piece of each document's ids."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = library_memo(tokenizer_file, " \x01 ")
+        memo = library_memo(tokenizer_file, " \x01 ", lower=True)
         for pdf in batches:
             for a, b in slices(map(len, pdf["text"])):
                 lists, rows = memo.id_lists([words(t) for t in pdf["text"].iloc[a:b]]), []

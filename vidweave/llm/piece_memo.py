@@ -109,9 +109,9 @@ class PieceMemo:
         return np.split(self.ids(numbers), np.append(0, ends)[last[:-1]])
 
 
-def words(text: str) -> list[str]:
-    """The text's runs without ASCII white space."""
-    return [w.decode() for w in text.encode().split()] if not text.isascii() or _RARE.search(text) else text.split()
+def words(text: str) -> list[bytes]:
+    """The text's runs without ASCII white space, as UTF-8."""
+    return text.encode().split()
 
 
 def spaced_pieces(text: str) -> list[str]:
@@ -136,15 +136,27 @@ def joined(lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, np.cumsum(lengths) - lengths, np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
 
 
-def library_memo(file: str, mark: str, pack: int = 512, most: int = 400_000) -> PieceMemo:
+def library_memo(file: str, mark: str, lower: bool = False, pack: int = 512, most: int = 400_000, most_cores: int = 800_000) -> PieceMemo:
     """The worker's memo over a tokenizer of the tokenizers library, see _library_memo."""
-    return held(("library", file, mark, pack, most), lambda: _library_memo(file, mark, pack, most))
+    return held(("library", file, mark, lower, pack, most, most_cores), lambda: _library_memo(file, mark, lower, pack, most, most_cores))
 
 
-def _library_memo(file: str, mark: str, pack: int, most: int) -> PieceMemo:
-    """A memo over a tokenizer of the tokenizers library; special tokens' strings are plain text. New
-    pieces are encoded many at a time with `mark` between them, a string that the tokenizer always makes
-    one id of its own; pieces that hold its character themselves are encoded alone."""
+def core_and_tail(piece: str, lower: bool) -> tuple[str, str]:
+    """A piece cut before its closing punctuation, if that follows a letter, where the splitting patterns of word
+    and byte-level tokenizers always end a match. With `lower` (for tokenizers that lower-case their input), ASCII
+    pieces are lower-cased, so that the forms of a word are one core."""
+    if lower and piece.isascii():
+        piece = piece.lower()
+    core = piece.rstrip(".,;:?!")
+    last = core[-1:]  # of a script that all versions of the libraries' tables hold; a dotted capital I becomes letter and mark
+    return (core, piece[len(core) :]) if last.isalpha() and last < "\u0530" and last != "\u0130" else (piece, "")
+
+
+def _library_memo(file: str, mark: str, lower: bool, pack: int, most: int, most_cores: int) -> PieceMemo:
+    """A memo over a tokenizer of the tokenizers library; special tokens' strings are plain text. Pieces (str, or
+    UTF-8 bytes) that are new are cut into core and tail, which have a memo of their own, as most new pieces are
+    known cores. New cores are encoded many at a time with `mark` between them, a string that the tokenizer always
+    makes one id of its own; cores that hold its character themselves are encoded alone."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has the cores
     from tokenizers import Tokenizer
 
@@ -156,9 +168,9 @@ def _library_memo(file: str, mark: str, pack: int, most: int) -> PieceMemo:
     def ids_of(texts: list[str]) -> list:
         return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode_many(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        alone = [k for k, p in enumerate(pieces) if char in p]
-        rest = [k for k, p in enumerate(pieces) if char not in p]
+    def encode_cores(pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        alone = [k for k, p in enumerate(pieces) if not p or char in p]
+        rest = [k for k, p in enumerate(pieces) if p and char not in p]
         packs = [rest[k : k + pack] for k in range(0, len(rest), pack)]
         lengths, order, flats = np.zeros(len(pieces), np.int64), [], []
         for of, ids in zip(packs, ids_of([mark.join([pieces[k] for k in of]) for of in packs]), strict=True):
@@ -179,4 +191,14 @@ def _library_memo(file: str, mark: str, pack: int, most: int) -> PieceMemo:
         starts[order] = np.cumsum(lengths[order]) - lengths[order]
         return lengths, starts, np.concatenate(flats) if flats else np.zeros(0, np.int32)
 
+    cores = PieceMemo(encode_cores, most_cores)
+
+    def encode_many(pieces: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        cores.begin()
+        cut = (core_and_tail(p.decode() if isinstance(p, bytes) else p, lower) for p in pieces)
+        numbers = cores.numbers(list(chain.from_iterable(cut)))
+        cores.settle()
+        lengths = cores.lengths[numbers].reshape(-1, 2).sum(1)
+        return lengths, np.cumsum(lengths) - lengths, cores.ids(numbers)
+
     return PieceMemo(encode_many, most)
