@@ -1,8 +1,10 @@
+import itertools
 import random
+import re
 
 import numpy as np
 
-from vidweave.llm import line_dedup, ngram_join, vector_topk
+from vidweave.llm import line_dedup, ngram_join, partenum, shingles, vector_topk
 from vidweave.llm.components import connected_components
 
 
@@ -55,15 +57,59 @@ def test_join_of_hostile_and_empty_tables(spark, hostile):
 
 
 def test_signatures_are_shared_by_all_links():
-    rng = np.random.default_rng(5)
-    for percent in (80, 85):
-        for n in (1, 5, 7, 30, 200, 900):
-            a = rng.integers(0, 1 << 62, n).astype(np.uint64)
-            most = n * (100 - percent) // 100
-            b = np.concatenate([a[most:], rng.integers(0, 1 << 62, most * (percent - 50) // 100).astype(np.uint64)])
-            a, b = np.unique(a), np.unique(b)
-            if ngram_join.linked(a, b, percent):
-                assert np.intersect1d(ngram_join.signatures(a, percent), ngram_join.signatures(b, percent)).size
+    """Pairs at the edge of a link, of equal and of different sizes, in all shapes of the scheme."""
+    rng, met, shapes = np.random.default_rng(5), 0, set()
+    for percent in (80, 85, 95):
+        for n in (*range(1, 60), 200, 477, 900, 3000):
+            for share in (0, 50, 100):  # of the differing features that b has
+                a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
+                d = partenum.difference(percent, 2 * n)
+                gone, new = d - d * share // 100, d * share // 100
+                b = np.unique(np.concatenate([a[gone:], rng.integers(0, 1 << 62, new).astype(np.uint64)]))
+                if len(b) and ngram_join.linked(a, b, percent) and not np.array_equal(a, b):
+                    sigs, ends = partenum.signatures(np.concatenate([a, b]), np.array([len(a), len(a) + len(b)]), percent)
+                    assert np.intersect1d(sigs[: ends[0]], sigs[ends[0] :]).size
+                    met += 1
+        shapes |= {(s.k2, s.n2) for i in range(25) if (s := partenum.scheme(percent, i))}
+    assert met > 200 and any(n2 - k2 > 1 for k2, n2 in shapes)
+
+
+def test_spoilt_signatures_by_enumeration():
+    """The counting bound against all ways to hit cells."""
+    for n1, k2, n2 in ((1, 1, 3), (2, 1, 3), (2, 2, 4), (3, 0, 1), (2, 1, 2)):
+        bound = partenum._spoilt(n1, k2, n2, 4)
+        for d in range(5):
+            worst = 0
+            for hit in itertools.product(range(n1 * n2), repeat=d):
+                spoilt = sum(any(p * n2 + c in hit for c in subset) for p in range(n1) for subset in itertools.combinations(range(n2), n2 - k2))
+                worst = max(worst, spoilt)
+            assert worst <= bound[d]
+
+
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
+    raw = "Ab ab\tAB  über x".encode() + b"y" * 300 + b" z\n" + b"w" * 64 + b" q" + b"v" * 63
+    want, places = shingles.word_hashes(raw)
+    monkeypatch.setattr(shingles, "_BLOCK", 64)
+    shingles._tables.cache_clear()
+    got, at = shingles.word_hashes(raw)
+    shingles._tables.cache_clear()
+    words = raw.split()
+    assert places.tolist() == at.tolist() == [m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    assert want[0] == want[1] == want[2] and len(set(want.tolist())) == len({w.lower() for w in words})
+    short = [k for k, w in enumerate(words) if len(w) < 64]
+    assert (want[short] == got[short]).all() and len(set(got.tolist())) == len(set(want.tolist()))
+
+
+def test_join_with_shared_and_null_ids(spark):
+    """Two texts of one id, one of which another document links with; rows without an id."""
+    base = [f"w{k}" for k in range(60)]
+    other, near = [f"v{k}" for k in range(60)], [f"v{k}" for k in range(59)] + ["x"]
+    rows = [(5, " ".join(base)), (5, " ".join(other)), (8, " ".join(near)), (9, " ".join(base)), (None, " ".join(near)), (None, "alone"), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r[0], r[1], r[2]) for r in ngram_join.join(df, 4, 85).collect()), key=str)
+    assert got == sorted([(5, 57, 5), (5, 57, 5), (8, 57, 5), (9, 57, 5), (None, 57, 5), (None, 1, None), (None, 0, None)], key=str)
+    kept = ngram_join.one_of_each(df, width=4, percent=85).select("doc_id").collect()
+    assert sorted([r[0] for r in kept if r[0] is not None]) == [5, 5] and len(kept) == 5
 
 
 def test_components(spark):

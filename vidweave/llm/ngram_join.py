@@ -1,25 +1,19 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 A text's set holds the 64-bit hashes of its distinct word shingles. Two sets link when their Jaccard
-similarity is at least `percent` hundredths. Sets that are equal form one class and are joined once, by hash.
-
-Signatures. Sizes fall into bands whose ends grow by 100/percent, so two sets that link lie in one band or in
-neighbouring ones; an instance of the scheme covers a band and its lower neighbour, and each set takes part
-in two instances. In an instance, sets that link differ in at most k = (100-p)/(100+p) * (sum of the two
-largest sizes) features. The feature domain is cut by hash into n1 partitions, each into n2 = 2 second-level
-ones; of these, the subsets of n2 - 1 are enumerated. At most k of the n1 * n2 cells can differ, so with
-n1 * n2 > k + m at least m + 1 cells are alike: sufficiently similar sets share signatures. A signature is a
-hash of the features in the cell. The m spare cells let a set leave out the signatures of cells with two
-features or fewer (they match by chance) if it has at most m of those; otherwise it keeps them all. Either
-way a pair that links shares a signature that both have.
+similarity is at least `percent` hundredths. Sets that are equal form one class, known by two hashes, and are
+joined by them; the first of these hashes names the class in what follows.
+
+Signatures (partenum): two-level partitions of the feature domain by size band, with enumerated subsets. Every
+text is read once for them; sets, bitmaps and signatures are written to the shared folder.
 
 Candidates. Each signature shared by different classes names the smallest of them its leader; a class is a
 member of the groups of its signatures' leaders, so all pairs with a common signature meet in a group. There,
 the distance of two sets is bounded below by that of their parity bitmaps (2048 bits, folded to 512 for a
-first look); pairs beyond the bound of a link are no candidates. The candidate graph's components hold all links between them, and each text is
-sent once to its component, where pairs are compared exactly unless connected already. Only links that
-connect something new are given out, so the output is linear in a group, not quadratic, and no link between
-different texts is lost to the components.
+first look); pairs beyond the bound of a link are no candidates. The candidate graph's components hold all links
+between them, and each set is sent once to its component, where pairs are compared exactly unless connected
+already, the nearest by bitmap first. Only links that connect something new are given out, so the output is
+linear in a group, not quadratic, and no link between different texts is lost to the components.
 
 Bounds. Groups and components are cut by hash into blocks of bounded size, and all pairs of blocks of a group
 are worked on, so no task holds an unbounded group. Which signatures are shared, and which texts are
@@ -28,109 +22,48 @@ set are not shuffled a second time. The bitmap has no false negatives; on a corp
 spares less work.
 
 Skew: equal sets meet by hash with partial aggregation before the shuffle; hot signatures are joined by
-joins whose partitions Spark may split; hot groups are cut into blocks.
+joins whose partitions Spark may split; members of hot groups get their block before they are shuffled, and are
+dealt by blocks. The list of groups of more than one block is broadcast where it is counted to be short.
 
 Defined results: a text without words, or null, has an empty set and links with nothing; with fewer words
-than a shingle, the whole sequence is its only one. Repeated rows of one doc_id count as documents that
-share that id. An empty table gives an empty result. Columns other than the two named ones are not read.
+than a shingle, the whole sequence is its only one. Rows of one doc_id are documents of their own that share
+that id, whether their texts are equal or not: each gets the component of its own text. Rows whose id is null
+link like others, but a component takes its id from rows that have one (null if none has). An empty table gives
+an empty result. Columns other than the two named ones are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored
 from .components import connected_components
-from .piece_memo import held
+from .partenum import signatures
+from .shingles import M1, M2, mix, shingle_sets
 
-_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 BITS = 2048
 FOLD = 4
+_SETS = "doc_id long, n_shingles long, h long, g long, map binary, sigs array<long>"
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * _M1
-    x = (x ^ (x >> np.uint64(29))) * _M2
-    return x ^ (x >> np.uint64(32))
-
-
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-def word_hashes() -> WordHashes:
-    """One for each worker, kept from task to task."""
-    return held(("words",), WordHashes)
-
-
-def shingle_set(text: str, hashes: WordHashes, width: int) -> np.ndarray:
-    """The sorted hashes of the distinct shingles of `width` words; A-Z are lower-cased."""
-    words = text.encode().translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    n = min(width, len(h))
-    out = np.full(len(h) - n + 1, n, np.uint64)
-    for k in range(n):
-        out = _mix(out * _M2 + h[k : k + len(out)])
-    return np.unique(out)
-
-
-@lru_cache(maxsize=16)
-def bands(percent: int, largest: int = 1 << 40) -> np.ndarray:
-    """The first sizes of the bands; a set links with sets of its own and the neighbouring bands only."""
-    ends = [1]
-    while ends[-1] < largest:
-        ends.append(100 * ends[-1] // percent + 1)
-    return np.array(ends, np.int64)
-
-
-def plan(percent: int, instance: int) -> tuple[int, int]:
-    """Cells and spare cells of an instance: it covers pairs in the band below it, and across the two."""
-    ends = bands(percent)
-    k = (100 - percent) * int(ends[instance] - 1 + ends[instance + 1] - 1) // (100 + percent)
-    spare = 2 + k // 8
-    return (1, 0) if k == 0 else (2 * -(-(k + 1 + spare) // 2), spare)
+def parity_bitmaps(features: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """BITS bits as 64-bit words for each set: each feature flips one; features that differ flip at most one each."""
+    of = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    place = (mix(features) >> np.uint64(7)).astype(np.int64) & (BITS - 1)
+    bits = (np.bincount(of * BITS + place, minlength=len(ends) * BITS) & 1).astype(np.uint8)
+    return np.packbits(bits.reshape(len(ends), BITS), axis=1).view(np.uint64)
 
 
-def signatures(s: np.ndarray, percent: int) -> np.ndarray:
-    """All signatures of a set: 64-bit hashes."""
-    if not len(s):
-        return s
-    band = int(np.searchsorted(bands(percent), len(s), "right")) - 1
-    out = []
-    placed, value = _mix(s + _M1), _mix(s ^ _M2)
-    for instance in (band, band + 1):
-        cells, spare = plan(percent, instance)
-        at = (placed % np.uint64(cells)).astype(np.int64)
-        sums, counts = np.zeros(cells, np.uint64), np.bincount(at, minlength=cells)
-        np.add.at(sums, at, value)
-        weak = counts <= 2
-        keep = ~weak if spare and weak.sum() <= spare else np.ones(cells, bool)
-        number = np.flatnonzero(keep).astype(np.uint64)
-        out.append(_mix(sums[keep] + _mix(number + np.uint64(instance) * np.uint64(1 << 32))))
-    return np.concatenate(out)
-
-
-def parity_bitmap(s: np.ndarray) -> np.ndarray:
-    """BITS bits as 64-bit words: each feature flips one; features that differ flip at most one each."""
-    bits = (np.bincount((_mix(s) >> np.uint64(7)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)
-    return np.packbits(bits).view(np.uint64)
+def class_hashes(features: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, as signed numbers."""
+    sums = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (mix(features + M2), mix(features ^ M1)))
+    return tuple(np.diff(s[ends], prepend=np.uint64(0)).view(np.int64) for s in sums)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -148,42 +81,54 @@ def connecting_pairs(sizes: np.ndarray, maps: np.ndarray, side: np.ndarray, perc
     sizes, side = sizes[order], side[order]
     maps, across, label, out = maps[order], side.min() != side.max(), np.arange(len(sizes)), []
     folded = np.bitwise_xor.reduce(maps.reshape(len(sizes), FOLD, -1), axis=1)
-    for i in range(len(sizes)):
-        end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-        j = np.arange(i + 1, end)
+    ends = np.searchsorted(sizes, sizes * 100 // percent, "right")
+    for i in range(len(sizes) - 1):
+        j = np.arange(i + 1, ends[i])
         j = j[label[j] != label[i]]
         if across:
             j = j[side[j] != side[i]]
+        if not len(j):
+            continue
         most = (sizes[i] + sizes[j]) * (100 - percent) // (100 + percent)
         near = np.bitwise_count(folded[j] ^ folded[i]).sum(1) <= most
         j, most = j[near], most[near]
-        for k in j[np.bitwise_count(maps[j] ^ maps[i]).sum(1) <= most]:
+        distance = np.bitwise_count(maps[j] ^ maps[i]).sum(1)
+        near = np.flatnonzero(distance <= most)
+        for k in j[near[np.argsort(distance[near], kind="stable")]].tolist():
             if label[k] != label[i] and holds(order[i], order[k]):
                 label[label == label[k]] = label[i]
                 out.append((order[i], order[k]))
     return out
 
 
-def _sets(df: DataFrame, width: int, what, schema: str) -> DataFrame:
-    """df (doc_id, text) mapped by what([(doc_id, text, set)]), which gives rows of the schema, by column."""
+def _sets(docs: DataFrame, width: int, what, schema: str) -> DataFrame:
+    """docs (doc_id, text) mapped by what(doc ids, features, ends), which gives columns of the schema."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for start, end in slices(map(len, texts), 1_000_000):
+                yield pa.RecordBatch.from_pydict(what(ids.slice(start, end - start), *shingle_sets(texts[start:end], width)))
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = word_hashes()
-        for pdf in batches:
-            for start, end in slices(map(len, pdf["text"])):
-                part = pdf.iloc[start:end]
-                yield what([(d, t, shingle_set(t, hashes, width)) for d, t in zip(part["doc_id"], part["text"], strict=True)])
 
-    return df.mapInPandas(run, schema)
+def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _class_hash(s: np.ndarray) -> tuple[int, int]:
-    return tuple(int(x.sum(dtype=np.uint64).astype(np.int64)) for x in (_mix(s + _M2), _mix(s ^ _M1)))
+def _measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    def measure(ids: pa.Array, features: np.ndarray, ends: np.ndarray) -> dict:
+        h, g = class_hashes(features, ends)
+        maps = parity_bitmaps(features, ends)
+        return {"doc_id": ids, "n_shingles": np.diff(ends, prepend=0), "h": h, "g": g, "map": pa.array([m.tobytes() for m in maps], pa.binary()), "sigs": _lists(*signatures(features, ends, percent))}
+
+    return _sets(docs, width, measure, _SETS)
 
 
 def _bits(df: DataFrame, column: str, filter_bits: int):
     """A broadcast bitmap of fixed size with the bit of each value set; false positives only."""
-    at = F.pmod(F.xxhash64(column), F.lit(filter_bits)) + 1  # the bitmap functions count from 1
+    at = _place(column, filter_bits) + 1  # the bitmap functions count from 1
     parts = df.select(at.alias("b")).groupBy(F.bitmap_bucket_number("b").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits")).collect()
     held = np.zeros(filter_bits // 8, np.uint8)
     for r in parts:
@@ -193,111 +138,128 @@ def _bits(df: DataFrame, column: str, filter_bits: int):
     return df.sparkSession.sparkContext.broadcast(held)
 
 
-def _tasks(members: DataFrame, group: str, weight, most: int) -> DataFrame:
-    """members dealt to tasks (group, i, j): every pair of the group's blocks of about `most` weight."""
-    blocks = members.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks"))
-    placed = members.join(blocks, group).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", "blocks")
+def _place(column: str, filter_bits: int) -> Column:
+    """The bit of a value; numbers here are hashes or are hashed."""
+    return F.pmod(F.xxhash64(column) if column == "doc_id" else F.col(column), F.lit(filter_bits))
 
 
-def _by_task(df: DataFrame, columns: list[str], work) -> DataFrame:
-    """work(rows) -> [(rep, rep)] for each task; rows: tuples of the columns."""
-    df = df.select("task", *columns).repartition("task").sortWithinPartitions("task")
+def _is_set(held: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-        for pdf in batches:
-            for task, *row in pdf.itertuples(index=False):
-                if task != key:
-                    if len(held) > 1:
-                        yield pd.DataFrame(work(held), columns=["a", "b"])
-                    key, held = task, []
-                held.append(row)
-        if len(held) > 1:
-            yield pd.DataFrame(work(held), columns=["a", "b"])
 
-    return df.mapInPandas(run, "a long, b long")
+def _bit_is_set(column: str, bits, filter_bits: int) -> Column:
+    @F.pandas_udf("boolean")
+    def is_set(at: pd.Series) -> pd.Series:
+        return pd.Series(_is_set(bits.value, at.to_numpy()))
 
+    return is_set(_place(column, filter_bits))
 
-def join(df: DataFrame, width: int = 5, percent: int = 80, block_sets: int = 3000, block_features: int = 4_000_000, filter_bits: int = 1 << 26, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
-    import zstandard
 
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    task = F.concat_ws("-", "group", "i", "j").alias("task")
+def _passing(sets: DataFrame, bits, filter_bits: int) -> DataFrame:
+    """(sig, h) of the signatures whose bit is set."""
 
-    def features(rows: list) -> pd.DataFrame:
-        return pd.DataFrame([(d, len(s), *_class_hash(s), parity_bitmap(s).tobytes()) for d, _, s in rows], columns=["doc_id", "n_shingles", "h", "g", "map"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sigs = lists.flatten().to_numpy()
+            on = _is_set(bits.value, sigs & (filter_bits - 1))
+            owner = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            yield pa.RecordBatch.from_pydict({"sig": sigs[on], "h": owner[on]})
 
-    measured = stored(_sets(docs, width, features, "doc_id long, n_shingles long, h long, g long, map binary"), "shingle-sets")
-    classes = stored(measured.where("n_shingles > 0").groupBy("h", "g").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"), F.min("map").alias("map")), "shingle-classes")
+    return sets.select("h", "sigs").mapInArrow(run, "sig long, h long")
 
-    def signed(rows: list) -> pd.DataFrame:
-        signs = [signatures(s, percent) for _, _, s in rows]
-        owner = np.repeat(np.array([_class_hash(s)[0] for _, _, s in rows], np.int64), [len(x) for x in signs])
-        return pd.DataFrame({"sig": np.concatenate([np.zeros(0, np.uint64), *signs]).view(np.int64), "h": owner})
 
-    schema = "sig long, h long"
-    shared = _sets(docs, width, signed, schema).groupBy("sig").agg(F.min("h").alias("group"), F.max("h").alias("last")).where("group <> last").drop("last")
-    shared = stored(shared, "shared-signatures")
-    passing = _bits(shared, "sig", filter_bits)
-    again = _maybe(_sets(docs, width, signed, schema), "sig", passing, filter_bits)
-    members = again.join(shared, "sig").select("group", "h").distinct().join(classes, "h").select("group", "rep", "n", "map")
+def _tasks(members: DataFrame, group: str, weight, most: int, few: int = 50_000) -> DataFrame:
+    """members dealt to tasks (group, i, j): every pair of the group's blocks of about `most` weight."""
+    hot = stored(members.groupBy(group).agg(F.ceil(F.sum(weight) / most).cast("int").alias("blocks")).where("blocks > 1"), "hot-groups")
+    hot = F.broadcast(hot) if hot.count() <= few else hot
+    placed = members.join(hot, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", "blocks")
 
-    def candidates(rows: list) -> list:
-        reps, n, maps, side = zip(*rows, strict=True)
-        pairs = connecting_pairs(np.array(n, np.int64), np.frombuffer(b"".join(maps), np.uint64).reshape(len(n), -1), np.array(side), percent, lambda i, j: True)
-        return [(reps[i], reps[j]) for i, j in pairs]
 
-    placed = _tasks(stored(members, "members"), "group", F.lit(1), block_sets)
-    coarse = connected_components(_by_task(placed.select(task, "rep", "n", "map", "side"), ["rep", "n", "map", "side"], candidates), "a", "b")
-    wanted = stored(coarse.join(classes, coarse["node"] == classes["rep"]).select(F.col("component").alias("group"), "rep", "n", "map"), "candidates")
+def _by_task(df: DataFrame, columns: list[str], work) -> DataFrame:
+    """work(columns) -> [(place, place)] for each task of two members or more; gives pairs of h."""
+    key = ["group", "i", "j"]
+    df = df.select(*key, "h", *columns).repartition(*key).sortWithinPartitions(*key)
 
-    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+    def pairs(held: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = held[0] if len(held) == 1 else pd.concat(held)
+        if len(pdf) > 1:
+            h = pdf["h"].to_numpy()
+            if found := work(*[pdf[c].to_numpy() for c in columns]):
+                yield pd.DataFrame(h[np.array(found)], columns=["a", "b"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held = None, []
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": [pack(t.encode()) for t in pdf["text"]]})
+            keys = pdf[key].to_numpy()
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(pdf)]
+            out: list[pd.DataFrame] = []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                if held and tuple(keys[a]) != last:
+                    out += pairs(held)
+                    held = []
+                last = tuple(keys[a])
+                held.append(pdf.iloc[a:b])
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield from pairs(held)
+
+    return df.mapInPandas(run, "a long, b long")
+
 
-    texts = _maybe(docs, "doc_id", _bits(wanted, "rep", filter_bits), filter_bits).mapInPandas(packed, "doc_id long, text binary").dropDuplicates(["doc_id"])
+def _maps(maps: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(maps), np.uint64).reshape(len(maps), -1)
 
-    def links(rows: list) -> list:
-        hashes, unpack = word_hashes(), zstandard.ZstdDecompressor().decompress
-        reps, n, maps, side, packs = zip(*rows, strict=True)
-        sets: dict[int, np.ndarray] = {}
 
-        def set_of(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = shingle_set(unpack(packs[i]).decode(), hashes, width)
-            return sets[i]
+def join(df: DataFrame, width: int = 5, percent: int = 80, block_sets: int = 3000, block_features: int = 4_000_000, filter_bits: int = 1 << 26, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    measured = stored(_measured(docs, width, percent), "shingle-sets")
+    sets = measured.where("n_shingles > 0")
 
-        pairs = connecting_pairs(np.array(n, np.int64), np.frombuffer(b"".join(maps), np.uint64).reshape(len(n), -1), np.array(side), percent, lambda i, j: linked(set_of(i), set_of(j), percent))
-        return [(reps[i], reps[j]) for i, j in pairs]
+    shared = sets.select("h", F.explode("sigs").alias("sig")).groupBy("sig").agg(F.min("h").alias("group"), F.max("h").alias("last")).where("group <> last").drop("last")
+    shared = stored(shared, "shared-signatures")
+    members = stored(_passing(sets, _bits(shared, "sig", filter_bits), filter_bits).join(shared, "sig").select("group", "h").distinct(), "group-members")
+    grouped = sets.where(_bit_is_set("h", _bits(members, "h", filter_bits), filter_bits))
+    shapes = stored(grouped.groupBy("h").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("doc_id"), F.min("map").alias("map")), "group-shapes")
 
-    dealt = _tasks(wanted, "group", "n", block_features).join(texts.withColumnRenamed("doc_id", "rep"), "rep")
-    component = connected_components(_by_task(dealt.select(task, "rep", "n", "map", "side", "text"), ["rep", "n", "map", "side", "text"], links), "a", "b")
-    of_class = classes.select("h", "g", "rep").join(component, F.col("rep") == F.col("node"), "left").select("h", "g", F.coalesce("component", "rep").alias("component_id"))
-    out = measured.join(of_class, ["h", "g"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    def candidates(n: np.ndarray, maps: np.ndarray, side: np.ndarray) -> list:
+        return connecting_pairs(n, _maps(maps), side, percent, lambda i, j: True)
 
+    placed = _tasks(members.join(shapes.drop("doc_id"), "h"), "group", F.lit(1), block_sets)
+    coarse = connected_components(_by_task(placed, ["n", "map", "side"], candidates), "a", "b")
+    wanted = stored(coarse.join(shapes, coarse["node"] == shapes["h"]).select(F.col("component").alias("group"), "h", "n", "map", "doc_id"), "candidates")
 
-def _maybe(df: DataFrame, column: str, bits, filter_bits: int) -> DataFrame:
-    """The rows of df whose bit is set."""
-    return df.where(_bit_is_set(column, bits, filter_bits))
+    def features(ids: pa.Array, features: np.ndarray, ends: np.ndarray) -> dict:
+        raw = features.view(np.uint8)
+        return {"h": class_hashes(features, ends)[0], "features": pa.array([raw[8 * a : 8 * b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)], pa.binary())}
 
+    chosen = docs.where(_bit_is_set("doc_id", _bits(wanted, "doc_id", filter_bits), filter_bits))
+    of_class = _sets(chosen, width, features, "h long, features binary").dropDuplicates(["h"])
 
-def _bit_is_set(column: str, bits, filter_bits: int) -> Column:
-    @F.pandas_udf("boolean")
-    def is_set(at: pd.Series) -> pd.Series:
-        at, held = at.to_numpy(), bits.value
-        return pd.Series((held[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1)
+    def links(n: np.ndarray, maps: np.ndarray, side: np.ndarray, features: np.ndarray) -> list:
+        sets = [np.frombuffer(x, np.uint64) for x in features]
+        return connecting_pairs(n, _maps(maps), side, percent, lambda i, j: linked(sets[i], sets[j], percent))
 
-    return is_set(F.pmod(F.xxhash64(column), F.lit(filter_bits)))
+    dealt = _tasks(wanted.drop("doc_id"), "group", F.col("n"), block_features).join(of_class, "h")
+    component = connected_components(_by_task(dealt, ["n", "map", "side", "features"], links), "a", "b")
+    classes = sets.groupBy("h", "g").agg(F.min("doc_id").alias("rep")).join(component.withColumnRenamed("node", "h"), "h", "left")
+    least = classes.groupBy(F.coalesce("component", "h").alias("component")).agg(F.min("rep").alias("component_id"))
+    named = classes.withColumn("component", F.coalesce("component", "h")).join(least, "component").select("h", "g", "component_id")
+    out = measured.select("doc_id", "n_shingles", "h", "g").join(named, ["h", "g"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(df: DataFrame, filter_bits: int = 1 << 26, **join_args) -> DataFrame:
     """The rows of df (with doc_id and text) but those that link to a smaller doc_id, with df's columns. Only
-    rows that may be such ones are shuffled."""
+    rows that may be such ones are shuffled. Rows without an id stay, and rows that share an id stay or go together
+    by the one of them that links to the smallest id."""
     found = stored(join(df, filter_bits=filter_bits, **join_args).where("component_id < doc_id").select("doc_id").distinct(), "linked")
-    bit = _bit_is_set("doc_id", _bits(found, "doc_id", filter_bits), filter_bits)
+    bit = F.coalesce(_bit_is_set("doc_id", _bits(found, "doc_id", filter_bits), filter_bits), F.lit(False))
     return df.where(~bit).unionByName(df.where(bit).join(found, "doc_id", "left_anti").select(df.columns))
