@@ -5,6 +5,7 @@ patterns are parameters with defaults."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,37 +15,57 @@ from pyspark.sql import functions as F
 SUSPICIOUS_LATIN = "ÃÂåæçèéð"
 CJK = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]"
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"
-_EDGE = (r"(?iu)(?<![A-Za-z])", r"(?![A-Za-z])")
-
-
-def _spelled(word: str) -> str:
-    return r"\s*[.-]?\s*".join(word)
-
-
-#: Spoken forms of technical terms, in order of use; each stands between non-letters.
+#: Spoken forms of technical terms and what they stand for, in order of use.
 TERM_RULES: list[tuple[str, str]] = [
-    (_EDGE[0] + form + _EDGE[1], term)
-    for form, term in [
-        (r"my\s+sql", "MySQL"), (r"my\s+sequel", "MySQL"), (r"my\s+batis", "MyBatis"), (r"my\s+battis", "MyBatis"), (r"red\s+is", "Redis"), (r"ray\s+dis", "Redis"),
-    ]
-] + [("(?iu)瑞迪斯|雷迪斯", "Redis")] + [
-    (_EDGE[0] + form + _EDGE[1], term)
-    for form, term in [
-        (r"ready\s+son", "Redisson"), (r"red\s+is\s+son", "Redisson"), (r"set\s*n\s*x", "SETNX"), (r"deep\s+seek", "DeepSeek"), (r"deep\s+sick", "DeepSeek"),
-        (r"q\s*wen", "Qwen"), (r"q\s*drant", "Qdrant"), (r"queue\s*drant", "Qdrant"), (r"chat\s*g\s*p\s*t", "ChatGPT"), (r"chat\s*gbt", "ChatGPT"),
-        (r"claude\s*code", "Claude Code"), (r"cloud\s*code", "Claude Code"),
-    ]
-] + [(r"(?iu)克劳德\s*(code|代码|扣的)", "Claude Code")] + [
-    (_EDGE[0] + form + _EDGE[1], term)
-    for form, term in [
-        (r"code\s*ex", "Codex"), (r"code\s*x", "Codex"), (r"dock\s*er", "Docker"), (r"spring\s+boot(s)?", "Spring Boot"), (r"spring\s+cloud(s)?", "Spring Cloud"),
-        (r"rocket\s*m\s*q", "RocketMQ"), (r"rocket\s+queue", "RocketMQ"), (r"rabbit\s*m\s*q", "RabbitMQ"), (r"message\s+queue", "MQ"),
-        (r"im\s*bedding", "Embedding"), (r"embed\s+ding", "Embedding"), (r"re\s*rank", "Rerank"), (r"vector\s+database", "Vector Database"),
-        *[(_spelled(w.lower()), w) for w in ("API", "ASR", "OCR", "RAG", "LLM")],
-        (r"a\s*i\s*agent", "AI Agent"), (r"aigent", "AI Agent"), (r"ai[-\s]*zen", "AI Agent"),
-        *[(_spelled(w.lower()), w) for w in ("JVM", "JDK", "SQL", "GC", "OOM", "CAS", "AQS")],
-    ]
-]
+    (r"(?iu)(?<![A-Za-z])my\s+sql(?![A-Za-z])", "MySQL"),
+    (r"(?iu)(?<![A-Za-z])my\s+sequel(?![A-Za-z])", "MySQL"),
+    (r"(?iu)(?<![A-Za-z])my\s+batis(?![A-Za-z])", "MyBatis"),
+    (r"(?iu)(?<![A-Za-z])my\s+battis(?![A-Za-z])", "MyBatis"),
+    (r"(?iu)(?<![A-Za-z])red\s+is(?![A-Za-z])", "Redis"),
+    (r"(?iu)(?<![A-Za-z])ray\s+dis(?![A-Za-z])", "Redis"),
+    (r"(?iu)瑞迪斯|雷迪斯", "Redis"),
+    (r"(?iu)(?<![A-Za-z])ready\s+son(?![A-Za-z])", "Redisson"),
+    (r"(?iu)(?<![A-Za-z])red\s+is\s+son(?![A-Za-z])", "Redisson"),
+    (r"(?iu)(?<![A-Za-z])set\s*n\s*x(?![A-Za-z])", "SETNX"),
+    (r"(?iu)(?<![A-Za-z])deep\s+seek(?![A-Za-z])", "DeepSeek"),
+    (r"(?iu)(?<![A-Za-z])deep\s+sick(?![A-Za-z])", "DeepSeek"),
+    (r"(?iu)(?<![A-Za-z])q\s*wen(?![A-Za-z])", "Qwen"),
+    (r"(?iu)(?<![A-Za-z])q\s*drant(?![A-Za-z])", "Qdrant"),
+    (r"(?iu)(?<![A-Za-z])queue\s*drant(?![A-Za-z])", "Qdrant"),
+    (r"(?iu)(?<![A-Za-z])chat\s*g\s*p\s*t(?![A-Za-z])", "ChatGPT"),
+    (r"(?iu)(?<![A-Za-z])chat\s*gbt(?![A-Za-z])", "ChatGPT"),
+    (r"(?iu)(?<![A-Za-z])claude\s*code(?![A-Za-z])", "Claude Code"),
+    (r"(?iu)(?<![A-Za-z])cloud\s*code(?![A-Za-z])", "Claude Code"),
+    (r"(?iu)克劳德\s*(code|代码|扣的)", "Claude Code"),
+    (r"(?iu)(?<![A-Za-z])code\s*ex(?![A-Za-z])", "Codex"),
+    (r"(?iu)(?<![A-Za-z])code\s*x(?![A-Za-z])", "Codex"),
+    (r"(?iu)(?<![A-Za-z])dock\s*er(?![A-Za-z])", "Docker"),
+    (r"(?iu)(?<![A-Za-z])spring\s+boot(s)?(?![A-Za-z])", "Spring Boot"),
+    (r"(?iu)(?<![A-Za-z])spring\s+cloud(s)?(?![A-Za-z])", "Spring Cloud"),
+    (r"(?iu)(?<![A-Za-z])rocket\s*m\s*q(?![A-Za-z])", "RocketMQ"),
+    (r"(?iu)(?<![A-Za-z])rocket\s+queue(?![A-Za-z])", "RocketMQ"),
+    (r"(?iu)(?<![A-Za-z])rabbit\s*m\s*q(?![A-Za-z])", "RabbitMQ"),
+    (r"(?iu)(?<![A-Za-z])message\s+queue(?![A-Za-z])", "MQ"),
+    (r"(?iu)(?<![A-Za-z])im\s*bedding(?![A-Za-z])", "Embedding"),
+    (r"(?iu)(?<![A-Za-z])embed\s+ding(?![A-Za-z])", "Embedding"),
+    (r"(?iu)(?<![A-Za-z])re\s*rank(?![A-Za-z])", "Rerank"),
+    (r"(?iu)(?<![A-Za-z])vector\s+database(?![A-Za-z])", "Vector Database"),
+    (r"(?iu)(?<![A-Za-z])a\s*[.-]?\s*p\s*[.-]?\s*i(?![A-Za-z])", "API"),
+    (r"(?iu)(?<![A-Za-z])a\s*[.-]?\s*s\s*[.-]?\s*r(?![A-Za-z])", "ASR"),
+    (r"(?iu)(?<![A-Za-z])o\s*[.-]?\s*c\s*[.-]?\s*r(?![A-Za-z])", "OCR"),
+    (r"(?iu)(?<![A-Za-z])r\s*[.-]?\s*a\s*[.-]?\s*g(?![A-Za-z])", "RAG"),
+    (r"(?iu)(?<![A-Za-z])l\s*[.-]?\s*l\s*[.-]?\s*m(?![A-Za-z])", "LLM"),
+    (r"(?iu)(?<![A-Za-z])a\s*i\s*agent(?![A-Za-z])", "AI Agent"),
+    (r"(?iu)(?<![A-Za-z])aigent(?![A-Za-z])", "AI Agent"),
+    (r"(?iu)(?<![A-Za-z])ai[-\s]*zen(?![A-Za-z])", "AI Agent"),
+    (r"(?iu)(?<![A-Za-z])j\s*[.-]?\s*v\s*[.-]?\s*m(?![A-Za-z])", "JVM"),
+    (r"(?iu)(?<![A-Za-z])j\s*[.-]?\s*d\s*[.-]?\s*k(?![A-Za-z])", "JDK"),
+    (r"(?iu)(?<![A-Za-z])s\s*[.-]?\s*q\s*[.-]?\s*l(?![A-Za-z])", "SQL"),
+    (r"(?iu)(?<![A-Za-z])g\s*[.-]?\s*c(?![A-Za-z])", "GC"),
+    (r"(?iu)(?<![A-Za-z])o\s*[.-]?\s*o\s*[.-]?\s*m(?![A-Za-z])", "OOM"),
+    (r"(?iu)(?<![A-Za-z])c\s*[.-]?\s*a\s*[.-]?\s*s(?![A-Za-z])", "CAS"),
+    (r"(?iu)(?<![A-Za-z])a\s*[.-]?\s*q\s*[.-]?\s*s(?![A-Za-z])", "AQS"),
+]
 
 
 def collapse(c: Column) -> Column:
@@ -60,6 +81,11 @@ def text_quality(c: Column, traditional: str = "") -> Column:
     return F.struct(n_repl.alias("replacement"), n_ctrl.alias("control"), latin.alias("latin"), old.alias("traditional"), cjk.alias("cjk"), risk.alias("garbled_risk"))
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where c is computed once however often f names it: a projection would be folded back into each use."""
+    return F.get(F.transform(F.array(c), f), 0)
+
+
 def garbled(c: Column) -> Column:
     return text_quality(c)["garbled_risk"]
 
@@ -67,7 +93,7 @@ def garbled(c: Column) -> Column:
 def normalize_text(c: Column, simplify: tuple[str, str] = ("", "")) -> Column:
     """White space and control characters cleaned; a garbled text becomes empty; characters mapped."""
     plain = collapse(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[﻿�]", " "), CONTROL, " "))
-    kept = F.when(garbled(plain), F.lit("")).otherwise(plain)
+    kept = bound(plain, lambda x: F.when(garbled(x), F.lit("")).otherwise(x))
     return F.translate(F.translate(kept, *simplify) if simplify[0] else kept, "妳祢", "你你")
 
 
@@ -78,14 +104,24 @@ def redecoded(c: Column) -> Column:
 
 def repair_encoding(c: Column, only_if_cjk_gain: bool = False) -> Column:
     """A struct of text and changed: the re-decoded text where it has more CJK or fewer suspect characters."""
-    plain, again = normalize_text(c), normalize_text(redecoded(F.coalesce(c, F.lit(""))))
     count = lambda x, p: F.regexp_count(x, F.lit(p))
     suspect = f"[{SUSPICIOUS_LATIN}�]"
-    better = count(again, CJK) > count(plain, CJK)
-    if not only_if_cjk_gain:
-        better = better | (count(again, suspect) < count(plain, suspect))
-    text = F.when((again != "") & better, again).otherwise(plain)
-    return F.struct(text.alias("text"), (text != F.coalesce(c, F.lit(""))).alias("changed"))
+
+    def chosen(s: Column) -> Column:
+        better = count(s["again"], CJK) > count(s["plain"], CJK)
+        if not only_if_cjk_gain:
+            better = better | (count(s["again"], suspect) < count(s["plain"], suspect))
+        return F.when((s["again"] != s["plain"]) & (s["again"] != "") & better, s["again"]).otherwise(s["plain"])
+
+    both = F.struct(normalize_text(c).alias("plain"), normalize_text(redecoded(F.coalesce(c, F.lit("")))).alias("again"))
+    return bound(bound(both, chosen), lambda text: F.struct(text.alias("text"), (text != F.coalesce(c, F.lit(""))).alias("changed")))
+
+
+def _any_of(patterns: list[str], before: str = r"(?iu)(?<![A-Za-z])", after: str = r"(?![A-Za-z])") -> str:
+    """One pattern that finds what any of them finds; those between non-letters share one look to the side."""
+    between = [p[len(before) : -len(after)] for p in patterns if p.startswith(before) and p.endswith(after)]
+    rest = [f"(?:{p})" for p in patterns if not (p.startswith(before) and p.endswith(after))]
+    return "|".join(([f"(?:{before}(?:{'|'.join(between)}){after})"] if between else []) + rest)
 
 
 def correct_terms(c: Column, rules: list[tuple[str, str]] | None = None) -> Column:
@@ -93,8 +129,9 @@ def correct_terms(c: Column, rules: list[tuple[str, str]] | None = None) -> Colu
     rules = TERM_RULES if rules is None else rules
     if not rules:
         return collapse(c)
-    fixed = reduce(lambda x, r: F.regexp_replace(x, r[0], r[1].replace("\\", "\\\\").replace("$", "\\$")), rules, c)
-    return F.when(c.rlike("|".join(f"(?:{p})" for p, _ in rules)), collapse(fixed)).otherwise(collapse(c))
+    fixed = lambda text: reduce(lambda x, r: F.regexp_replace(x, r[0], r[1].replace("\\", "\\\\").replace("$", "\\$")), rules, text)
+    any_rule = _any_of([p for p, _ in rules])
+    return bound(c, lambda text: F.when(text.rlike(any_rule), collapse(fixed(text))).otherwise(collapse(text)))
 
 
 def normalize_transcript(c: Column, rules: list[tuple[str, str]] | None = None) -> Column:
@@ -103,7 +140,7 @@ def normalize_transcript(c: Column, rules: list[tuple[str, str]] | None = None)
 
 def repair_transcript(c: Column, rules: list[tuple[str, str]] | None = None) -> Column:
     text = correct_terms(repair_encoding(c)["text"], rules)
-    return F.struct(text.alias("text"), (text != F.coalesce(c, F.lit(""))).alias("changed"))
+    return bound(text, lambda x: F.struct(x.alias("text"), (x != F.coalesce(c, F.lit(""))).alias("changed")))
 
 
 def token_count(c: Column) -> Column:
@@ -223,7 +260,9 @@ DOMAIN_TOKENS: list[tuple[list[str], list[str]]] = [
     (["agent", "rag", "问答", "引用", "时间戳"], ["agent", "rag", "answer", "citation", "timestamp"]),
 ]
 #: Words that a query drops, and what it adds for a trigger.
-QUERY_STOP_WORDS = "the and for with where which what when who how clips clip video videos mention mentioned mentions knowledge base please cite show tell about from that this are is in on of to".split()
+QUERY_STOP_WORDS = [
+    "the", "and", "for", "with", "where", "which", "what", "when", "who", "how", "clips", "clip", "video", "videos", "mention", "mentioned", "mentions", "knowledge", "base", "please", "cite", "show", "tell", "about", "from", "that", "this", "are", "is", "in", "on", "of", "to",
+]
 QUERY_SYNONYMS: list[tuple[list[str], list[str]]] = [
     (["mysql", "my sql", "数据库"], ["mysql", "my sql", "sql", "database", "status"]),
     (["redis", "缓存", "进度"], ["redis", "readies", "cache", "progress"]),

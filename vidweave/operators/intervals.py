@@ -60,9 +60,10 @@ def map_to_source(points: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
     row = F.struct("start_ms", "end_ms", "mapped_start_ms", "mapped_end_ms")
     m = mapped.select(key, F.col("mapped_end_ms").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("point_id"), row.alias("_row"))
     p = points.select(key, F.col("t_ms").alias("_t"), F.lit(0).alias("_kind"), "point_id", F.lit(None).cast(m.schema["_row"].dataType).alias("_row"))
-    order = Window.partitionBy(key).orderBy("_t", "_kind", "point_id")
-    after = F.first("_row", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    last = F.last("_row", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    upward = Window.partitionBy(key).orderBy("_t", "_kind", "point_id").rowsBetween(Window.unboundedPreceding, 0)
+    downward = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_kind"), F.desc("point_id")).rowsBetween(Window.unboundedPreceding, 0)
+    # both frames grow by a row at a time: a frame up to the end would be computed anew for each row
+    after, last = (F.last("_row", ignorenulls=True).over(w) for w in (downward, upward))
     got = m.unionByName(p).withColumn("_next", after).withColumn("_last", last).where("_kind = 0")
     inside = F.col("_next.start_ms") + F.greatest(F.lit(0), F.least(F.col("_t") - F.col("_next.mapped_start_ms"), F.col("_next.end_ms") - F.col("_next.start_ms")))
     past = F.col("_last.end_ms") + F.col("_t") - F.col("_last.mapped_end_ms")
@@ -79,11 +80,11 @@ def sample_timestamps(start: Column, end: Column, apart: int = 180) -> Column:
     return F.when(end <= start, F.array(start)).otherwise(kept)
 
 
-def locate_segment(points: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+def locate_segment(points: DataFrame, segments: DataFrame, key: str, bucket_ms: int = 60_000) -> DataFrame:
     """The segment of each point: the first that contains it, else the latest that starts before, else the first.
 
-    As segments of one key are short, containment is settled by a window over the starts: the earliest segment
-    still open at t is found from the running maximum of ends."""
+    Where no segment of a key overlaps an earlier one, the as-of window settles it. Points of other keys meet the
+    segments that touch their bucket of time, by an equi-join on key and bucket."""
     s = segments.select(key, F.col("start_ms").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("point_id"), F.struct("segment_index", "start_ms", "end_ms").alias("_row"))
     p = points.select(key, F.col("t_ms").alias("_t"), F.lit(1).alias("_kind"), "point_id", F.lit(None).cast(s.schema["_row"].dataType).alias("_row"))
     order = Window.partitionBy(key).orderBy("_t", "_kind", "point_id", "_row")
@@ -94,7 +95,8 @@ def locate_segment(points: DataFrame, segments: DataFrame, key: str) -> DataFram
     # a segment before the latest one can only matter if it is still open: only then are they joined
     over = segments.withColumn("_reach", F.max("end_ms").over(Window.partitionBy(key).orderBy("start_ms", "segment_index").rowsBetween(Window.unboundedPreceding, -1)))
     tangled = over.where("_reach > start_ms").select(key).distinct()
-    knots = latest.join(tangled, key, "left_semi").join(segments.select(key, "segment_index", "start_ms", "end_ms"), key).where("start_ms <= t_ms AND t_ms < end_ms")
+    touched = segments.join(tangled, key, "left_semi").where("end_ms > start_ms").select(key, "segment_index", "start_ms", "end_ms", F.explode(F.expr(f"sequence(floor(start_ms / {bucket_ms}), floor((end_ms - 1) / {bucket_ms}))")).alias("_bucket"))
+    knots = latest.withColumn("_bucket", F.floor(F.col("t_ms") / bucket_ms)).join(touched, [key, "_bucket"]).where("start_ms <= t_ms AND t_ms < end_ms")
     held = knots.groupBy(key, "point_id").agg(F.min_by("segment_index", F.struct("start_ms", "segment_index")).alias("_held"))
     return latest.join(held, [key, "point_id"], "left").select(key, "point_id", "t_ms", F.coalesce("_held", "_asof.segment_index", "_first.segment_index").alias("segment_index"))
 

@@ -24,8 +24,12 @@ def comparable(c: Column) -> Column:
 
 def cer(hypothesis: Column, reference: Column) -> Column:
     """Edit distance over the reference's length, at most 1."""
-    h, r = comparable(hypothesis), comparable(reference)
-    return F.when(r == "", F.when(h == "", 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), F.levenshtein(h, r) / F.length(r)))
+
+    def rate(s: Column) -> Column:
+        h, r = s["h"], s["r"]
+        return F.when(r == "", F.when(h == "", 0.0).otherwise(1.0)).otherwise(F.least(F.lit(1.0), F.levenshtein(h, r) / F.length(r)))
+
+    return T.bound(F.struct(comparable(hypothesis).alias("h"), comparable(reference).alias("r")), rate)
 
 
 #: Fixed values by mode: confidence for a whole-line swap, least length ratio, least and most error rate.
@@ -44,20 +48,25 @@ def fuse_text(asr: Column, ocr: Column, confidence: Column, mode: str = "CONSERV
     name of the seen one where that lowers the error rate. A spoken text with characters of `traditional` counts as
     mistaken in LOW_CONFIDENCE."""
     sure, ratio, low, high = FUSION_MODES[mode]
-    a, o = (tech_tokens(F.trim(F.coalesce(c, F.lit("")))) for c in (asr, ocr))
-    rate, n, m = cer(a, o), F.length(a), F.length(o)
-    lengths = F.least(n, m) / F.greatest(F.lit(1), F.greatest(n, m))
-    useful = (F.regexp_count(o, F.lit(r"[\p{L}\p{IsHan}]")) >= 2) & (F.regexp_count(o, F.lit(r"\p{Nd}")) * 2 < F.greatest(F.lit(1), m))
-    close = (lengths >= ratio) & rate.between(low, high)
-    if mode == "CONSERVATIVE":
-        swap = (m >= 8) & ((a == "") | (~T.garbled(o) & ((m >= 0.72 * n) | (m >= 12)) & close))
-    elif mode == "STRONG_VISUAL":
-        swap = useful & ~T.garbled(o) & ((a == "") | T.garbled(a) | (((m >= 0.55 * n) | (m >= 10)) & close))
-    else:
-        mistaken = (F.translate(a, traditional, "") != a) if traditional else F.lit(False)
-        swap = useful & ~T.garbled(o) & ((a == "") | T.garbled(a) | ((lengths >= ratio) & (rate <= high) & ((rate >= low) | mistaken)))
-    merged = F.when(F.lower(F.replace(o, F.lit(" "), F.lit(""))).contains("claudecode"), F.regexp_replace(a, r"(?i)Code\s*code", "Claude Code")).otherwise(a)
-    return F.when((o == "") | (confidence < least_confidence), a).when((confidence >= sure) & swap, o).when((merged != a) & (cer(merged, o) < rate), merged).otherwise(a)
+    cleaned = F.struct(*[tech_tokens(F.trim(F.coalesce(c, F.lit("")))).alias(name) for c, name in ((asr, "a"), (ocr, "o"))])
+
+    def decided(s: Column) -> Column:
+        a, o, rate = s["t"]["a"], s["t"]["o"], s["rate"]
+        n, m = F.length(a), F.length(o)
+        lengths = F.least(n, m) / F.greatest(F.lit(1), F.greatest(n, m))
+        useful = (F.regexp_count(o, F.lit(r"[\p{L}\p{IsHan}]")) >= 2) & (F.regexp_count(o, F.lit(r"\p{Nd}")) * 2 < F.greatest(F.lit(1), m))
+        close = (lengths >= ratio) & rate.between(low, high)
+        if mode == "CONSERVATIVE":
+            swap = (m >= 8) & ((a == "") | (~T.garbled(o) & ((m >= 0.72 * n) | (m >= 12)) & close))
+        elif mode == "STRONG_VISUAL":
+            swap = useful & ~T.garbled(o) & ((a == "") | T.garbled(a) | (((m >= 0.55 * n) | (m >= 10)) & close))
+        else:
+            mistaken = (F.translate(a, traditional, "") != a) if traditional else F.lit(False)
+            swap = useful & ~T.garbled(o) & ((a == "") | T.garbled(a) | ((lengths >= ratio) & (rate <= high) & ((rate >= low) | mistaken)))
+        merged = F.when(F.lower(F.replace(o, F.lit(" "), F.lit(""))).contains("claudecode"), F.regexp_replace(a, r"(?i)Code\s*code", "Claude Code")).otherwise(a)
+        return F.when((o == "") | (confidence < least_confidence), a).when((confidence >= sure) & swap, o).when((merged != a) & (cer(merged, o) < rate), merged).otherwise(a)
+
+    return T.bound(T.bound(cleaned, lambda t: F.struct(t.alias("t"), cer(t["a"], t["o"]).alias("rate"))), decided)
 
 
 def fusion_report(samples: DataFrame) -> DataFrame:

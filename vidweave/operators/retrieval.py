@@ -1,25 +1,56 @@
 """Embedding, search, ranking and citing of transcript segments for many questions at once.
 
-Sparse vectors are rows (id, bucket, value). Search joins question and segment on (video, bucket), so only
-pairs in scope that share a bucket meet, and no hot bucket crosses videos."""
+A sparse vector is one row with a map of bucket to value. Search joins questions and segments on the video, so only
+pairs in scope meet, and takes the inner product in the row: a pair is one row, however many buckets it shares."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidweave.functions import text as T
 
 
-def hash_embed(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 256, groups: list | None = None) -> DataFrame:
-    """Rows (ids, bucket, value) of the hashed token counts, and the vector's length `norm`."""
+def sparse_vectors(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 256, groups: list | None = None) -> DataFrame:
+    """A row for each text with a token: its hashed token counts as `vector` (map of bucket to value), and the
+    vector's length `norm`."""
     text = F.col(text_col)
     tokens = T.expand(text, T.tokenize(text), T.DOMAIN_TOKENS if groups is None else groups)
     # dealt by id once: counts, norms and what follows by id need no further exchange
     rows = df.select(*id_cols, text_col).repartition(*id_cols).select(*id_cols, F.explode(tokens).alias("_t"))
     counts = rows.groupBy(*id_cols, T.hash_bucket(F.col("_t"), dim).alias("bucket")).agg(F.count(F.lit(1)).cast("double").alias("value"))
-    vectors = counts.groupBy(*id_cols).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), F.collect_list(F.struct("bucket", "value")).alias("_v"))
-    return vectors.select(*id_cols, "norm", F.explode("_v").alias("_e")).select(*id_cols, "norm", "_e.bucket", "_e.value")
+    entries = F.map_from_entries(F.collect_list(F.struct("bucket", "value")))  # at most dim of them
+    return counts.groupBy(*id_cols).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"), entries.alias("vector"))
+
+
+def hash_embed(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 256, groups: list | None = None) -> DataFrame:
+    """Rows (ids, bucket, value) of the hashed token counts, and the vector's length `norm`."""
+    return sparse_vectors(df, id_cols, text_col, dim, groups).select(*id_cols, "norm", F.explode("vector").alias("bucket", "value"))
+
+
+def embed(df: DataFrame, id_cols: list[str], text_col: str, provider: Callable[[list[str]], list[list[float] | None]] | None = None, dim: int = 256) -> DataFrame:
+    """Sparse vectors (ids, norm, vector) by a provider: a function that takes a list of texts and gives a dense
+    vector for each, or None where it failed. Blank texts have no vector; zero components are left out; failed
+    texts, or all of a batch for which it raised, fall back to the hash embedder, as all do without a provider."""
+    text = df.where(F.coalesce(F.trim(text_col), F.lit("")) != "")
+    if provider is None:
+        return sparse_vectors(text, id_cols, text_col, dim)
+
+    @F.pandas_udf("array<double>")
+    def dense(texts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series([None if v is None else [float(x) for x in v] for v in provider(texts.tolist())], dtype=object)
+        except Exception:  # a provider may fail in any way: its batch then falls back
+            return pd.Series([None] * len(texts), dtype=object)
+
+    found = text.withColumn("_v", dense(F.col(text_col)))
+    entries = F.filter(F.transform("_v", lambda x, i: F.struct(i.cast("int").alias("bucket"), x.alias("value"))), lambda e: e["value"] != 0)
+    norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
+    remote = found.where("_v IS NOT NULL").select(*id_cols, norm.alias("norm"), F.map_from_entries(entries).alias("vector")).where("norm > 0")
+    return remote.unionByName(sparse_vectors(found.where("_v IS NULL"), id_cols, text_col, dim))
 
 
 def dense_vector(values: Column, dim: int = 256) -> Column:
@@ -37,9 +68,11 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_search(questions: DataFrame, scopes: DataFrame, segments: DataFrame, k: int = 12, least: float = 0.08, dim: int = 256, groups: list | None = None) -> DataFrame:
     """The k best segments of each question within its videos. questions: question_id, question; scopes:
     question_id, video_id; segments: id, video_id, segment_index, start_ms, content."""
-    q = hash_embed(questions, ["question_id"], "question", dim, groups).join(scopes, "question_id").select("question_id", "video_id", "bucket", F.col("value").alias("_qv"), F.col("norm").alias("_qn"))
-    s = hash_embed(segments.select("id", "video_id", "segment_index", "start_ms", "content"), ["id", "video_id", "segment_index", "start_ms"], "content", dim, groups)
-    hits = s.join(q, ["video_id", "bucket"]).groupBy("question_id", "id", "video_id", "segment_index", "start_ms").agg(F.round(F.sum(F.col("value") * F.col("_qv")) / (F.first("norm") * F.first("_qn")), 6).alias("vec"))
+    q = sparse_vectors(questions, ["question_id"], "question", dim, groups).join(scopes, "question_id").select("question_id", "video_id", F.map_entries("vector").alias("_q"), F.col("norm").alias("_qn"))
+    ids = ["id", "video_id", "segment_index", "start_ms"]
+    s = sparse_vectors(segments.select(*ids, "content"), ids, "content", dim, groups)
+    dot = F.aggregate("_q", F.lit(0.0), lambda total, e: total + e["value"] * F.coalesce(F.try_element_at("vector", e["key"]), F.lit(0.0)))
+    hits = s.join(q, "video_id").select("question_id", *ids, F.round(dot / (F.col("norm") * F.col("_qn")), 6).alias("vec"))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("vec"), "start_ms", "video_id", "segment_index"))
     return hits.where(F.col("vec") >= least).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 

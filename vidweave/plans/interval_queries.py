@@ -130,8 +130,10 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return s.select("video_id", "segment_index", F.col("content").alias("asr")).join(n, ["video_id", "segment_index"])
 
 
-_PAIRS = with_ctes("segments") + """, s AS (SELECT video_id, segment_index, substr(content, 1, 60) AS asr FROM segments WHERE regexp_full_match(content, '[ -~]+')), p AS (SELECT s.video_id, s.segment_index, s.asr, n.asr AS ocr FROM s JOIN s n ON n.video_id = s.video_id AND n.segment_index = s.segment_index + 1),
-c AS (SELECT *, lower(replace(asr, ' ', '')) AS h, lower(replace(ocr, ' ', '')) AS r FROM p), e AS (SELECT *, CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0.0 ELSE 1.0 END ELSE least(1.0, levenshtein(h, r) / length(r)) END AS cer FROM c)"""
+# DuckDB's distance counts bytes: the tables' lower-case letters beyond ASCII become capitals, which no lower-cased text holds
+_PAIRS = with_ctes("segments") + r""", p AS (SELECT s.video_id, s.segment_index, s.content AS asr, n.content AS ocr FROM segments s JOIN segments n ON n.video_id = s.video_id AND n.segment_index = s.segment_index + 1),
+c AS (SELECT *, translate(lower(regexp_replace(asr, '[ \t\n\x0B\f\r]+', '', 'g')), 'äçèéêíñóöüß', 'ABCDEFGHIJK') AS h, translate(lower(regexp_replace(ocr, '[ \t\n\x0B\f\r]+', '', 'g')), 'äçèéêíñóöüß', 'ABCDEFGHIJK') AS r FROM p),
+e AS (SELECT *, CASE WHEN r = '' THEN CASE WHEN h = '' THEN 0.0 ELSE 1.0 END ELSE least(1.0, levenshtein(h, r) / length(r)) END AS cer FROM c)"""
 
 
 def f2_cer(spark: SparkSession, d: str) -> DataFrame:

@@ -66,7 +66,7 @@ def b7_apply_glossary(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", F.md5(T.apply_glossary(F.col("text"), GLOSSARY)).alias("text_md5"))
 
 
-B7 = f"""WITH y AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents WHERE lang = 'en'), z AS (SELECT doc_id, CASE WHEN {_RISK.format('t')} THEN '' ELSE t END AS t FROM y)
+B7 = f"""WITH y AS (SELECT doc_id, {_NORM.format('text')} AS t FROM documents), z AS (SELECT doc_id, CASE WHEN {_RISK.format('t')} THEN '' ELSE t END AS t FROM y)
 SELECT doc_id, md5(replace(regexp_replace(t, '(?i)erth', 'Erth$1', 'g'), 'a.b', 'AB')) AS text_md5 FROM z"""
 
 

@@ -1,7 +1,8 @@
 """Rate, lockout, progress, outbox, state and cache operators: batch forms over event tables, and their streams.
 
 Counting forms are windows and aggregates. Anchored windows and guarded state folds are sequential in each key:
-those run as grouped pandas functions over one key's events in order, or as arbitrary stateful streams."""
+Spark deals the events by key, sorts (and spills) them, and a small state is carried over them batch by batch, so no
+key's events are ever held together; as streams they are arbitrary stateful operators."""
 
 from __future__ import annotations
 
@@ -26,64 +27,87 @@ def rate_limit_stream(requests: DataFrame, limit: int, seconds: int, scope: str
     return w.where(F.col("n") > limit).select(F.col("w.start").alias("window_start"), scope, "n")
 
 
+def in_order(events: DataFrame, key: str, order: list[str], schema: str, start, step, finish=None) -> DataFrame:
+    """A fold over each key's events in order: start() makes a state, step(key, state, row) gives the next state and
+    an output row or None, and finish(key, state), if given, an output row after a key's last event. A task holds one
+    state and one batch of events. Events of a null key are a key of their own."""
+    columns = events.columns
+    at = columns.index(key)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fields = [f.split()[0] for f in schema.split(", ")]
+        now, state, open_ = None, None, False
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False, name=None):
+                this = None if pd.isna(row[at]) else row[at]
+                if not open_ or this != now:
+                    if open_ and finish:
+                        out.append(finish(now, state))
+                    now, state, open_ = this, start(), True
+                state, made = step(now, state, dict(zip(columns, row, strict=True)))
+                if made is not None:
+                    out.append(made)
+            yield pd.DataFrame(out, columns=fields)
+        if open_ and finish:
+            yield pd.DataFrame([finish(now, state)], columns=fields)
+
+    return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
 LOCKOUT = "attempt_id long, key string, failures long, captcha boolean, blocked boolean, retry_after_s long"
 
 
-def lockout_rows(key: str, rows: list[tuple], window_s: int = 600, captcha: int = 3, most: int = 5) -> list[tuple]:
-    """Verdicts of one key's attempts (ts in seconds, attempt_id, success), in order. The window is anchored at its
-    first failure; blocked attempts are not counted; success clears."""
-    anchor, failures, out = None, 0, []
+def lockout_step(key, state: tuple, ts: int, attempt: int, success: bool, window_s: int = 600, captcha: int = 3, most: int = 5) -> tuple[tuple, tuple]:
+    """The next state (anchor or None, failures) of a key and the verdict of an attempt. The window is anchored at
+    its first failure; blocked attempts are not counted; success clears."""
+    anchor, failures = state
+    if anchor is not None and ts > anchor + window_s:
+        anchor, failures = None, 0
+    if failures >= most:
+        return (anchor, failures), (attempt, key, failures, True, True, int(anchor + window_s - ts))
+    anchor, failures = (None, 0) if success else (ts if anchor is None else anchor, failures + 1)
+    return (anchor, failures), (attempt, key, failures, failures >= captcha, False, 0)
+
+
+def lockout_rows(key: str, rows: list[tuple], **limits: int) -> list[tuple]:
+    """Verdicts of one key's attempts (ts in seconds, attempt_id, success), in order."""
+    state, out = (None, 0), []
     for ts, attempt, success in rows:
-        if anchor is not None and ts > anchor + window_s:
-            anchor, failures = None, 0
-        if failures >= most:
-            out.append((attempt, key, failures, True, True, int(anchor + window_s - ts)))
-            continue
-        if success:
-            anchor, failures = None, 0
-        else:
-            anchor, failures = (ts if anchor is None else anchor), failures + 1
-        out.append((attempt, key, failures, failures >= captcha, False, 0))
+        state, made = lockout_step(key, state, ts, attempt, success, **limits)
+        out.append(made)
     return out
 
 
 def login_lockout(attempts: DataFrame, **limits: int) -> DataFrame:
     """attempts (key, ts_s, attempt_id, success) with the verdict of each."""
+    step = lambda key, state, r: lockout_step(key, state, r["ts_s"], r["attempt_id"], r["success"], **limits)
+    return in_order(attempts.select("key", "ts_s", "attempt_id", "success"), "key", ["ts_s", "attempt_id"], LOCKOUT, lambda: (None, 0), step)
 
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_s", "attempt_id"])
-        rows = lockout_rows(group[0], list(zip(pdf["ts_s"], pdf["attempt_id"], pdf["success"], strict=True)), **limits)
-        return pd.DataFrame(rows, columns=["attempt_id", "key", "failures", "captcha", "blocked", "retry_after_s"])
-
-    return attempts.groupBy("key").applyInPandas(run, LOCKOUT)
 
-
-def login_lockout_stream(attempts: DataFrame, window_s: int = 600, captcha: int = 3, most: int = 5) -> DataFrame:
-    """The same as a stateful stream: the state of a key is its anchor and its failures, and it times out."""
+def login_lockout_stream(attempts: DataFrame, window_s: int = 600, captcha: int = 3, most: int = 5, delay: str = "10 minutes") -> DataFrame:
+    """The same as a stateful stream in event time: the state of a key is its anchor and failures, and goes once the
+    watermark has passed the anchored window, so a replay of old events is judged as they were. Events of a key that
+    come in one micro-batch are sorted together; later than `delay`, they are dropped."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         anchor, failures = state.get if state.exists else (-1, 0)
-        for pdf in batches:
-            out = []
-            for r in pdf.sort_values(["ts_s", "attempt_id"]).itertuples(index=False):
-                if anchor >= 0 and r.ts_s > anchor + window_s:
-                    anchor, failures = -1, 0
-                if failures >= most:
-                    out.append((r.attempt_id, key[0], failures, True, True, int(anchor + window_s - r.ts_s)))
-                    continue
-                if r.success:
-                    anchor, failures = -1, 0
-                else:
-                    anchor, failures = (r.ts_s if anchor < 0 else anchor), failures + 1
-                out.append((r.attempt_id, key[0], failures, failures >= captcha, False, 0))
-            yield pd.DataFrame(out, columns=["attempt_id", "key", "failures", "captcha", "blocked", "retry_after_s"])
-        state.update((int(anchor), int(failures)))
-        state.setTimeoutDuration(window_s * 1000)
-
-    return attempts.groupBy("key").applyInPandasWithState(run, LOCKOUT, "anchor long, failures long", "append", "ProcessingTimeTimeout")
+        now, out = (None if failures == 0 else anchor, failures), []
+        for r in pd.concat(list(batches)).sort_values(["ts_s", "attempt_id"]).itertuples(index=False):
+            now, made = lockout_step(key[0], now, r.ts_s, r.attempt_id, r.success, window_s, captcha, most)
+            out.append(made)
+        if now[0] is None:
+            state.remove()
+        else:
+            state.update((int(now[0]), int(now[1])))
+            state.setTimeoutTimestamp(max((int(now[0]) + window_s + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[f.split()[0] for f in LOCKOUT.split(", ")])
+
+    timed = attempts.withColumn("_ts", F.timestamp_seconds("ts_s")).withWatermark("_ts", delay)
+    return timed.groupBy("key").applyInPandasWithState(run, LOCKOUT, "anchor long, failures long", "append", "EventTimeTimeout")
 
 
 def progress(events: DataFrame, key: str, ts: str, as_of: Column, ttl: str = "30 minutes") -> DataFrame:
@@ -116,28 +140,28 @@ EVENT_MOVES: dict[str, tuple[tuple[str, ...], str]] = {
 def event_state_fold(changes: DataFrame, key: str, order: list[str], most_attempts: int = 3) -> DataFrame:
     """The status and attempts of each key after its changes (column change) in order; a change whose guard does not
     hold is passed over. `failed` leads to CONSUME_FAILED, or DLQ at the last attempt; `retry` starts anew."""
-    zero = F.struct(F.lit("PENDING").alias("status"), F.lit(0).cast("long").alias("attempts"), F.lit(0).cast("long").alias("applied"))
 
-    def step(s: Column, x: Column) -> Column:
-        change, status = x["change"], s["status"]
-        new = F.lit(None).cast("string")
-        for name, (needs, makes) in EVENT_MOVES.items():
-            new = F.when((change == name) & status.isin(*needs), makes).otherwise(new)
-        dead = s["attempts"] + 1 >= most_attempts
-        new = F.when((change == "failed") & (status == "CONSUMING"), F.when(dead, "DLQ").otherwise("CONSUME_FAILED")).otherwise(new)
-        tries = F.when((change == "failed") & new.isNotNull(), s["attempts"] + 1).when((change == "retry") & new.isNotNull(), 0).otherwise(s["attempts"]).cast("long")
-        return F.struct(F.coalesce(new, status).alias("status"), tries.alias("attempts"), (s["applied"] + new.isNotNull().cast("long")).alias("applied"))
+    def step(_, state: tuple, row: dict) -> tuple:
+        (status, attempts, applied), change = state, row["change"]
+        if change == "failed" and status == "CONSUMING":
+            return ("DLQ" if attempts + 1 >= most_attempts else "CONSUME_FAILED", attempts + 1, applied + 1), None
+        needs, makes = EVENT_MOVES.get(change, ((), ""))
+        if status not in needs:
+            return state, None
+        return (makes, 0 if change == "retry" else attempts, applied + 1), None
 
-    g = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, "change"))).alias("c"))
-    return g.select(key, F.aggregate("c", zero, step).alias("s")).select(key, "s.status", "s.attempts", "s.applied")
+    key_type = changes.schema[key].dataType.simpleString()
+    return in_order(changes.select(key, *order, "change"), key, order, f"{key} {key_type}, status string, attempts long, applied long", lambda: ("PENDING", 0, 0), step, lambda k, state: (k, *state))
 
 
 def job_state_fold(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Compare-and-set by version: a change (version, status) applies if its version is the current one."""
-    zero = F.struct(F.lit("PENDING").alias("status"), F.lit(0).cast("long").alias("version"))
-    step = lambda s, x: F.when(x["version"] == s["version"], F.struct(x["status"].alias("status"), (s["version"] + 1).alias("version"))).otherwise(s)
-    g = changes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, F.col("version").cast("long").alias("version"), "status"))).alias("c"))
-    return g.select(key, F.aggregate("c", zero, step).alias("s")).select(key, "s.status", "s.version", F.col("s.status").isin("DONE", "FAILED").alias("finished"))
+
+    def step(_, state: tuple, row: dict) -> tuple:
+        return ((row["status"], state[1] + 1) if row["version"] == state[1] else state), None
+
+    key_type = changes.schema[key].dataType.simpleString()
+    return in_order(changes.select(key, *order, "version", "status"), key, order, f"{key} {key_type}, status string, version long, finished boolean", lambda: ("PENDING", 0), step, lambda k, s: (k, *s, s[0] in ("DONE", "FAILED")))
 
 
 def last_question_memory(asks: DataFrame, key: str, ts: str, order: str, ttl: str = "20 minutes") -> DataFrame:
@@ -157,16 +181,11 @@ def cache_hits(asks: DataFrame, scope: str, question: str, ts: str, order: str)
 def cache_hits_ttl(asks: DataFrame, ttl_s: int = 1800) -> DataFrame:
     """asks (key, ts_s, ask_id): a hit if the stored answer is not older than ttl_s; its time starts at the miss."""
 
-    def run(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        anchor, hits = None, []
-        pdf = pdf.sort_values(["ts_s", "ask_id"])
-        for ts in pdf["ts_s"]:
-            hit = anchor is not None and ts <= anchor + ttl_s
-            anchor = anchor if hit else ts
-            hits.append(hit)
-        return pd.DataFrame({"ask_id": pdf["ask_id"], "key": group[0], "hit": hits})
+    def step(key, anchor, row: dict) -> tuple:
+        hit = anchor is not None and row["ts_s"] <= anchor + ttl_s
+        return (anchor if hit else row["ts_s"]), (row["ask_id"], key, hit)
 
-    return asks.groupBy("key").applyInPandas(run, "ask_id long, key string, hit boolean")
+    return in_order(asks.select("key", "ts_s", "ask_id"), "key", ["ts_s", "ask_id"], "ask_id long, key string, hit boolean", lambda: None, step)
 
 
 def ingest_stream(segments: DataFrame, index_path: str, checkpoint: str, build) -> object:
