@@ -5,11 +5,12 @@ prior p, the risk of a scorer g is p * E+[l(g)] + max(0, Eu[l(-g)] - p * E+[l(-g
 negative risk corrected for the toxic share, and it may not fall below zero (where it would, its gradient is
 turned round). A linear scorer over hashed features is trained with it in numpy.
 
-Features of a text: its distinct words (runs of letters, lower-cased) and their beginnings of four and five
-letters, hashed; only those found in positives more often than in unlabelled texts are kept, up to a bound.
-A quarter of the sample is kept out of this training: on it, the cut is chosen that makes recall squared
+Features of a text: its distinct words (runs of letters, lower-cased) and their beginnings of four, five and seven
+letters, hashed; those whose rate in positives is surely (by a standard error) above that in unlabelled texts
+are kept, up to a bound, at every size of the sample. A text's sum of weights is evened by the root of its number of
+features. A quarter of the sample is kept out of this training: on it, the cut is chosen that makes recall squared
 over the share of texts found largest (a criterion that needs no negatives), and the bias is set so that
-the cut scores `threshold`. With under ten positives there, the trained bias stays.
+the cut scores `threshold`. If no positive falls into that quarter, the whole sample sets the cut.
 Neither labels nor language, source or id are read when a text is scored.
 
 Training uses a bounded sample, `most_positives` and `most_unlabelled` texts with the smallest hashed ids;
@@ -17,7 +18,8 @@ the feature counts of the sample are summed by Spark, and the driver gets the se
 sample only (bounded by `most_features` and the sample). Scoring covers every row and whole texts.
 
 Defined results: null and empty texts have no features and get the score of the bias alone. Without
-positives all scores are 0. Repeated rows are scored alike; several labels of one doc_id count as toxic if
+positives all scores are 0 (below 1e-12). A row without an id is scored, is not held out and trains nothing.
+Repeated rows are scored alike; several labels of one doc_id count as toxic if
 one of them is. An empty table gives an empty result; columns other than the named ones are not read.
 """
 
@@ -35,6 +37,7 @@ from .common import slices
 from .piece_memo import PieceMemo, held, joined
 
 DIMENSIONS = 1 << 18
+BEGINNINGS = (4, 5, 7)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -51,7 +54,7 @@ def _feature_memo() -> PieceMemo:
     import xxhash
 
     def buckets(words: list[str]) -> tuple:
-        return joined([[xxhash.xxh32_intdigest(x) % DIMENSIONS for x in {f"w{w}", f"4{w[:4]}", f"5{w[:5]}"}] for w in words])
+        return joined([[xxhash.xxh32_intdigest(x) % DIMENSIONS for x in {f"w{w}", *(f"{n}{w[:n]}" for n in BEGINNINGS)}] for w in words])
 
     return PieceMemo(buckets, 250_000)
 
@@ -77,7 +80,7 @@ def _features(df: DataFrame, what, schema: str) -> DataFrame:
     return df.mapInPandas(run, schema)
 
 
-def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, steps: int = 300, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk with the logistic loss. rows: feature places."""
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
     of, at = np.repeat(np.arange(len(rows)), lengths), np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)
@@ -99,7 +102,7 @@ def nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: f
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positives: int = 4000, most_unlabelled: int = 12_000, most_features: int = 4096, threshold: float = 0.7) -> tuple[np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, most_positives: int = 4000, most_unlabelled: int = 12_000, most_features: int = 4096, least_ratio: float = 1.0, threshold: float = 0.7) -> tuple[np.ndarray, float]:
     """Weights by hashed feature, and the bias. docs: doc_id, text. Held-out rows are not used."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, n_toxic = known.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1)), F.lit(0))).first()
@@ -123,23 +126,24 @@ def train(docs: DataFrame, labels: DataFrame, most_positives: int = 4000, most_u
         return pd.DataFrame({"feature": hit, "p": p[hit], "u": u[hit]})
 
     counts = _features(sample, count, "feature int, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    totals = F.broadcast(counts.where("feature = 0").select(F.col("p").alias("n_p"), F.col("u").alias("n_u")))
-    ratio = F.log((F.col("p") + 0.1) / (F.col("u") + 5.0)) - F.log((F.col("n_p") + 0.1) / (F.col("n_u") + 0.1))
-    chosen = counts.where("p >= 5 AND feature > 0").join(totals).where(ratio > 1.3).orderBy(F.desc(F.col("p") * ratio), "feature").limit(most_features)
+    n_p, n_u = counts.where("feature = 0").agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("u"), F.lit(0))).first()
+    p, u = F.col("p") + 0.5, F.col("u") + 2.0
+    # the log ratio of the two rates, less its standard error: a feature seen a few times counts for less
+    sure = F.log(p / u) - float(np.log((n_p + 0.5) / (n_u + 2.0))) - F.sqrt(1 / p + 1 / u)
+    chosen = counts.where("p > 0 AND feature > 0").where(sure > least_ratio).orderBy(F.desc(F.col("p") * sure), "feature").limit(most_features)
     selected = np.sort(np.array([r["feature"] for r in chosen.select("feature").collect()], np.int64))
-    if not len(selected):
-        return weights, -30.0
 
     def pick(part: pd.DataFrame, features: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"positive": part["positive"], "held": part["held"], "places": [np.searchsorted(selected, f[np.isin(f, selected)]).astype(np.int32).tobytes() for f in features]})
+        return pd.DataFrame({"positive": part["positive"], "held": part["held"], "n": list(map(len, features)), "places": [np.searchsorted(selected, f[np.isin(f, selected)]).astype(np.int32).tobytes() for f in features]})
 
-    rows = _features(sample, pick, "positive boolean, held boolean, places binary").collect()
+    rows = _features(sample, pick, "positive boolean, held boolean, n long, places binary").collect()
     places = [np.frombuffer(r["places"], np.int32) for r in rows]
     positive, held = (np.array([r[c] for r in rows], bool) for c in ("positive", "held"))
     w, bias = nnpu([x for x, h in zip(places, held, strict=True) if not h], positive[~held], len(selected), prior)
-    g = np.array([w[x].sum() for x in places])
-    if (held & positive).sum() >= 10 and (held & ~positive).any():
-        bias = np.log(threshold / (1 - threshold)) - cut(g[held & positive], g[held & ~positive], prior)
+    g = np.array([w[x].sum() for x in places]) * evened(np.array([r["n"] for r in rows]))
+    judged = held if (held & positive).any() and (held & ~positive).any() else np.ones(len(held), bool)
+    if (judged & ~positive).any():
+        bias = np.log(threshold / (1 - threshold)) - cut(g[judged & positive], g[judged & ~positive], prior)
     weights[selected] = w
     return weights, float(bias)
 
@@ -156,20 +160,27 @@ def cut(positives: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
     return float((best + (below[-1] if len(below) else best)) / 2)
 
 
+def evened(n_features: np.ndarray) -> np.ndarray:
+    """What a weight sum is multiplied by: chance features add up in a long text as the root of its length."""
+    return np.sqrt(400 / (n_features + 20))
+
+
 def score(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.7) -> DataFrame:
     """doc_id, score and predicted of every row."""
     weights = weights.astype(np.float32)
 
     def scored(part: pd.DataFrame, features: list[np.ndarray]) -> pd.DataFrame:
-        g = np.array([weights[f].sum(dtype=np.float64) + bias for f in features])
+        g = np.array([weights[f].sum(dtype=np.float64) for f in features]) * evened(np.fromiter(map(len, features), np.int64, len(features))) + bias
         s = 1 / (1 + np.exp(-np.clip(g, -30, 30)))
         return pd.DataFrame({"doc_id": part["doc_id"], "score": s, "predicted": (s >= threshold).astype(np.int32)})
 
-    return _features(docs, scored, "doc_id long, score double, predicted int")
+    # ids go as text: pandas would turn whole numbers with nulls among them into floats
+    out = _features(docs.withColumn("doc_id", F.col("doc_id").cast("string")), scored, "doc_id string, score double, predicted int")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, **train_args) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     weights, bias = train(docs, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), threshold=threshold, **train_args)
     out = score(docs, weights, bias, threshold)
-    return out.select("doc_id", (fold(F.col("doc_id")) == 1).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(fold(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
