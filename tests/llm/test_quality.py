@@ -102,6 +102,46 @@ def test_html(spark):
     assert got[2] == ("", 0) and got[3] == ("", 0)
 
 
+def test_broken_markup():
+    """Tags that are left open lose no page."""
+    model = H.default_model()
+    body = "<body><div class=menu><a href=/>Home</a></div><article><h1>A title here</h1><p>First sentence of it, quite long. And more.</p>{}<p>Second part of the text, also long enough.</p></article><footer>&copy; me</footer>"
+    want = "A title here\nFirst sentence of it, quite long. And more.\nSecond part of the text, also long enough."
+    for head in ("<head><title>T</title></head>", "<head><title>T</title>", "<head><meta charset=x><link href=y><script>a<b</script>", "", "<title>T</title>"):
+        for middle in ("", "<hr>", "<svg><path>", "<!-- x -->"):
+            assert H.main_text([H.parse(f"<html>{head}{body.format(middle)}")], model) == [want], (head, middle)
+    tree = H.parse("<p>one<hr>two<select><option>x<p>three")
+    assert [t for _, t in tree.runs] == ["one", "two", "three"]
+    deep = H.parse("<div>" * 3000 + "text")
+    assert len(H.Forest([deep]).levels) == 3000
+
+
+#: Hand-labelled pages of other layouts and wordings than the model was fitted to: (html, main text).
+PAGES = [
+    ("""<!doctype html><html lang=en><head><meta charset=utf-8><title>Tea</title><style>p{color:red}</style></head><body id=top>
+<div id="masthead"><span>Leaf &amp; Cup</span> <a href="/a">Shop</a> | <a href="/b">Visit</a></div>
+<main role=main><h1>How to brew green tea</h1><p>Heat the water to eighty degrees, not more. Boiling water makes it bitter.</p><ul><li>Two grams of leaves for a cup.</li><li>Two minutes of waiting.</li></ul><p>Pour it slowly, and drink it while it is warm.</p></main>
+<div class="related-posts"><h4>Read next</h4><a href="/c">Black tea</a> <a href="/d">White tea</a></div><div class="site-footer">Leaf &amp; Cup, 12 Mill Road</div></body></html>""",
+     "How to brew green tea\nHeat the water to eighty degrees, not more. Boiling water makes it bitter.\nTwo grams of leaves for a cup.\nTwo minutes of waiting.\nPour it slowly, and drink it while it is warm."),
+    ("""<html><body><nav><ul><li><a href=1>News</a><li><a href=2>Sport</a></ul></nav><div class=cookie-banner><p>We use cookies. Accept them, or read more.</p><button>OK</button></div>
+<div class="story"><h1>Bridge opens after ten years</h1><p>The new bridge over the river opened on Monday. Hundreds of people walked across it.</p><blockquote><p>We waited a long time for this, said the mayor.</p></blockquote><div class="advert"><p>Buy two, get one free, this week only!</p></div><p>Cars may use it from next week, the council said.</p></div>
+<section class=comments><h3>Comments</h3><div class=comment><p>Great news, I was there too.</p></div><div class=comment><p>Too late and too dear, if you ask me.</p></div></section><footer><p>All rights reserved. Imprint and terms.</p></footer></body></html>""",
+     "Bridge opens after ten years\nThe new bridge over the river opened on Monday. Hundreds of people walked across it.\nWe waited a long time for this, said the mayor.\nCars may use it from next week, the council said."),
+    ("""<html><body><div class=wrapper><header class=site-header><div class=logo>Notes</div></header><div class=content><h2>On walking</h2><p>I walk each morning, whatever the weather is. It clears the head.</p><p>Rain is no reason to stay in; a coat will do.</p></div><aside class=sidebar><h3>About me</h3><p>I write here now and then.</p></aside></div><div class=footer>Made by hand</div></body></html>""",
+     "On walking\nI walk each morning, whatever the weather is. It clears the head.\nRain is no reason to stay in; a coat will do."),
+    ("""<html><body><form class=search><input name=q><button>Go</button></form><article><header><h1>Bread in five steps</h1></header><p>Mix flour, water, salt and yeast, and let the dough rest for a night.</p><table><tr><td>Flour</td><td>500 g</td></tr><tr><td>Water</td><td>350 g</td></tr></table><p>Bake it hot, with steam, for forty minutes.</p></article><div class=newsletter><p>Get a recipe each week by mail.</p></div></body></html>""",
+     "Bread in five steps\nMix flour, water, salt and yeast, and let the dough rest for a night.\nFlour\n500 g\nWater\n350 g\nBake it hot, with steam, for forty minutes."),
+]
+
+
+def test_hand_labelled_pages():
+    """F1 over the lines of pages that the model was not fitted to."""
+    got = H.main_text([H.parse(p) for p, _ in PAGES], H.default_model())
+    hit = sum(len(set(g.split("\n")) & set(w.split("\n"))) for g, (_, w) in zip(got, PAGES, strict=True))
+    given, wanted = sum(len(set(g.split("\n"))) for g in got), sum(len(set(w.split("\n"))) for _, w in PAGES)
+    assert 2 * hit / (given + wanted) >= 0.95, got
+
+
 def test_marginals_by_enumeration():
     tree, rng = H.parse("<div><p>a</p><ul><li>b</li></ul></div>"), np.random.default_rng(0)
     f = H.Forest([tree])

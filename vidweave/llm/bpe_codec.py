@@ -6,7 +6,7 @@ match holds a space only as its first character or inside a run of white space,
 such a place, and the ids of the parts joined are the ids of the whole.
 
 Defined results: a null text counts as empty; an empty text has no ids, the hash of no bytes, and
-decodes to no bytes. Rows are independent, so repeated rows, ties and hot sources change nothing; an
+decodes to no bytes. A null id stays null. Rows are independent, so repeated rows, ties and hot sources change nothing; an
 empty table gives an empty result; columns other than the two named ones are not read.
 """
 
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+SCHEMA = "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -77,5 +77,6 @@ def digests(df: DataFrame, rank_path: str, pattern: str, text_col: str = "text",
                 of_bytes.append(sha(decode(ids, enc)).hexdigest())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": of_ids, "decoded_sha256": of_bytes})
 
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.mapInPandas(run, SCHEMA)
+    # ids go as text: pandas would turn whole numbers with nulls among them into floats
+    texts = df.select(F.col(id_col).cast("long").cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.mapInPandas(run, SCHEMA).withColumn("doc_id", F.col("doc_id").cast("long"))

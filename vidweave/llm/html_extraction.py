@@ -15,7 +15,8 @@ Text: character references are decoded; scripts, styles, comments and the head a
 in a block, line breaks included, becomes one space; kept blocks are joined by line feeds in page order.
 
 Defined results: a null or empty page has an empty text. Broken markup is closed as browsers do in the common
-cases (a new paragraph ends an open one; unknown end tags are ignored). Rows are independent: repeated rows
+cases (a new paragraph ends an open one; a body, or anything that cannot stand in a head, ends a head left open, and
+likewise a select; a rule ends the block before it; unknown end tags are ignored). A null id stays null. Rows are independent: repeated rows
 give repeated results, and an empty table an empty one. Columns other than the three named ones are not read.
 """
 
@@ -35,7 +36,11 @@ from pyspark.sql import functions as F
 from .common import slices
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = frozenset("head script style template noscript title svg iframe select textarea".split())
+_HIDDEN = frozenset("script style template noscript title svg iframe textarea select".split())
+#: What may stand in a head; anything else ends a head that was left open, as a body does.
+_IN_HEAD = frozenset("base link meta title style script noscript template".split())
+#: What an open select may hold; a start tag of another kind ends it.
+_IN_SELECT = frozenset("option optgroup hr script template".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _ENDS_P = _BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}}
@@ -70,21 +75,37 @@ class Tree(HTMLParser):
         self.runs: list[tuple[int, list[str]]] = []
         self.link_chars = [0]
         self._stack: list[tuple[str, int]] = [("html", 0)]
-        self._hidden = 0
+        self._within: list[str] = []  # open elements that are not rendered
+        self._head = self._begun = False
         self._links = 0
         self._open = False
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if self._within and self._within[-1] == "select" and tag not in _IN_SELECT:
+            self._within.pop()
+            if tag == "select":  # a second one ends the first
+                return
+        if self._within and self._within[-1] == "svg" and tag in _BLOCK:
+            self._within.pop()
+        if self._within:
+            if tag in _HIDDEN:
+                self._within.append(tag)
+            return
+        if tag == "head":
+            self._head = not self._begun
+            return
+        if self._head and tag not in _IN_HEAD and tag != "html":
+            self._head = False
+        self._begun = self._begun or tag not in _IN_HEAD | {"html"}
         if tag in _VOID:
-            if tag in ("br", "hr", "img"):
+            if tag in ("br", "img"):
                 self._text(" ")
-            return
-        if self._hidden:
-            if tag in _HIDDEN:
-                self._hidden += 1
+            elif tag == "hr":
+                self._close({"p"}, _BLOCK - {"p"})
+                self._open = False
             return
         if tag in _HIDDEN:
-            self._hidden = 1
+            self._within.append(tag)
             return
         if tag in ("html", "body"):
             return
@@ -125,9 +146,12 @@ class Tree(HTMLParser):
         del self._stack[k:]
 
     def handle_endtag(self, tag: str) -> None:
-        if self._hidden:
-            if tag in _HIDDEN:
-                self._hidden -= 1
+        if self._within:
+            if tag in self._within:  # and what was left open inside it
+                del self._within[self._within.index(tag) :]
+            return
+        if tag == "head":
+            self._head = False
             return
         for k in range(len(self._stack) - 1, 0, -1):
             if self._stack[k][0] == tag:
@@ -137,8 +161,9 @@ class Tree(HTMLParser):
                 return
 
     def _text(self, data: str) -> None:
-        if self._hidden:
+        if self._within or (self._head and not data.strip()):
             return
+        self._head = False  # text ends a head that was left open
         node = self._stack[-1][1]
         if not self._open:
             self.runs.append((node, []))
@@ -207,10 +232,12 @@ class Forest:
         self.x = np.concatenate([unary(t) for t in trees])
         self.kind = np.concatenate([kinds(t) for t in trees])
         self.parent = np.concatenate([np.where(np.array(t.parents) < 0, -1, np.array(t.parents) + s) for t, s in zip(trees, self.starts, strict=True)])
-        depth = np.zeros(len(self.parent), np.int64)
-        for k, p in enumerate(self.parent.tolist()):
-            depth[k] = depth[p] + 1 if p >= 0 else 0
-        self.levels = [np.flatnonzero(depth == d) for d in range(1, int(depth.max()) + 1)]
+        depths: list[int] = []
+        for p in self.parent.tolist():
+            depths.append(depths[p] + 1 if p >= 0 else 0)
+        depth = np.array(depths)
+        order = np.argsort(depth, kind="stable")
+        self.levels = np.split(order, np.flatnonzero(np.diff(depth[order])) + 1)[1:]
 
     def marginals(self, w: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(content) of each node, and the joint of (parent, child) of each node that has a parent.
@@ -359,5 +386,7 @@ def extract(df: DataFrame, model: tuple[np.ndarray, np.ndarray] | None = None, t
                 texts = main_text([parse(h) for h in part["html"]], model, threshold)
                 yield pd.DataFrame({"page_id": part["page_id"], "url": part["url"], "text": texts, "n_chars": list(map(len, texts))})
 
-    pages = df.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
-    return pages.mapInPandas(run, "page_id long, url string, text string, n_chars long")
+    # ids go as text: pandas would turn whole numbers with nulls among them into floats
+    pages = df.select(F.col("page_id").cast("long").cast("string").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    out = pages.mapInPandas(run, "page_id string, url string, text string, n_chars long")
+    return out.withColumn("page_id", F.col("page_id").cast("long"))
