@@ -142,6 +142,37 @@ def test_hand_labelled_pages():
     assert 2 * hit / (given + wanted) >= 0.95, got
 
 
+def test_null_ids_stay_exact(spark):
+    big = 9007199254740993  # no float holds it
+    text = "\n".join(t for _, t in PAGES)
+    df = spark.createDataFrame([(None, text, "en", None), (big, text, "en", big), (None, None, None, 1)], "doc_id long, text string, lang string, n_chars long")
+    labels = spark.createDataFrame([(big, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for out in (quality_rules.apply_rules(df, P.path("piece_bpe_32k.model")), quality_classifier.classify(df), toxicity.classify(df, labels)):
+        assert sorted(str(r["doc_id"]) for r in out.collect()) == [str(big), "None", "None"]
+    kept = quality_rules.kept_rows(df, P.path("piece_bpe_32k.model")).collect()
+    assert {(r["doc_id"], r["n_chars"]) for r in kept} == {(None, None), (big, big)}
+    assert {r["n_chars"] for r in quality_classifier.kept_rows(df, threshold=1e-9).collect()} >= {None, big}
+    pages = spark.createDataFrame([(None, "u", "<p>x"), (big, "v", None)], "page_id long, url string, html string")
+    assert sorted(str(r["page_id"]) for r in H.extract(pages).collect()) == [str(big), "None"]
+
+
+def test_classifier_and_toxicity_against_labels(spark):
+    """Held-out labels of the given tables."""
+    import os
+
+    import pytest
+
+    d = "/root/testdata/sf0.01"
+    if not os.path.exists(d):
+        pytest.skip("no given tables")
+    docs, labels = (spark.read.parquet(f"{d}/{n}.parquet") for n in ("documents", "labels"))
+    got = quality_classifier.classify(docs).join(labels, "doc_id").select("kept", "quality").toPandas()
+    assert got[got.quality == 1].kept.mean() > 0.97 and got[got.quality == 0].kept.mean() < 0.1
+    got = toxicity.classify(docs, labels).join(labels, "doc_id").where("held_out").select("score", "predicted", "toxic").toPandas()
+    a, b = got[got.toxic == 1].score.to_numpy(), got[got.toxic == 0].score.to_numpy()
+    assert (a[:, None] > b[None]).mean() > 0.85 and got[got.toxic == 0].predicted.mean() < 0.05 and got[got.toxic == 1].predicted.mean() > 0.4
+
+
 def test_marginals_by_enumeration():
     tree, rng = H.parse("<div><p>a</p><ul><li>b</li></ul></div>"), np.random.default_rng(0)
     f = H.Forest([tree])

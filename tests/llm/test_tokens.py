@@ -91,8 +91,62 @@ def test_packing(spark, hostile):
     assert best_fit_packing.pack_documents(hostile.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def random_packing(lengths, capacity, rng):
+    bins = np.zeros(len(lengths), np.int64)
+    best_fit_packing.best_fit(lengths.tolist(), rng.permutation(len(lengths)).tolist(), bins, [], 0, capacity)
+    return bins
+
+
+def triplets(rng, n):
+    """Lengths that fill n bins only if the right three meet."""
+    a, b = rng.integers(700, 800, n), rng.integers(600, 700, n)
+    return np.concatenate([a, b, 2048 - a - b])
+
+
+def test_crossing_injects_whole_bins():
+    rng = np.random.default_rng(3)
+    for lengths in (rng.integers(1, 2048, 300), triplets(rng, 60)):
+        a, b = random_packing(lengths, 2048, rng), random_packing(lengths, 2048, rng)
+        for _ in range(5):
+            child, injected = best_fit_packing.crossed(a, b, lengths, 2048, rng)
+            assert len(child) == len(lengths) and np.bincount(child, lengths).max() <= 2048  # each item once
+            for of in np.unique(b[injected]):  # a bin of b came in whole
+                assert injected[b == of].all() and len(np.unique(child[b == of])) == 1
+            fill = np.bincount(b, lengths)
+            assert injected.any() and fill[np.unique(b[injected])].min() >= np.median(fill)
+
+
+def test_evolution_beats_its_parents_and_best_fit():
+    rng = np.random.default_rng(4)
+    lengths = triplets(rng, 150)
+    parents = [random_packing(lengths, 2048, rng) for _ in range(2)]
+    bins, children = best_fit_packing.evolve(lengths, 2048, [1], parents, 3, 12)
+    decreasing = np.zeros(len(lengths), np.int64)
+    best_fit_packing.best_fit(lengths.tolist(), np.argsort(-lengths, kind="stable").tolist(), decreasing, [], 0, 2048)
+    assert children >= 2 and bins.max() < min(p.max() for p in parents) and bins.max() < decreasing.max()
+    assert np.bincount(bins, lengths).max() <= 2048
+
+
 def test_genetic_packing_is_near_the_bound():
     lengths = np.random.default_rng(3).integers(1, 2047, 800)
-    bins = best_fit_packing.evolve(lengths, 2048, [1], [], 3, 6)
-    assert np.bincount(bins, lengths).max() <= 2048
-    assert bins.max() + 1 <= -(-lengths.sum() // 2048) * 1.04 + 1
+    one, _ = best_fit_packing.evolve(lengths, 2048, [1], [], 3, 8)
+    bins, _ = best_fit_packing.evolve(lengths, 2048, [2], [one], 3, 8)
+    assert np.bincount(bins, lengths).max() <= 2048 and bins.max() <= one.max()
+    assert bins.max() + 1 <= -(-lengths.sum() // 2048) * 1.015 + 1
+
+
+BIG = 9007199254740993  # no float holds it
+
+
+def test_null_ids(spark):
+    """Rows without an id keep their place, and large ids beside them stay exact."""
+    df = spark.createDataFrame([(None, "some words here."), (BIG, "other words"), (None, None), (5, "more")], "doc_id long, text string")
+    order = lambda rows: sorted(rows, key=lambda x: (x is not None, x or 0))
+    ids = order([None, None, 5, BIG])
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    assert order(r["doc_id"] for r in bpe_codec.digests(df, path, P.PATTERN).collect()) == ids
+    back = token_files.read_files(token_files.write_files(df, P.path("byte_bpe_50k.json"), 2)).collect()
+    assert order(r["doc_id"] for r in back) == ids and sorted(r["start"] for r in back)[0] == 0
+    packed = best_fit_packing.pack_documents(df, P.path("word_bpe_49k.json")).collect()
+    assert order(r["doc_id"] for r in packed) == ids and len({r["sequence_id"] for r in packed}) == 1
+    assert all(r["crossovers"] > 0 and r["elites_moved"] > 0 for r in packed)

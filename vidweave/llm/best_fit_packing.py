@@ -3,21 +3,23 @@
 Documents become ids and one end id; only those longer than the capacity are cut, into pieces of the
 capacity. A full piece is a sequence of its own. The other pieces are dealt by hash into blocks of a bounded
 number of items. Each block is evolved on several islands: an island keeps a small population of packings
-(whole assignments of items to bins, first made by best fit on differently perturbed orders), and crosses
-two of them by injecting whole well-filled bins of one into the other, removing the bins that then hold
-duplicates, and best-fitting the displaced documents. After each epoch the best packing of an island
-migrates to the next island of its block. An island stops early where it has reached the lower bound
-ceil(total / capacity). Of each block the best packing over all islands counts.
+(whole assignments of items to bins, first made by best fit on orders by randomly raised lengths), and crosses two of them by injecting
+whole well-filled bins of one into the other, removing the bins that then hold duplicates, and best-fitting the
+displaced documents, longest first. After each epoch the best packing of an island migrates to the next island of
+its block. An island ends an epoch early where a packing has reached the lower bound ceil(total / capacity), which
+no packing can beat. Of each block the best packing over all islands counts. `crossovers` and `elites_moved` say,
+for each piece, how many children its block's islands made and how many packings moved between them.
 
 Blocks would each leave a part-filled bin, so the worst-filled bins of `fan` neighbouring blocks are
 dissolved and packed again together, level by level, until one block is left: what a level passes on is a
 bounded number of bins a block, so no task holds more than a bounded number of items.
 
 Blocks and states are written to the shared folder between epochs, so a lost executor costs one step.
-All choices are seeded by the block, island and epoch: repeated tasks give equal results.
+All choices are seeded by the block, island and epoch: repeated tasks give equal results. Pieces are dealt to blocks
+by a hash of their place in the stored table, so many rows of one doc_id spread like others.
 
 Defined results: a null text counts as empty; an empty text is a piece of the end id alone. Repeated rows of
-one doc_id are packed as pieces of their own. Ties between bins go to the fuller, then the earlier one. An
+one doc_id are packed as pieces of their own; a null id stays null. Ties between bins go to the fuller, then the earlier one. An
 empty table gives an empty result. Columns other than the two named ones are not read.
 """
 
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,25 +39,28 @@ from .common import slices, stored
 from .piece_memo import library_memo, words
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-_ITEM = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("piece", "<i4"), ("length", "<i4"), ("crc", "<i8")])
+_ITEM = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("piece", "<i4"), ("length", "<i4"), ("crc", "<i8"), ("nameless", "?")])
 
 
 def cut_pieces(df: DataFrame, tokenizer_file: str, end_id: int, capacity: int, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """A row for each piece of each document's ids."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = library_memo(tokenizer_file, " \x01 ", lower=True)
-        for pdf in batches:
-            for a, b in slices(map(len, pdf["text"])):
-                lists, rows = memo.id_lists([words(t) for t in pdf["text"].iloc[a:b]]), []
-                for doc_id, ids in zip(pdf["doc_id"].iloc[a:b], lists, strict=True):
+        for batch in batches:
+            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
+            for a, b in slices(map(len, texts)):
+                rows = []
+                for k, ids in enumerate(memo.id_lists([words(t) for t in texts[a:b]]), a):
                     ids = np.append(ids, end_id).astype("<u4")
-                    for k, start in enumerate(range(0, len(ids), capacity)):
+                    for piece, start in enumerate(range(0, len(ids), capacity)):
                         part = ids[start : start + capacity]
-                        rows.append((doc_id, k, start, len(part), zlib.crc32(part.tobytes())))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                        rows.append((k, piece, start, len(part), zlib.crc32(part)))
+                of, piece, start, length, crc = zip(*rows, strict=True)
+                columns = [doc_ids.take(pa.array(of)), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(run, PIECES)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, PIECES)
 
 
 def best_fit(lengths: list[int], items: list[int], bins: np.ndarray, free: list[tuple[int, int]], next_bin: int, capacity: int) -> int:
@@ -73,6 +79,10 @@ def best_fit(lengths: list[int], items: list[int], bins: np.ndarray, free: list[
     return next_bin
 
 
+#: The first packings take items by length, each length raised by up to this share at random.
+SPREAD = 1.0
+
+
 def renumbered(bins: np.ndarray) -> np.ndarray:
     return np.unique(bins, return_inverse=True)[1]
 
@@ -83,16 +93,16 @@ def fitness(bins: np.ndarray, lengths: np.ndarray) -> tuple[int, float]:
     return len(fill), -float((fill**2).sum())
 
 
-def crossed(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """Well-filled bins of b injected into a; what they displace is best-fitted, longest first."""
+def crossed(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """A child, and which items came in with injected bins: well-filled bins of b go into a whole; the bins of a that
+    hold one of their items go, and so do a's emptiest; what these displace is best-fitted, longest first."""
     fill = np.bincount(b, lengths)
-    good = fill >= np.quantile(fill, 0.5)
-    good &= rng.random(len(fill)) < 0.5
+    good = (fill >= np.quantile(fill, rng.uniform(0.5, 0.95))) & (rng.random(len(fill)) < rng.uniform(0.2, 0.8))
     injected = good[b]
     struck = np.zeros(int(a.max()) + 1, bool)
     struck[a[injected]] = True
     fill_a = np.bincount(a, lengths)
-    struck |= (fill_a <= np.quantile(fill_a, 0.02)) & (fill_a < capacity)  # the emptiest bins are tried anew
+    struck |= (fill_a <= np.quantile(fill_a, 0.02)) & (fill_a < capacity)
     displaced = struck[a] & ~injected
     child = np.where(injected, b + len(struck), a)
     whole = ~displaced
@@ -102,39 +112,38 @@ def crossed(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rn
     order = np.flatnonzero(displaced)
     order = order[np.argsort(-lengths[order] * (1 + 0.02 * rng.random(len(order))), kind="stable")]
     best_fit(lengths.tolist(), order.tolist(), child, free, len(struck) + len(fill), capacity)
-    return renumbered(child)
+    return renumbered(child), injected
 
 
-def evolve(lengths: np.ndarray, capacity: int, seed: list[int], migrants: list[np.ndarray], population: int, generations: int) -> np.ndarray:
-    """The best packing that an island finds in an epoch."""
+def evolve(lengths: np.ndarray, capacity: int, seed: list[int], migrants: list[np.ndarray], population: int, generations: int) -> tuple[np.ndarray, int]:
+    """The best packing that an island finds in an epoch, and how many children it made."""
     rng = np.random.default_rng(seed)
     bound = -(-int(lengths.sum()) // capacity)
-    as_list, people = lengths.tolist(), list(migrants)
+    as_list, people, children = lengths.tolist(), list(migrants), 0
     while len(people) < population:
-        noise = 0.0 if not people else 0.05
-        order = np.argsort(-lengths * (1 + noise * rng.random(len(lengths))), kind="stable")
         bins = np.zeros(len(lengths), np.int64)
+        order = np.argsort(-lengths * (1 + SPREAD * rng.random(len(lengths))), kind="stable")
         best_fit(as_list, order.tolist(), bins, [], 0, capacity)
         people.append(bins)
-        if int(bins.max()) + 1 == bound:
-            return bins
-    people.sort(key=lambda p: fitness(p, lengths))
+    rank = lambda p: fitness(p, lengths)
+    people.sort(key=rank)
     for _ in range(generations):
-        if fitness(people[0], lengths)[0] == bound:
+        if children and rank(people[0])[0] == bound:
             break
         one, two = rng.permutation(len(people))[:2]
-        child = crossed(people[one], people[two], lengths, capacity, rng)
-        people = sorted([*people, child, crossed(people[two], people[0], lengths, capacity, rng)], key=lambda p: fitness(p, lengths))[:population]
-    return people[0]
+        born = [crossed(people[x], people[y], lengths, capacity, rng)[0] for x, y in ((one, two), (two, 0) if two else (one, 0))]
+        children += len(born)
+        people = sorted([*people, *born], key=rank)[:population]
+    return people[0], children
 
 
 def _gathered(df: DataFrame) -> DataFrame:
     """df (block and the columns of PIECES) as one row a block, its items in a fixed order."""
 
     def gather(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"])
+        pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32", "nameless"])
         items = np.zeros(len(pdf), _ITEM)
-        for name, column in (("doc_id", "doc_id"), ("start", "start"), ("piece", "piece"), ("length", "length"), ("crc", "ids_crc32")):
+        for name, column in (("doc_id", "doc_id"), ("start", "start"), ("piece", "piece"), ("length", "length"), ("crc", "ids_crc32"), ("nameless", "nameless")):
             items[name] = pdf[column].to_numpy()
         return pd.DataFrame({"block": [key[0]], "items": [items.tobytes()]})
 
@@ -149,19 +158,23 @@ def _rows(items: np.ndarray, bins: np.ndarray, keep: np.ndarray) -> pd.DataFrame
     before = ends - items["length"]
     first = np.r_[True, bins[1:] != bins[:-1]] if len(bins) else np.zeros(0, bool)
     base = before[first][np.cumsum(first) - 1] if len(bins) else before
-    return pd.DataFrame({"doc_id": items["doc_id"], "piece": items["piece"], "start": items["start"], "length": items["length"].astype(np.int64), "ids_crc32": items["crc"], "bin": bins.astype(np.int64), "offset": (before - base).astype(np.int64)})
+    return pd.DataFrame({"doc_id": items["doc_id"], "piece": items["piece"], "start": items["start"], "length": items["length"].astype(np.int64), "ids_crc32": items["crc"], "nameless": items["nameless"], "bin": bins.astype(np.int64), "offset": (before - base).astype(np.int64)})
 
 
-def pack(pieces: DataFrame, capacity: int, block_items: int = 4096, islands: int = 2, epochs: int = 2, population: int = 3, generations: int = 6, fan: int = 64, passed_on: int = 8) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int, block_items: int = 4096, islands: int = 2, epochs: int = 2, population: int = 3, generations: int = 8, fan: int = 64, passed_on: int = 8) -> DataFrame:
     """pieces (stored) with sequence_id and offset."""
-    full = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", F.monotonically_increasing_id() + (1 << 62)).withColumn("offset", F.lit(0).cast("long"))
+    # ids go through numpy without nulls
+    pieces = pieces.withColumn("nameless", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
+    full = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", F.monotonically_increasing_id() + (1 << 62))
+    full = full.select("*", *[F.lit(0).cast("long").alias(c) for c in ("offset", "crossovers", "elites_moved")])
     rest = pieces.where(F.col("length") < capacity)
     blocks = max(1, -(-rest.count() // block_items))
-    state = _gathered(rest.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(blocks))))
+    state = _gathered(rest.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))))
     out, level = full, 0
 
     while True:
-        state = stored(state, "packing-blocks").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("elites", F.array().cast("array<binary>"))
+        state = stored(state, "packing-blocks").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
+        state = state.withColumn("elites", F.array().cast("array<binary>")).withColumn("crossovers", F.lit(0).cast("long"))
         for epoch in range(epochs):
 
             def run(batches: Iterator[pd.DataFrame], epoch: int = epoch, level: int = level) -> Iterator[pd.DataFrame]:
@@ -169,16 +182,16 @@ def pack(pieces: DataFrame, capacity: int, block_items: int = 4096, islands: int
                     for r in pdf.itertuples(index=False):
                         lengths = np.frombuffer(r.items, _ITEM)["length"].astype(np.int64)
                         migrants = [np.frombuffer(e, np.int64) for e in r.elites]
-                        bins = evolve(lengths, capacity, [level, int(r.block), int(r.island), epoch], migrants, population, generations)
-                        yield pd.DataFrame({"block": [r.block], "island": [r.island], "items": [r.items], "elite": [bins.astype(np.int64).tobytes()], "n_bins": [int(bins.max()) + 1]})
+                        bins, children = evolve(lengths, capacity, [level, int(r.block), int(r.island), epoch], migrants, population, generations)
+                        yield pd.DataFrame({"block": [r.block], "island": [r.island], "items": [r.items], "elite": [bins.astype(np.int64).tobytes()], "n_bins": [int(bins.max()) + 1], "crossovers": [r.crossovers + children]})
 
             spread = state.repartition(F.xxhash64("block", "island")) if epoch == 0 else state
-            evolved = stored(spread.mapInPandas(run, "block long, island int, items binary, elite binary, n_bins long"), "packing-islands")
+            evolved = stored(spread.mapInPandas(run, "block long, island int, items binary, elite binary, n_bins long, crossovers long"), "packing-islands")
             if epoch + 1 < epochs:
                 migrants = evolved.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
-                state = evolved.join(migrants, ["block", "island"]).select("block", "island", "items", F.array("elite", "migrant").alias("elites"))
-        best = evolved.groupBy("block").agg(F.min(F.struct("n_bins", "island", "items", "elite")).alias("b")).select("block", "b.items", "b.elite")
-        best = stored(best, "packing-best")
+                state = evolved.join(migrants, ["block", "island"]).select("block", "island", "items", "crossovers", F.array("elite", "migrant").alias("elites"))
+        best = evolved.groupBy("block").agg(F.min(F.struct("n_bins", "island", "items", "elite")).alias("b"), F.sum("crossovers").alias("crossovers"))
+        best = stored(best.select("block", "b.items", "b.elite", "crossovers"), "packing-best")
         last = blocks <= 1
 
         def placed(batches: Iterator[pd.DataFrame], settled: bool, last: bool = last) -> Iterator[pd.DataFrame]:
@@ -189,17 +202,18 @@ def pack(pieces: DataFrame, capacity: int, block_items: int = 4096, islands: int
                     keep = np.ones(len(fill), bool)
                     if not last:
                         keep[np.argsort(fill, kind="stable")[:passed_on]] = False
-                    yield _rows(items, bins, keep if settled else ~keep).assign(block=r.block)
+                    yield _rows(items, bins, keep if settled else ~keep).assign(block=r.block, crossovers=r.crossovers)
 
-        schema = PIECES + ", bin long, offset long, block long"
-        done = best.mapInPandas(lambda x, f=placed: f(x, True), schema)
+        schema = PIECES + ", nameless boolean, bin long, offset long, block long, crossovers long"
+        done = best.mapInPandas(lambda x, f=placed: f(x, True), schema).withColumn("elites_moved", F.lit(islands * (epochs - 1)).cast("long"))
         out = out.unionByName(done.withColumn("sequence_id", F.lit(level << 56) + F.col("block") * (1 << 20) + F.col("bin")).drop("bin", "block"))
         if last:
             break
         again = best.mapInPandas(lambda x, f=placed: f(x, False), schema)
-        state = _gathered(again.withColumn("block", F.floor(F.col("block") / fan)).drop("bin", "offset"))
+        state = _gathered(again.withColumn("block", F.floor(F.col("block") / fan)).drop("bin", "offset", "crossovers"))
         blocks, level = -(-blocks // fan), level + 1
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    doc_id = F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id")
+    return out.select(doc_id, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "crossovers", "elites_moved")
 
 
 def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int = 2048, **pack_args) -> DataFrame:

@@ -12,7 +12,7 @@ every row and whole texts.
 
 Defined results: a null text counts as empty; on an empty text all labellers abstain and the scorer gives its
 bias. Labellers abstain where a text is too short for them. If all votes agree, or the table is empty, EM
-keeps its starting point. Repeated rows are voted and scored alike. All columns but the named ones pass by.
+keeps its starting point. Rows without an id are voted and scored, but train nothing. Repeated rows are voted and scored alike. All columns but the named ones pass by.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,8 +176,10 @@ def train(docs: DataFrame, most_sample: int = 4000) -> tuple[np.ndarray, float,
         w, bias = fit_linear([(a, v) for a, v, _ in rows], np.array([soft.get(_code(votes(x)), 0.5) for _, _, x in rows]))
         return pd.DataFrame({"w": [w.astype("<f8").tobytes()], "bias": [bias]})
 
-    sample = docs.join(F.broadcast(ids.distinct()), "doc_id")
+    sample = docs.join(F.broadcast(ids.where("doc_id IS NOT NULL").distinct()), "doc_id")
     model = sample.groupBy(F.lit(1).alias("all")).applyInPandas(fit, "w binary, bias double").first()
+    if model is None:
+        return np.zeros(BUCKETS), 0.0, soft
     return np.frombuffer(bytes(model["w"]), "<f8"), model["bias"], soft
 
 
@@ -194,16 +197,18 @@ def classify(df: DataFrame, threshold: float = 0.5, most_sample: int = 4000, tex
                 rows.append((doc_id, soft.get(_code(votes(x)), 0.5), s, bool(s >= threshold)))
             yield pd.DataFrame(rows, columns=["doc_id", "posterior", "score", "kept"])
 
-    return docs.mapInPandas(run, "doc_id long, posterior double, score double, kept boolean")
+    # ids go as text: pandas would turn whole numbers with nulls among them into floats
+    out = docs.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, "doc_id string, posterior double, score double, kept boolean")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def kept_rows(df: DataFrame, threshold: float = 0.5, most_sample: int = 4000) -> DataFrame:
     """The rows of df (with doc_id and text) that the scorer keeps, with df's columns; no row is shuffled."""
     w, bias, _ = train(_texts(df, "text", "doc_id"), most_sample)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            scored = [features(t or "") for t in pdf["text"]]
-            yield pdf[[float((w[at] * value).sum()) + bias >= np.log(threshold / (1 - threshold)) for at, value, _ in scored]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scored = [features(t or "") for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([bool(float((w[at] * value).sum()) + bias >= np.log(threshold / (1 - threshold))) for at, value, _ in scored], pa.bool_()))
 
-    return df.mapInPandas(run, df.schema)
+    return df.mapInArrow(run, df.schema)

@@ -17,7 +17,7 @@ where a text is cut, and a worker encodes each distinct word once (piece_memo).
 
 Defined results: a null text counts as empty; an empty text has no words, measures of 0 and fails the
 base rules. Whole texts are measured, whatever their length. Rows are independent, so repeated rows and
-hot sources change nothing; a null language uses the script's band; an empty table gives an empty result;
+hot sources change nothing; a null language uses the script's band; a null id stays null; an empty table gives an empty result;
 columns other than the named ones are not read.
 """
 
@@ -27,7 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +35,7 @@ from .common import slices, stored
 from .piece_memo import PieceMemo, held, joined, words
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_per_token double, byte_share double, token_entropy double, band string, text_hash long"
+_ARROW = [*[pa.int64()] * 5, pa.bool_(), *[pa.float64()] * 3, pa.string()]
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 
@@ -60,7 +61,7 @@ def _vocabulary_memo(model_file: str, most: int) -> tuple[PieceMemo, np.ndarray]
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
-    return PieceMemo(lambda ws: joined(sp.encode(ws, num_threads=1)), most), is_byte
+    return PieceMemo(lambda ws: joined(sp.encode([w.decode() for w in ws], num_threads=1)), most), is_byte
 
 
 def repeat_words(numbers: np.ndarray) -> int:
@@ -88,17 +89,21 @@ def script_of(text: str) -> str:
 def measure(df: DataFrame, model_file: str, min_words: int = 50, most_repeated_percent: int = 50, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
     """The base measures and the fertility measures of every row, after the columns named in `carry`."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    schema = ", ".join([*(f"carried_{c} {df.schema[c].dataType.simpleString()}" for c in carry), SCHEMA])
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, is_byte = vocabulary_memo(model_file)
-        for pdf in batches:
-            texts = [t or "" for t in pdf["_text"]]
+        for batch in batches:
+            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            langs = batch.column("_lang").to_pylist()
             for start, end in slices(map(len, texts)):
-                part, rows = pdf.iloc[start:end], []
+                rows = []
                 memo.begin()
                 split = [words(t) for t in texts[start:end]]
                 numbers = [memo.numbers(w) for w in split]
                 memo.settle()
-                for text, ws, nums, lang in zip(texts[start:end], split, numbers, part["_lang"], strict=True):
+                for text, ws, nums, lang in zip(texts[start:end], split, numbers, langs[start:end], strict=True):
                     raw = text.encode()
                     n, chars = len(ws), len(text) - (len(raw) - len(raw.translate(None, _SPACE)))
                     lines = [x for x in raw.split(b"\n") if x.strip(_SPACE)]
@@ -112,17 +117,14 @@ def measure(df: DataFrame, model_file: str, min_words: int = 50, most_repeated_p
                         entropy = float(-(counts * np.log2(counts)).sum() / max(1.0, np.log2(len(ids))))
                     band = lang if lang in BANDS else script_of(text)
                     rows.append((n, chars, len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, per_token, share, entropy, band))
-                out = pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "chars_per_token", "byte_share", "token_entropy", "band"])
-                out.insert(0, "doc_id", part["_id"].to_numpy())
-                out["text_hash"] = part["_hash"].to_numpy()
-                for at, name in enumerate(carry):
-                    out.insert(at, f"carried_{name}", part["_text" if name == text_col else name].to_numpy())
-                yield out
+                part = batch.slice(start, end - start)
+                carried = [part.column("_text" if c == text_col else c) for c in carry]
+                measures = [pa.array(x, _ARROW[k]) for k, x in enumerate(zip(*rows, strict=True))]
+                yield pa.RecordBatch.from_arrays([*carried, part.column("_id"), *measures, part.column("_hash")], names=[*(f"carried_{c}" for c in carry), *names])
 
     others = [F.col(c) for c in carry if c != text_col]
     texts = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).cast("string").alias("_lang"), F.xxhash64(text_col).alias("_hash"), *others)
-    fields = [f"carried_{c} {df.schema[c].dataType.simpleString()}" for c in carry]
-    return texts.mapInPandas(run, ", ".join([*fields, SCHEMA]))
+    return texts.mapInArrow(run, schema)
 
 
 def fit_bands(measured: DataFrame, width: float = 5.0) -> dict[str, tuple[float, float, float, float]]:

@@ -18,7 +18,8 @@ count, so a repeated or lost task leaves no double rows. The manifest has a row
 whole come from running sums over it. Memory is bounded by one frame to write or read plus the file's table.
 
 Defined results: a null text counts as empty; an empty text is a frame of the end id alone. Several rows of
-one doc_id are all written, next to each other. An empty table gives no files and no rows. Columns other
+one doc_id are all written, next to each other. A null id is written as the smallest 64-bit number, hence first, and
+read back as null. An empty table gives no files and no rows. Columns other
 than the two named ones are not read.
 """
 
@@ -38,6 +39,8 @@ from .common import new_path, slices, stored
 from .piece_memo import library_memo, spaced_pieces
 
 INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC, WITH_CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
+#: Stands for a null id in the files; it sorts first.
+NO_ID = -(1 << 63)
 MANIFEST = "path string, first_doc long, last_doc long, n_docs long, n_ids long"
 _ENTRY = np.dtype([("packed", "<u4"), ("plain", "<u4"), ("check", "<u4")])
 
@@ -96,20 +99,41 @@ class FrameReader:
         self._stream.seek(offset)
         return self._stream.read(n)
 
-    def frame(self, k: int) -> np.ndarray:
+    def frame(self, k: int, packed: bytes | None = None) -> np.ndarray:
         import xxhash
 
         entry = self.entries[k]
-        plain = self._unpack(self._at(int(self.starts[k]), int(entry["packed"])), max_output_size=max(1, int(entry["plain"])))
+        packed = self._at(int(self.starts[k]), int(entry["packed"])) if packed is None else packed
+        plain = self._unpack(packed, max_output_size=max(1, int(entry["plain"])))
         if len(plain) != entry["plain"] or xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF != entry["check"]:
             raise ValueError(f"frame {k} does not match its checksum")
         return np.frombuffer(plain, "<u4")
 
+    def frames(self, wanted: Iterable[int], gap: int = 65_536, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray]]:
+        """(k, ids) of the wanted frames, in order. Frames with up to `gap` bytes between them are read by one request
+        of about `most` bytes, and only the wanted ones are decompressed."""
+        held: list[int] = []
+        end_of = lambda k: int(self.starts[k]) + int(self.entries["packed"][k])
+
+        def read() -> Iterator[tuple[int, np.ndarray]]:
+            first = int(self.starts[held[0]])
+            raw = self._at(first, end_of(held[-1]) - first)
+            for k in held:
+                yield k, self.frame(k, raw[int(self.starts[k]) - first : end_of(k) - first])
+
+        for k in map(int, wanted):
+            if held and (int(self.starts[k]) - end_of(held[-1]) > gap or end_of(k) - int(self.starts[held[0]]) > most):
+                yield from read()
+                held = []
+            held.append(k)
+        if held:
+            yield from read()
+
     def documents(self, wanted: Iterable[int] | None = None) -> Iterator[tuple[int, np.ndarray]]:
         """(doc_id, ids) of the wanted documents, or of all, decompressing no other frames."""
         keep = range(len(self.doc_ids)) if wanted is None else np.flatnonzero(np.isin(self.doc_ids, list(wanted)))
-        for k in keep:
-            yield int(self.doc_ids[k]), self.frame(int(k))
+        for k, ids in self.frames(keep):
+            yield int(self.doc_ids[k]), ids
 
 
 def write_files(df: DataFrame, tokenizer_file: str, end_id: int, file_bytes: int = 32_000_000, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -143,7 +167,7 @@ def write_files(df: DataFrame, tokenizer_file: str, end_id: int, file_bytes: int
         if writer is not None:
             yield close()
 
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     dealt = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     return stored(dealt.mapInPandas(run, MANIFEST), "token-manifest")
 
@@ -171,7 +195,8 @@ def read_files(manifest: DataFrame, wanted: Iterable[int] | None = None) -> Data
                     n = reader.entries["plain"].astype(np.int64) // 4
                     starts = int(start) + np.cumsum(n) - n
                     keep = range(len(n)) if wanted is None else np.flatnonzero(np.isin(reader.doc_ids, wanted))
-                    rows = [(int(reader.doc_ids[k]), int(starts[k]), int(n[k]), zlib.crc32(reader.frame(int(k)).tobytes())) for k in keep]
+                    rows = [(int(reader.doc_ids[k]), int(starts[k]), int(n[k]), zlib.crc32(ids)) for k, ids in reader.frames(keep)]
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return files.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    out = files.repartition(spark.sparkContext.defaultParallelism, "path").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return out.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
