@@ -123,6 +123,10 @@ def test_line_dedup(spark, hostile):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(df).collect()}
     assert got == {1: ("a\nb\nc\nd", 4, 0), 2: ("x\n\ny", 6, 3), 3: ("s\nt", 2, 0), 4: ("", 2, 2), 5: (None, 0, 0), 6: ("", 1, 0)}
+    shared = [(7, "p\nq\nr"), (7, "p\nq\nr"), (7, "k\nl\nm"), (None, "k\nl\nm"), (None, "k\nl\nm"), (8, "z\np\nq\nr")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(shared, "doc_id long, text string")).collect()
+    texts = sorted(((r["doc_id"], r["text"]) for r in out), key=str)
+    assert texts == sorted([(7, "p\nq\nr"), (7, ""), (7, ""), (None, "k\nl\nm"), (None, ""), (8, "z")], key=str)
     out = line_dedup.dedup_lines(hostile)
     assert out.count() == 10 and set(out.columns) == {*hostile.columns, "n_lines"}
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
@@ -142,3 +146,32 @@ def test_top_k_equals_brute_force(spark):
         want.update({(q, k + 1): (c, -s) for k, (s, c) in enumerate(scores)})
     assert got == want
     assert vector_topk.top_k(df.limit(0), "vec_id % 50 = 0").count() == 0
+
+
+def test_top_k_of_large_components(spark):
+    """Products beyond what doubles and 32 bits hold are exact; what does not fit raises."""
+    rows = [(0, [1e7, 3.0]), (1, [1e7 + 1, -5.0]), (2, [-1e7, 7.0]), (3, [1e7, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    ints = {i: [int(256 * x) for x in v] for i, v in rows}
+    want = sorted(((-sum(a * b for a, b in zip(ints[0], ints[i], strict=True)), i) for i in (1, 2, 3)))
+    got = [(-r["score"], r["vec_id"]) for r in vector_topk.top_k(df, "vec_id = 0", 5).orderBy("rank").collect()]
+    assert got == want and abs(want[0][0]) > 1 << 53 - 2
+    import pytest
+
+    with pytest.raises(ValueError, match="64 bits"):
+        vector_topk.search_block(np.array([[1 << 40, 0]]), np.array([[1 << 40], [0]]), np.array([1]), np.array([0]), 1)
+
+
+def test_bounds_drop_candidates():
+    """With mass in few dimensions, and a k-th best known from before, work is spared and nothing lost."""
+    rng = np.random.default_rng(2)
+    scale = np.concatenate([np.full(16, 300), np.full(48, 5)])
+    c = np.floor(rng.normal(0, 1, (2000, 64)) * scale).astype(np.int64)
+    q, ids = c[:20], np.arange(2000)
+    rows, floors, spared = vector_topk.search_block(q, c.T, ids, ids[:20], 5)
+    scores = q @ c.T
+    scores[np.arange(20), np.arange(20)] = -(1 << 60)
+    want = [(k, int(i), int(scores[k, i])) for k in range(20) for i in np.lexsort((ids, -scores[k]))[:5]]
+    assert rows == want and spared > 0.4 * 20 * 2000 * 64
+    again, _, more = vector_topk.search_block(q, c.T, ids, ids[:20], 5, floors=floors)
+    assert again == want and more >= spared

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -25,14 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (tests on one machine), a new local one that is then set as the checkpoint folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and all runs
+    in one process on one machine (as in tests), a new local one that is then set as the checkpoint folder. On a
+    cluster a local folder would be lost, so there the setting must be given."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='vidweave-')}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -11,9 +11,12 @@ Skew: windows are counted with map-side partial aggregation, so a window that a
 becomes one row a task before the shuffle; the occurrences meet the counts in an equi-join whose hot
 partitions Spark may split. Only places of repeated windows travel back to their texts.
 
-Defined results: null and empty texts come back unchanged with no lines removed. Repeated rows of one
-doc_id count as separate texts in no fixed order, and all but one lose their common windows. An empty
-table gives an empty result. All other columns pass through; names that clash with this operator's own
+The rows are written once to the shared folder with a key of their own, by which places travel back, so rows that
+share an id, or have none, are never taken for one another.
+
+Defined results: null and empty texts come back unchanged with no lines removed. Rows of one doc_id, and rows
+whose id is null (which come before all ids), count as separate texts, in the order of their keys: all but one lose
+their common windows. An empty table gives an empty result. All other columns pass through; names that clash with this operator's own
 (n_lines, n_removed) are replaced.
 """
 
@@ -22,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 _BLANK = "^[\\x20\\x09-\\x0D]*$"
 _SPACE = " \t\n\x0b\x0c\r"
 
@@ -31,22 +36,25 @@ def _lines(text: Column) -> Column:
 
 
 def windows(df: DataFrame, width: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row for each window: two hashes, the text's id, the window's index among its text's windows."""
+    """A row for each window of df (with its key _row): two hashes, the text's id and key, the window's index among
+    its text's windows."""
     kept = F.filter(F.transform(_lines(F.col(text_col)), lambda x: F.trim(x, F.lit(_SPACE))), lambda x: x != "")
-    hashes = df.select(F.col(id_col).alias("_id"), F.transform(kept, lambda x: F.xxhash64(x)).alias("_h"), F.transform(kept, lambda x: F.xxhash64(F.lit(1), F.reverse(x))).alias("_g")).where(F.size("_h") > 0)
+    hashes = df.select(F.col(id_col).alias("_id"), "_row", F.transform(kept, lambda x: F.xxhash64(x)).alias("_h"), F.transform(kept, lambda x: F.xxhash64(F.lit(1), F.reverse(x))).alias("_g")).where(F.size("_h") > 0)
     last = F.greatest(F.size("_h") - width, F.lit(0))
-    at = hashes.select("_id", "_h", "_g", F.explode(F.sequence(F.lit(0), last)).alias("_at"))
+    at = hashes.select("_id", "_row", "_h", "_g", F.explode(F.sequence(F.lit(0), last)).alias("_at"))
     part = lambda c: F.slice(F.col(c), F.col("_at") + 1, F.lit(width))
-    return at.select(F.xxhash64(part("_h")).alias("_w1"), F.xxhash64(part("_g"), F.lit(7)).alias("_w2"), "_id", "_at")
+    return at.select(F.xxhash64(part("_h")).alias("_w1"), F.xxhash64(part("_g"), F.lit(7)).alias("_w2"), "_id", "_row", "_at")
 
 
 def dedup_lines(df: DataFrame, width: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """df with its texts rid of repeated windows, and the counts n_lines and n_removed."""
+    df = stored(df.drop("n_lines", "n_removed").withColumn("_row", F.monotonically_increasing_id()), "line-dedup-rows")
     found = windows(df, width, text_col, id_col)
-    first = found.groupBy("_w1", "_w2").agg(F.min(F.struct("_id", "_at")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    later = found.join(first.select("_w1", "_w2", "_first"), ["_w1", "_w2"]).where(F.struct("_id", "_at") != F.col("_first"))
-    gone = later.groupBy("_id").agg(F.collect_set("_at").alias("_starts"))
-    out = df.drop("n_lines", "n_removed").join(gone, F.col(id_col) == F.col("_id"), "left")
+    place = F.struct("_id", "_row", "_at")
+    first = found.groupBy("_w1", "_w2").agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    later = found.join(first.select("_w1", "_w2", "_first"), ["_w1", "_w2"]).where((F.col("_row") != F.col("_first._row")) | (F.col("_at") != F.col("_first._at")))
+    gone = later.groupBy("_row").agg(F.collect_set("_at").alias("_starts"))
+    out = df.join(gone, "_row", "left")
     lines = _lines(F.col(text_col))
     places = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: ~F.get("_lines", i).rlike(_BLANK))
     covered = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.filter(F.sequence(s, s + width - 1), lambda i: i < F.size("_places")))))
@@ -57,7 +65,7 @@ def dedup_lines(df: DataFrame, width: int = 3, text_col: str = "text", id_col: s
     out = out.withColumn(text_col, F.when(hit, F.array_join(F.transform(rest, lambda i: F.get("_lines", i)), "\n")).otherwise(F.col(text_col)))
     out = out.withColumn("n_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size("_lines")).cast("long"))
     out = out.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return out.drop("_id", "_starts", "_lines", "_places", "_gone")
+    return out.drop("_row", "_starts", "_lines", "_places", "_gone")
 
 
 #: The same rows in DuckDB SQL: window texts are compared themselves, so hashing is checked too.

@@ -2,13 +2,18 @@
 
 Vectors become integers, floor(256 * x) of each component as a double. They are packed in blocks with a
 vertical layout: dimension by dimension, one column of all the block's vectors. Within a pair of a query
-block and a candidate block, scores build up over dimension blocks. After each, what a candidate can still
-gain is at most the product of the lengths of both rests (Cauchy-Schwarz), so candidates that cannot reach
-the k-th best lower bound any more are dropped and the columns compacted to the survivors. Bounds are
-integers rounded up and a candidate goes only if it falls short strictly, so ties stay and results are exact.
-
-The query set is stated (rows chosen by a condition) and meets all rows in blocks: block pairs are made by an
-equi-join on their numbers, so each of them is one small row of work, evenly dealt, and a task holds one
+block and a candidate block, scores build up over dimension blocks, the dimensions of most mass first. After each
+block, what a candidate can still gain is at most the product of the lengths of both rests (Cauchy-Schwarz), so
+candidates that cannot reach the k-th best score any more are dropped and the columns compacted to the survivors.
+The k-th best is that of the pair's lower bounds or, if higher, the one that the task has found for the query in
+earlier block pairs. Bounds are rounded up and a candidate goes only if it falls short strictly, so ties stay and
+results are exact. Where vectors point everywhere alike, as random ones do, the bounds drop candidates late.
+
+Scores are exact: sums go through doubles only where they stay below 2^53, else through 64-bit integers; a
+component or score that might not fit 64 bits raises an error.
+
+The query set is stated (rows chosen by a condition) and meets all rows in blocks: query blocks are copied to the
+candidate blocks by an equi-join on the latters' numbers, so candidates are shuffled once, and a task holds one
 block pair at a time. Each pair gives at most k rows a query; the best k of those follow from a window over
 the query. Nothing grows on the driver but the two block counts.
 
@@ -38,7 +43,10 @@ def _blocks(df: DataFrame, rows: int) -> DataFrame:
     """df (id, v: array<double>) in blocks of at most `rows` vectors of one length, vertical layout."""
 
     def pack(ids: list, vectors: list) -> dict:
-        matrix = np.floor(256.0 * np.array(vectors, np.float64)).astype(np.int32)
+        matrix = np.floor(256.0 * np.array(vectors, np.float64))
+        if np.abs(matrix).max() >= 2.0**62:
+            raise ValueError("a component times 256 does not fit 64 bits")
+        matrix = matrix.astype(np.int64)
         return {"block": uuid.uuid4().hex, "ids": np.array(ids, np.int64).tobytes(), "dims": matrix.shape[1], "columns": np.ascontiguousarray(matrix.T).tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,32 +75,44 @@ def _numbered(blocks: DataFrame, name: str) -> tuple[DataFrame, int]:
     return out.select(F.col("number").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "dims", "columns")]), names.count()
 
 
-def search_block(queries: np.ndarray, columns: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int, step: int = 16) -> list[tuple[int, int, int]]:
-    """The best k of a block for each query. queries: a row each; columns: dimension by vector."""
+def search_block(queries: np.ndarray, columns: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int, step: int = 8, floors: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], np.ndarray, int]:
+    """The best k of a block for each query, the k-th best scores known so far, and how many products of components
+    were spared. queries: a row each; columns: dimension by vector; floors: k-th best scores known before."""
     dims = min(queries.shape[1], columns.shape[0])
+    floors = np.full(len(queries), -np.inf) if floors is None else floors.copy()
+    most = sum(int(a) * int(b) for a, b in zip(np.abs(queries[:, :dims]).max(0), np.abs(columns[:dims]).max(1), strict=True)) if len(queries) and len(ids) else 0
+    if most >= 1 << 63:
+        raise ValueError("scores do not fit 64 bits")
+    exact = np.float64 if most < 1 << 53 else np.int64
+    fq, fc = queries[:, :dims].astype(np.float64), columns[:dims].astype(np.float64)
+    order = np.argsort(-(fq**2).sum(0) * (fc**2).sum(1), kind="stable")
+    fq, fc = fq[:, order], fc[order]
+    qs, cols = (fq, fc) if exact is np.float64 else (queries[:, order], columns[order])
     cuts = [*range(0, dims, step), dims]
-    cols, qs = columns[:dims].astype(np.float64), queries[:, :dims].astype(np.float64)
-    rest_c = np.array([np.sqrt((cols[c:] ** 2).sum(0)) for c in cuts])
-    rest_q = np.array([np.sqrt((qs[:, c:] ** 2).sum(1)) for c in cuts])
-    first = qs[:, : cuts[1]] @ cols[: cuts[1]]
-    out: list[tuple[int, int, int]] = []
+    rest_c = np.array([np.sqrt((fc[c:] ** 2).sum(0)) for c in cuts])
+    rest_q = np.array([np.sqrt((fq[:, c:] ** 2).sum(1)) for c in cuts])
+    begun = dims // 2 // step * step  # all queries at once up to here, as hardly a candidate goes before
+    first, out, spared = qs[:, :begun] @ cols[:begun], [], 0
+    error = 1e-6 + most * 2.0**-40  # of the bounds, which are doubles
     for row, (q, own) in enumerate(zip(qs, query_ids, strict=True)):
-        score, live = first[row], np.arange(cols.shape[1])
-        if (ids == own).any():
-            live = np.flatnonzero(ids != own)
-            score = score[live]
-        for b in range(1, len(cuts)):
-            if len(live) > k and b < len(cuts) - 1:
+        live = np.flatnonzero(ids != own)
+        score = first[row, live]
+        for b in range(begun // step, len(cuts) - 1):
+            if len(live) > k:
                 slack = rest_q[b, row] * rest_c[b, live]
-                floor = np.partition(score - slack, len(live) - k)[len(live) - k]
-                stay = np.ceil(score + slack + 1e-6) >= floor - 1e-6
+                low = floors[row]
+                if low == -np.inf:
+                    low = np.partition(score - slack, len(live) - k)[len(live) - k]
+                stay = score + slack + error >= low - error
                 if not stay.all():
+                    spared += int((~stay).sum()) * (dims - cuts[b])
                     live, score = live[stay], score[stay]
-            if b < len(cuts) - 1:
-                score = score + q[cuts[b] : cuts[b + 1]] @ cols[cuts[b] : cuts[b + 1]][:, live]
+            score = score + q[cuts[b] : cuts[b + 1]] @ cols[cuts[b] : cuts[b + 1]][:, live]
         best = np.lexsort((ids[live], -score))[:k]
+        if len(best) == k:
+            floors[row] = max(floors[row], float(score[best[-1]]))
         out += [(int(own), int(ids[live[i]]), int(score[i])) for i in best]
-    return out
+    return out, floors, spared
 
 
 def top_k(df: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", query_rows: int = 1024, candidate_rows: int = 4096) -> DataFrame:
@@ -106,15 +126,19 @@ def top_k(df: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vect
     candidates, n_candidates = _numbered(stored(_blocks(every, candidate_rows), "candidate-blocks"), "c")
     queries, n_queries = _numbered(stored(_blocks(chosen, query_rows), "query-blocks"), "q")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-    pairs = candidates.withColumn("q", each(n_queries)).join(queries.withColumn("c", each(n_candidates)), ["q", "c"])
+    pairs = candidates.join(queries.withColumn("c", each(n_candidates)), "c")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[int, np.ndarray] = {}  # of the query blocks met last
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 ids, own = np.frombuffer(r.c_ids, np.int64), np.frombuffer(r.q_ids, np.int64)
-                columns = np.frombuffer(r.c_columns, np.int32).reshape(r.c_dims, len(ids))
-                rows = np.frombuffer(r.q_columns, np.int32).reshape(r.q_dims, len(own)).T
-                yield pd.DataFrame(search_block(rows, columns, ids, own, k), columns=["query_id", "vec_id", "score"])
+                columns = np.frombuffer(r.c_columns, np.int64).reshape(r.c_dims, len(ids))
+                rows = np.frombuffer(r.q_columns, np.int64).reshape(r.q_dims, len(own)).T
+                rows, known[r.q], _ = search_block(rows, columns, ids, own, k, floors=known.pop(r.q, None))
+                if len(known) > 256:
+                    known.pop(next(iter(known)))
+                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
     found = pairs.mapInPandas(run, _RESULT)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
