@@ -3,6 +3,11 @@
 Each stage takes all documents that its predecessor kept, as a table with the columns of `documents`, and its
 decisions take effect; the last stage returns the packed pieces. Every stage is written to the shared folder
 and read again, so a lost executor costs part of one stage.
+
+Defined results: null, empty and blank texts fail the base rules and go. Rows that share an id are judged one by one,
+and in the near-duplicate stage stay or go together; rows without an id are judged like others and are never taken
+for a duplicate. An empty table gives an empty result. Columns beside those of `documents` are not read, so their
+names cannot clash.
 """
 
 from __future__ import annotations
@@ -50,7 +55,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", rules), ("quality_classifier", classifier), ("line_dedup", lines), ("ngram_join", near_duplicates), ("best_fit_packing", packing)]
 
-#: Tokenisers, EM and the genetic packing have no SQL form; parts of their operators are tested in tests/llm, the stages are not.
+#: Tokenisers, EM and the genetic packing have no SQL form; tests/llm/test_pipeline.py holds each stage against plain Python.
 ORACLE_SQL = None
 
 

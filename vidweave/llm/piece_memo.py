@@ -136,7 +136,7 @@ def joined(lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return lengths, np.cumsum(lengths) - lengths, np.fromiter((i for ids in lists for i in ids), np.int32, int(lengths.sum()))
 
 
-def library_memo(file: str, mark: str, lower: bool = False, pack: int = 512, most: int = 400_000, most_cores: int = 800_000) -> PieceMemo:
+def library_memo(file: str, mark: str, lower: bool = False, pack: int = 512, most: int = 300_000, most_cores: int = 500_000) -> PieceMemo:
     """The worker's memo over a tokenizer of the tokenizers library, see _library_memo."""
     return held(("library", file, mark, lower, pack, most, most_cores), lambda: _library_memo(file, mark, lower, pack, most, most_cores))
 

@@ -51,7 +51,7 @@ BANDS: dict[str, tuple[float, float, float, float]] = {
 }
 
 
-def vocabulary_memo(model_file: str, most: int = 250_000) -> tuple[PieceMemo, np.ndarray]:
+def vocabulary_memo(model_file: str, most: int = 180_000) -> tuple[PieceMemo, np.ndarray]:
     """The worker's memo over the words of a sentencepiece vocabulary, and which of its ids are bytes."""
     return held(("vocabulary", model_file, most), lambda: _vocabulary_memo(model_file, most))
 
