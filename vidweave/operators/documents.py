@@ -12,6 +12,89 @@ SUMMARY_JSON = "struct<points: array<string>, items: array<string>, hooks: array
 SNAPSHOT_JSON = "array<struct<segment_index: bigint, start_ms: bigint, end_ms: bigint, content: string>>"
 
 
+OCR_JSON = "struct<available: boolean, error: string, samples: array<struct<segmentIndex: int, startMs: bigint, endMs: bigint, asrText: string, ocrText: string, confidence: double, available: boolean>>>"
+VAD_JSON = "struct<segments: array<struct<sourceStartMs: bigint, sourceEndMs: bigint, transcriptionStartMs: bigint, transcriptionEndMs: bigint>>>"
+#: The lists that a generated bundle must hold, and where each goes.
+BUNDLE_LISTS = {"corePoints": "core_points", "meetingMinutes": "meeting_minutes", "blogOutline": "blog_outline", "pptOutline": "ppt_outline", "engineeringInsights": "engineering_insights"}
+DOCUMENT_JSON = "struct<title: string, subtitle: string, executiveSummary: string, sections: array<struct<heading: string, bullets: array<string>>>, actionItems: array<string>, sourceNotes: array<string>>"
+
+
+def parse_ocr_json(df: DataFrame, json: str = "json") -> DataFrame:
+    """Samples of screen text runs (video_id, json), their texts repaired; a missing confidence is 0, a missing flag
+    false. A run without samples gives no rows."""
+    x = df.select("video_id", F.inline(F.from_json(json, OCR_JSON)["samples"]))
+    repaired = lambda c: T.repair_encoding(F.coalesce(F.col(c), F.lit("")))["text"]
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long"))
+    return x.select("video_id", number("segmentIndex").alias("segment_index"), number("startMs").alias("start_ms"), number("endMs").alias("end_ms"), repaired("asrText").alias("asr"), repaired("ocrText").alias("ocr"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("available", F.lit(False)).alias("available"))
+
+
+def write_vad_map(mapped: DataFrame) -> DataFrame:
+    """(video_id, json) of the map rows (start_ms, end_ms, mapped_start_ms, mapped_end_ms) of each video, in order."""
+    row = F.struct(F.col("start_ms").alias("sourceStartMs"), F.col("end_ms").alias("sourceEndMs"), F.col("mapped_start_ms").alias("transcriptionStartMs"), F.col("mapped_end_ms").alias("transcriptionEndMs"))
+    return mapped.groupBy("video_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(row)).alias("segments"))).alias("json"))
+
+
+def read_vad_map(df: DataFrame, json: str = "json") -> DataFrame:
+    rows = df.select("video_id", F.inline(F.from_json(json, VAD_JSON)["segments"]))
+    return rows.toDF("video_id", "start_ms", "end_ms", "mapped_start_ms", "mapped_end_ms")
+
+
+def strip_fence(content: Column) -> Column:
+    """What stands between the first line of an opening Markdown fence and the last fence; other texts trimmed."""
+    text = F.trim(content, F.lit(" \t\n\r"))
+    return F.when(text.rlike(r"(?s)^```[^\n]*\n.*```"), F.trim(F.regexp_extract(text, r"(?s)^```[^\n]*\n(.*)```", 1), F.lit(" \t\n\r"))).otherwise(text)
+
+
+def _texts(c: Column) -> Column:
+    """The entries of a list, trimmed, without blank ones; an empty list for null."""
+    return F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != "")
+
+
+def parse_generated_bundle(df: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows of df: accepted ones have the five lists as columns; a text that is no JSON, or in
+    which one of them is missing or empty, is rejected."""
+    j = F.from_json(strip_fence(F.col(content)), "struct<" + ", ".join(f"{k}: array<string>" for k in BUNDLE_LISTS) + ">")
+    parsed = df.withColumn("_j", j).select(*df.columns, *[_texts(F.col("_j")[k]).alias(v) for k, v in BUNDLE_LISTS.items()])
+    whole = F.lit(True)
+    for v in BUNDLE_LISTS.values():
+        whole = whole & (F.size(v) > 0)
+    return parsed.where(whole), parsed.where(~whole).select(df.columns)
+
+
+def parse_export_document(df: DataFrame, content: str = "content") -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows of df: accepted ones have title, subtitle, summary, sections (heading, bullets),
+    actions and notes; sections without heading or bullets go, and a text without title, summary or sections is
+    rejected."""
+    text = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    none = F.array().cast("array<struct<heading: string, bullets: array<string>>>")
+    sections = F.filter(F.transform(F.coalesce(F.col("_j.sections"), none), lambda s: F.struct(text(s["heading"]).alias("heading"), _texts(s["bullets"]).alias("bullets"))), lambda s: (s["heading"] != "") & (F.size(s["bullets"]) > 0))
+    fields = [text(F.col("_j.title")).alias("title"), text(F.col("_j.subtitle")).alias("subtitle"), text(F.col("_j.executiveSummary")).alias("summary"), sections.alias("sections"), _texts(F.col("_j.actionItems")).alias("actions"), _texts(F.col("_j.sourceNotes")).alias("notes")]
+    parsed = df.withColumn("_j", F.from_json(strip_fence(F.col(content)), DOCUMENT_JSON)).select(*df.columns, *fields)
+    whole = (F.col("title") != "") & (F.col("summary") != "") & (F.size("sections") > 0)
+    return parsed.where(whole), parsed.where(~whole).select(df.columns)
+
+
+#: What a name seen on screen must hold, and what it then mends in the transcript (pattern, text).
+SEEN_TERMS: list[tuple[list[str], list[tuple[str, str]]]] = [
+    (["claudecode", "claude code"], [(r"(?i)Code\s*code", "Claude Code"), (r"(?i)Claude\s*Code", "Claude Code")]),
+    (["agent"], [("A阵", "agent"), ("AZN", "agent"), ("A站", "agent")]),
+    (["skill", "skil"], [(r"(?i)\bskyo\b", "skill"), (r"(?i)\bskil\b", "skill"), (r"(?i)Skills\b", "skills")]),
+]
+
+
+def ocr_evidence_terms(segments: DataFrame, seen: DataFrame, terms: list[tuple[list[str], list[tuple[str, str]]]] | None = None) -> DataFrame:
+    """segments with the terms mended for which a text of seen (video_id, ocr) of their video holds a needle."""
+    terms, low = SEEN_TERMS if terms is None else terms, F.lower(F.coalesce("ocr", F.lit("")))
+    flags = seen.groupBy("video_id").agg(*[F.max(T.contains_any(low, needles)).alias(f"_f{k}") for k, (needles, _) in enumerate(terms)])
+    out, text = segments.join(flags, "video_id", "left"), F.col("content")
+    for k, (_, rules) in enumerate(terms):
+        for pattern, term in rules:
+            text = F.when(F.col(f"_f{k}"), F.regexp_replace(text, pattern, term)).otherwise(text)
+        out = out.withColumn("content", text)
+        text = F.col("content")
+    return out.select(segments.columns)
+
+
 def parse_asr_json(df: DataFrame, json: str = "json") -> DataFrame:
     """Segments of recogniser output (video_id, json): blank texts go, then the rest are numbered."""
     p = df.select("video_id", F.from_json(json, ASR_JSON).alias("j")).select("video_id", F.coalesce("j.result.language", F.lit("unknown")).alias("language"), F.posexplode("j.transcription").alias("pos", "t"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vidweave.functions import text as T
+
 
 def _by(key: str) -> Window:
     return Window.partitionBy(key).orderBy("start_ms", "end_ms")
@@ -101,6 +103,18 @@ def locate_segment(points: DataFrame, segments: DataFrame, key: str, bucket_ms:
     return latest.join(held, [key, "point_id"], "left").select(key, "point_id", "t_ms", F.coalesce("_held", "_asof.segment_index", "_first.segment_index").alias("segment_index"))
 
 
+def resolve_history_citations(messages: DataFrame, segments: DataFrame) -> DataFrame:
+    """The segment that each stored citation (video_id, message_id, citation with a time range) points to, as a row
+    with its times and text; citations without a range, or of videos without segments, give none."""
+    c = messages.withColumn("_r", T.parse_time_range(F.col("citation"))).where("_r.start_ms IS NOT NULL")
+    points = c.select("video_id", F.col("message_id").alias("point_id"), F.col("_r.start_ms").alias("t_ms"))
+    at = locate_segment(points, segments, "video_id").where("segment_index IS NOT NULL").select("video_id", F.col("point_id").alias("message_id"), "segment_index")
+    found = at.join(segments.select("video_id", "segment_index", F.col("id").alias("segment_id"), "start_ms", "end_ms", F.col("content").alias("snippet")), ["video_id", "segment_index"])
+    ends = c.select("video_id", "message_id", "citation", F.col("_r.end_ms").alias("_end"))
+    out = ends.join(found, ["video_id", "message_id"])
+    return out.select("message_id", "video_id", "citation", "segment_id", "start_ms", F.coalesce(F.when(F.col("end_ms") != 0, F.col("end_ms")), "_end").alias("end_ms"), F.lit(0).cast("long").alias("score"), "snippet")
+
+
 def silence_events(lines: DataFrame, key: str) -> DataFrame:
     """silence_start and silence_end marks of log lines (key, line_no, line), in order, starts before ends."""
     seconds = lambda name: F.transform(F.regexp_extract_all("line", F.lit(rf"{name}:\s*(-?\d+(?:\.\d+)?)"), 1), lambda x: F.greatest(F.lit(0), F.floor(x.cast("double") * 1000 + 0.5)).cast("long"))

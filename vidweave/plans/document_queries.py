@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidweave.operators import documents as D
@@ -30,6 +30,74 @@ def a2_parse_asr_json(spark: SparkSession, d: str) -> DataFrame:
     return D.parse_asr_json(j).select("video_id", "language", "segment_index", "start_ms", "end_ms")
 
 
+def a4_parse_ocr_json(spark: SparkSession, d: str) -> DataFrame:
+    """Customers of a nation as the screen samples of a video."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    sample = F.struct(k.cast("int").alias("segmentIndex"), (k * 1000).cast("long").alias("startMs"), (k * 1000 + 900).cast("long").alias("endMs"), F.col("c_name").alias("asrText"), F.concat(F.lit(" "), "c_name").alias("ocrText"), F.when(k % 3 != 0, (k % 100) / 100).alias("confidence"), F.when(k % 2 == 0, True).alias("available"))
+    j = c.groupBy(F.col("c_nationkey").cast("long").alias("video_id")).agg(F.to_json(F.struct(F.lit(True).alias("available"), F.collect_list(sample).alias("samples"))).alias("json"))
+    return D.parse_ocr_json(j)
+
+
+A4 = """SELECT CAST(c_nationkey AS BIGINT) AS video_id, CAST(c_custkey AS BIGINT) AS segment_index, CAST(c_custkey * 1000 AS BIGINT) AS start_ms, CAST(c_custkey * 1000 + 900 AS BIGINT) AS end_ms, c_name AS asr, c_name AS ocr,
+CASE WHEN c_custkey % 3 <> 0 THEN c_custkey % 100 / 100 ELSE 0.0 END AS confidence, c_custkey % 2 = 0 AS available FROM customer"""
+
+
+def a5_vad_map(spark: SparkSession, d: str) -> DataFrame:
+    s = S.segments(spark, d)
+    m = s.select("video_id", (F.col("start_ms") * 2).alias("start_ms"), (F.col("end_ms") * 2 - 500).alias("end_ms"), F.col("start_ms").alias("mapped_start_ms"), F.col("end_ms").alias("mapped_end_ms"))
+    return D.read_vad_map(D.write_vad_map(m))
+
+
+A5 = with_ctes("segments") + "SELECT video_id, start_ms * 2 AS start_ms, end_ms * 2 - 500 AS end_ms, start_ms AS mapped_start_ms, end_ms AS mapped_end_ms FROM segments"
+
+
+def _fenced(json) -> Column:
+    return F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("```json\n"), json, F.lit("\n```\n"))).otherwise(json)
+
+
+def a8_parse_generated_bundle(spark: SparkSession, d: str) -> DataFrame:
+    """Generated lists with and without a fence, some of them blank, some texts no JSON."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    lists = [F.array(F.concat(F.lit(" "), "c_name"), F.lit(" "), F.lit(name)).alias(name) for name in list(D.BUNDLE_LISTS)[:4]]
+    last = F.when(k % 5 == 0, F.array(F.lit(" "))).otherwise(F.array(F.lit("x"))).alias("engineeringInsights")
+    text = F.when(k % 7 == 0, F.lit("no json")).otherwise(F.to_json(F.struct(*lists, last)))
+    good, bad = D.parse_generated_bundle(c.select("c_custkey", _fenced(text).alias("content")))
+    lists = good.select("c_custkey", F.lit(True).alias("accepted"), F.array_join(F.concat("core_points", "ppt_outline", "engineering_insights"), "|").alias("lists"))
+    return lists.unionByName(bad.select("c_custkey", F.lit(False).alias("accepted"), F.lit("").alias("lists")))
+
+
+A8 = "SELECT c_custkey, c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 AS accepted, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 <> 0 THEN c_name || '|corePoints|' || c_name || '|pptOutline|x' ELSE '' END AS lists FROM customer"
+
+
+def a9_parse_export_document(spark: SparkSession, d: str) -> DataFrame:
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    section = lambda h, b: F.struct(h.alias("heading"), b.alias("bullets"))
+    sections = F.array(section(F.lit(" "), F.array(F.lit("lost"))), section(F.lit("empty"), F.array(F.lit(" "))), section(F.col("c_name"), F.array(F.lit(" one "), F.lit("two"))))
+    json = F.to_json(F.struct(F.when(k % 4 == 0, " ").otherwise(F.col("c_name")).alias("title"), F.lit("short").alias("executiveSummary"), sections.alias("sections"), F.array(F.lit(""), F.lit("act")).alias("actionItems")))
+    good, bad = D.parse_export_document(c.select("c_custkey", _fenced(json).alias("content")))
+    got = good.select("c_custkey", F.lit(True).alias("accepted"), F.md5(D.render_markdown(F.col("title"), F.col("subtitle"), F.col("summary"), F.col("sections"), F.col("actions"), ("S", "N"))).alias("markdown_md5"))
+    return got.unionByName(bad.select("c_custkey", F.lit(False).alias("accepted"), F.lit("").alias("markdown_md5")))
+
+
+A9 = r"""SELECT c_custkey, c_custkey % 4 <> 0 AS accepted, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE md5('# ' || c_name || chr(10) || chr(10) || '## S' || chr(10) || chr(10) || 'short' || chr(10) || chr(10) || '## ' || c_name || chr(10) || chr(10)
+|| '- one' || chr(10) || '- two' || chr(10) || chr(10) || '## N' || chr(10) || chr(10) || '- act' || chr(10) || chr(10)) END AS markdown_md5 FROM customer"""
+
+
+def b11_ocr_evidence_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Videos of which the screen shows one name each, over segments with misheard names at their end."""
+    s = S.segments(spark, d).withColumn("content", F.concat("content", F.lit(" A站 AZN skyo Skil code  code")))
+    k = F.col("video_id") % 4
+    seen = S.videos(spark, d).select("video_id", F.when(k == 0, "The AGENT menu").when(k == 1, "skil list").when(k == 2, "Claude Code").alias("ocr"))
+    return D.ocr_evidence_terms(s, seen).select("id", F.md5("content").alias("content_md5"))
+
+
+B11 = with_ctes("segments") + r"""SELECT id, md5(CASE video_id % 4 WHEN 0 THEN replace(replace(replace(c, 'A阵', 'agent'), 'AZN', 'agent'), 'A站', 'agent')
+WHEN 1 THEN regexp_replace(regexp_replace(regexp_replace(c, '(?i)\bskyo\b', 'skill', 'g'), '(?i)\bskil\b', 'skill', 'g'), '(?i)Skills\b', 'skills', 'g')
+WHEN 2 THEN regexp_replace(regexp_replace(c, '(?i)Code\s*code', 'Claude Code', 'g'), '(?i)Claude\s*Code', 'Claude Code', 'g') ELSE c END) AS content_md5
+FROM (SELECT id, video_id, content || ' A站 AZN skyo Skil code  code' AS c FROM segments)"""
+
+
 def a6_summary_items(spark: SparkSession, d: str) -> DataFrame:
     """Documents' first lines as summaries: points, hooks, or no JSON at all."""
     c = table(spark, d, "customer")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vidweave.operators import intervals as I
 from vidweave.operators import quality as Q
+from vidweave.functions import text as T
 from vidweave.sources import tables as S
 from vidweave.sources.tables import table, with_ctes
 
@@ -115,6 +116,17 @@ SELECT video_id, point_id, t_ms, coalesce((SELECT arg_min(segment_index, start_m
 (SELECT arg_min(segment_index, start_ms) FROM segments s WHERE s.video_id = p.video_id)) AS segment_index FROM p"""
 
 
+def d13_resolve_history_citation(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment cited by its times in its label, and messages without a time."""
+    s = S.segments(spark, d)
+    label = F.when(F.col("segment_index") % 4 == 3, "no time").otherwise(F.concat(F.lit("doc "), T.format_time(F.col("start_ms")), F.lit("-"), T.format_time(F.col("end_ms"))))
+    m = s.select("video_id", F.col("id").alias("message_id"), label.alias("citation"))
+    return I.resolve_history_citations(m, s).select("message_id", "video_id", "segment_id", "start_ms", "end_ms", F.md5("snippet").alias("snippet_md5"))
+
+
+D13 = with_ctes("segments") + "SELECT id AS message_id, video_id, id AS segment_id, start_ms, end_ms, md5(content) AS snippet_md5 FROM segments WHERE segment_index % 4 <> 3"
+
+
 def f1_systematic_sample(spark: SparkSession, d: str) -> DataFrame:
     return Q.systematic_sample(S.segments(spark, d), 4).select("video_id", "segment_index")
 

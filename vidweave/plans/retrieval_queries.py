@@ -134,6 +134,17 @@ def d11_rebuild_index(spark: SparkSession, d: str) -> DataFrame:
 D11 = with_ctes("segments") + f"SELECT video_id, count(*) AS segments, count(*) FILTER (WHERE n > 0) AS indexed, CAST(sum(n) AS BIGINT) AS n_tokens FROM (SELECT video_id, len({_TOK.format('content')}) AS n FROM segments) GROUP BY 1"
 
 
+def c4_dense_vector(spark: SparkSession, d: str) -> DataFrame:
+    """The questions' sparse vectors made dense: size, entries that are not zero, tokens, and where the first entry is."""
+    v = R.sparse_vectors(S.questions(spark, d), ["question_id"], "question", groups=[]).select("question_id", R.dense_vector(F.col("vector")).alias("v"))
+    full = F.filter("v", lambda x: x > 0)
+    return v.select("question_id", F.size("v").cast("long").alias("dims"), F.size(full).cast("long").alias("filled"), F.aggregate("v", F.lit(0.0), lambda s, x: s + x).alias("tokens"), (F.array_position("v", F.get(full, 0)) - 1).alias("first_of_value"))
+
+
+C4 = with_ctes("questions") + f""", e AS ({_embed('questions', 'question_id', 'question')}), f AS (SELECT question_id, arg_min(value, bucket) AS v FROM e GROUP BY 1)
+SELECT question_id, CAST(256 AS BIGINT) AS dims, count(*) AS filled, sum(value) AS tokens, CAST(min(bucket) FILTER (WHERE value = v) AS BIGINT) AS first_of_value FROM e JOIN f USING (question_id) GROUP BY 1"""
+
+
 def c5_cosine(spark: SparkSession, d: str) -> DataFrame:
     """Every vector against the first of its label."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
@@ -154,5 +165,5 @@ r AS (SELECT t.kb_id, question_id, s.video_id, segment_index, start_ms, CAST(lis
 WHERE length(trim(content)) >= 6 AND t.kb_id IN (SELECT kb_id FROM kb_videos GROUP BY 1 HAVING count(*) >= 2))
 SELECT kb_id, question_id, video_id, segment_index, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY kb_id, question_id, video_id ORDER BY score DESC, start_ms, segment_index) AS rank FROM r WHERE score > 0) WHERE rank <= 3"""
 
-QUERIES = {f.__name__: f for f in (c5_cosine, d1_vector_search, d2_local_rerank, d3_merge_remote_scores, d4_retrieve_evidence, d5_diversify, d6_citable_stats, d7_build_citations, d8_confidence_level, d9_answer_batch, d10_index_delta, d11_rebuild_index, g6_kb_compare)}
+QUERIES = {f.__name__: f for f in (c4_dense_vector, c5_cosine, d1_vector_search, d2_local_rerank, d3_merge_remote_scores, d4_retrieve_evidence, d5_diversify, d6_citable_stats, d7_build_citations, d8_confidence_level, d9_answer_batch, d10_index_delta, d11_rebuild_index, g6_kb_compare)}
 ORACLES = {k: globals()[k.split("_")[0].upper()] for k in QUERIES}
