@@ -27,6 +27,27 @@ def h2_login_lockout(spark: SparkSession, d: str) -> DataFrame:
     return W.login_lockout(a, window_s=864000, captcha=2, most=3)
 
 
+def _fold(rows: str, start: str, step: str, done: str) -> str:
+    """SQL that folds rows (key, n from 1, fields) key by key: start and step give the state's columns from the row c
+    and the state f; done selects from the last states."""
+    return f"""WITH RECURSIVE c AS ({rows}), f AS (SELECT c.*, {start} FROM c WHERE n = 1 UNION ALL SELECT c.*, {step} FROM f JOIN c ON c.key = f.key AND c.n = f.n + 1) {done}"""
+
+
+def _lockout(window: int, captcha: int, most: int) -> str:
+    """The steps of the lockout as SQL; a, k: anchor and failures that the attempt meets."""
+    a, k = f"(CASE WHEN c.ts_s > f.anchor + {window} THEN NULL ELSE f.anchor END)", f"(CASE WHEN c.ts_s > f.anchor + {window} THEN 0 ELSE f.failures END)"
+    anchor = f"CASE WHEN {k} >= {most} THEN {a} WHEN c.success THEN NULL ELSE coalesce({a}, c.ts_s) END AS anchor"
+    failures = f"CASE WHEN {k} >= {most} THEN {k} WHEN c.success THEN 0 ELSE {k} + 1 END AS failures"
+    return f"{anchor}, {failures}, {k} >= {most} AS blocked, CASE WHEN {k} >= {most} THEN {a} + {window} - c.ts_s ELSE 0 END AS retry"
+
+
+H2 = _fold(
+    "SELECT CAST(user_id AS VARCHAR) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, CAST(event_id AS BIGINT) AS attempt_id, event_type = 'signup' AS success, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS n FROM events WHERE event_type IN ('error', 'signup')",
+    "CASE WHEN success THEN NULL ELSE ts_s END AS anchor, CASE WHEN success THEN 0 ELSE 1 END AS failures, false AS blocked, CAST(0 AS BIGINT) AS retry",
+    _lockout(864000, 2, 3), "SELECT attempt_id, key, CAST(failures AS BIGINT) AS failures, blocked OR failures >= 2 AS captcha, blocked, CAST(retry AS BIGINT) AS retry_after_s FROM f",
+)
+
+
 def h3_progress_stream(spark: SparkSession, d: str) -> DataFrame:
     e = _events(spark, d).select(F.col("user_id").cast("long").alias("user_id"), "ts", F.col("event_id").cast("long").alias("event_id"), "event_type")
     return W.progress(e, "user_id", "ts", F.lit("2024-01-28 00:00:00").cast("timestamp"), "100 hours").select("user_id", "event_id", "event_type")
@@ -50,12 +71,36 @@ def h5_event_state_fold(spark: SparkSession, d: str) -> DataFrame:
     return W.event_state_fold(c, "key", ["ts", "event_id"])
 
 
+def _event_moves() -> str:
+    """The state after change c on state f, as SQL."""
+    moves = "".join(f" WHEN c.change = '{name}' AND f.status IN ({', '.join(map(repr, needs))}) THEN '{makes}'" for name, (needs, makes) in W.EVENT_MOVES.items())
+    new = f"(CASE WHEN c.change = 'failed' AND f.status = 'CONSUMING' THEN CASE WHEN f.attempts + 1 >= 3 THEN 'DLQ' ELSE 'CONSUME_FAILED' END{moves} END)"
+    return f"coalesce({new}, f.status) AS status, CASE WHEN {new} IS NULL THEN f.attempts WHEN c.change = 'failed' THEN f.attempts + 1 WHEN c.change = 'retry' THEN 0 ELSE f.attempts END AS attempts, f.applied + CAST({new} IS NOT NULL AS BIGINT) AS applied"
+
+
+# a row before each key's first change holds the starting state
+H5 = _fold(
+    """SELECT DISTINCT CAST(user_id AS BIGINT) AS key, CAST(1 AS BIGINT) AS n, '' AS change FROM events UNION ALL
+SELECT CAST(user_id AS BIGINT), 1 + row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id), ['publish', 'claim', 'failed', 'consumed', 'retry', 'recover', 'publish_failed'][event_id % 7 + 1] FROM events""",
+    "'PENDING' AS status, CAST(0 AS BIGINT) AS attempts, CAST(0 AS BIGINT) AS applied", _event_moves(),
+    "SELECT key, arg_max(status, n) AS status, CAST(arg_max(attempts, n) AS BIGINT) AS attempts, CAST(arg_max(applied, n) AS BIGINT) AS applied FROM f GROUP BY key",
+)
+
+
 def h6_job_state_fold(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("event_id") % 3 == 0, "RUNNING").when(F.col("event_id") % 3 == 1, "DONE").otherwise("FAILED")
     c = _events(spark, d).select(F.col("user_id").cast("long").alias("key"), "ts", F.col("event_id").cast("long").alias("event_id"), (F.col("event_id") % 4).alias("version"), status.alias("status"))
     return W.job_state_fold(c, "key", ["ts", "event_id"])
 
 
+H6 = _fold(
+    """SELECT DISTINCT CAST(user_id AS BIGINT) AS key, CAST(1 AS BIGINT) AS n, -1 AS given, '' AS wanted FROM events UNION ALL
+SELECT CAST(user_id AS BIGINT), 1 + row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id), event_id % 4, ['RUNNING', 'DONE', 'FAILED'][event_id % 3 + 1] FROM events""",
+    "'PENDING' AS status, CAST(0 AS BIGINT) AS version", "CASE WHEN c.given = f.version THEN c.wanted ELSE f.status END AS status, f.version + CAST(c.given = f.version AS BIGINT) AS version",
+    "SELECT key, arg_max(status, n) AS status, CAST(arg_max(version, n) AS BIGINT) AS version, arg_max(status, n) IN ('DONE', 'FAILED') AS finished FROM f GROUP BY key",
+)
+
+
 def _asks(spark: SparkSession, d: str) -> DataFrame:
     return _events(spark, d).select(F.col("user_id").cast("long").alias("scope"), "ts", F.col("event_id").cast("long").alias("ask_id"), F.concat(F.col("event_type"), (F.col("event_id") % 3).cast("string")).alias("question"))
 
@@ -82,6 +127,12 @@ def h8_answer_cache_hits_ttl(spark: SparkSession, d: str) -> DataFrame:
     return W.cache_hits_ttl(a, 5 * 86400)
 
 
+H8_TTL = _fold(
+    "SELECT CAST(user_id AS BIGINT) || '|' || event_type || (event_id % 3) AS key, CAST(floor(epoch(ts)) AS BIGINT) AS ts_s, CAST(event_id AS BIGINT) AS ask_id, row_number() OVER (PARTITION BY user_id, event_type, event_id % 3 ORDER BY floor(epoch(ts)), event_id) AS n FROM events",
+    "ts_s AS anchor, false AS hit", "CASE WHEN c.ts_s <= f.anchor + 432000 THEN f.anchor ELSE c.ts_s END AS anchor, c.ts_s <= f.anchor + 432000 AS hit", "SELECT ask_id, key, hit FROM f",
+)
+
+
 def h9_ingest(spark: SparkSession, d: str) -> DataFrame:
     """What ingestion adds to an index that holds all even videos: the cleaned segments of the others, with hashes."""
     s = S.segments(spark, d)
@@ -93,4 +144,4 @@ def h9_ingest(spark: SparkSession, d: str) -> DataFrame:
 H9 = with_ctes("segments") + "SELECT video_id, count(*) AS indexed, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM segments WHERE video_id % 2 = 1 GROUP BY 1"
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] == "h" and k[1:2].isdigit()}
-ORACLES = {k: globals()[o] for k in QUERIES if (o := k.split("_")[0].upper()) in globals() and not k.endswith("_ttl")}
+ORACLES = {k: globals()[o] for k in QUERIES if (o := k.split("_")[0].upper() + ("_TTL" if k.endswith("_ttl") else "")) in globals()}
