@@ -10,6 +10,8 @@ from vidweave.operators import relational as R
 from vidweave.sources import tables as S
 from vidweave.sources.tables import table, with_ctes
 
+from .text_queries import _NORM, _RISK
+
 RULES = [(["thand", "erst"], "the and", "THE-AND"), (["ouhe"], "of the", "OF-THE")]
 
 
@@ -30,6 +32,12 @@ def a2_parse_asr_json(spark: SparkSession, d: str) -> DataFrame:
     return D.parse_asr_json(j).select("video_id", "language", "segment_index", "start_ms", "end_ms")
 
 
+# blank lines and those that normalising empties go, then the rest are numbered
+A2 = f"""WITH s AS (SELECT doc_id AS video_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+y AS (SELECT video_id, i, {_NORM.format('t')} AS t FROM s), z AS (SELECT video_id, i, CASE WHEN {_RISK.format('t')} THEN '' ELSE t END AS t FROM y)
+SELECT video_id, 'unknown' AS language, row_number() OVER (PARTITION BY video_id ORDER BY i) - 1 AS segment_index, CAST(i * 1000 AS BIGINT) AS start_ms, CAST(CASE WHEN i % 2 = 0 THEN i * 1000 + 900 ELSE i * 1000 + 1 END AS BIGINT) AS end_ms FROM z WHERE t <> ''"""
+
+
 def a4_parse_ocr_json(spark: SparkSession, d: str) -> DataFrame:
     """Customers of a nation as the screen samples of a video."""
     c = table(spark, d, "customer")

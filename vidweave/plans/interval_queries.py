@@ -97,6 +97,12 @@ def e7_sample_timestamps(spark: SparkSession, d: str) -> DataFrame:
     return s.select("id", F.explode(I.sample_timestamps(F.col("start_ms"), end)).alias("t_ms"))
 
 
+E7 = with_ctes("segments") + """, p AS (SELECT id, start_ms AS s, start_ms + length(content) * 13 - 300 AS e FROM segments),
+q AS (SELECT id, s, e, s + least(900, greatest(120, CAST(floor((e - s) * 0.35) AS BIGINT))) AS a, s + CAST(floor((e - s) * 0.65) AS BIGINT) AS b, greatest(s, e - 280) AS c FROM p),
+k AS (SELECT *, abs(a - b) >= 180 AS has_b FROM q)
+SELECT id, unnest(CASE WHEN e <= s THEN [s] ELSE list_filter([a, CASE WHEN has_b THEN b END, CASE WHEN abs(a - c) >= 180 AND (NOT has_b OR abs(b - c) >= 180) THEN c END], lambda x: x IS NOT NULL) END) AS t_ms FROM k"""
+
+
 def a3_parse_silence_log(spark: SparkSession, d: str) -> DataFrame:
     """Events as the lines of a log: clicks begin a silence, views end one, purchases do both."""
     seconds = F.format_string("%.3f", (F.unix_millis(F.col("ts").cast("timestamp")) - F.lit(1704067200000)) / 1000)
@@ -106,6 +112,13 @@ def a3_parse_silence_log(spark: SparkSession, d: str) -> DataFrame:
     return I.parse_silence_log(lines, _durations(spark, d), "user_id")
 
 
+A3 = _IV + """, ev AS (SELECT CAST(user_id AS BIGINT) AS user_id, CAST(event_id AS BIGINT) AS line_no, event_type AS t, greatest(0, epoch_us(ts) // 1000 - 1704067200000) AS ms FROM events),
+e AS (SELECT user_id, line_no, 0 AS kind, ms FROM ev WHERE t IN ('click', 'purchase') UNION ALL SELECT user_id, line_no, 1, ms FROM ev WHERE t IN ('view', 'purchase')),
+o AS (SELECT *, lag(kind) OVER w AS pk, lag(ms) OVER w AS pm, lead(kind) OVER w AS nk FROM e WINDOW w AS (PARTITION BY user_id ORDER BY line_no, kind)),
+r AS (SELECT user_id, pm AS start_ms, ms AS end_ms FROM o WHERE kind = 1 AND pk = 0 UNION ALL SELECT user_id, ms, duration_ms FROM o JOIN du USING (user_id) WHERE kind = 0 AND nk IS NULL)
+SELECT user_id, start_ms, end_ms FROM r WHERE end_ms > start_ms"""
+
+
 def d12_locate_segment(spark: SparkSession, d: str) -> DataFrame:
     points = S.videos(spark, d).select("video_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")).select("video_id", F.col("k").cast("long").alias("point_id"), (F.col("k") * 2777 + F.col("video_id") % 1000).alias("t_ms"))
     return I.locate_segment(points, S.segments(spark, d), "video_id")

@@ -42,6 +42,11 @@ def b3_repair_encoding(spark: SparkSession, d: str) -> DataFrame:
     return r.select("doc_id", F.md5("r.text").alias("text_md5"), "r.changed")
 
 
+# the tables hold no CJK, so a re-decoded text never has more of it
+B3 = f"""WITH y AS (SELECT doc_id, coalesce(text, '') AS o, {_NORM.format("coalesce(text, '')")} AS t FROM documents)
+SELECT doc_id, md5(x) AS text_md5, x <> o AS changed FROM (SELECT doc_id, o, CASE WHEN {_RISK.format('t')} THEN '' ELSE t END AS x FROM y)"""
+
+
 def b4_correct_terms(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.correct_terms(F.col("text"), RULES)).alias("text_md5"))
 
@@ -226,4 +231,4 @@ def c8_keyword_score(spark: SparkSession, d: str) -> DataFrame:
 C8 = with_ctes("segments") + "SELECT id, CAST(" + " + ".join(f"CASE WHEN contains(lower(content), '{t}') THEN {2 if len(t) >= 5 else 1} ELSE 0 END" for t in TERMS) + " AS BIGINT) AS score, CAST(" + " + ".join(f"CASE WHEN contains(lower(content), '{t}') THEN {max(2, len(t))} ELSE 0 END" for t in TERMS) + " AS BIGINT) AS kb_score FROM segments"
 
 QUERIES = {f.__name__: f for f in (b1_normalize_text, b2_text_quality, b3_repair_encoding, b4_correct_terms, b5_repair_transcript, b6_token_count, b7_apply_glossary, b12_compact_text, b13_format_time, b14_canonical_url, b15_classify_failure, b16_sanitize_filename, b17_mask_secret, b18_guardrail, b19_question_intent, b20_transcript_search, b21_timeline_seek, b22_usable_tokens, c1_tokenize, c2_expand_domain, c3_hash_embed, c6_query_terms, c8_keyword_score)}
-ORACLES = {"b1_normalize_text": B1, "b2_text_quality": B2, "b4_correct_terms": B4, "b6_token_count": B6, "b7_apply_glossary": B7, "b12_compact_text": B12, "b13_format_time": B13, "b14_canonical_url": B14, "b15_classify_failure": B15, "b16_sanitize_filename": B16, "b17_mask_secret": B17, "b18_guardrail": B18, "b19_question_intent": B19, "b20_transcript_search": B20, "b21_timeline_seek": B21, "b22_usable_tokens": B22, "c1_tokenize": C1, "c2_expand_domain": C2, "c3_hash_embed": C3, "c6_query_terms": C6, "c8_keyword_score": C8}
+ORACLES = {"b1_normalize_text": B1, "b2_text_quality": B2, "b3_repair_encoding": B3, "b4_correct_terms": B4, "b6_token_count": B6, "b7_apply_glossary": B7, "b12_compact_text": B12, "b13_format_time": B13, "b14_canonical_url": B14, "b15_classify_failure": B15, "b16_sanitize_filename": B16, "b17_mask_secret": B17, "b18_guardrail": B18, "b19_question_intent": B19, "b20_transcript_search": B20, "b21_timeline_seek": B21, "b22_usable_tokens": B22, "c1_tokenize": C1, "c2_expand_domain": C2, "c3_hash_embed": C3, "c6_query_terms": C6, "c8_keyword_score": C8}
