@@ -1,7 +1,7 @@
 """Embedding, search, ranking and citing of transcript segments for many questions at once.
 
-A sparse vector is one row with a map of bucket to value. Search joins questions and segments on the video, so only
-pairs in scope meet, and takes the inner product in the row: a pair is one row, however many buckets it shares."""
+A sparse vector is one row with a map of bucket to value, or a row for each bucket. Search joins question and segment
+on (video, bucket), so only pairs in scope that share a bucket meet, and no hot bucket crosses videos."""
 
 from __future__ import annotations
 
@@ -68,11 +68,10 @@ def cosine(a: Column, b: Column) -> Column:
 def vector_search(questions: DataFrame, scopes: DataFrame, segments: DataFrame, k: int = 12, least: float = 0.08, dim: int = 256, groups: list | None = None) -> DataFrame:
     """The k best segments of each question within its videos. questions: question_id, question; scopes:
     question_id, video_id; segments: id, video_id, segment_index, start_ms, content."""
-    q = sparse_vectors(questions, ["question_id"], "question", dim, groups).join(scopes, "question_id").select("question_id", "video_id", F.map_entries("vector").alias("_q"), F.col("norm").alias("_qn"))
+    q = hash_embed(questions, ["question_id"], "question", dim, groups).join(scopes, "question_id").select("question_id", "video_id", "bucket", F.col("value").alias("_qv"), F.col("norm").alias("_qn"))
     ids = ["id", "video_id", "segment_index", "start_ms"]
-    s = sparse_vectors(segments.select(*ids, "content"), ids, "content", dim, groups)
-    dot = F.aggregate("_q", F.lit(0.0), lambda total, e: total + e["value"] * F.coalesce(F.try_element_at("vector", e["key"]), F.lit(0.0)))
-    hits = s.join(q, "video_id").select("question_id", *ids, F.round(dot / (F.col("norm") * F.col("_qn")), 6).alias("vec"))
+    s = hash_embed(segments.select(*ids, "content"), ids, "content", dim, groups)
+    hits = s.join(q, ["video_id", "bucket"]).groupBy("question_id", *ids).agg(F.round(F.sum(F.col("value") * F.col("_qv")) / (F.first("norm") * F.first("_qn")), 6).alias("vec"))
     rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("vec"), "start_ms", "video_id", "segment_index"))
     return hits.where(F.col("vec") >= least).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
