@@ -1,7 +1,7 @@
 """Interval algebra over (key, start_ms, end_ms) rows: merge, complement, pad, concatenate, map and locate.
 
-All windows are partitioned by the key and ordered by start, so a chain of these keeps one exchange. One key's
-intervals are ordered work and stay in one task; they spill, and no key meets another."""
+Running values over a key's intervals are blocked prefix scans (scans.prefix_scan): a key's rows are dealt by ranges of
+time of `width_ms`, and a range takes over one summary row, so a key that holds most rows is in many tasks."""
 
 from __future__ import annotations
 
@@ -9,43 +9,42 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidweave.functions import text as T
+from vidweave.operators.scans import Scan, prefix_scan
 
+#: The default range: an hour, some thousand rows of a timeline. Timelines of sparser rows take a wider one.
+WIDTH_MS = 3_600_000
 
-def _by(key: str) -> Window:
-    return Window.partitionBy(key).orderBy("start_ms", "end_ms")
 
+def _scan(df: DataFrame, key: str, width_ms: int, *scans: Scan) -> DataFrame:
+    return prefix_scan(df, key, F.col("start_ms"), width_ms, ["start_ms", "end_ms"], list(scans))
 
-def _before(key: str) -> Window:
-    return _by(key).rowsBetween(Window.unboundedPreceding, -1)
 
-
-def merge_intervals(df: DataFrame, key: str, gap: int = 80) -> DataFrame:
+def merge_intervals(df: DataFrame, key: str, gap: int = 80, width_ms: int = WIDTH_MS) -> DataFrame:
     """Intervals joined where the next starts no later than `gap` after the end so far."""
-    reach = F.max("end_ms").over(_before(key))
-    new = F.when(reach.isNull() | (F.col("start_ms") > reach + gap), 1).otherwise(0)
-    island = F.sum("_new").over(_by(key).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("_new", new).withColumn("_island", island).groupBy(key, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_island")
+    reached = _scan(df.select(key, "start_ms", "end_ms"), key, width_ms, Scan("_reach", "max", F.col("end_ms")))
+    new = F.when(F.col("_reach").isNull() | (F.col("start_ms") > F.col("_reach") + gap), 1).otherwise(0)
+    islands = _scan(reached.withColumn("_new", new), key, width_ms, Scan("_island", "sum", F.col("_new"), inclusive=True))
+    return islands.groupBy(key, "_island").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).drop("_island")
 
 
-def complement_intervals(silences: DataFrame, durations: DataFrame, key: str) -> DataFrame:
+def complement_intervals(silences: DataFrame, durations: DataFrame, key: str, width_ms: int = WIDTH_MS) -> DataFrame:
     """The gaps between silences within [0, duration_ms], tail included. durations: key, duration_ms."""
     s = silences.join(durations, key).select(key, F.greatest(F.lit(0), "start_ms").alias("start_ms"), F.least("end_ms", "duration_ms").alias("end_ms"))
     tail = durations.select(key, F.col("duration_ms").alias("start_ms"), F.col("duration_ms").alias("end_ms"))
-    cursor = F.coalesce(F.max("end_ms").over(_before(key)), F.lit(0))
-    gaps = s.unionByName(tail).withColumn("_from", cursor)
+    gaps = _scan(s.unionByName(tail), key, width_ms, Scan("_reach", "max", F.col("end_ms"))).withColumn("_from", F.coalesce("_reach", F.lit(0)))
     return gaps.where("start_ms > _from").select(key, F.col("_from").cast("long").alias("start_ms"), F.col("start_ms").alias("end_ms"))
 
 
-def pad_and_merge(df: DataFrame, durations: DataFrame, key: str, pad: int = 120, least: int = 200, gap: int = 80) -> DataFrame:
+def pad_and_merge(df: DataFrame, durations: DataFrame, key: str, pad: int = 120, least: int = 200, gap: int = 80, width_ms: int = WIDTH_MS) -> DataFrame:
     p = df.join(durations, key).select(key, F.greatest(F.lit(0), F.col("start_ms") - pad).cast("long").alias("start_ms"), F.least(F.col("end_ms") + pad, "duration_ms").alias("end_ms"))
-    return merge_intervals(p.where(F.col("end_ms") - F.col("start_ms") >= least), key, gap)
+    return merge_intervals(p.where(F.col("end_ms") - F.col("start_ms") >= least), key, gap, width_ms)
 
 
-def cumulative_map(df: DataFrame, key: str) -> DataFrame:
+def cumulative_map(df: DataFrame, key: str, width_ms: int = WIDTH_MS) -> DataFrame:
     """Each interval's place on the timeline of all of them joined end to end."""
     length = F.col("end_ms") - F.col("start_ms")
-    at = F.coalesce(F.sum(length).over(_before(key)), F.lit(0)).cast("long")
-    return df.withColumn("mapped_start_ms", at).withColumn("mapped_end_ms", F.col("mapped_start_ms") + length)
+    placed = _scan(df, key, width_ms, Scan("mapped_start_ms", "sum", length))
+    return placed.withColumn("mapped_start_ms", F.coalesce("mapped_start_ms", F.lit(0)).cast("long")).withColumn("mapped_end_ms", F.col("mapped_start_ms") + length)
 
 
 def gain_gate(speech: DataFrame, durations: DataFrame, key: str, least_ms: int = 1000, least_share: float = 0.08) -> DataFrame:
@@ -56,17 +55,14 @@ def gain_gate(speech: DataFrame, durations: DataFrame, key: str, least_ms: int =
     return out.withColumn("applied", (F.col("kept_ms") > 0) & (F.col("saved_ms") >= need)).withColumn("saved_ratio", F.round(F.col("saved_ms") / F.greatest(F.lit(1), "duration_ms"), 6))
 
 
-def map_to_source(points: DataFrame, mapped: DataFrame, key: str) -> DataFrame:
+def map_to_source(points: DataFrame, mapped: DataFrame, key: str, width_ms: int = WIDTH_MS) -> DataFrame:
     """points (key, point_id, t_ms) back on the source timeline by the first map row that ends at or after t; past
-    the last row, its end and what is over; without a map, unchanged. An as-of join as a union and a window."""
+    the last row, its end and what is over; without a map, unchanged. An as-of join as a union and a scan both ways."""
     row = F.struct("start_ms", "end_ms", "mapped_start_ms", "mapped_end_ms")
     m = mapped.select(key, F.col("mapped_end_ms").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast("long").alias("point_id"), row.alias("_row"))
     p = points.select(key, F.col("t_ms").alias("_t"), F.lit(0).alias("_kind"), "point_id", F.lit(None).cast(m.schema["_row"].dataType).alias("_row"))
-    upward = Window.partitionBy(key).orderBy("_t", "_kind", "point_id").rowsBetween(Window.unboundedPreceding, 0)
-    downward = Window.partitionBy(key).orderBy(F.desc("_t"), F.desc("_kind"), F.desc("point_id")).rowsBetween(Window.unboundedPreceding, 0)
-    # both frames grow by a row at a time: a frame up to the end would be computed anew for each row
-    after, last = (F.last("_row", ignorenulls=True).over(w) for w in (downward, upward))
-    got = m.unionByName(p).withColumn("_next", after).withColumn("_last", last).where("_kind = 0")
+    around = [Scan("_last", "last", F.col("_row")), Scan("_next", "last", F.col("_row"), reverse=True)]
+    got = prefix_scan(m.unionByName(p), key, F.col("_t"), width_ms, ["_t", "_kind", "point_id"], around).where("_kind = 0")
     inside = F.col("_next.start_ms") + F.greatest(F.lit(0), F.least(F.col("_t") - F.col("_next.mapped_start_ms"), F.col("_next.end_ms") - F.col("_next.start_ms")))
     past = F.col("_last.end_ms") + F.col("_t") - F.col("_last.mapped_end_ms")
     return got.select(key, "point_id", F.col("_t").alias("t_ms"), F.coalesce(inside, past, "_t").cast("long").alias("source_ms"))
@@ -82,20 +78,19 @@ def sample_timestamps(start: Column, end: Column, apart: int = 180) -> Column:
     return F.when(end <= start, F.array(start)).otherwise(kept)
 
 
-def locate_segment(points: DataFrame, segments: DataFrame, key: str, bucket_ms: int = 60_000) -> DataFrame:
+def locate_segment(points: DataFrame, segments: DataFrame, key: str, bucket_ms: int = 60_000, width_ms: int = WIDTH_MS) -> DataFrame:
     """The segment of each point: the first that contains it, else the latest that starts before, else the first.
 
-    Where no segment of a key overlaps an earlier one, the as-of window settles it. Points of other keys meet the
+    Where no segment of a key overlaps an earlier one, the as-of scan settles it. Points of other keys meet the
     segments that touch their bucket of time, by an equi-join on key and bucket."""
     s = segments.select(key, F.col("start_ms").alias("_t"), F.lit(0).alias("_kind"), F.lit(None).cast("long").alias("point_id"), F.struct("segment_index", "start_ms", "end_ms").alias("_row"))
     p = points.select(key, F.col("t_ms").alias("_t"), F.lit(1).alias("_kind"), "point_id", F.lit(None).cast(s.schema["_row"].dataType).alias("_row"))
-    order = Window.partitionBy(key).orderBy("_t", "_kind", "point_id", "_row")
-    back = order.rowsBetween(Window.unboundedPreceding, 0)
-    first = F.first("_row", ignorenulls=True).over(Window.partitionBy(key).orderBy("_t", "_kind", "point_id", "_row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    got = s.unionByName(p).withColumn("_asof", F.last("_row", ignorenulls=True).over(back)).withColumn("_first", first).where("_kind = 1")
+    # the segment that follows a point without one before it is the key's first
+    around = [Scan("_asof", "last", F.col("_row")), Scan("_first", "last", F.col("_row"), reverse=True)]
+    got = prefix_scan(s.unionByName(p), key, F.col("_t"), width_ms, ["_t", "_kind", "point_id", "_row"], around).where("_kind = 1")
     latest = got.select(key, "point_id", F.col("_t").alias("t_ms"), "_asof", "_first")
     # a segment before the latest one can only matter if it is still open: only then are they joined
-    over = segments.withColumn("_reach", F.max("end_ms").over(Window.partitionBy(key).orderBy("start_ms", "segment_index").rowsBetween(Window.unboundedPreceding, -1)))
+    over = prefix_scan(segments.select(key, "segment_index", "start_ms", "end_ms"), key, F.col("start_ms"), width_ms, ["start_ms", "segment_index"], [Scan("_reach", "max", F.col("end_ms"))])
     tangled = over.where("_reach > start_ms").select(key).distinct()
     touched = segments.join(tangled, key, "left_semi").where("end_ms > start_ms").select(key, "segment_index", "start_ms", "end_ms", F.explode(F.expr(f"sequence(floor(start_ms / {bucket_ms}), floor((end_ms - 1) / {bucket_ms}))")).alias("_bucket"))
     knots = latest.withColumn("_bucket", F.floor(F.col("t_ms") / bucket_ms)).join(touched, [key, "_bucket"]).where("start_ms <= t_ms AND t_ms < end_ms")

@@ -12,6 +12,10 @@ from vidweave.sources import tables as S
 from vidweave.sources.tables import table, with_ctes
 
 
+#: Events lie over weeks: ranges of a week.
+WEEK_MS = 7 * 86_400_000
+
+
 def _intervals(spark: SparkSession, d: str) -> DataFrame:
     """Events of each user as intervals whose length follows their value."""
     ms = F.unix_millis(F.col("ts").cast("timestamp")) - F.lit(1704067200000)
@@ -33,14 +37,14 @@ def _merged(src: str, gap: int, out: str) -> str:
 
 
 def e1_merge_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return I.merge_intervals(_intervals(spark, d), "user_id", 80)
+    return I.merge_intervals(_intervals(spark, d), "user_id", 80, WEEK_MS)
 
 
 E1 = f"{_IV}, {_merged('iv', 80, 'mg')} SELECT * FROM mg"
 
 
 def _speech(spark: SparkSession, d: str) -> DataFrame:
-    return I.complement_intervals(I.merge_intervals(_intervals(spark, d), "user_id", 80), _durations(spark, d), "user_id")
+    return I.complement_intervals(I.merge_intervals(_intervals(spark, d), "user_id", 80, WEEK_MS), _durations(spark, d), "user_id", WEEK_MS)
 
 
 def e2_complement_intervals(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +58,7 @@ E2 = f"{_CO} SELECT * FROM sp"
 
 
 def _padded(spark: SparkSession, d: str) -> DataFrame:
-    return I.pad_and_merge(_speech(spark, d), _durations(spark, d), "user_id")
+    return I.pad_and_merge(_speech(spark, d), _durations(spark, d), "user_id", width_ms=WEEK_MS)
 
 
 def e3_pad_and_merge(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +70,7 @@ E3 = f"{_PA} SELECT * FROM pm"
 
 
 def e4_cumulative_map(spark: SparkSession, d: str) -> DataFrame:
-    return I.cumulative_map(_padded(spark, d), "user_id")
+    return I.cumulative_map(_padded(spark, d), "user_id", WEEK_MS)
 
 
 _CM = f"{_PA}, cm AS (SELECT *, CAST(sum(end_ms - start_ms) OVER (PARTITION BY user_id ORDER BY start_ms, end_ms ROWS UNBOUNDED PRECEDING) AS BIGINT) AS mapped_end_ms FROM pm), mp AS (SELECT user_id, start_ms, end_ms, mapped_end_ms - (end_ms - start_ms) AS mapped_start_ms, mapped_end_ms FROM cm)"
@@ -83,7 +87,7 @@ FROM (SELECT user_id, duration_ms, CAST(coalesce(sum(end_ms - start_ms), 0) AS B
 
 def e6_map_to_source_timeline(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "orders").select((F.col("o_custkey") % 1000).cast("long").alias("user_id"), F.col("o_orderkey").cast("long").alias("point_id"), (F.col("o_totalprice") * 9000).cast("long").alias("t_ms"))
-    return I.map_to_source(points, I.cumulative_map(_padded(spark, d), "user_id"), "user_id")
+    return I.map_to_source(points, I.cumulative_map(_padded(spark, d), "user_id", WEEK_MS), "user_id", WEEK_MS)
 
 
 E6 = f"""{_CM}, p AS (SELECT CAST(o_custkey % 1000 AS BIGINT) AS user_id, CAST(o_orderkey AS BIGINT) AS point_id, CAST(floor(o_totalprice * 9000) AS BIGINT) AS t_ms FROM orders),

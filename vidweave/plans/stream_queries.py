@@ -24,7 +24,7 @@ H1 = """SELECT request_id, scope, n, n <= 2 AS allowed FROM (SELECT CAST(event_i
 
 def h2_login_lockout(spark: SparkSession, d: str) -> DataFrame:
     a = _events(spark, d).where("event_type IN ('error', 'signup')").select(F.col("user_id").cast("string").alias("key"), F.unix_timestamp("ts").alias("ts_s"), F.col("event_id").cast("long").alias("attempt_id"), (F.col("event_type") == "signup").alias("success"))
-    return W.login_lockout(a, window_s=864000, captcha=2, most=3)
+    return W.login_lockout(a, window_s=864000, captcha=2, most=3, width_s=7 * 86400)
 
 
 def _fold(rows: str, start: str, step: str, done: str) -> str:
@@ -124,7 +124,7 @@ H8 = _ASKS + "SELECT ask_id, scope, md5(lower(trim(question))) AS cache_key, row
 
 def h8_answer_cache_hits_ttl(spark: SparkSession, d: str) -> DataFrame:
     a = _asks(spark, d).select(F.concat_ws("|", "scope", "question").alias("key"), F.unix_timestamp("ts").alias("ts_s"), "ask_id")
-    return W.cache_hits_ttl(a, 5 * 86400)
+    return W.cache_hits_ttl(a, 5 * 86400, width_s=7 * 86400)
 
 
 H8_TTL = _fold(

@@ -1,8 +1,8 @@
 """Rate, lockout, progress, outbox, state and cache operators: batch forms over event tables, and their streams.
 
-Counting forms are windows and aggregates. Anchored windows and guarded state folds are sequential in each key:
-Spark deals the events by key, sorts (and spills) them, and a small state is carried over them batch by batch, so no
-key's events are ever held together; as streams they are arbitrary stateful operators."""
+Counting forms are windows and aggregates. Anchored windows and guarded state folds are sequential in each key, yet no
+key's events meet in one task: anchors are found by doubling pointers, folds by composing maps of runs of events
+(operators.scans). As a stream the lockout is an arbitrary stateful operator."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vidweave.operators.scans import Scan, chain, ordered_fold, prefix_scan
+from vidweave.sources.storage import stored
+
 
 def rate_limit(requests: DataFrame, limit: int, seconds: int, scope: str = "scope", ts: str = "ts", order: str = "request_id") -> DataFrame:
     """Fixed buckets of the clock: in each scope and bucket the first `limit` requests are allowed. The hot scope's
@@ -27,34 +30,6 @@ def rate_limit_stream(requests: DataFrame, limit: int, seconds: int, scope: str
     return w.where(F.col("n") > limit).select(F.col("w.start").alias("window_start"), scope, "n")
 
 
-def in_order(events: DataFrame, key: str, order: list[str], schema: str, start, step, finish=None) -> DataFrame:
-    """A fold over each key's events in order: start() makes a state, step(key, state, row) gives the next state and
-    an output row or None, and finish(key, state), if given, an output row after a key's last event. A task holds one
-    state and one batch of events. Events of a null key are a key of their own."""
-    columns = events.columns
-    at = columns.index(key)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fields = [f.split()[0] for f in schema.split(", ")]
-        now, state, open_ = None, None, False
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False, name=None):
-                this = None if pd.isna(row[at]) else row[at]
-                if not open_ or this != now:
-                    if open_ and finish:
-                        out.append(finish(now, state))
-                    now, state, open_ = this, start(), True
-                state, made = step(now, state, dict(zip(columns, row, strict=True)))
-                if made is not None:
-                    out.append(made)
-            yield pd.DataFrame(out, columns=fields)
-        if open_ and finish:
-            yield pd.DataFrame([finish(now, state)], columns=fields)
-
-    return events.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
-
-
 LOCKOUT = "attempt_id long, key string, failures long, captcha boolean, blocked boolean, retry_after_s long"
 
 
@@ -79,10 +54,46 @@ def lockout_rows(key: str, rows: list[tuple], **limits: int) -> list[tuple]:
     return out
 
 
-def login_lockout(attempts: DataFrame, **limits: int) -> DataFrame:
-    """attempts (key, ts_s, attempt_id, success) with the verdict of each."""
-    step = lambda key, state, r: lockout_step(key, state, r["ts_s"], r["attempt_id"], r["success"], **limits)
-    return in_order(attempts.select("key", "ts_s", "attempt_id", "success"), "key", ["ts_s", "attempt_id"], LOCKOUT, lambda: (None, 0), step)
+def _places(events: DataFrame, key: str, ts: str, order: str, window_s: int, width_s: int, counts: dict[str, Column]) -> DataFrame:
+    """events with, for each of counts (conditions), how many such rows of the key come before them (`name`), and how
+    many come no later than window_s after them (`name_in`)."""
+    marks = [F.when(c, 1).otherwise(0).alias(n) for n, c in counts.items()]
+    real = events.select("*", *marks, F.col(ts).alias("_t"), F.lit(0).alias("_kind"))
+    probes = events.select("*", *[F.lit(0).alias(n) for n in counts], (F.col(ts) + window_s).alias("_t"), F.lit(1).alias("_kind"))
+    scans = [Scan(f"{n}_before", "sum", F.col(n)) for n in counts]
+    both = prefix_scan(real.unionByName(probes), key, F.col("_t"), width_s, ["_t", "_kind", order], scans)
+    zero = lambda n: F.coalesce(F.col(f"{n}_before"), F.lit(0)).cast("long")
+    within = both.where("_kind = 1").select(F.struct(F.col(key)).alias("_k"), F.col(order).alias("_o"), *[zero(n).alias(f"{n}_in") for n in counts])
+    here = both.where("_kind = 0").select(*events.columns, *[zero(n).alias(n) for n in counts])
+    return here.join(within, (F.struct(F.col(key)) == F.col("_k")) & (F.col(order) == F.col("_o"))).drop("_k", "_o")
+
+
+def login_lockout(attempts: DataFrame, window_s: int = 600, captcha: int = 3, most: int = 5, width_s: int = 86_400) -> DataFrame:
+    """attempts (key, ts_s, attempt_id, success) with the verdict of each.
+
+    A failure that finds no open window anchors one. It is closed by a success before `most` failures, or by its end;
+    the next anchor is the first failure after that. So each failure points to the failure that would be the next
+    anchor, and the anchors are the chain of these pointers from the first failure on. Counts come from prefix scans
+    over ranges of `width_s` seconds, so that a hot key is dealt over many tasks. attempt_id is unique."""
+    a = attempts.select("key", "ts_s", "attempt_id", "success")
+    placed = stored(_places(a, "key", "ts_s", "attempt_id", window_s, width_s, {"failed": ~F.col("success")}), "lockout-places")
+    end = F.when(F.col("success"), F.struct("ts_s", "attempt_id", "failed"))
+    ahead = prefix_scan(placed, "key", F.col("ts_s"), width_s, ["ts_s", "attempt_id"], [Scan("cleared", "last", end, reverse=True)])
+    closed = (F.col("cleared.ts_s") <= F.col("ts_s") + window_s) & (F.col("cleared.failed") - F.col("failed") < most)
+    opened = stored(ahead.where("NOT success").withColumn("cleared", F.when(closed, F.col("cleared"))), "lockout-failures")
+    pointers = opened.select("key", F.col("failed").alias("at"), F.coalesce("cleared.failed", "failed_in").alias("to"))
+    anchors = chain(pointers, "key").withColumnRenamed("key", "_k").withColumnRenamed("at", "_f")
+    row = F.struct("ts_s", "failed", "cleared").alias("anchor")
+    anchors = opened.join(anchors, F.col("key").eqNullSafe(F.col("_k")) & (F.col("failed") == F.col("_f"))).select(F.struct("key").alias("_k"), "attempt_id", row)
+    marked = placed.withColumn("_k", F.struct("key")).join(anchors, ["_k", "attempt_id"], "left").drop("_k")
+    judged = prefix_scan(marked, "key", F.col("ts_s"), width_s, ["ts_s", "attempt_id"], [Scan("open", "last", F.col("anchor"), inclusive=True)])
+    since = F.col("failed") - F.col("open.failed")
+    after = F.struct("ts_s", "attempt_id") > F.struct("open.cleared.ts_s", "open.cleared.attempt_id")
+    none = F.col("open").isNull() | (F.col("ts_s") > F.col("open.ts_s") + window_s) | F.coalesce(F.col("open.cleared").isNotNull() & after, F.lit(False))
+    blocked = ~none & (since >= most)
+    failures = F.when(none, 0).when(blocked, most).when(F.col("success"), 0).otherwise(since + 1).cast("long")
+    retry = F.when(blocked, F.col("open.ts_s") + window_s - F.col("ts_s")).otherwise(0).cast("long")
+    return judged.select("attempt_id", "key", failures.alias("failures"), (failures >= captcha).alias("captcha"), blocked.alias("blocked"), retry.alias("retry_after_s"))
 
 
 def login_lockout_stream(attempts: DataFrame, window_s: int = 600, captcha: int = 3, most: int = 5, delay: str = "10 minutes") -> DataFrame:
@@ -137,31 +148,74 @@ EVENT_MOVES: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def event_move(change: str, state: tuple[str, int], most_attempts: int) -> tuple[str, int] | None:
+    """The state (status, attempts) after a change, or None where its guard does not hold."""
+    status, attempts = state
+    if change == "failed" and status == "CONSUMING":
+        return ("DLQ" if attempts + 1 >= most_attempts else "CONSUME_FAILED"), attempts + 1
+    if change in EVENT_MOVES and status in EVENT_MOVES[change][0]:
+        return EVENT_MOVES[change][1], 0 if change == "retry" else attempts
+    return None
+
+
+def event_states(most_attempts: int) -> list[tuple[str, int]]:
+    """All states that changes lead to, the starting one first."""
+    states = [("PENDING", 0)]
+    for state in states:  # grows
+        for change in (*EVENT_MOVES, "failed"):
+            after = event_move(change, state, most_attempts)
+            if after is not None and after not in states:
+                states.append(after)
+    return states
+
+
 def event_state_fold(changes: DataFrame, key: str, order: list[str], most_attempts: int = 3) -> DataFrame:
     """The status and attempts of each key after its changes (column change) in order; a change whose guard does not
-    hold is passed over. `failed` leads to CONSUME_FAILED, or DLQ at the last attempt; `retry` starts anew."""
+    hold is passed over, as is an unknown one. `failed` leads to CONSUME_FAILED, or DLQ at the last attempt; `retry`
+    starts anew.
+
+    A change is a map of states to states, with a count of changes applied; maps compose, so runs of a key's changes
+    are folded apart from each other and a hot key is dealt over many tasks. A map is an array: for each state it
+    starts from, base times the changes applied, plus the code of the state it ends in."""
+    states, names = event_states(most_attempts), (*EVENT_MOVES, "failed")
+    base = len(states)
+    code = lambda after, s: s if after is None else base + states.index(after)
+    moves = [[code(event_move(c, state, most_attempts), s) - s for s, state in enumerate(states)] for c in names]
+    table = F.array(*[F.array(*[F.lit(x).cast("long") for x in row]) for row in (*moves, [0] * base)])
+    numbers = F.create_map(*[x for k, c in enumerate(names) for x in (F.lit(c), F.lit(k))])
+    coded = changes.withColumn("_code", F.coalesce(F.try_element_at(numbers, F.col("change")), F.lit(len(names))))
+    identity = F.array(*[F.lit(s).cast("long") for s in range(base)])
+    end = lambda v: (v % base).cast("int")
+    run = lambda items: F.aggregate(items, identity, lambda f, x: F.transform(f, lambda v: v + F.get(F.get(table, x["_code"]), end(v))))
+    folded = ordered_fold(coded, key, order, run, ["_code"], lambda f, g: F.transform(f, lambda v: v - v % base + F.get(g, end(v))))
+    last = F.get("folded", 0)
+    of = lambda xs: F.get(F.array(*map(F.lit, xs)), end(last))
+    return folded.select(key, of([s for s, _ in states]).alias("status"), of([n for _, n in states]).cast("long").alias("attempts"), F.floor(last / base).alias("applied"))
 
-    def step(_, state: tuple, row: dict) -> tuple:
-        (status, attempts, applied), change = state, row["change"]
-        if change == "failed" and status == "CONSUMING":
-            return ("DLQ" if attempts + 1 >= most_attempts else "CONSUME_FAILED", attempts + 1, applied + 1), None
-        needs, makes = EVENT_MOVES.get(change, ((), ""))
-        if status not in needs:
-            return state, None
-        return (makes, 0 if change == "retry" else attempts, applied + 1), None
 
-    key_type = changes.schema[key].dataType.simpleString()
-    return in_order(changes.select(key, *order, "change"), key, order, f"{key} {key_type}, status string, attempts long, applied long", lambda: ("PENDING", 0, 0), step, lambda k, state: (k, *state))
+def job_state_fold(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Compare-and-set by version: a change (version, status) applies if its version is the current one, from 0 on.
 
+    A run of changes is a map of versions: those that it names and moves, each with the version and status it ends at;
+    others stay. Maps compose, so runs are folded apart. A key's map holds an entry for each version that its changes
+    name."""
+    to = lambda v, status: F.struct(v.alias("version"), status.alias("status"))
+    none = F.map_filter(F.create_map(F.lit(0).cast("long"), to(F.lit(0).cast("long"), F.lit(""))), lambda k, _: k != 0)
 
-def job_state_fold(changes: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """Compare-and-set by version: a change (version, status) applies if its version is the current one."""
+    def one(f: Column, x: Column) -> Column:
+        moved = F.transform_values(f, lambda _, s: F.when(s["version"] == x["version"], to(x["version"] + 1, x["status"])).otherwise(s))
+        fresh = F.create_map(x["version"], to(x["version"] + 1, x["status"]))
+        return F.when(x["version"].isNull(), f).when(F.map_contains_key(f, x["version"]), moved).otherwise(F.map_concat(moved, fresh))
 
-    def step(_, state: tuple, row: dict) -> tuple:
-        return ((row["status"], state[1] + 1) if row["version"] == state[1] else state), None
+    def both(f: Column, g: Column) -> Column:
+        moved = F.transform_values(f, lambda _, s: F.coalesce(F.try_element_at(g, s["version"]), s))
+        return F.map_concat(moved, F.map_filter(g, lambda v, _: ~F.map_contains_key(f, v)))
 
-    key_type = changes.schema[key].dataType.simpleString()
-    return in_order(changes.select(key, *order, "version", "status"), key, order, f"{key} {key_type}, status string, version long, finished boolean", lambda: ("PENDING", 0), step, lambda k, s: (k, *s, s[0] in ("DONE", "FAILED")))
+    c = changes.withColumn("version", F.col("version").cast("long"))
+    folded = ordered_fold(c, key, order, lambda items: F.aggregate(items, none, one), ["version", "status"], both)
+    end = F.try_element_at("folded", F.lit(0).cast("long"))
+    status = F.coalesce(end["status"], F.lit("PENDING"))
+    return folded.select(key, status.alias("status"), F.coalesce(end["version"], F.lit(0).cast("long")).alias("version"), status.isin("DONE", "FAILED").alias("finished"))
 
 
 def last_question_memory(asks: DataFrame, key: str, ts: str, order: str, ttl: str = "20 minutes") -> DataFrame:
@@ -178,14 +232,14 @@ def cache_hits(asks: DataFrame, scope: str, question: str, ts: str, order: str)
     return asks.withColumn("cache_key", key).withColumn("hit", n > 1)
 
 
-def cache_hits_ttl(asks: DataFrame, ttl_s: int = 1800) -> DataFrame:
-    """asks (key, ts_s, ask_id): a hit if the stored answer is not older than ttl_s; its time starts at the miss."""
-
-    def step(key, anchor, row: dict) -> tuple:
-        hit = anchor is not None and row["ts_s"] <= anchor + ttl_s
-        return (anchor if hit else row["ts_s"]), (row["ask_id"], key, hit)
-
-    return in_order(asks.select("key", "ts_s", "ask_id"), "key", ["ts_s", "ask_id"], "ask_id long, key string, hit boolean", lambda: None, step)
+def cache_hits_ttl(asks: DataFrame, ttl_s: int = 1800, width_s: int = 86_400) -> DataFrame:
+    """asks (key, ts_s, ask_id): a hit if the stored answer is not older than ttl_s; its time starts at the miss. The
+    misses are the chain of pointers from each ask to the first one beyond its time to live."""
+    a = asks.select("key", "ts_s", "ask_id")
+    placed = stored(_places(a, "key", "ts_s", "ask_id", ttl_s, width_s, {"asked": F.lit(True)}), "cache-places")
+    misses = chain(placed.select("key", F.col("asked").alias("at"), F.col("asked_in").alias("to")), "key")
+    marked = misses.select(F.struct("key").alias("_k"), F.col("at").alias("asked"), F.lit(True).alias("_miss"))
+    return placed.withColumn("_k", F.struct("key")).join(marked, ["_k", "asked"], "left").select("ask_id", "key", F.col("_miss").isNull().alias("hit"))
 
 
 def ingest_stream(segments: DataFrame, index_path: str, checkpoint: str, build) -> object:
