@@ -1,7 +1,7 @@
 """Embedding, search, ranking and citing of transcript segments for many questions at once.
 
-A sparse vector is one row with a map of bucket to value, or a row for each bucket. Search joins question and segment
-on (video, bucket), so only pairs in scope that share a bucket meet, and no hot bucket crosses videos."""
+A sparse vector is one row with a map of bucket to value, or a row for each bucket. Segments are searched by a stored
+index with block-max bounds (search_index)."""
 
 from __future__ import annotations
 
@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidweave.functions import text as T
+from vidweave.sources.storage import stored
+
+from . import search_index
 
 
 def sparse_vectors(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 256, groups: list | None = None) -> DataFrame:
@@ -65,15 +68,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0) | (scale == 0), 0.0).otherwise(dot / scale)
 
 
-def vector_search(questions: DataFrame, scopes: DataFrame, segments: DataFrame, k: int = 12, least: float = 0.08, dim: int = 256, groups: list | None = None) -> DataFrame:
-    """The k best segments of each question within its videos. questions: question_id, question; scopes:
-    question_id, video_id; segments: id, video_id, segment_index, start_ms, content."""
-    q = hash_embed(questions, ["question_id"], "question", dim, groups).join(scopes, "question_id").select("question_id", "video_id", "bucket", F.col("value").alias("_qv"), F.col("norm").alias("_qn"))
-    ids = ["id", "video_id", "segment_index", "start_ms"]
-    s = hash_embed(segments.select(*ids, "content"), ids, "content", dim, groups)
-    hits = s.join(q, ["video_id", "bucket"]).groupBy("question_id", *ids).agg(F.round(F.sum(F.col("value") * F.col("_qv")) / (F.first("norm") * F.first("_qn")), 6).alias("vec"))
-    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("vec"), "start_ms", "video_id", "segment_index"))
-    return hits.where(F.col("vec") >= least).withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+def vector_search(questions: DataFrame, scopes: DataFrame, index: DataFrame, k: int = 12, least: float = 0.08, dim: int = 256, groups: list | None = None) -> DataFrame:
+    """The k best segments of each question within its videos, by a stored index (search_index.build_index, made with
+    the same dim and groups). questions: question_id, question; scopes: question_id, video_id."""
+    return search_index.search(index, sparse_vectors(questions, ["question_id"], "question", dim, groups), scopes, k, least, dim)
 
 
 def clamp(c: Column) -> Column:
@@ -112,9 +110,9 @@ def half_up(c: Column) -> Column:
     return F.floor(c + 0.5).cast("long")
 
 
-def retrieve_evidence(questions: DataFrame, scopes: DataFrame, segments: DataFrame, k: int = 3, least_vec: float = 0.32, diverse: bool = False, dim: int = 256, groups: list | None = None, synonyms: list | None = None) -> DataFrame:
-    """The evidence of each question: search, keyword filter, rerank, order and cut to k."""
-    found = vector_search(questions, scopes, segments, 4 * k, dim=dim, groups=groups)
+def retrieve_evidence(questions: DataFrame, scopes: DataFrame, segments: DataFrame, index: DataFrame, k: int = 3, least_vec: float = 0.32, diverse: bool = False, dim: int = 256, groups: list | None = None, synonyms: list | None = None) -> DataFrame:
+    """The evidence of each question: search of the index, keyword filter, rerank, order and cut to k."""
+    found = stored(vector_search(questions, scopes, index, 4 * k, dim=dim, groups=groups), "found")
     e = found.drop("rank").join(segments.select("id", "end_ms", "content"), "id").join(questions.select("question_id", "question"), "question_id")
     keyword = T.keyword_score(F.col("content"), T.query_terms(F.col("question"), synonyms=synonyms))
     e = e.withColumn("kw", keyword).where((F.col("kw") > 0) | (F.col("vec") >= least_vec))
@@ -151,8 +149,9 @@ def answer_batch(questions: DataFrame, evidence: DataFrame, videos: DataFrame) -
 
 
 def index_delta(segments: DataFrame, index: DataFrame) -> DataFrame:
-    """Segments to embed: those whose (id, content hash) is not in the index."""
-    return segments.withColumn("content_hash", F.md5("content")).join(index.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
+    """Segments to embed: those with a token whose (id, content hash) is not in the index."""
+    some = segments.where(F.size(T.tokenize(F.col("content"))) > 0)  # others have no vector
+    return some.withColumn("content_hash", F.md5("content")).join(index.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
 
 
 def kb_compare(questions: DataFrame, links: DataFrame, segments: DataFrame, k: int = 3, synonyms: list | None = None) -> DataFrame:

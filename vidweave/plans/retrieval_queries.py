@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vidweave.operators import retrieval as R
+from vidweave.operators import search_index
 from vidweave.sources import tables as S
+from vidweave.sources.storage import new_path
 from vidweave.sources.tables import table, with_ctes
 
 from .text_queries import _HASH, _TOK, _in
@@ -21,8 +23,21 @@ def _segments(spark: SparkSession, d: str) -> DataFrame:
     return S.segments(spark, d)
 
 
+_built: dict[tuple[str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    """The index of all segments of the given tables: built at its first use in an application, then read."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _built:
+        path = new_path(spark, "segment-index")
+        search_index.build_index(_segments(spark, d), path, groups=[])
+        _built[key] = path
+    return search_index.read_index(spark, _built[key])
+
+
 def d1_vector_search(spark: SparkSession, d: str) -> DataFrame:
-    found = R.vector_search(S.questions(spark, d), _scopes(spark, d), _segments(spark, d), groups=[])
+    found = R.vector_search(S.questions(spark, d), _scopes(spark, d), _index(spark, d), groups=[])
     return found.select("question_id", "id", "vec", "rank")
 
 
@@ -39,7 +54,7 @@ D1 = _D1 + " SELECT question_id, id, vec, rank FROM found"
 
 
 def _evidence(spark: SparkSession, d: str, diverse: bool = False) -> DataFrame:
-    return R.retrieve_evidence(S.questions(spark, d), _scopes(spark, d), _segments(spark, d), diverse=diverse, groups=[], synonyms=[])
+    return R.retrieve_evidence(S.questions(spark, d), _scopes(spark, d), _segments(spark, d), _index(spark, d), diverse=diverse, groups=[], synonyms=[])
 
 
 def d4_retrieve_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -121,12 +136,11 @@ def d10_index_delta(spark: SparkSession, d: str) -> DataFrame:
     return R.index_delta(s, index).select("id", "content_hash")
 
 
-D10 = with_ctes("segments") + "SELECT id, md5(content) AS content_hash FROM segments WHERE id % 4 = 0 OR (id % 7 = 0 AND content <> 'old')"
+D10 = with_ctes("segments") + f"SELECT id, md5(content) AS content_hash FROM segments WHERE (id % 4 = 0 OR (id % 7 = 0 AND content <> 'old')) AND len({_TOK.format('content')}) > 0"
 
 
 def d11_rebuild_index(spark: SparkSession, d: str) -> DataFrame:
-    s = S.segments(spark, d)
-    e = R.hash_embed(s, ["id", "video_id"], "content", groups=[]).groupBy("video_id").agg(F.countDistinct("id").alias("indexed"), F.sum("value").cast("long").alias("n_tokens"))
+    s, e = S.segments(spark, d), search_index.index_stats(_index(spark, d))
     n = s.groupBy("video_id").agg(F.count(F.lit(1)).alias("segments"))
     return n.join(e, "video_id", "left").select("video_id", "segments", F.coalesce("indexed", F.lit(0)).cast("long").alias("indexed"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
 

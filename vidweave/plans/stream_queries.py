@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vidweave.operators import search_index
 from vidweave.sources import tables as S
+from vidweave.sources.storage import new_path
 from vidweave.sources.tables import table, with_ctes
 from vidweave.streaming import windows as W
 
+from .text_queries import _TOK
+
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -134,14 +138,15 @@ H8_TTL = _fold(
 
 
 def h9_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """What ingestion adds to an index that holds all even videos: the cleaned segments of the others, with hashes."""
-    s = S.segments(spark, d)
-    index = s.where("video_id % 2 = 0").select("id", F.md5("content").alias("content_hash"))
-    fresh = s.withColumn("content_hash", F.md5("content")).join(index, ["id", "content_hash"], "left_anti")
-    return fresh.groupBy("video_id").agg(F.count(F.lit(1)).alias("indexed"), F.sum(F.length("content")).alias("n_chars"))
+    """What a search index holds of each video after ingestion: built from the segments of even videos, some of them
+    with an old text, then updated with the segments of the others and the new texts."""
+    s, old = S.segments(spark, d), F.col("id") % 5 == 0
+    path = new_path(spark, "ingested-index")
+    search_index.build_index(s.where("video_id % 2 = 0").withColumn("content", F.when(old, "old text").otherwise(F.col("content"))), path, groups=[])
+    return search_index.index_stats(search_index.update_index(s.where((F.col("video_id") % 2 == 1) | old), path, groups=[]))
 
 
-H9 = with_ctes("segments") + "SELECT video_id, count(*) AS indexed, CAST(sum(length(content)) AS BIGINT) AS n_chars FROM segments WHERE video_id % 2 = 1 GROUP BY 1"
+H9 = with_ctes("segments") + f"SELECT video_id, count(*) AS indexed, CAST(sum(n) AS BIGINT) AS n_tokens FROM (SELECT video_id, len({_TOK.format('content')}) AS n FROM segments) WHERE n > 0 GROUP BY 1"
 
 QUERIES = {k: f for k, f in list(globals().items()) if k[0] == "h" and k[1:2].isdigit()}
 ORACLES = {k: globals()[o] for k in QUERIES if (o := k.split("_")[0].upper() + ("_TTL" if k.endswith("_ttl") else "")) in globals()}

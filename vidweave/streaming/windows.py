@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidweave.operators.scans import Scan, chain, ordered_fold, prefix_scan
+from vidweave.operators.search_index import update_index
 from vidweave.sources.storage import stored
 
 
@@ -250,3 +251,14 @@ def ingest_stream(segments: DataFrame, index_path: str, checkpoint: str, build)
         build(batch).write.mode("overwrite").parquet(f"{index_path}/batch={batch_id}")
 
     return segments.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def index_stream(segments: DataFrame, path: str, checkpoint: str, **options) -> object:
+    """Each micro-batch of segments (streaming) put into the search index at path: its segments replace those of their
+    ids, so a batch that runs again changes nothing."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        last = batch.groupBy("id").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "id"]), F.struct("start_ms", "content")).alias("l")).select("id", "l.*")
+        update_index(last, path, **options)
+
+    return segments.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
