@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidweave.functions import text as T
+from vidweave.sources.storage import stored
+
+from .scans import Scan, prefix_scan
 
 ASR_JSON = "struct<result: struct<language: string>, transcription: array<struct<text: string, offsets: struct<`from`: bigint, `to`: bigint>>>>"
-SUMMARY_JSON = "struct<points: array<string>, items: array<string>, hooks: array<string>>"
+_SPACE = " \t\n\r\x0b\x0c"
 SNAPSHOT_JSON = "array<struct<segment_index: bigint, start_ms: bigint, end_ms: bigint, content: string>>"
 
 
@@ -104,13 +111,18 @@ def parse_asr_json(df: DataFrame, json: str = "json") -> DataFrame:
 
 
 def summary_items(json: Column) -> Column:
-    """The first list with entries of points, items and hooks, trimmed; broken JSON is its only item."""
-    j = F.from_json(json, SUMMARY_JSON)
-    clean = lambda c: F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    lists = [clean(j[k]) for k in ("points", "items", "hooks")]
-    first = F.when(F.size(lists[0]) > 0, lists[0]).when(F.size(lists[1]) > 0, lists[1]).otherwise(lists[2])
-    broken = ~F.coalesce(F.trim(json).startswith("{") & F.trim(json).endswith("}"), F.lit(False))
-    return F.when(json.isNull() | (F.trim(json) == ""), F.array().cast("array<string>")).when(broken, F.array(json)).otherwise(first)
+    """The first list with entries of points, items and hooks, trimmed, numbers as text. A text that is no JSON is its
+    only item; JSON without these lists (a list, a number) has none."""
+    whole = F.try_parse_json(json)
+    member = lambda k: F.try_variant_get(whole, f"$.{k}", "array<variant>")
+    plain = lambda x: ~F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)")
+    text = lambda x: F.when(plain(x), F.trim(F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("")), F.lit(_SPACE))).otherwise("")
+    none = F.array().cast("array<string>")
+    clean = lambda k: F.filter(F.transform(F.coalesce(member(k), F.array().cast("array<variant>")), text), lambda x: x != "")
+    lists = F.array(*[clean(k) for k in ("points", "items", "hooks")])
+    first = F.coalesce(F.get(F.filter(lists, lambda x: F.size(x) > 0), 0), none)
+    blank = json.isNull() | (F.trim(json, F.lit(_SPACE)) == "")
+    return F.when(blank, none).when(whole.isNull(), F.array(json)).otherwise(first)
 
 
 def parse_snapshot_json(df: DataFrame, json: str = "snapshot_json") -> DataFrame:
@@ -124,13 +136,14 @@ def version_list(versions: DataFrame, n: int = 20, preview: int = 90) -> DataFra
     return v.select("video_id", "version_no", F.size("_s").cast("long").alias("n_segments"), T.compact_text(first, preview, "...").alias("preview"))
 
 
-def render_markdown(title: Column, subtitle: Column, summary: Column, sections: Column, notes: Column, headings: tuple[str, str] = ("执行摘要", "来源片段")) -> Column:
-    """A document as Markdown. sections: array of struct heading, bullets; notes: array of string."""
+def render_markdown(title: Column, subtitle: Column, summary: Column, sections: Column, notes: Column, headings: tuple[str, str] = ("执行摘要", "来源片段"), actions: Column | None = None, actions_heading: str = "行动项", footer: str = "") -> Column:
+    """A document as Markdown. sections: array of struct heading, bullets; notes and actions: array of string."""
     bullets = lambda xs: F.concat(F.array_join(F.transform(xs, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), ""), F.lit("\n"))
+    items = lambda heading, xs: F.when(F.size(xs) > 0, F.concat(F.lit(f"## {heading}\n\n"), bullets(xs))).otherwise("")
     body = F.array_join(F.transform(sections, lambda s: F.concat(F.lit("## "), s["heading"], F.lit("\n\n"), bullets(s["bullets"]))), "")
-    tail = F.when(F.size(notes) > 0, F.concat(F.lit(f"## {headings[1]}\n\n"), bullets(notes))).otherwise("")
     quote = F.when(F.trim(subtitle) != "", F.concat(F.lit("> "), subtitle, F.lit("\n\n"))).otherwise("")
-    return F.concat(F.lit("# "), title, F.lit("\n\n"), quote, F.lit(f"## {headings[0]}\n\n"), summary, F.lit("\n\n"), body, tail)
+    to_do = F.lit("") if actions is None else items(actions_heading, actions)
+    return F.concat(F.lit("# "), title, F.lit("\n\n"), quote, F.lit(f"## {headings[0]}\n\n"), summary, F.lit("\n\n"), body, to_do, items(headings[1], notes), F.lit(footer))
 
 
 def validate_container(content: Column, name: Column, size: Column, most: int, extensions: tuple[str, ...] = ("mp4", "mov", "m4v", "mkv", "webm", "avi")) -> Column:
@@ -148,23 +161,88 @@ def glossary_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(n).groupBy("pattern", "replacement").agg(F.max_by("enabled", "updated").alias("enabled"), F.max("updated").alias("updated"))
 
 
-def context_repair(segments: DataFrame, rules: list[tuple[list[str], str, str]], most_longer: int = 24) -> DataFrame:
-    """Patches of segments by rules (needles, pattern, replacement), each used only in videos with one of its needles
-    in some segment; a patch must change the text and keep its length in bounds."""
-    low = F.lower("content")
-    flags = segments.groupBy("video_id").agg(*[F.max(T.contains_any(low, needles)).alias(f"_f{k}") for k, (needles, _, _) in enumerate(rules)])
-    out, text = segments.join(flags, "video_id"), F.col("content")
-    for k, (_, pattern, replacement) in enumerate(rules):
-        text = F.when(F.col(f"_f{k}"), F.regexp_replace(text, pattern, replacement)).otherwise(text)
-    n, before = F.length("_text"), F.greatest(F.lit(1), F.length("content"))
-    out = out.withColumn("_text", text).where((F.trim("_text") != "") & (F.col("_text") != F.col("content")) & (n <= before + most_longer) & (n >= F.greatest(F.lit(1), F.floor(before / 3))))
-    return out.select("id", "video_id", F.col("_text").alias("text"))
+@dataclass(frozen=True)
+class ContextRule:
+    """A pattern that is replaced in videos whose text holds one of the strong needles, or two of the weak ones."""
+
+    strong: tuple[str, ...]
+    pattern: str
+    replacement: str
+    weak: tuple[str, ...] = ()
+
+
+#: Misheard terms, and what must be in a video's text for each to be mended.
+CONTEXT_RULES: list[ContextRule] = [
+    ContextRule(("redis", "redisson", "setnx"), r"(?iu)(?<![A-Za-z])read\s+is(?![A-Za-z])|(?<![A-Za-z])ready\s+is(?![A-Za-z])|瑞蒂斯|雷蒂斯", "Redis", ("缓存", "分布式锁", "热点 key", "令牌桶")),
+    ContextRule(("mysql", "sql", "数据库", "唯一索引", "事务", "回表", "explain"), r"(?iu)买\s*SQL|麦\s*SQL|(?<![A-Za-z])mine\s+sql(?![A-Za-z])", "MySQL"),
+    ContextRule(("mybatis", "mapper", "动态 sql", "批量入库"), r"(?iu)(?<![A-Za-z])my\s+bat\s*is(?![A-Za-z])|买\s*batis", "MyBatis"),
+    ContextRule(("docker", "容器", "镜像", "compose"), r"(?iu)(?<![A-Za-z])dock\s+her(?![A-Za-z])|打客|多克|道客", "Docker"),
+    ContextRule(("qdrant", "向量数据库", "vector", "embedding"), r"(?iu)(?<![A-Za-z])q\s*drant(?![A-Za-z])|向量库", "Qdrant"),
+    ContextRule(("embedding", "向量", "召回", "rag"), r"(?iu)(?<![A-Za-z])im\s*bedding(?![A-Za-z])|嵌入向量", "Embedding"),
+    ContextRule(("rerank", "重排", "召回", "向量"), r"(?iu)(?<![A-Za-z])re\s*rank(?![A-Za-z])|重排序", "Rerank"),
+    ContextRule(("agent", "工具调用", "多轮", "问答", "rag"), r"(?iu)(?<![A-Za-z])a\s+gent(?![A-Za-z])|智能代理", "Agent"),
+    ContextRule(("rag", "检索增强", "向量", "召回", "引用"), r"(?iu)检索增强生成|(?<![A-Za-z])rack(?![A-Za-z])", "RAG"),
+    ContextRule(("claude", "claude code", "codex", "ai 编程"), r"(?iu)(?<![A-Za-z])cloud\s+code(?![A-Za-z])|克劳德\s*(代码|扣的|code)", "Claude Code"),
+    ContextRule(("codex", "claude code", "代码", "vibecoding"), r"(?iu)(?<![A-Za-z])cortex(?![A-Za-z])|代码\s*x", "Codex"),
+    ContextRule(("jvm", "堆内存", "gc", "线程", "java"), r"(?iu)(?<![A-Za-z])java\s+virtual\s+machine(?![A-Za-z])|虚拟机内存", "JVM"),
+    ContextRule(("oom", "内存", "jvm", "堆"), r"(?iu)内存溢出|(?<![A-Za-z])out\s+of\s+memory(?![A-Za-z])", "OOM"),
+    ContextRule(("mq", "消息", "rocketmq", "异步", "队列"), r"(?iu)消息队列|(?<![A-Za-z])message\s+queue(?![A-Za-z])", "MQ"),
+]
 
 
-def repair_batch(segments: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Segments scanned and repaired of each video."""
-    s = segments.withColumn("_changed", T.correct_terms(F.col("content"), rules) != F.col("content"))
-    return s.groupBy("video_id").agg(F.count(F.lit(1)).alias("scanned"), F.count(F.when(F.col("_changed"), 1)).alias("repaired"), F.max("_changed").alias("reindexed"))
+def context_evidence(segments: DataFrame, rules: list[ContextRule], text: str = "_plain", width: int = 1000) -> DataFrame:
+    """(video_id, _e0, _e1, ...): whether each rule has its evidence in the video's text, its segments' joined by
+    spaces, lower case. A needle with spaces may lie across the border of segments: each is looked up in a segment and
+    the ends of as many before it as the needle has spaces, as long as a needle. No video's text is put together."""
+    needles = sorted({n.lower() for r in rules for n in (*r.strong, *r.weak)})
+    back, longest = max((n.count(" ") for n in needles), default=0), max(map(len, needles), default=1)
+    s = segments.withColumn("_hay", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    s = s.withColumn("_near", F.col("_hay"))
+    for _ in range(back):  # what stands before, one segment further back each time
+        s = prefix_scan(s, "video_id", F.col("segment_index"), width, ["segment_index", "id"], [Scan("_before", "last", F.right("_near", F.lit(longest)))])
+        s = s.withColumn("_near", F.concat(F.coalesce(F.concat("_before", F.lit(" ")), F.lit("")), "_hay")).drop("_before")
+    found = s.groupBy("video_id").agg(*[F.max(F.col("_near").contains(n)).alias(f"_n{k}") for k, n in enumerate(needles)])
+    at = {n: F.col(f"_n{k}") for k, n in enumerate(needles)}
+
+    def evidence(rule: ContextRule) -> Column:
+        any_strong = reduce(lambda a, b: a | b, [at[n.lower()] for n in rule.strong], F.lit(False))
+        return any_strong | (reduce(lambda a, b: a + b, [at[n.lower()].cast("int") for n in rule.weak], F.lit(0)) >= 2)
+
+    return found.select("video_id", *[evidence(r).alias(f"_e{k}") for k, r in enumerate(rules)])
+
+
+def context_repair(segments: DataFrame, rules: list[ContextRule] | None = None, terms: list[tuple[str, str]] | None = None, most_longer: int = 24, width: int = 1000) -> DataFrame:
+    """Patches (id, video_id, text) of segments: normalised, mended by the rules that have evidence in their video,
+    and normalised again. A patch changes the text, is not blank and keeps the normalised length in bounds. terms: the
+    term rules of normalising."""
+    rules = CONTEXT_RULES if rules is None else rules
+    s = segments.select("id", "video_id", "segment_index", "content", T.normalize_transcript(F.col("content"), terms).alias("_plain"))
+    s = stored(s, "context-plain")
+    out = s.join(context_evidence(s, rules, width=width), "video_id")
+    text = F.col("_plain")
+    for k, r in enumerate(rules):
+        text = F.when(F.col(f"_e{k}"), F.regexp_replace(text, r.pattern, r.replacement.replace("\\", "\\\\").replace("$", "\\$"))).otherwise(text)
+        out, text = out.withColumn("_text", text), F.col("_text")
+    out = out.withColumn("_text", T.normalize_transcript(text, terms))
+    n, before = F.length("_text"), F.greatest(F.lit(1), F.length("_plain"))
+    safe = (F.trim("_text") != "") & (F.col("_text") != F.coalesce("content", F.lit(""))) & (n <= before + most_longer) & (n >= F.greatest(F.lit(1), F.floor(before / 3)))
+    return out.where(safe).select("id", "video_id", F.col("_text").alias("text"))
+
+
+def repair_batch(segments: DataFrame, rules: list[ContextRule] | None = None, terms: list[tuple[str, str]] | None = None, glossary: list[tuple[str, str]] | None = None, repair: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """segments repaired in three steps (encoding and terms, context, glossary), and by video how many were scanned,
+    how many each step changed, the sum, and whether the video is to be indexed again. repair: the first step, a struct
+    of text and changed (default: T.repair_transcript)."""
+    repaired = T.repair_transcript(F.col("content"), terms) if repair is None else repair(F.col("content"))
+    one = stored(segments.withColumn("_r", repaired).select(*[c for c in segments.columns if c != "content"], F.col("_r.text").alias("content"), F.col("_r.changed").alias("_encoding")), "repair-encoding")
+    patches = context_repair(one, rules, terms).select("id", F.col("text").alias("_text"))
+    two = one.join(patches, "id", "left").withColumn("_context", F.col("_text").isNotNull()).withColumn("content", F.coalesce("_text", "content")).drop("_text")
+    three = two.withColumn("_text", T.apply_glossary(F.col("content"), glossary or [])).withColumn("_glossary", F.col("_text") != F.col("content"))
+    done = stored(three.withColumn("content", F.col("_text")).drop("_text"), "repair-done")
+    n = lambda c: F.count(F.when(F.col(c), 1))
+    counts = done.groupBy("video_id").agg(F.count(F.lit(1)).alias("scanned"), n("_encoding").alias("encoding"), n("_context").alias("context"), n("_glossary").alias("glossary"))
+    total = F.col("encoding") + F.col("context") + F.col("glossary")
+    return done.drop("_encoding", "_context", "_glossary"), counts.withColumn("repaired", total).withColumn("reindexed", total > 0)
 
 
 def local_summaries(segments: DataFrame, videos: DataFrame, limits: dict[str, int]) -> DataFrame:

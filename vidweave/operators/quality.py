@@ -84,16 +84,30 @@ def apply_fusion(segments: DataFrame, replacements: DataFrame) -> DataFrame:
     return segments.join(r, ["video_id", "segment_index"], "left").withColumn("content", F.coalesce("_text", "content")).withColumn("applied", F.col("_text").isNotNull()).drop("_text")
 
 
-def select_subtitle_line(boxes: DataFrame, least_score: float = 0.5, most_length: int = 90) -> DataFrame:
-    """The best line of each frame, then the best frame of each segment. boxes: video_id, segment_index, attempt,
-    width, height, box (array of points), text, score."""
-    y = F.aggregate("box", F.lit(0.0), lambda a, p: a + F.get(p, 1)) / F.size("box") / F.col("height")
-    cjk = F.regexp_count(F.col("text"), F.lit(T.CJK)) / F.greatest(F.lit(1), F.length("text"))
-    b = boxes.withColumn("_y", y).withColumn("_cjk", cjk).where((F.col("score") >= least_score) & F.length(F.trim("text")).between(2, most_length) & ~F.trim("text").rlike(r"^[\d\s:./-]+$") & (F.col("_y") >= 0.5))
-    b = b.withColumn("_rank", F.col("score") + 1.2 * F.col("_cjk") + F.col("_y") - F.least(F.length("text"), F.lit(90)) / 260)
-    frame = b.groupBy("video_id", "segment_index", "attempt").agg(F.max_by(F.struct("text", "score", "_y"), F.struct("_rank", "text")).alias("l"))
-    best = frame.groupBy("video_id", "segment_index").agg(F.max_by(F.struct("l.text", "l.score"), F.struct(F.col("l.score") + F.col("l._y"), -F.col("attempt"))).alias("l"))
-    return best.select("video_id", "segment_index", "l.text", "l.score")
+#: What frames a text read from the screen, and what counts as numeric beside digits.
+EDGE_MARKS = "·•|_=- "
+NUMERIC_MARKS = ".,:/%Kk"
+
+
+def select_subtitle_line(boxes: DataFrame, least_score: float = 0.88, y_min: float = 0.52, x_range: tuple[float, float] = (0.14, 0.86), most_length: int = 90, numeric_share: float = 0.78, prefer_cjk: bool = False) -> DataFrame:
+    """The best line of each frame, then the best frame of each segment. boxes: video_id, segment_index, attempt (the
+    frame's number), position (the box's place in its frame), width, height, box (array of points), text, score.
+
+    A line counts if its text without white space and edge marks has 2 to most_length characters, is not mostly
+    numeric, is read surely enough and lies low and central. The best one has the most score, a bonus for CJK and for
+    lying low, less its length; the best frame the most score and height. Ties go to the earlier box and frame."""
+    mean = lambda k: F.aggregate("box", F.lit(0.0), lambda a, p: a + F.get(p, k)) / F.size("box")
+    clean = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\s\p{Z}]+", ""), F.lit(EDGE_MARKS))
+    b = boxes.withColumn("_text", clean).withColumn("_x", mean(0) / F.greatest(F.lit(1), "width")).withColumn("_y", mean(1) / F.greatest(F.lit(1), "height"))
+    cjk = F.col("_text").rlike("[\u4e00-\u9fff]")
+    numeric = F.regexp_count("_text", F.lit(rf"[\p{{Nd}}{NUMERIC_MARKS}]")) / F.length("_text")
+    good = (F.col("score") >= least_score) & F.length("_text").between(2, most_length) & (numeric < numeric_share) & (F.col("_y") >= y_min) & F.col("_x").between(*x_range)
+    b = b.where(good & cjk if prefer_cjk else good)
+    rank = F.col("score") + F.when(cjk, 1.2).otherwise(0.0) + F.col("_y") - F.least(F.length("_text"), F.lit(90)) / 260
+    line = F.struct(F.col("_text").alias("text"), "score", F.round("_y", 4).alias("center_y"), F.round("_x", 4).alias("center_x"))
+    frame = b.groupBy("video_id", "segment_index", "attempt").agg(F.max_by(line, F.struct(rank, -F.col("position"))).alias("l"))
+    best = frame.groupBy("video_id", "segment_index").agg(F.max_by(F.struct("l.*", "attempt"), F.struct(F.col("l.score") + F.col("l.center_y"), -F.col("attempt"))).alias("l"))
+    return best.select("video_id", "segment_index", "l.*")
 
 
 def leading_text(segments: DataFrame, least: int = 600, preview: int = 160) -> DataFrame:

@@ -56,14 +56,18 @@ def video_coverage(segments: DataFrame) -> DataFrame:
     return segments.groupBy("video_id").agg(F.count(F.lit(1)).alias("transcript_count"), F.min_by("start_ms", "segment_index").alias("first_start_ms"), F.max_by("end_ms", "segment_index").alias("last_end_ms"))
 
 
-def kb_coverage(links: DataFrame, videos: DataFrame, segments: DataFrame) -> DataFrame:
-    """Totals of each base; segments are reduced to a row a video before the links multiply them."""
-    per_video = videos.select("video_id", "status").join(video_coverage(segments), "video_id", "left")
-    rows = links.join(per_video, "video_id")
-    return rows.groupBy("kb_id").agg(
-        F.count(F.lit(1)).alias("videos"), F.count(F.when(F.col("status") == "READY", 1)).alias("ready"),
-        F.coalesce(F.sum("transcript_count"), F.lit(0)).alias("segments"), F.coalesce(F.sum(F.col("last_end_ms") - F.col("first_start_ms")), F.lit(0)).alias("duration_ms"),
-    )
+def kb_coverage_videos(links: DataFrame, videos: DataFrame, segments: DataFrame) -> DataFrame:
+    """The videos of each base with their own duration and what their segments cover (0 without any); segments are
+    reduced to a row a video before the links multiply them."""
+    per_video = videos.select("video_id", "original_name", "status", "duration_ms").join(video_coverage(segments), "video_id", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return links.select("kb_id", "video_id").join(per_video, "video_id").select("kb_id", "video_id", "original_name", "status", "duration_ms", zero("transcript_count"), zero("first_start_ms"), zero("last_end_ms"))
+
+
+def kb_coverage(rows: DataFrame) -> DataFrame:
+    """Totals of each base, from kb_coverage_videos: duration_ms is the sum of the videos' own durations."""
+    g = rows.groupBy("kb_id").agg(F.count(F.lit(1)).alias("videos"), F.count(F.when(F.col("status") == "READY", 1)).alias("ready"), F.sum("transcript_count").alias("segments"), F.coalesce(F.sum("duration_ms"), F.lit(0)).alias("duration_ms"))
+    return g.withColumn("summary", F.format_string("%d videos, %d ready, %d transcript segments", "videos", "ready", "segments"))
 
 
 def recovery_queue(jobs: DataFrame, n: int = 20) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vidweave.functions import text as T
 from vidweave.operators import documents as D
 from vidweave.operators import relational as R
 from vidweave.sources import tables as S
@@ -12,7 +13,8 @@ from vidweave.sources.tables import table, with_ctes
 
 from .text_queries import _NORM, _RISK
 
-RULES = [(["thand", "erst"], "the and", "THE-AND"), (["ouhe"], "of the", "OF-THE")]
+#: Words that occur in the given texts, some only over the border of two segments.
+RULES = [D.ContextRule(("thand", "erst"), "the and", "THE-AND"), D.ContextRule((), "of the", "OF-THE", weak=("ouhe", "ingth", "was the", "zzz")), D.ContextRule(("that the", "nowhere"), "with the", "WITH")]
 
 
 def a1_load_tables(spark: SparkSession, d: str) -> DataFrame:
@@ -107,14 +109,16 @@ FROM (SELECT id, video_id, content || ' A站 AZN skyo Skil code  code' AS c FROM
 
 
 def a6_summary_items(spark: SparkSession, d: str) -> DataFrame:
-    """Documents' first lines as summaries: points, hooks, or no JSON at all."""
+    """Customers' names as summaries: in points, hooks, items, in other JSON, in broken JSON, or in no JSON at all."""
     c = table(spark, d, "customer")
-    one = lambda k: F.to_json(F.struct(F.array(F.concat(F.lit(" "), "c_name"), F.lit("")).alias(k)))
-    json = F.when(F.col("c_custkey") % 3 == 0, one("points")).when(F.col("c_custkey") % 3 == 1, one("hooks")).otherwise(F.col("c_name"))
+    k, q = F.col("c_custkey") % 8, F.concat(F.lit('"'), "c_name", F.lit('"'))
+    forms = ['{"points": [" ', '", ""], "items": ["x"]}', '{"points": [], "hooks": ["', '"]}', '["', '"]', '{"points": ["a", ', ", }", '{"items": [7, true, null, {"x": 1}, "', '"]}']
+    json = F.when(k == 0, F.concat(F.lit(forms[0]), "c_name", F.lit(forms[1]))).when(k == 1, F.concat(F.lit(forms[2]), "c_name", F.lit(forms[3]))).when(k == 2, F.concat(F.lit(forms[4]), "c_name", F.lit(forms[5])))
+    json = json.when(k == 3, F.concat(F.lit("{"), "c_name", F.lit("}"))).when(k == 4, F.concat(F.lit(forms[6]), q, F.lit(forms[7]))).when(k == 5, F.concat(F.lit(forms[8]), "c_name", F.lit(forms[9]))).when(k == 6, " ").otherwise(F.col("c_name"))
     return c.select("c_custkey", F.array_join(D.summary_items(json), "|").alias("items"))
 
 
-A6 = "SELECT c_custkey, c_name AS items FROM customer"
+A6 = """SELECT c_custkey, CASE c_custkey % 8 WHEN 0 THEN c_name WHEN 1 THEN c_name WHEN 2 THEN '' WHEN 3 THEN '{' || c_name || '}' WHEN 4 THEN '{"points": ["a", "' || c_name || '", }' WHEN 5 THEN '7|true|' || c_name WHEN 6 THEN '' ELSE c_name END AS items FROM customer"""
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
@@ -168,19 +172,34 @@ B8 = """SELECT pattern, replacement, arg_max(updated % 2 = 1, updated) AS enable
 
 
 def b9_context_repair(spark: SparkSession, d: str) -> DataFrame:
-    return D.context_repair(S.segments(spark, d), RULES).select("id", F.md5("text").alias("text_md5"))
+    return D.context_repair(S.segments(spark, d), RULES, terms=[]).select("id", F.md5("text").alias("text_md5"))
 
 
-B9 = with_ctes("segments") + """, f AS (SELECT video_id, bool_or(contains(lower(content), 'thand') OR contains(lower(content), 'erst')) AS f0, bool_or(contains(lower(content), 'ouhe')) AS f1 FROM segments GROUP BY 1),
-t AS (SELECT id, content, CASE WHEN f1 THEN replace(x, 'of the', 'OF-THE') ELSE x END AS y FROM (SELECT id, content, f1, CASE WHEN f0 THEN replace(content, 'the and', 'THE-AND') ELSE content END AS x FROM segments JOIN f USING (video_id)))
-SELECT id, md5(y) AS text_md5 FROM t WHERE y <> content"""
+def _context(src: str) -> str:
+    """Steps that end in y(id, video_id, before, plain, y): the texts of src (id, video_id, segment_index, content)
+    normalised and mended by RULES; before is the text as it was."""
+    return f"""cn AS (SELECT *, {_NORM.format('content')} AS x FROM {src}), cp AS (SELECT *, translate(CASE WHEN {_RISK.format('x')} THEN '' ELSE x END, '妳祢', '你你') AS plain FROM cn),
+cj AS (SELECT video_id, string_agg(lower(plain), ' ' ORDER BY segment_index, id) AS j FROM cp GROUP BY 1), cf AS (SELECT video_id, contains(j, 'thand') OR contains(j, 'erst') AS f0,
+contains(j, 'ouhe')::INT + contains(j, 'ingth')::INT + contains(j, 'was the')::INT + contains(j, 'zzz')::INT >= 2 AS f1, contains(j, 'that the') OR contains(j, 'nowhere') AS f2 FROM cj),
+y0 AS (SELECT cp.*, f1, f2, CASE WHEN f0 THEN replace(plain, 'the and', 'THE-AND') ELSE plain END AS y FROM cp JOIN cf USING (video_id)), y1 AS (SELECT * EXCLUDE (y), CASE WHEN f1 THEN replace(y, 'of the', 'OF-THE') ELSE y END AS y FROM y0),
+y AS (SELECT id, video_id, content AS before, plain, CASE WHEN f2 THEN replace(y, 'with the', 'WITH') ELSE y END AS y FROM y1)"""
+
+
+_SAFE = "y <> '' AND y <> before AND length(y) <= greatest(1, length(plain)) + 24 AND length(y) >= greatest(1, greatest(1, length(plain)) // 3)"
+B9 = with_ctes("segments") + f", {_context('segments')} SELECT id, md5(y) AS text_md5 FROM y WHERE {_SAFE}"
 
 
 def b10_repair_batch(spark: SparkSession, d: str) -> DataFrame:
-    return D.repair_batch(S.segments(spark, d).withColumn("content", F.trim(F.regexp_replace("content", r"\s+", " "))), [("the and", "THE-AND")])
+    clean = lambda c: F.struct(T.collapse(c).alias("text"), (T.collapse(c) != c).alias("changed"))
+    return D.repair_batch(S.segments(spark, d), RULES, terms=[], glossary=[("erth", "Erth")], repair=clean)[1]
 
 
-B10 = with_ctes("segments") + "SELECT video_id, count(*) AS scanned, count(*) FILTER (WHERE contains(c, 'the and')) AS repaired, bool_or(contains(c, 'the and')) AS reindexed FROM (SELECT video_id, regexp_replace(content, '\\s+', ' ', 'g') AS c FROM segments) GROUP BY 1"
+B10 = with_ctes("segments") + f""", e AS (SELECT id, video_id, segment_index, content AS raw, trim(regexp_replace(content, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS content FROM segments), {_context('e')},
+t AS (SELECT y.id, y.video_id, e.raw <> e.content AS changed, {_SAFE} AS mended, CASE WHEN {_SAFE} THEN y ELSE before END AS t FROM y JOIN e USING (id)),
+n AS (SELECT *, {_NORM.format('t')} AS x FROM t), p AS (SELECT *, translate(CASE WHEN {_RISK.format('x')} THEN '' ELSE x END, '妳祢', '你你') AS plain FROM n),
+g AS (SELECT *, regexp_replace(plain, '(?i)erth', 'Erth', 'g') <> t AS glossed FROM p)
+SELECT video_id, count(*) AS scanned, count(*) FILTER (WHERE changed) AS encoding, count(*) FILTER (WHERE mended) AS context, count(*) FILTER (WHERE glossed) AS glossary,
+count(*) FILTER (WHERE changed) + count(*) FILTER (WHERE mended) + count(*) FILTER (WHERE glossed) AS repaired, bool_or(changed OR mended OR glossed) AS reindexed FROM g GROUP BY 1"""
 
 
 def g23_local_summaries(spark: SparkSession, d: str) -> DataFrame:
