@@ -221,7 +221,7 @@ GUARDRAILS: list[tuple[str, list[str]]] = [
 
 
 def guardrail(c: Column, rules: list[tuple[str, list[str]]] | None = None) -> Column:
-    return first_rule(F.lower(F.trim(c)), rules or GUARDRAILS, F.lit(None).cast("string"))
+    return bound(F.lower(F.trim(c)), lambda text: first_rule(text, rules or GUARDRAILS, F.lit(None).cast("string")))
 
 
 #: What marks the kinds of questions.
@@ -240,13 +240,17 @@ def contains_any(c: Column, needles: list[str]) -> Column:
 
 
 def question_intent(c: Column) -> Column:
-    bare = F.regexp_replace(F.lower(c), _STRIP, "")
-    follow = contains_any(bare, FOLLOW_ANY) | reduce(lambda a, b: a | b, [bare.startswith(s) for s in FOLLOW_START])
-    follow = follow | ((F.length(bare) <= 12) & ~bare.contains("视频") & contains_any(bare, FOLLOW_SHORT)) | bare.isin(FOLLOW_EXACT)
-    return (
-        F.when((F.length(bare) <= 10) & bare.isin(GREETINGS), "GREETING").when(contains_any(bare, INTRO), "INTRO").when(follow, "FOLLOW_UP")
-        .when(contains_any(F.lower(c), COMPARISON), "COMPARISON").otherwise("NORMAL")
-    )
+    def kind(s: Column) -> Column:
+        low, bare = s["low"], s["bare"]
+        follow = contains_any(bare, FOLLOW_ANY) | reduce(lambda a, b: a | b, [bare.startswith(x) for x in FOLLOW_START])
+        follow = follow | ((F.length(bare) <= 12) & ~bare.contains("视频") & contains_any(bare, FOLLOW_SHORT)) | bare.isin(FOLLOW_EXACT)
+        return (
+            F.when((F.length(bare) <= 10) & bare.isin(GREETINGS), "GREETING").when(contains_any(bare, INTRO), "INTRO").when(follow, "FOLLOW_UP")
+            .when(contains_any(low, COMPARISON), "COMPARISON").otherwise("NORMAL")
+        )
+
+    low = F.lower(c)
+    return bound(F.struct(low.alias("low"), F.regexp_replace(low, _STRIP, "").alias("bare")), kind)
 
 
 #: Groups of triggers and the tokens they add.

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vidweave.functions import text as T
 from vidweave.sources.storage import stored
+from vidweave.streaming.windows import cache_hits_ttl, last_question_memory
 
 from . import search_index
 
@@ -95,9 +96,11 @@ def merge_remote_scores(candidates: DataFrame, scores: DataFrame) -> DataFrame:
     return s.withColumn("rerank", F.when(some, clamp(F.col("score"))).otherwise(F.col("rerank"))).drop("score")
 
 
-def diversify(ranked: DataFrame, k: int = 3) -> DataFrame:
-    """The best hit of each video in rank order, then the rest in rank order, to k."""
+def diversify(ranked: DataFrame, k: int = 3, where: Column | None = None) -> DataFrame:
+    """The best hit of each video in rank order, then the rest in rank order, to k; for questions where `where` does
+    not hold, the first k in rank order."""
     again = F.row_number().over(Window.partitionBy("question_id", "video_id").orderBy("rank")) > 1
+    again = again if where is None else again & where
     order = F.row_number().over(Window.partitionBy("question_id").orderBy("_again", "rank"))
     return ranked.withColumn("_again", again).withColumn("rank", order.cast("long")).where(F.col("rank") <= k).drop("_again")
 
@@ -110,17 +113,22 @@ def half_up(c: Column) -> Column:
     return F.floor(c + 0.5).cast("long")
 
 
-def retrieve_evidence(questions: DataFrame, scopes: DataFrame, segments: DataFrame, index: DataFrame, k: int = 3, least_vec: float = 0.32, diverse: bool = False, dim: int = 256, groups: list | None = None, synonyms: list | None = None) -> DataFrame:
-    """The evidence of each question: search of the index, keyword filter, rerank, order and cut to k."""
-    found = stored(vector_search(questions, scopes, index, 4 * k, dim=dim, groups=groups), "found")
+def retrieve_evidence(questions: DataFrame, scopes: DataFrame, segments: DataFrame, index: DataFrame, k: int = 3, least_vec: float = 0.32, diverse: bool | None = False, dim: int = 256, groups: list | None = None, synonyms: list | None = None, found: DataFrame | None = None) -> DataFrame:
+    """The evidence of each question: search of the index, keyword filter, rerank, order and cut to k. diverse: whether
+    each video's best hit comes first; None: where the question asks for a comparison. found: the hits, where they are
+    known. `usable` says how many hits of a question passed the filter."""
+    found = stored(vector_search(questions, scopes, index, 4 * k, dim=dim, groups=groups), "found") if found is None else found
     e = found.drop("rank").join(segments.select("id", "end_ms", "content"), "id").join(questions.select("question_id", "question"), "question_id")
     keyword = T.keyword_score(F.col("content"), T.query_terms(F.col("question"), synonyms=synonyms))
     e = e.withColumn("kw", keyword).where((F.col("kw") > 0) | (F.col("vec") >= least_vec))
     e = e.withColumn("rerank", F.round(local_rerank(F.col("vec"), F.col("kw"), token_overlap(F.col("question"), F.col("content"))), 6))
     e = e.withColumn("score", F.greatest(F.col("kw"), half_up(10 * F.col("vec")), half_up(10 * F.col("rerank"))))
     order = Window.partitionBy("question_id").orderBy(F.desc("rerank"), F.desc("score"), F.desc("vec"), "start_ms", "video_id", "segment_index")
-    e = e.withColumn("rank", F.row_number().over(order).cast("long"))
-    e = diversify(e, k) if diverse else e.where(F.col("rank") <= k)
+    e = e.withColumn("rank", F.row_number().over(order).cast("long")).withColumn("usable", F.count(F.lit(1)).over(Window.partitionBy("question_id")))
+    if diverse is False:
+        e = e.where(F.col("rank") <= k)
+    else:
+        e = diversify(e, k, None if diverse else T.question_intent(F.col("question")) == "COMPARISON")
     return e.withColumn("citable", citable(F.col("kw"), F.col("vec"), F.col("rerank")))
 
 
@@ -136,16 +144,55 @@ def build_citations(evidence: DataFrame, videos: DataFrame, snippet: int = 90) -
     return e.select("question_id", "rank", label.alias("label"), "score", T.compact_text(F.col("content"), snippet).alias("snippet"))
 
 
-def answer_batch(questions: DataFrame, evidence: DataFrame, videos: DataFrame) -> DataFrame:
-    """One answer a question: blocked, greeted, cited from its best evidence, or without evidence."""
+def plain_questions(asks: DataFrame) -> DataFrame:
+    """asks with `blocked` (the guardrail's reason or null), `intent`, and `plain`: whether they go to retrieval."""
+    q = asks.withColumn("blocked", T.guardrail(F.col("question"))).withColumn("intent", T.question_intent(F.col("question")))
+    return q.withColumn("plain", F.col("blocked").isNull() & ~F.col("intent").isin("GREETING", "INTRO"))
+
+
+def previous_questions(asks: DataFrame, history: DataFrame, ttl: str = "20 minutes") -> DataFrame:
+    """(question_id, previous, recalled) of follow-up asks (with conversation, ts): the question before in the
+    conversation if it is fresh (`memory`), else the last user message of its history (conversation, id, role,
+    content; `history`). Greetings and refused asks are not remembered."""
+    remembered = last_question_memory(asks.where("plain"), "conversation", "ts", "question_id", ttl).where("intent = 'FOLLOW_UP'")
+    said = history.where("role = 'user'").groupBy("conversation").agg(F.max_by("content", "id").alias("_said"))
+    found = remembered.join(said, "conversation", "left")
+    source = F.when(F.col("previous").isNotNull(), "memory").when(F.col("_said").isNotNull(), "history").otherwise("none")
+    return found.select("question_id", F.coalesce("previous", "_said").alias("previous"), source.alias("recalled"))
+
+
+def answer_batch(asks: DataFrame, found: DataFrame, evidence: DataFrame, videos: DataFrame, history: DataFrame, cache_ttl_s: int = 1800, cache_width_s: int = 86_400) -> DataFrame:
+    """One answer an ask (question_id, conversation, ts, question): blocked, greeted, cited from its best evidence, or
+    without evidence; with the question it follows up, whether the cache would have answered it (a repeat of a
+    question that is not a follow-up, in its conversation, within the time to live), and a trace of the steps. found and
+    evidence: the hits of the plain asks before and after filter and ranking."""
     cites = build_citations(evidence, videos)
     best = cites.groupBy("question_id").agg(F.min_by(F.struct("label", "score", "snippet"), "rank").alias("b"), F.count(F.lit(1)).alias("n_citations"))
-    q = questions.withColumn("blocked", T.guardrail(F.col("question"))).withColumn("intent", T.question_intent(F.col("question"))).join(best, "question_id", "left")
-    plain = F.col("blocked").isNull() & ~F.col("intent").isin("GREETING", "INTRO")
-    mode = F.when(F.col("blocked").isNotNull(), "blocked").when(~plain, F.lower("intent")).when(F.col("b").isNotNull(), "cited").otherwise("fallback")
-    answer = F.when(mode == "cited", F.concat(F.lit("Best evidence: "), F.col("b.snippet"), F.lit(" ("), F.col("b.label"), F.lit(")"))).when(mode == "blocked", F.concat(F.lit("Refused: "), F.col("blocked"))).when(mode == "fallback", F.lit("No evidence found.")).otherwise(F.lit("Ask me about your videos."))
-    level = F.when(mode == "cited", confidence_level(F.col("b.score"))).otherwise("NONE")
-    return q.select("question_id", mode.alias("mode"), level.alias("confidence"), F.when(mode == "cited", F.col("n_citations")).otherwise(0).cast("long").alias("n_citations"), answer.alias("answer"))
+    counts = evidence.groupBy("question_id").agg(F.max("usable").alias("usable"), F.count(F.lit(1)).alias("top"))
+    searched = found.groupBy("question_id").agg(F.count(F.lit(1)).alias("candidates"))
+    q = stored(plain_questions(asks), "asks")
+    key = F.concat_ws("|", F.col("conversation").cast("string"), F.md5(F.lower(F.trim("question"))))
+    cacheable = q.where("plain AND intent <> 'FOLLOW_UP'").select(key.alias("key"), F.unix_timestamp("ts").alias("ts_s"), F.col("question_id").alias("ask_id"))
+    cached = cache_hits_ttl(cacheable, cache_ttl_s, cache_width_s).where("hit").select(F.col("ask_id").alias("question_id"), F.lit(True).alias("cached"))
+    for more in (best, searched, counts, cached, previous_questions(q, history)):
+        q = q.join(more, "question_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    mode = F.when(F.col("blocked").isNotNull(), "blocked").when(~F.col("plain"), F.lower("intent")).when(F.col("b").isNotNull(), "cited").otherwise("fallback")
+    q = q.withColumn("mode", mode).withColumn("cached", F.coalesce("cached", F.lit(False)))
+    is_ = lambda m: F.col("mode") == m
+    answer = F.when(is_("cited"), F.concat(F.lit("Best evidence: "), F.col("b.snippet"), F.lit(" ("), F.col("b.label"), F.lit(")"))).when(is_("blocked"), F.concat(F.lit("Refused: "), F.col("blocked"))).when(is_("fallback"), F.lit("No evidence found.")).otherwise(F.lit("Ask me about your videos."))
+    answer = F.when(F.col("plain") & F.col("previous").isNotNull(), F.concat(F.lit("After: "), T.compact_text(F.col("previous"), 60), F.lit(" - "), answer)).otherwise(answer)
+    level = F.when(is_("cited"), confidence_level(F.col("b.score"))).otherwise("NONE")
+    n_citations = F.when(is_("cited"), n("n_citations")).otherwise(0).cast("long")
+    step = lambda name, *what: F.concat(F.lit(f"{name}: "), *what)
+    text = lambda c: c.cast("string")
+    looked = [
+        step("plan", F.when(F.col("intent") == "COMPARISON", "each video first").otherwise("rank")), step("memory", F.coalesce("recalled", F.lit("not asked"))), step("search", text(n("candidates"))),
+        step("filter", text(n("usable")), F.lit(" of "), text(n("candidates"))), step("cite", text(n_citations), F.lit(" of "), text(n("top"))), step("answer", F.col("mode"), F.lit(" "), level),
+    ]
+    first = step("guardrail", F.coalesce("blocked", F.lit("passed")))
+    trace = F.when(~F.col("plain"), F.array(first, step("answer", F.col("mode")))).when(F.col("cached"), F.array(first, step("cache", F.lit("hit")))).otherwise(F.array(first, *looked))
+    return q.select("question_id", "intent", "mode", "cached", "previous", level.alias("confidence"), n_citations.alias("n_citations"), F.when(is_("cited"), F.col("b.label")).alias("citation"), answer.alias("answer"), trace.alias("trace"))
 
 
 def index_delta(segments: DataFrame, index: DataFrame) -> DataFrame:
@@ -154,10 +201,51 @@ def index_delta(segments: DataFrame, index: DataFrame) -> DataFrame:
     return some.withColumn("content_hash", F.md5("content")).join(index.select("id", "content_hash"), ["id", "content_hash"], "left_anti")
 
 
-def kb_compare(questions: DataFrame, links: DataFrame, segments: DataFrame, k: int = 3, synonyms: list | None = None) -> DataFrame:
-    """Per base, question and video, the k best segments by kb_score. questions: question_id, kb_id, question."""
+#: Themes and what in a viewpoint speaks for each, and the words of a comparison.
+THEMES: dict[str, list[str]] = {
+    "MySQL / 数据一致性": ["mysql", "sql", "事务", "索引", "唯一"],
+    "Redis / 缓存与限流": ["redis", "缓存", "限流", "锁", "setnx"],
+    "ASR / OCR 字幕质量": ["asr", "ocr", "字幕", "语音", "识别"],
+    "RAG / 向量检索": ["rag", "embedding", "vector", "qdrant", "向量", "检索"],
+    "Agent / 工具调用": ["agent", "工具", "引用", "问答"],
+}
+COMPARE_DEFAULT = "对比多个视频的核心观点差异"
+VIEWPOINT, NO_VIEWPOINT, DIFFERENCE = ("《", "》主要围绕："), ("《", "》暂时没有可用于对比的字幕片段。"), ("《", "》侧重：")
+SHARED, NOTHING_SHARED = "共同涉及：", "共同点需要结合更多字幕证据继续追问。"
+
+
+def kb_viewpoints(questions: DataFrame, links: DataFrame, videos: DataFrame, segments: DataFrame, k: int = 3, synonyms: list | None = None) -> DataFrame:
+    """Per question (question_id, kb_id, question; a blank one asks for a comparison of the views) of a base of at
+    least two videos, a row a video: its viewpoint from the k segments with most score by kb_score, and their
+    citations. Windows keep k rows a task before anything is shuffled."""
     many = links.groupBy("kb_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("kb_id")
-    asked = questions.join(many, "kb_id").withColumn("_terms", T.kb_query_terms(F.col("question"), synonyms)).select("question_id", "kb_id", "_terms")
-    rows = segments.where(F.length(F.trim("content")) >= 6).join(links, "video_id").join(asked, "kb_id").withColumn("score", T.kb_score(F.col("content"), F.col("_terms"))).where("score > 0")
+    blank = F.trim(F.coalesce("question", F.lit(""))) == ""
+    text = F.when(blank, F.lit(COMPARE_DEFAULT)).otherwise(F.trim("question"))
+    asked = questions.join(many, "kb_id").select("question_id", "kb_id", T.kb_query_terms(text, synonyms).alias("_terms"))
+    rows = segments.where(F.length(F.trim("content")) >= 6).join(links, "video_id").join(asked, "kb_id").withColumn("score", T.kb_score(F.col("content"), F.col("_terms")))
     order = Window.partitionBy("kb_id", "question_id", "video_id").orderBy(F.desc("score"), "start_ms", "segment_index")
-    return rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("kb_id", "question_id", "video_id", "segment_index", "score", "rank")
+    best = rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    time = F.concat(T.format_time(F.col("start_ms")), F.lit("-"), T.format_time(F.col("end_ms")))
+    cut = lambda n: T.compact_text(F.col("content"), n, "...", n - 1)
+    chosen = best.groupBy("kb_id", "question_id", "video_id").agg(F.array_sort(F.collect_list(F.struct("rank", "segment_index", "score", time.alias("time"), cut(72).alias("said"), cut(110).alias("snippet")))).alias("_l"))
+    every = asked.select("kb_id", "question_id").join(links, "kb_id").join(videos.select("video_id", "original_name"), "video_id").join(chosen, ["kb_id", "question_id", "video_id"], "left")
+    said = F.concat(F.lit(VIEWPOINT[0]), "original_name", F.lit(VIEWPOINT[1]), F.array_join("_l.said", "；"))
+    none = F.concat(F.lit(NO_VIEWPOINT[0]), "original_name", F.lit(NO_VIEWPOINT[1]))
+    no_rows = F.array().cast("array<struct<rank: bigint, segment_index: bigint, score: bigint, time: string, said: string, snippet: string>>")
+    cites = F.transform(F.coalesce("_l", no_rows), lambda x: F.struct(F.concat(F.col("original_name"), F.lit(" "), x["time"]).alias("label"), x["segment_index"].alias("segment_index"), x["score"].alias("score"), x["snippet"].alias("snippet")))
+    return every.select("kb_id", "question_id", "video_id", "original_name", F.when(F.col("_l").isNotNull(), said).otherwise(none).alias("viewpoint"), cites.alias("citations"))
+
+
+def kb_compare(viewpoints: DataFrame, themes: dict[str, list[str]] | None = None, most_themes: int = 5, most_videos: int = 6) -> DataFrame:
+    """Per base and question of kb_viewpoints: videos, themes that some viewpoint speaks of (by name, at most
+    most_themes), and what the first videos stress. Votes and the first videos are aggregates, so a base of any number
+    of videos is never in one place."""
+    themes = THEMES if themes is None else themes
+    low = F.lower("viewpoint")
+    by_name = sorted(themes)
+    ranked = viewpoints.withColumn("_r", F.row_number().over(Window.partitionBy("kb_id", "question_id").orderBy("video_id"))).where(F.col("_r") <= most_videos)
+    stress = F.concat(F.lit(DIFFERENCE[0]), "original_name", F.lit(DIFFERENCE[1]), T.compact_text(F.col("viewpoint"), 120, "...", 119))
+    first = ranked.groupBy("kb_id", "question_id").agg(F.array_sort(F.collect_list(F.struct("_r", stress.alias("t")))).alias("_d")).select("kb_id", "question_id", F.col("_d.t").alias("differences"))
+    g = viewpoints.groupBy("kb_id", "question_id").agg(F.count(F.lit(1)).alias("n_videos"), *[F.max(T.contains_any(low, themes[t])).alias(f"_t{i}") for i, t in enumerate(by_name)])
+    shared = F.slice(F.array_compact(F.array(*[F.when(F.col(f"_t{i}"), F.lit(SHARED + t)) for i, t in enumerate(by_name)])), 1, most_themes)
+    return g.join(first, ["kb_id", "question_id"]).select("kb_id", "question_id", "n_videos", F.when(F.size(shared) > 0, shared).otherwise(F.array(F.lit(NOTHING_SHARED))).alias("themes"), "differences")
