@@ -90,10 +90,21 @@ def garbled(c: Column) -> Column:
     return text_quality(c)["garbled_risk"]
 
 
+def _n_of(c: Column, characters: str) -> Column:
+    """How many of the characters a text holds."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"[{characters}]", ""))
+
+
+def _latin_risk(c: Column) -> Column:
+    """garbled, of a text without control and replacement characters; the costly count comes last."""
+    latin = _n_of(c, SUSPICIOUS_LATIN)
+    return (F.length(c) >= 12) & (latin > 6) & (latin > 2 * F.regexp_count(c, F.lit(CJK)))
+
+
 def normalize_text(c: Column, simplify: tuple[str, str] = ("", "")) -> Column:
     """White space and control characters cleaned; a garbled text becomes empty; characters mapped."""
     plain = collapse(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[﻿�]", " "), CONTROL, " "))
-    kept = bound(plain, lambda x: F.when(garbled(x), F.lit("")).otherwise(x))
+    kept = bound(plain, lambda x: F.when(_latin_risk(x), F.lit("")).otherwise(x))
     return F.translate(F.translate(kept, *simplify) if simplify[0] else kept, "妳祢", "你你")
 
 
@@ -104,17 +115,21 @@ def redecoded(c: Column) -> Column:
 
 def repair_encoding(c: Column, only_if_cjk_gain: bool = False) -> Column:
     """A struct of text and changed: the re-decoded text where it has more CJK or fewer suspect characters."""
-    count = lambda x, p: F.regexp_count(x, F.lit(p))
-    suspect = f"[{SUSPICIOUS_LATIN}�]"
+    n_cjk = lambda x: F.regexp_count(x, F.lit(CJK))
+    suspect = SUSPICIOUS_LATIN + "�"
 
     def chosen(s: Column) -> Column:
-        better = count(s["again"], CJK) > count(s["plain"], CJK)
+        better = s["again"].rlike(CJK) & (n_cjk(s["again"]) > n_cjk(s["plain"]))
         if not only_if_cjk_gain:
-            better = better | (count(s["again"], suspect) < count(s["plain"], suspect))
+            better = better | (_n_of(s["again"], suspect) < _n_of(s["plain"], suspect))
         return F.when((s["again"] != s["plain"]) & (s["again"] != "") & better, s["again"]).otherwise(s["plain"])
 
-    both = F.struct(normalize_text(c).alias("plain"), normalize_text(redecoded(F.coalesce(c, F.lit("")))).alias("again"))
-    return bound(bound(both, chosen), lambda text: F.struct(text.alias("text"), (text != F.coalesce(c, F.lit(""))).alias("changed")))
+    text = F.coalesce(c, F.lit(""))
+    both = F.struct(normalize_text(c).alias("plain"), normalize_text(redecoded(text)).alias("again"))
+    # an ASCII text decodes to itself, and no risk is left in it once its control characters are gone
+    ascii_only = collapse(F.when(text.rlike(CONTROL), F.regexp_replace(text, CONTROL, " ")).otherwise(text))
+    repaired = F.when(text.rlike(r"[^\x00-\x7F]"), bound(both, chosen)).otherwise(ascii_only)
+    return bound(repaired, lambda x: F.struct(x.alias("text"), (x != text).alias("changed")))
 
 
 def _any_of(patterns: list[str], before: str = r"(?iu)(?<![A-Za-z])", after: str = r"(?![A-Za-z])") -> str:
