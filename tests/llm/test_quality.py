@@ -184,3 +184,20 @@ def test_marginals_by_enumeration():
         total += p
         content += p * np.array(y)
     assert np.allclose(f.marginals(w, pair)[0], content / total)
+
+
+def test_toxicity_draws_texts_not_rows(spark):
+    """A third of all rows under one id, labelled toxic: the sample holds one text of it, and all are judged right."""
+    rows = [(i, f"calm words here number {i}") for i in range(300)] + [(1000 + i, f"vile slur here number {i}") for i in range(60)] + [(1000, f"vile slur again {i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows[:360]], "doc_id long, toxic int")
+    seen = []
+    keep = toxicity._features
+    toxicity._features = lambda df, *a: (seen.append(df), keep(df, *a))[1]
+    try:
+        few = toxicity.classify(docs, labels, most_positives=20, most_unlabelled=50).count()
+    finally:
+        toxicity._features = keep
+    assert seen[0].count() <= 70 and few == len(rows)
+    got = toxicity.classify(docs, labels).collect()
+    assert all(r["predicted"] == int(r["doc_id"] >= 1000) for r in got if r["held_out"])

@@ -148,6 +148,18 @@ def test_top_k_equals_brute_force(spark):
     assert vector_topk.top_k(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_top_k_of_repeated_ids(spark):
+    """Two query rows of one id, equal or not, have ranks of their own and are candidates of each other."""
+    rows = [(50, [1.0, 0.0]), (50, [1.0, 0.0]), (50, [0.0, 2.0]), (1, [1.0, 1.0]), (2, [0.5, 0.0]), (2, [0.5, 0.0])] + [(7, [0.0, 0.25])] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted(tuple(r) for r in vector_topk.top_k(df, "vec_id = 50", 4, query_rows=2, candidate_rows=2).collect())
+    want = []
+    for q, (i, v) in enumerate(rows[:3]):
+        scores = sorted((-int(sum(256 * a * 256 * b for a, b in zip(v, w, strict=True))), c) for at, (c, w) in enumerate(rows) if at != q)
+        want += [(i, n + 1, c, -s) for n, (s, c) in enumerate(scores[:4])]
+    assert got == sorted(want)
+
+
 def test_top_k_of_large_components(spark):
     """Products beyond what doubles and 32 bits hold are exact; what does not fit raises."""
     rows = [(0, [1e7, 3.0]), (1, [1e7 + 1, -5.0]), (2, [-1e7, 7.0]), (3, [1e7, 4.0])]

@@ -168,15 +168,15 @@ def children(blocks: DataFrame, tier: int, fan: int, height: int) -> DataFrame:
     return blocks.select("tree", "block", "size", "hashes", "nodes", "above").mapInArrow(run, schema)
 
 
-def descend(tiers: list[DataFrame], above: DataFrame, fan: int, height: int) -> DataFrame:
+def descend(tiers: list[DataFrame], above: DataFrame | None, fan: int, height: int) -> DataFrame:
     """The blocks of the lowest tier, each with the nodes of its multiproof and what `above` (tree, above) says of its
-    tree. Each tier asks the one over it; a tree enters where one block holds it."""
+    tree, if given. Each tier asks the one over it; a tree enters where one block holds it."""
     per_block, got = fan**height, None
     none = F.array().cast(_NODES).alias("nodes")
     for tier in range(len(tiers) - 1, -1, -1):
         blocks = tiers[tier]
-        tops = above.select("tree", F.lit(0).cast("long").alias("block"), none, "above")
-        ending = blocks.where(F.col("size") <= per_block).select("tree", "block").join(tops, ["tree", "block"])
+        ending = blocks.where(F.col("size") <= per_block).select("tree", "block", none)
+        ending = ending.withColumn("above", F.array().cast(_NODES)) if above is None else ending.join(above.select("tree", "above"), "tree")
         asked = ending if got is None else ending.unionByName(got)
         rows = blocks.join(asked, ["tree", "block"])
         if tier:
@@ -204,8 +204,7 @@ def prove(df: DataFrame, group: str = "source", id_col: str = "doc_id", fields:
     tiers, subroots = climb(stored(blocked(rows, per_block, ["shown", "id"]), "merkle-blocks"), largest[0], fan, height)
     tops = subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("index"), F.lit(largest[1]).cast("long").alias("size"), F.col("root").alias("hash"))
     over, _ = climb(stored(blocked(tops, per_block, []), "merkle-top"), largest[1], fan, height)
-    no_more = spark.range(1).select(F.lit(0).cast("long").alias("tree"), F.array().cast(_NODES).alias("above"))
-    of_group = stored(children(descend(over, no_more, fan, height), 0, fan, height), "merkle-top-proofs")
+    of_group = stored(children(descend(over, None, fan, height), 0, fan, height), "merkle-top-proofs")
     ready = descend(tiers, of_group.select(F.col("index").alias("tree"), F.col("nodes").alias("above")), fan, height)
     n_trees = largest[1]
 

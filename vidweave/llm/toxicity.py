@@ -110,12 +110,14 @@ def train(docs: DataFrame, labels: DataFrame, most_positives: int = 4000, most_u
     if not n_toxic:
         return weights, -30.0
     prior = min(0.9, n_toxic / n)
-    drawn = lambda df, most: df.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    drawn = lambda df, most: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     ours = docs.where(fold(F.col("doc_id")) != 1)
     positives = drawn(known.where("toxic = 1"), most_positives).withColumn("positive", F.lit(True))
     unlabelled = drawn(ours, most_unlabelled).withColumn("positive", F.lit(False))
-    # at most most_positives + most_unlabelled ids
-    sample = ours.join(F.broadcast(positives.union(unlabelled)), "doc_id").select("positive", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("held"), "text")
+    # at most most_positives + most_unlabelled ids, and one text of each: that of the smallest hash
+    found = ours.join(F.broadcast(positives.union(unlabelled)), "doc_id")
+    found = found.groupBy("doc_id", "positive").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = found.select("positive", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("held"), "text")
 
     def count(part: pd.DataFrame, features: list[np.ndarray]) -> pd.DataFrame:
         flags, used = part["positive"].to_numpy(bool), ~part["held"].to_numpy(bool)

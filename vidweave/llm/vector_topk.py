@@ -19,7 +19,8 @@ the query. Nothing grows on the driver but the two block counts.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, as query
 or as candidate. Vectors of different lengths meet as if the shorter were filled with zeros. Equal scores are
-ranked by smaller id, repeated rows by id as rows of their own. A query has fewer than k rows if there are
+ranked by smaller id. Rows that repeat an id are queries and candidates of their own: each query has its own ranks, and
+another row of its id is a candidate like others. A query has fewer than k rows if there are
 fewer candidates. Empty tables give an empty result. Columns other than the two named ones are not read.
 """
 
@@ -35,27 +36,28 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-_BLOCK = "block string, ids binary, dims int, columns binary"
-_RESULT = "query_id long, vec_id long, score long"
+_BLOCK = "block string, ids binary, keys binary, dims int, columns binary"
+_RESULT = "query_key long, query_id long, vec_key long, vec_id long, score long"
 
 
 def _blocks(df: DataFrame, rows: int) -> DataFrame:
-    """df (id, v: array<double>) in blocks of at most `rows` vectors of one length, vertical layout."""
+    """df (id, key, v: array<double>) in blocks of at most `rows` vectors of one length, vertical layout."""
 
-    def pack(ids: list, vectors: list) -> dict:
+    def pack(ids: list, keys: list, vectors: list) -> dict:
         matrix = np.floor(256.0 * np.array(vectors, np.float64))
         if np.abs(matrix).max() >= 2.0**62:
             raise ValueError("a component times 256 does not fit 64 bits")
         matrix = matrix.astype(np.int64)
-        return {"block": uuid.uuid4().hex, "ids": np.array(ids, np.int64).tobytes(), "dims": matrix.shape[1], "columns": np.ascontiguousarray(matrix.T).tobytes()}
+        return {"block": uuid.uuid4().hex, "ids": np.array(ids, np.int64).tobytes(), "keys": np.array(keys, np.int64).tobytes(), "dims": matrix.shape[1], "columns": np.ascontiguousarray(matrix.T).tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, tuple[list, list]] = {}
+        held: dict[int, tuple[list, list, list]] = {}
         for pdf in batches:
             out = []
-            for i, v in zip(pdf["id"], pdf["v"], strict=True):
-                ids, vectors = held.setdefault(len(v), ([], []))
+            for i, key, v in zip(pdf["id"], pdf["key"], pdf["v"], strict=True):
+                ids, keys, vectors = held.setdefault(len(v), ([], [], []))
                 ids.append(i)
+                keys.append(key)
                 vectors.append(v)
                 if len(ids) == rows:
                     out.append(pack(*held.pop(len(v))))
@@ -72,12 +74,15 @@ def _numbered(blocks: DataFrame, name: str) -> tuple[DataFrame, int]:
     names = blocks.select("block").distinct()
     order = names.withColumn("number", (F.row_number().over(Window.orderBy("block")) - 1).cast("int"))
     out = blocks.join(order, "block").drop("block")
-    return out.select(F.col("number").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "dims", "columns")]), names.count()
+    return out.select(F.col("number").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "keys", "dims", "columns")]), names.count()
 
 
-def search_block(queries: np.ndarray, columns: np.ndarray, ids: np.ndarray, query_ids: np.ndarray, k: int, step: int = 8, floors: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], np.ndarray, int]:
-    """The best k of a block for each query, the k-th best scores known so far, and how many products of components
-    were spared. queries: a row each; columns: dimension by vector; floors: k-th best scores known before."""
+def search_block(queries: np.ndarray, columns: np.ndarray, ids: np.ndarray, query_keys: np.ndarray, k: int, step: int = 8, floors: np.ndarray | None = None, keys: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], np.ndarray, int]:
+    """The best k of a block for each query (the query's key, the candidate's place in the block, the score), the k-th
+    best scores known so far, and how many products of components were spared. queries: a row each; columns: dimension
+    by vector; floors: k-th best scores known before; keys: of the candidates' rows, by which a query passes over its
+    own row (default: ids)."""
+    keys = ids if keys is None else keys
     dims = min(queries.shape[1], columns.shape[0])
     floors = np.full(len(queries), -np.inf) if floors is None else floors.copy()
     most = sum(int(a) * int(b) for a, b in zip(np.abs(queries[:, :dims]).max(0), np.abs(columns[:dims]).max(1), strict=True)) if len(queries) and len(ids) else 0
@@ -91,13 +96,13 @@ def search_block(queries: np.ndarray, columns: np.ndarray, ids: np.ndarray, quer
     cuts = [*range(0, dims, step), dims]
     rest_c = np.array([np.sqrt((fc[c:] ** 2).sum(0)) for c in cuts])
     rest_q = np.array([np.sqrt((fq[:, c:] ** 2).sum(1)) for c in cuts])
-    begun = dims // 2 // step * step  # all queries at once up to here, as hardly a candidate goes before
+    begun = cuts[min(1, len(cuts) - 1)]  # the first block of all queries at once: there is no bound before it
     first, out, spared = qs[:, :begun] @ cols[:begun], [], 0
     error = 1e-6 + most * 2.0**-40  # of the bounds, which are doubles
-    for row, (q, own) in enumerate(zip(qs, query_ids, strict=True)):
-        live = np.flatnonzero(ids != own)
+    for row, (q, own) in enumerate(zip(qs, query_keys, strict=True)):
+        live = np.flatnonzero(keys != own)
         score = first[row, live]
-        for b in range(begun // step, len(cuts) - 1):
+        for b in range(min(1, len(cuts) - 1), len(cuts) - 1):
             if len(live) > k:
                 slack = rest_q[b, row] * rest_c[b, live]
                 low = floors[row]
@@ -108,10 +113,10 @@ def search_block(queries: np.ndarray, columns: np.ndarray, ids: np.ndarray, quer
                     spared += int((~stay).sum()) * (dims - cuts[b])
                     live, score = live[stay], score[stay]
             score = score + q[cuts[b] : cuts[b + 1]] @ cols[cuts[b] : cuts[b + 1]][:, live]
-        best = np.lexsort((ids[live], -score))[:k]
+        best = np.lexsort((keys[live], ids[live], -score))[:k]
         if len(best) == k:
             floors[row] = max(floors[row], float(score[best[-1]]))
-        out += [(int(own), int(ids[live[i]]), int(score[i])) for i in best]
+        out += [(int(own), int(live[i]), int(score[i])) for i in best]
     return out, floors, spared
 
 
@@ -121,8 +126,9 @@ def top_k(df: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vect
     fine = F.size(vector) > 0
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     vectors = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & fine & whole)
-    chosen = vectors.where(is_query).select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
-    every = vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"))
+    # written once with a key for each row, so that a query passes over its own row only
+    every = stored(vectors.select(F.col(id_col).cast("long").alias("id"), vector.alias("v"), F.expr(is_query).alias("asks"), F.monotonically_increasing_id().alias("key")), "vectors")
+    chosen = every.where("asks")
     candidates, n_candidates = _numbered(stored(_blocks(every, candidate_rows), "candidate-blocks"), "c")
     queries, n_queries = _numbered(stored(_blocks(chosen, query_rows), "query-blocks"), "q")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
@@ -132,16 +138,17 @@ def top_k(df: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vect
         known: dict[int, np.ndarray] = {}  # of the query blocks met last
         for pdf in batches:
             for r in pdf.itertuples(index=False):
-                ids, own = np.frombuffer(r.c_ids, np.int64), np.frombuffer(r.q_ids, np.int64)
+                ids, keys = np.frombuffer(r.c_ids, np.int64), np.frombuffer(r.c_keys, np.int64)
+                own = dict(zip(np.frombuffer(r.q_keys, np.int64).tolist(), np.frombuffer(r.q_ids, np.int64).tolist(), strict=True))
                 columns = np.frombuffer(r.c_columns, np.int64).reshape(r.c_dims, len(ids))
                 rows = np.frombuffer(r.q_columns, np.int64).reshape(r.q_dims, len(own)).T
-                rows, known[r.q], _ = search_block(rows, columns, ids, own, k, floors=known.pop(r.q, None))
+                rows, known[r.q], _ = search_block(rows, columns, ids, np.array(list(own)), k, floors=known.pop(r.q, None), keys=keys)
                 if len(known) > 256:
                     known.pop(next(iter(known)))
-                yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
+                yield pd.DataFrame([(q, own[q], int(keys[at]), int(ids[at]), x) for q, at, x in rows], columns=[f.split()[0] for f in _RESULT.split(", ")])
 
     found = pairs.mapInPandas(run, _RESULT)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id", "vec_key")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
