@@ -5,6 +5,8 @@ end with a unique key, so ties have one order. Times ("now") are parameters."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -194,3 +196,89 @@ def edit_segments(segments: DataFrame, edits: DataFrame, clean=lambda c: c) -> D
     out = segments.join(e, "id", "left")
     hit = F.col("_text").isNotNull() & (F.trim("_text") != "") & (F.col("_text") != F.col("content"))
     return out.select("id", "video_id", "segment_index", F.when(hit, F.col("_text")).otherwise(F.col("content")).alias("content"), F.coalesce(hit, F.lit(False)).alias("edited"))
+
+
+def kb_links(bases: DataFrame, links: DataFrame) -> DataFrame:
+    """The links of each base under the base's owner, whoever owns the video."""
+    return links.join(bases.select("kb_id", "user_id"), "kb_id").select("user_id", "kb_id", "video_id")
+
+
+def kb_ids_by_video(bases: DataFrame, links: DataFrame) -> DataFrame:
+    """The ascending ids of each owner's bases that hold a video. The quota bounds the bases of an owner, so the list."""
+    ids = F.array_sort(F.collect_set("kb_id")).alias("kb_ids")
+    return kb_links(bases, links).groupBy("user_id", "video_id").agg(ids)
+
+
+def task_list(jobs: DataFrame, videos: DataFrame, users: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
+    """The newest jobs (job_id, video_id, status, updated_at) with their video's name and its owner's address, of one
+    status or (blank, ALL) of any; 1 to 200 of them."""
+    wanted = (status or "").strip().upper()
+    j = jobs if wanted in ("", "ALL") else jobs.where(F.col("status") == wanted)
+    out = j.join(videos.select("video_id", "user_id", "original_name"), "video_id").join(users.select("user_id", F.col("email").alias("user_email")), "user_id")
+    return out.select("job_id", "video_id", "user_id", "user_email", "original_name", "status", "updated_at").orderBy(F.desc("updated_at"), F.desc("job_id")).limit(max(1, min(limit, 200)))
+
+
+def resource_usage(users: DataFrame, videos: DataFrame, bases: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row of totals. users: user_id, disabled, deleted_at; active ones are neither disabled nor deleted."""
+    n = lambda when=None: F.count(F.lit(1) if when is None else F.when(when, 1))
+    parts = [
+        users.agg(n().alias("users"), n(~F.col("disabled") & F.col("deleted_at").isNull()).alias("active_users")),
+        videos.agg(n().alias("videos"), F.sum("file_size_bytes").alias("storage_bytes")),
+        bases.agg(n().alias("bases")),
+        jobs.agg(n(F.col("status") == "FAILED").alias("failed"), n(F.col("status") == "RUNNING").alias("running")),
+    ]
+    names = [c for p in parts for c in p.columns]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in names])
+
+
+#: The least and the most bytes of a part, the most parts, the statuses of an open session.
+LEAST_PART, MOST_PART, MOST_PARTS = 262144, 67108864, 100000
+OPEN_STATUSES = ["UPLOADING", "COMPLETING"]
+
+
+def plan_sessions(requests: DataFrame, least_part: int = LEAST_PART, most_part: int = MOST_PART, most_parts: int = MOST_PARTS) -> DataFrame:
+    """requests (session_id, file_md5, file_size, part_size, requested_parts) with total_parts and a verdict: ok, or the
+    first of md5, file_size, part_size, part_count and total_parts that is wrong. requested_parts may be null or 0; any
+    other null is wrong. Without ok there are no total_parts."""
+    total = part_plan(F.col("file_size"), F.col("part_size"))
+    no = lambda ok: ~F.coalesce(ok, F.lit(False))
+    wrong = F.when(no(F.lower(F.trim("file_md5")).rlike("^[a-f0-9]{32}$")), "md5").when(no(F.col("file_size") > 0), "file_size").when(no(F.col("part_size").between(least_part, most_part)), "part_size")
+    wrong = wrong.when(no(total.between(1, most_parts)), "part_count").when((F.col("requested_parts") > 0) & (F.col("requested_parts") != total), "total_parts").otherwise("ok")
+    return requests.withColumn("verdict", wrong).withColumn("total_parts", F.when(F.col("verdict") == "ok", total))
+
+
+def check_parts(parts: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The verdict of each part (session_id, part_number, size_bytes, md5, expected_md5) of a session (session_id,
+    status, file_size, part_size, total_parts): ok, or the first of status, range, empty, size and md5 that is wrong. A
+    blank or null expected_md5 is not compared."""
+    p = parts.join(sessions.select("session_id", "status", "file_size", "part_size", "total_parts"), "session_id")
+    last = F.col("part_number") == F.col("total_parts") - 1
+    expected = F.when(last, F.col("file_size") - F.col("part_size") * (F.col("total_parts") - 1)).otherwise(F.col("part_size"))
+    asked = F.lower(F.trim(F.coalesce("expected_md5", F.lit(""))))
+    wrong = F.when(F.col("status") != "UPLOADING", "status").when(~F.coalesce(F.col("part_number").between(0, F.col("total_parts") - 1), F.lit(False)), "range").when(F.coalesce("size_bytes", F.lit(0)) == 0, "empty")
+    wrong = wrong.when(F.col("size_bytes") != expected, "size").when((asked != "") & ~asked.eqNullSafe(F.lower("md5")), "md5").otherwise("ok")
+    return p.select("session_id", "part_number", wrong.alias("verdict"))
+
+
+SESSION_KEYS = ["user_id", "file_md5", "file_name", "file_size", "part_size", "total_parts"]
+
+
+def reusable_sessions(requests: DataFrame, sessions: DataFrame) -> DataFrame:
+    """requests (request_id and SESSION_KEYS) with the open session of the same keys that was updated last."""
+    usable = sessions.where(F.col("status").isin(OPEN_STATUSES)).groupBy(*SESSION_KEYS).agg(F.max_by("session_id", F.struct("updated_at", "session_id")).alias("session_id"))
+    return requests.join(usable, SESSION_KEYS).select("request_id", "session_id")
+
+
+def event_list(events: DataFrame, videos: DataFrame, status: str | None = None, limit: int = 50) -> DataFrame:
+    """Of each owner the newest events (event_id, video_id, status, updated_at), of one status or of any (blank), 1 to
+    100 of them, with their rank. Spark cuts to the limit before it shuffles."""
+    wanted = (status or "").strip().upper()
+    e = events if not wanted else events.where(F.col("status") == wanted)
+    owned = e.join(videos.select("video_id", "user_id"), "video_id")
+    return top_per(owned, ["user_id"], [F.desc("updated_at"), F.desc("event_id")], max(1, min(limit, 100)))
+
+
+def user_list(users: DataFrame, limit: int = 50) -> DataFrame:
+    """The newest users (user_id, created_at), 1 to 200 of them."""
+    return users.orderBy(F.desc("created_at"), F.desc("user_id")).limit(max(1, min(limit, 200)))

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules() -> list:
-    from . import document_queries, export_queries, interval_queries, relational_queries, retrieval_queries, stream_queries, text_queries, version_queries
+    from . import admin_queries, document_queries, export_queries, interval_queries, relational_queries, retrieval_queries, stream_queries, text_queries, version_queries
 
-    return [text_queries, retrieval_queries, interval_queries, relational_queries, document_queries, export_queries, version_queries, stream_queries]
+    return [text_queries, retrieval_queries, interval_queries, relational_queries, document_queries, export_queries, version_queries, admin_queries, stream_queries]
 
 
 def queries() -> dict[str, Query]:
