@@ -3,12 +3,13 @@
 Documents become ids and one end id; only those longer than the capacity are cut, into pieces of the
 capacity. A full piece is a sequence of its own. The other pieces are dealt by hash into blocks of a bounded
 number of items. Each block is evolved on several islands: an island keeps a small population of packings
-(whole assignments of items to bins, first made by best fit on orders by randomly raised lengths), and crosses two of them by injecting
-whole well-filled bins of one into the other, removing the bins that then hold duplicates, and best-fitting the
+(whole assignments of items to bins, first made by best fit on orders by randomly raised lengths; a block's first
+island starts with plain best fit, longest first, too, so no block takes more bins than that gives), and crosses two of them by injecting whole well-filled bins of one into the other, removing the bins that then hold duplicates, and best-fitting the
 displaced documents, longest first. After each epoch the best packing of an island migrates to the next island of
 its block. An island ends an epoch early where a packing has reached the lower bound ceil(total / capacity), which
 no packing can beat. Of each block the best packing over all islands counts. `crossovers` and `elites_moved` say,
-for each piece, how many children its block's islands made and how many packings moved between them.
+for each piece, how many children its block's islands made and how many packings moved between them (`elites_new`:
+to an island whose best was another).
 
 Blocks would each leave a part-filled bin, so the worst-filled bins of `fan` neighbouring blocks are
 dissolved and packed again together, level by level, until one block is left: what a level passes on is a
@@ -79,7 +80,7 @@ def best_fit(lengths: list[int], items: list[int], bins: np.ndarray, free: list[
     return next_bin
 
 
-#: The first packings take items by length, each length raised by up to this share at random.
+#: All first packings but one take items by length, each length raised by up to this share at random.
 SPREAD = 1.0
 
 
@@ -115,14 +116,16 @@ def crossed(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rn
     return renumbered(child), injected
 
 
-def evolve(lengths: np.ndarray, capacity: int, seed: list[int], migrants: list[np.ndarray], population: int, generations: int) -> tuple[np.ndarray, int]:
-    """The best packing that an island finds in an epoch, and how many children it made."""
+def evolve(lengths: np.ndarray, capacity: int, seed: list[int], migrants: list[np.ndarray], population: int, generations: int, plain: bool = True) -> tuple[np.ndarray, int]:
+    """The best packing that an island finds in an epoch, and how many children it made. plain: the first packing of a
+    population without migrants is plain best fit."""
     rng = np.random.default_rng(seed)
     bound = -(-int(lengths.sum()) // capacity)
     as_list, people, children = lengths.tolist(), list(migrants), 0
     while len(people) < population:
         bins = np.zeros(len(lengths), np.int64)
-        order = np.argsort(-lengths * (1 + SPREAD * rng.random(len(lengths))), kind="stable")
+        raised = lengths * (1 + SPREAD * rng.random(len(lengths))) if people or not plain else lengths
+        order = np.argsort(-raised, kind="stable")
         best_fit(as_list, order.tolist(), bins, [], 0, capacity)
         people.append(bins)
     rank = lambda p: fitness(p, lengths)
@@ -166,7 +169,7 @@ def pack(pieces: DataFrame, capacity: int, block_items: int = 4096, islands: int
     # ids go through numpy without nulls
     pieces = pieces.withColumn("nameless", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(0)))
     full = pieces.where(F.col("length") >= capacity).withColumn("sequence_id", F.monotonically_increasing_id() + (1 << 62))
-    full = full.select("*", *[F.lit(0).cast("long").alias(c) for c in ("offset", "crossovers", "elites_moved")])
+    full = full.select("*", *[F.lit(0).cast("long").alias(c) for c in ("offset", "crossovers", "elites_moved", "elites_new")])
     rest = pieces.where(F.col("length") < capacity)
     blocks = max(1, -(-rest.count() // block_items))
     state = _gathered(rest.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))))
@@ -174,7 +177,7 @@ def pack(pieces: DataFrame, capacity: int, block_items: int = 4096, islands: int
 
     while True:
         state = stored(state, "packing-blocks").withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))))
-        state = state.withColumn("elites", F.array().cast("array<binary>")).withColumn("crossovers", F.lit(0).cast("long"))
+        state = state.withColumn("elites", F.array().cast("array<binary>")).withColumns({c: F.lit(0).cast("long") for c in ("crossovers", "elites_moved", "elites_new")})
         for epoch in range(epochs):
 
             def run(batches: Iterator[pd.DataFrame], epoch: int = epoch, level: int = level) -> Iterator[pd.DataFrame]:
@@ -182,16 +185,18 @@ def pack(pieces: DataFrame, capacity: int, block_items: int = 4096, islands: int
                     for r in pdf.itertuples(index=False):
                         lengths = np.frombuffer(r.items, _ITEM)["length"].astype(np.int64)
                         migrants = [np.frombuffer(e, np.int64) for e in r.elites]
-                        bins, children = evolve(lengths, capacity, [level, int(r.block), int(r.island), epoch], migrants, population, generations)
-                        yield pd.DataFrame({"block": [r.block], "island": [r.island], "items": [r.items], "elite": [bins.astype(np.int64).tobytes()], "n_bins": [int(bins.max()) + 1], "crossovers": [r.crossovers + children]})
+                        bins, children = evolve(lengths, capacity, [level, int(r.block), int(r.island), epoch], migrants, population, generations, r.island == 0)
+                        yield pd.DataFrame({"block": [r.block], "island": [r.island], "items": [r.items], "elite": [bins.astype(np.int64).tobytes()], "n_bins": [int(bins.max()) + 1], "crossovers": [r.crossovers + children], "elites_moved": [r.elites_moved], "elites_new": [r.elites_new]})
 
             spread = state.repartition(F.xxhash64("block", "island")) if epoch == 0 else state
-            evolved = stored(spread.mapInPandas(run, "block long, island int, items binary, elite binary, n_bins long, crossovers long"), "packing-islands")
+            evolved = stored(spread.mapInPandas(run, "block long, island int, items binary, elite binary, n_bins long, crossovers long, elites_moved long, elites_new long"), "packing-islands")
             if epoch + 1 < epochs:
                 migrants = evolved.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("elite").alias("migrant"))
-                state = evolved.join(migrants, ["block", "island"]).select("block", "island", "items", "crossovers", F.array("elite", "migrant").alias("elites"))
-        best = evolved.groupBy("block").agg(F.min(F.struct("n_bins", "island", "items", "elite")).alias("b"), F.sum("crossovers").alias("crossovers"))
-        best = stored(best.select("block", "b.items", "b.elite", "crossovers"), "packing-best")
+                moved = [F.col("elites_moved") + F.lit(int(islands > 1)), F.col("elites_new") + (F.col("elite") != F.col("migrant")).cast("long")]
+                moved = [c.alias(name) for c, name in zip(moved, ("elites_moved", "elites_new"), strict=True)]
+                state = evolved.join(migrants, ["block", "island"]).select("block", "island", "items", "crossovers", *moved, F.array("elite", "migrant").alias("elites"))
+        best = evolved.groupBy("block").agg(F.min(F.struct("n_bins", "island", "items", "elite")).alias("b"), *[F.sum(c).cast("long").alias(c) for c in ("crossovers", "elites_moved", "elites_new")])
+        best = stored(best.select("block", "b.items", "b.elite", "crossovers", "elites_moved", "elites_new"), "packing-best")
         last = blocks <= 1
 
         def placed(batches: Iterator[pd.DataFrame], settled: bool, last: bool = last) -> Iterator[pd.DataFrame]:
@@ -202,18 +207,18 @@ def pack(pieces: DataFrame, capacity: int, block_items: int = 4096, islands: int
                     keep = np.ones(len(fill), bool)
                     if not last:
                         keep[np.argsort(fill, kind="stable")[:passed_on]] = False
-                    yield _rows(items, bins, keep if settled else ~keep).assign(block=r.block, crossovers=r.crossovers)
+                    yield _rows(items, bins, keep if settled else ~keep).assign(block=r.block, crossovers=r.crossovers, elites_moved=r.elites_moved, elites_new=r.elites_new)
 
-        schema = PIECES + ", nameless boolean, bin long, offset long, block long, crossovers long"
-        done = best.mapInPandas(lambda x, f=placed: f(x, True), schema).withColumn("elites_moved", F.lit(islands * (epochs - 1)).cast("long"))
+        schema = PIECES + ", nameless boolean, bin long, offset long, block long, crossovers long, elites_moved long, elites_new long"
+        done = best.mapInPandas(lambda x, f=placed: f(x, True), schema)
         out = out.unionByName(done.withColumn("sequence_id", F.lit(level << 56) + F.col("block") * (1 << 20) + F.col("bin")).drop("bin", "block"))
         if last:
             break
         again = best.mapInPandas(lambda x, f=placed: f(x, False), schema)
-        state = _gathered(again.withColumn("block", F.floor(F.col("block") / fan)).drop("bin", "offset", "crossovers"))
+        state = _gathered(again.withColumn("block", F.floor(F.col("block") / fan)).drop("bin", "offset", "crossovers", "elites_moved", "elites_new"))
         blocks, level = -(-blocks // fan), level + 1
     doc_id = F.when(~F.col("nameless"), F.col("doc_id")).alias("doc_id")
-    return out.select(doc_id, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "crossovers", "elites_moved")
+    return out.select(doc_id, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "crossovers", "elites_moved", "elites_new")
 
 
 def pack_documents(df: DataFrame, tokenizer_file: str, end_id: int = 0, capacity: int = 2048, **pack_args) -> DataFrame:
