@@ -71,12 +71,23 @@ def test_signatures_are_shared_by_all_links():
                     assert np.intersect1d(sigs[: ends[0]], sigs[ends[0] :]).size
                     met += 1
         shapes |= {(s.k2, s.n2) for i in range(25) if (s := partenum.scheme(percent, i))}
-    assert met > 200 and any(n2 - k2 > 1 for k2, n2 in shapes)
+    assert met > 200 and all(k2 >= 1 and n2 - k2 >= 2 for k2, n2 in shapes)
+
+
+def test_subsets_are_enumerated_at_every_size():
+    """Every instance that a set of any size takes part in enumerates subsets, and keeps no more than it has."""
+    for percent in (80, 85):
+        for size in (*range(1, 400), *(int(400 * 1.3**k) for k in range(24))):
+            part = partenum.takes_part(percent, size)
+            assert bool(part) == (partenum.difference(percent, size + size * 100 // percent) > 0)
+            for instance, kept in part:
+                s = partenum.scheme(percent, instance)
+                assert s.k2 >= 1 and len(s.subsets[0]) >= 2 and len(s.subsets) >= 3 and kept <= s.n1 * len(s.subsets)
 
 
 def test_spoilt_signatures_by_enumeration():
     """The counting bound against all ways to hit cells."""
-    for n1, k2, n2 in ((1, 1, 3), (2, 1, 3), (2, 2, 4), (3, 0, 1), (2, 1, 2)):
+    for n1, k2, n2 in ((1, 1, 3), (2, 1, 3), (2, 2, 4), (3, 0, 1), (2, 1, 2), (1, 3, 6), (2, 1, 4)):
         bound = partenum._spoilt(n1, k2, n2, 4)
         for d in range(5):
             worst = 0

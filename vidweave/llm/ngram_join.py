@@ -49,7 +49,7 @@ from .shingles import M1, M2, mix, shingle_sets
 
 BITS = 2048
 FOLD = 4
-_SETS = "doc_id long, n_shingles long, h long, g long, map binary, sigs array<long>"
+_SETS = "doc_id long, n_shingles long, h long, g long, map binary, n_signatures long, sigs array<long>"
 
 
 def parity_bitmaps(features: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -121,7 +121,8 @@ def _measured(docs: DataFrame, width: int, percent: int) -> DataFrame:
     def measure(ids: pa.Array, features: np.ndarray, ends: np.ndarray) -> dict:
         h, g = class_hashes(features, ends)
         maps = parity_bitmaps(features, ends)
-        return {"doc_id": ids, "n_shingles": np.diff(ends, prepend=0), "h": h, "g": g, "map": pa.array([m.tobytes() for m in maps], pa.binary()), "sigs": _lists(*signatures(features, ends, percent))}
+        sigs, last = signatures(features, ends, percent)
+        return {"doc_id": ids, "n_shingles": np.diff(ends, prepend=0), "h": h, "g": g, "map": pa.array([m.tobytes() for m in maps], pa.binary()), "n_signatures": np.diff(last, prepend=0), "sigs": _lists(sigs, last)}
 
     return _sets(docs, width, measure, _SETS)
 
@@ -218,7 +219,8 @@ def _maps(maps: np.ndarray) -> np.ndarray:
 
 
 def join(df: DataFrame, width: int = 5, percent: int = 80, block_sets: int = 3000, block_features: int = 4_000_000, filter_bits: int = 1 << 26, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of every document."""
+    """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and n_signatures (enumerated for its
+    set; 0 where only equal sets link) of every document."""
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     measured = stored(_measured(docs, width, percent), "shingle-sets")
     sets = measured.where("n_shingles > 0")
@@ -252,8 +254,8 @@ def join(df: DataFrame, width: int = 5, percent: int = 80, block_sets: int = 300
     classes = sets.groupBy("h", "g").agg(F.min("doc_id").alias("rep")).join(component.withColumnRenamed("node", "h"), "h", "left")
     least = classes.groupBy(F.coalesce("component", "h").alias("component")).agg(F.min("rep").alias("component_id"))
     named = classes.withColumn("component", F.coalesce("component", "h")).join(least, "component").select("h", "g", "component_id")
-    out = measured.select("doc_id", "n_shingles", "h", "g").join(named, ["h", "g"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = measured.select("doc_id", "n_shingles", "n_signatures", "h", "g").join(named, ["h", "g"], "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "n_signatures")
 
 
 def one_of_each(df: DataFrame, filter_bits: int = 1 << 26, **join_args) -> DataFrame:

@@ -17,7 +17,10 @@ chance, and n1 has some partitions to spare, so that signatures of hardly any fe
 
 Each instance takes, of a few pairs (k2, n2), the one for which the number of signatures kept of a set in the
 middle of the band, times one plus the expected chance matches, is least; the latter are taken as `WEAK` times the
-share of kept signatures with two features or fewer. Sets that link with equal sets only need no signatures, as equal sets are found by hash.
+share of kept signatures with two features or fewer. Subsets are enumerated at every size. The number of signatures
+grows with the size all the same: d grows with it, and a family of parts of the domain of which d differing features,
+wherever they lie, leave one untouched has more than d members. What the subsets buy is features per signature (4/3 of
+those of a single-level partitioning with (1, 3), 3/2 with (1, 4) and (2, 4)), so fewer chance matches. Sets that link with equal sets only need no signatures, as equal sets are found by hash.
 """
 
 from __future__ import annotations
@@ -31,8 +34,9 @@ import numpy as np
 
 from .shingles import M1, M2, mix
 
-#: (k2, n2) to choose from; a band spans this power of 100 / percent.
-SHAPES, SPAN, WEAK = ((0, 1), (1, 2), (1, 3), (2, 4), (2, 5)), 2, 20.0
+#: (k2, n2) to choose from, all with subsets of two or more of the n2 second-level partitions (with k2 = 0 or subsets
+#: of one, the two levels would be one partitioning without enumeration); a band spans this power of 100 / percent.
+SHAPES, SPAN, WEAK = ((1, 3), (1, 4), (2, 4), (2, 5), (3, 6)), 2, 20.0
 
 
 class Scheme(NamedTuple):
