@@ -18,20 +18,74 @@ def test_base_measures(spark, hostile):
     assert quality_rules.kept_rows(hostile, P.path("piece_bpe_32k.model")).columns == hostile.columns
 
 
+BPE = (P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+STEMS = ["Haus", "Weg", "Zeit", "Arbeit", "Wasser", "Donaudampfschifffahrt", "und", "der", "ist", "klein", "gehen", "Abend", "Stadt", "sehr", "nicht"]
+
+
+def clean_texts(n, seed=3):
+    rng = np.random.default_rng(seed)
+    return [" ".join(rng.choice(STEMS) + str(rng.integers(0, 60)) for _ in range(80)) for _ in range(n)]
+
+
+def test_measures_by_brute_force(spark):
+    """Each measure of the query against the libraries, on whole texts, one longer than two spans of tokens."""
+    import math
+    from collections import Counter
+
+    import sentencepiece
+
+    from vidweave.llm.bpe_codec import encoding
+
+    sp, enc = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model")), encoding(*BPE)
+    texts = ["one two three", " ".join(clean_texts(5)), "漢字 かな\tx\U0001f600y", "", "a" * 3000, *clean_texts(4)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.measure(df, P.path("piece_bpe_32k.model"), BPE).collect()}
+    for i, text in enumerate(texts):
+        ws = text.split()
+        ids, chars = [k for w in ws for k in sp.encode(w)], sum(map(len, ws))
+        entropies = 0.0
+        for at in range(0, len(ids), 256):
+            part = ids[at : at + 256]
+            h = -sum(c / len(part) * math.log2(c / len(part)) for c in Counter(part).values())
+            entropies += h / max(1.0, math.log2(len(part))) * len(part)
+        n, m = len(ids), sum(len(enc.encode_ordinary(" " + w)) for w in ws)
+        want = (chars / n, sum(map(sp.is_byte, ids)) / n, entropies / n, chars / m) if n else (0.0,) * 4
+        assert np.allclose([got[i][c] for c in quality_rules.MEASURES], want), (i, want)
+
+
 def test_bands_hold_with_copies_and_at_every_size(spark):
-    """Exact copies of one text leave no narrower band than the default, and few texts are judged by the same rule as many."""
-    rng = np.random.default_rng(3)
-    stems = ["Haus", "Weg", "Zeit", "Arbeit", "Wasser", "Donaudampfschifffahrt", "und", "der", "ist", "klein", "gehen", "Abend", "Stadt", "sehr", "nicht"]
-    copy = " ".join(f"{w} {k}" for k, w in enumerate(stems * 6))
-    clean = [" ".join(rng.choice(stems) + str(rng.integers(0, 60)) for _ in range(80)) for _ in range(40)]
-    df = spark.createDataFrame([(i, t, "de") for i, t in enumerate([copy] * 300 + clean)], "doc_id long, text string, lang string")
-    measured = quality_rules.measure(df, P.path("piece_bpe_32k.model"))
-    for part in (measured, measured.where("doc_id >= 290"), measured.where("doc_id < 300"), measured.limit(0)):
-        low, high, most_bytes, least_entropy = quality_rules.fit_bands(part)["de"]
-        assert low <= 1.45 and high >= 6.5 and most_bytes >= 0.05 and least_entropy <= 0.45
+    """Exact and near copies reject no clean text, and few texts are judged by the same rule as many."""
+    copy = " ".join(f"{w} {k}" for k, w in enumerate(STEMS * 6))
+    clean = clean_texts(40)
+    near = [f"{copy} {a} {b}" for a in STEMS for b in ("Haus", "und", "sehr")]
+    df = spark.createDataFrame([(i, t, "de") for i, t in enumerate([copy] * 300 + clean + near)], "doc_id long, text string, lang string")
+    measured = quality_rules.stored(quality_rules.measure(df, P.path("piece_bpe_32k.model"), BPE), "t")
+    for part in (measured, measured.where("doc_id BETWEEN 290 AND 339"), measured.where("doc_id < 302"), measured.where("doc_id >= 338"), measured.limit(0)):
+        assert quality_rules.judge(part, quality_rules.fit_bands(part)).where("NOT base_failed AND NOT kept").count() == 0
     assert quality_rules.fit_bands(measured) == quality_rules.fit_bands(measured.where("doc_id >= 299"))
-    clean_ids = {r["doc_id"] for r in measured.where("NOT base_failed AND chars_per_token BETWEEN 1.45 AND 6.5 AND byte_share <= 0.05 AND token_entropy >= 0.45").collect()}
-    assert len(clean_ids) > 300 and clean_ids <= {r["doc_id"] for r in quality_rules.kept_rows(df, P.path("piece_bpe_32k.model")).collect()}
+    assert measured.where("NOT base_failed").count() == 385
+
+
+def test_bands_alone_catch_junk(spark):
+    """Junk that the base rules keep is rejected by the bands of the clean texts around it; no clean text goes."""
+    import base64
+    import string
+
+    rng = np.random.default_rng(8)
+    letters = np.array(list(string.ascii_lowercase))
+    junk = {
+        "mash": " ".join("".join(rng.choice(letters, 7)) for _ in range(150)),
+        "numbered": " ".join(f"spam{k}" for k in range(300)),
+        "base64": " ".join(base64.b64encode(rng.bytes(30)).decode() for _ in range(60)),
+        "hex": " ".join(rng.bytes(16).hex() for _ in range(80)),
+        "emoji": " ".join(chr(0x1F600 + int(k)) * 4 for k in rng.integers(0, 60, 120)),
+    }
+    rows = [(k, " ".join(x.rstrip("0123456789") + "." * (j % 9 == 8) for j, x in enumerate(t.split())), "de") for k, t in enumerate(clean_texts(200, 9))]
+    rows += [(1000 + k, t, "de") for k, t in enumerate(junk.values())]
+    out = quality_rules.apply_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), P.path("piece_bpe_32k.model"), BPE).collect()
+    caught = {list(junk)[r["doc_id"] - 1000] for r in out if r["doc_id"] >= 1000 and not r["base_failed"] and not r["kept"]}
+    assert caught == set(junk), set(junk) - caught
+    assert all(r["kept"] or r["base_failed"] for r in out if r["doc_id"] < 1000) and sum(r["kept"] for r in out) > 150
 
 
 def test_script_counts_every_letter():

@@ -1,16 +1,21 @@
 """Quality rules by tokeniser fertility.
 
-A public vocabulary with byte fallback measures three things on the words of a text: characters a token,
-the share of tokens that are fallen-back bytes, and the entropy of the tokens (Shannon's, divided by that
-of as many distinct tokens, so that it lies in 0..1 at every length). A text is rejected if one of them
-lies outside the band of its language, or of its script where the language has no band. The bands are
-fitted to the whole table: the middle half of all distinct texts that pass the base rules, widened on either
-side by `width` times its own width, and joined with the default band, so that copies, near copies or few
-texts never narrow a band below the default. The base rules reject texts of few words and texts in which
-repeated three-word windows cover most words.
+Public vocabularies measure the words of a text. One with byte fallback gives characters a token, the share of tokens
+that are fallen-back bytes, and the entropy of the tokens: Shannon's over every `SPAN` tokens in a row, divided by that of
+as many distinct ones, and the mean of these, so that a text's length leaves it as it is. A byte-level one (optional)
+gives characters a token of its own, as text that looks usual to one vocabulary need not to another.
+
+A text is rejected if a measure lies outside the band of its language, or of its script where the language has none.
+Bands are fitted to the whole table, both ways: the middle three quarters of all distinct texts that pass the base
+rules, and a margin on each side (bytes: above only, entropy: below only) of `width` times their spread. The spread has a floor
+(`MEASURES`), so copies and near copies cannot close a band; up to about three quarters of a language's texts may
+be copies of one text before its quantiles follow it. The margin grows where less is known: for a
+short text by the square root of 1 + `SHORT` / words, for a band of few texts by 1 + `PRIOR` / texts. The base rules
+reject texts of few words and texts in which repeated three-word windows cover most words.
 
 The measures are written once to the shared folder, as the bands need all of them; they are a few numbers
-a row, and so is what is shuffled to count each text once. Only the bands (at most one row for each language of BANDS) reach the driver.
+a row, and so is what is shuffled to count each text once. Only the bands (at most one row for each of LANGUAGES and
+script) reach the driver.
 
 Words are runs without ASCII white space and are encoded one by one, so a measure does not depend on
 where a text is cut, and a worker encodes each distinct word once (piece_memo).
@@ -25,43 +30,76 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe_codec import encode, encoding
 from .common import slices, stored
 from .piece_memo import PieceMemo, held, joined, words
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_per_token double, byte_share double, token_entropy double, band string, text_hash long"
-_ARROW = [*[pa.int64()] * 5, pa.bool_(), *[pa.float64()] * 3, pa.string()]
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, chars_per_token double, byte_share double, token_entropy double, bpe_chars_per_token double, band string, text_hash long"
+_ARROW = [*[pa.int64()] * 5, pa.bool_(), *[pa.float64()] * 4, pa.string()]
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
 
-#: Default bands by language, then by script ("latin", "other"): least and most characters a token, most
-#: byte share, least normalised entropy. Wide on purpose: a clean text of any topic lies inside.
-BANDS: dict[str, tuple[float, float, float, float]] = {
-    "en": (1.45, 6.5, 0.05, 0.45),
-    "de": (1.45, 6.5, 0.05, 0.45),
-    "es": (1.30, 6.5, 0.05, 0.45),
-    "fr": (1.30, 6.5, 0.05, 0.45),
-    "latin": (1.25, 6.5, 0.10, 0.45),
-    "other": (0.30, 4.0, 0.80, 0.35),
+#: Languages with bands of their own; other texts are judged by script ("latin", "other").
+LANGUAGES = ("en", "de", "es", "fr")
+
+#: By measure: whether its band is bounded below, above, and the least spread that a margin is taken from.
+MEASURES: dict[str, tuple[bool, bool, float]] = {
+    "chars_per_token": (True, True, 0.1),
+    "byte_share": (False, True, 0.02),
+    "token_entropy": (True, False, 0.02),
+    "bpe_chars_per_token": (True, True, 0.1),
 }
+SPAN, SHORT, PRIOR = 256, 100, 30
+
 
+class Band(NamedTuple):
+    low: float
+    high: float
+    margin: float
 
-def vocabulary_memo(model_file: str, most: int = 180_000) -> tuple[PieceMemo, np.ndarray]:
-    """The worker's memo over the words of a sentencepiece vocabulary, and which of its ids are bytes."""
-    return held(("vocabulary", model_file, most), lambda: _vocabulary_memo(model_file, most))
 
+def vocabulary_memo(model_file: str, bpe: tuple[str, str] | None = None, most: int = 180_000) -> tuple[PieceMemo, np.ndarray]:
+    """The worker's memo over the words of a sentencepiece vocabulary, and which of its ids are bytes. A word's ids end
+    with a negative number: how many tokens it has in the byte-level vocabulary (rank file, pattern), after a space."""
+    return held(("vocabulary", model_file, bpe, most), lambda: _vocabulary_memo(model_file, bpe, most))
 
-def _vocabulary_memo(model_file: str, most: int) -> tuple[PieceMemo, np.ndarray]:
+
+def _vocabulary_memo(model_file: str, bpe: tuple[str, str] | None, most: int) -> tuple[PieceMemo, np.ndarray]:
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
-    return PieceMemo(lambda ws: joined(sp.encode([w.decode() for w in ws], num_threads=1)), most), is_byte
+
+    def ids(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [w.decode() for w in ws]
+        lists = sp.encode(texts, num_threads=1)
+        if bpe:
+            enc = encoding(*bpe)
+            for text, held_ids in zip(texts, lists, strict=True):
+                held_ids.append(-len(encode(" " + text, enc)))
+        return joined(lists)
+
+    return PieceMemo(ids, most), is_byte
+
+
+def token_entropy(ids: np.ndarray) -> float:
+    """The mean over every SPAN ids in a row (the last ones may be fewer, and weigh less) of their entropy over
+    that of as many distinct ids."""
+    n = len(ids)
+    sizes = np.full(-(-n // SPAN), SPAN)
+    sizes[-1] = n - SPAN * (len(sizes) - 1)
+    keys, counts = np.unique(np.arange(n) // SPAN << 32 | ids, return_counts=True)
+    of = keys >> 32
+    share = counts / sizes[of]
+    entropy = np.bincount(of, weights=-share * np.log2(share), minlength=len(sizes))
+    return float((entropy / np.maximum(1.0, np.log2(sizes)) * sizes).sum() / n)
 
 
 def repeat_words(numbers: np.ndarray) -> int:
@@ -86,14 +124,15 @@ def script_of(text: str) -> str:
     return "latin" if sum(n for c, n in letters.items() if c < "ɐ") * 2 >= sum(letters.values()) else "other"
 
 
-def measure(df: DataFrame, model_file: str, min_words: int = 50, most_repeated_percent: int = 50, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
-    """The base measures and the fertility measures of every row, after the columns named in `carry`."""
+def measure(df: DataFrame, model_file: str, bpe: tuple[str, str] | None = None, min_words: int = 50, most_repeated_percent: int = 50, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
+    """The base measures and the fertility measures of every row, after the columns named in `carry`. Without `bpe` (a
+    rank file and the pattern that cuts words), bpe_chars_per_token is null and has no band."""
 
     schema = ", ".join([*(f"carried_{c} {df.schema[c].dataType.simpleString()}" for c in carry), SCHEMA])
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, is_byte = vocabulary_memo(model_file)
+        memo, is_byte = vocabulary_memo(model_file, bpe)
         for batch in batches:
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             langs = batch.column("_lang").to_pylist()
@@ -111,12 +150,13 @@ def measure(df: DataFrame, model_file: str, min_words: int = 50, most_repeated_p
                     failed = n < min_words or 100 * repeated > most_repeated_percent * n
                     ids = memo.ids(nums)
                     per_token = share = entropy = 0.0
+                    bpe_per_token = 0.0 if bpe else None
+                    if bpe and len(ids):
+                        bpe_per_token, ids = chars / -int(ids[ids < 0].sum(dtype=np.int64)), ids[ids >= 0]
                     if len(ids):
-                        counts = np.unique(ids, return_counts=True)[1] / len(ids)
-                        per_token, share = chars / len(ids), float(is_byte[ids].mean())
-                        entropy = float(-(counts * np.log2(counts)).sum() / max(1.0, np.log2(len(ids))))
-                    band = lang if lang in BANDS else script_of(text)
-                    rows.append((n, chars, len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, per_token, share, entropy, band))
+                        per_token, share, entropy = chars / len(ids), float(is_byte[ids].mean()), token_entropy(ids)
+                    band = lang if lang in LANGUAGES else script_of(text)
+                    rows.append((n, chars, len(raw) - len(raw.translate(None, _SYMBOLS)), len(lines) - len(set(lines)), repeated, failed, per_token, share, entropy, bpe_per_token, band))
                 part = batch.slice(start, end - start)
                 carried = [part.column("_text" if c == text_col else c) for c in carry]
                 measures = [pa.array(x, _ARROW[k]) for k, x in enumerate(zip(*rows, strict=True))]
@@ -127,34 +167,39 @@ def measure(df: DataFrame, model_file: str, min_words: int = 50, most_repeated_p
     return texts.mapInArrow(run, schema)
 
 
-def fit_bands(measured: DataFrame, width: float = 5.0) -> dict[str, tuple[float, float, float, float]]:
-    """The default bands, widened to the bands around the middle half of the distinct texts of each language or
-    script that pass the base rules. Texts of one hash and equal measures count once."""
-    quartiles = lambda c: F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.75)), F.lit(10_000))
-    measures = ("chars_per_token", "byte_share", "token_entropy")
-    texts = measured.where("NOT base_failed").select("band", "text_hash", *measures).distinct()
-    bands = dict(BANDS)
-    for r in texts.groupBy("band").agg(*[quartiles(c).alias(c) for c in measures]).collect():
-        (c1, c3), (b1, b3), (e1, e3), (low, high, most_bytes, least_entropy) = *(r[c] for c in measures), BANDS[r["band"]]
-        bands[r["band"]] = (min(low, c1 - width * (c3 - c1)), max(high, c3 + width * (c3 - c1)), max(most_bytes, b3 + width * (b3 - b1)), min(least_entropy, e1 - width * (e3 - e1)))
+def fit_bands(measured: DataFrame, width: float = 2.5) -> dict[str, dict[str, Band]]:
+    """By language or script and measure: the octiles around the middle of the distinct texts that pass the base rules,
+    and the margin of a long text. Texts of one hash and equal measures count once."""
+    texts = measured.where("NOT base_failed").select("band", "text_hash", *MEASURES).distinct()
+    octiles = [F.percentile_approx(c, F.array(F.lit(0.125), F.lit(0.875)), F.lit(10_000)).alias(c) for c in MEASURES]
+    bands: dict[str, dict[str, Band]] = {}
+    for r in texts.groupBy("band").agg(F.count(F.lit(1)).alias("n"), *octiles).collect():
+        bands[r["band"]] = {c: Band(*r[c], width * max(r[c][1] - r[c][0], least) * (1 + PRIOR / r["n"])) for c, (_, _, least) in MEASURES.items() if r[c]}
     return bands
 
 
-def judge(measured: DataFrame, bands: dict[str, tuple[float, float, float, float]]) -> DataFrame:
+def judge(measured: DataFrame, bands: dict[str, dict[str, Band]]) -> DataFrame:
     """measured with the verdict `kept`."""
-    inside = F.lit(False)
-    for band, (low, high, most_bytes, least_entropy) in bands.items():
-        inside = inside | ((F.col("band") == band) & F.col("chars_per_token").between(low, high) & (F.col("byte_share") <= most_bytes) & (F.col("token_entropy") >= least_entropy))
+    slack, inside = F.sqrt(1 + SHORT / F.greatest(F.col("n_words"), F.lit(1))), F.lit(False)
+    for name, measures in bands.items():
+        fits = F.col("band") == name
+        for c, (low, high, margin) in measures.items():
+            below, above, _ = MEASURES[c]
+            if below:
+                fits = fits & (F.col(c) >= low - slack * margin)
+            if above:
+                fits = fits & (F.col(c) <= high + slack * margin)
+        inside = inside | fits
     return measured.drop("text_hash").withColumn("kept", ~F.col("base_failed") & inside)
 
 
-def apply_rules(df: DataFrame, model_file: str, width: float = 5.0, **measure_args) -> DataFrame:
+def apply_rules(df: DataFrame, model_file: str, bpe: tuple[str, str] | None = None, width: float = 2.5, **measure_args) -> DataFrame:
     """Every row's measures and verdict, by bands fitted to all rows."""
-    measured = stored(measure(df, model_file, **measure_args), "quality-measures")
+    measured = stored(measure(df, model_file, bpe, **measure_args), "quality-measures")
     return judge(measured, fit_bands(measured, width))
 
 
-def kept_rows(df: DataFrame, model_file: str, width: float = 5.0) -> DataFrame:
+def kept_rows(df: DataFrame, model_file: str, bpe: tuple[str, str] | None = None, width: float = 2.5) -> DataFrame:
     """The rows of df that pass, with df's columns; no text is shuffled."""
-    measured = stored(measure(df, model_file, carry=tuple(df.columns)), "quality-measures")
+    measured = stored(measure(df, model_file, bpe, carry=tuple(df.columns)), "quality-measures")
     return judge(measured, fit_bands(measured, width)).where("kept").select([F.col(f"carried_{c}").alias(c) for c in df.columns])

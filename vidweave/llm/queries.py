@@ -13,7 +13,8 @@ from .common import table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), vocabularies.path("piece_bpe_32k.model"))
+    bpe = vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"), vocabularies.path("piece_bpe_32k.model"), bpe)
 
 
 def op2_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
