@@ -25,7 +25,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or lie outside their language's fertility band go."""
     prepare(spark)
-    return quality_rules.kept_rows(docs.select(COLUMNS), vocabularies.path("piece_bpe_32k.model"))
+    bpe = vocabularies.path("byte_bpe_multi_50k.tiktoken"), vocabularies.PATTERN
+    return quality_rules.kept_rows(docs.select(COLUMNS), vocabularies.path("piece_bpe_32k.model"), bpe)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
