@@ -85,5 +85,8 @@ def test_fusion_gates(spark):
     got = df.select("*", *[Q.fuse_text(F.col("a"), F.col("o"), F.col("c"), m).alias(f"got_{m.lower()}") for m in Q.FUSION_MODES]).collect()
     for r in got:
         assert tuple(r)[6:] == tuple(r)[3:6], r
+    wrong = "今天我们学习".encode().decode("latin-1")
+    fused = spark.createDataFrame([(wrong, "", 0.99), ("", wrong, 0.99), (wrong, "今天我们学", 0.5), (None, None, None)], "a string, o string, c double")
+    assert [r[0] for r in fused.select(Q.fuse_text(F.col("a"), F.col("o"), F.col("c"), "STRONG_VISUAL")).collect()] == ["今天我们学习", "今天我们学习", "今天我们学习", ""]
     one = spark.createDataFrame([("這個句子很長很好", "这個句子很長很好", 0.97)], "a string, o string, c double")
     assert one.select(Q.fuse_text(F.col("a"), F.col("o"), F.col("c"), "LOW_CONFIDENCE", traditional="這"), Q.fuse_text(F.col("a"), F.col("o"), F.col("c"), "LOW_CONFIDENCE")).first()[:] == ("这個句子很長很好", "這個句子很長很好")

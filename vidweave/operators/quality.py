@@ -45,10 +45,11 @@ def tech_tokens(c: Column) -> Column:
 
 def fuse_text(asr: Column, ocr: Column, confidence: Column, mode: str = "CONSERVATIVE", least_confidence: float = 0.88, traditional: str = "") -> Column:
     """The seen text where it may replace the spoken one, by the mode's limits; else the spoken text, with a product
-    name of the seen one where that lowers the error rate. A spoken text with characters of `traditional` counts as
+    name of the seen one where that lowers the error rate. Both texts' encoding is repaired first, so a garbled one that
+    cannot be repaired counts as empty. A spoken text with characters of `traditional` counts as
     mistaken in LOW_CONFIDENCE."""
     sure, ratio, low, high = FUSION_MODES[mode]
-    cleaned = F.struct(*[tech_tokens(F.trim(F.coalesce(c, F.lit("")))).alias(name) for c, name in ((asr, "a"), (ocr, "o"))])
+    cleaned = F.struct(*[tech_tokens(T.repair_encoding(c)["text"]).alias(name) for c, name in ((asr, "a"), (ocr, "o"))])
 
     def decided(s: Column) -> Column:
         a, o, rate = s["t"]["a"], s["t"]["o"], s["rate"]

@@ -35,13 +35,13 @@ def hash_embed(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 256,
     return sparse_vectors(df, id_cols, text_col, dim, groups).select(*id_cols, "norm", F.explode("vector").alias("bucket", "value"))
 
 
-def embed(df: DataFrame, id_cols: list[str], text_col: str, provider: Callable[[list[str]], list[list[float] | None]] | None = None, dim: int = 256) -> DataFrame:
+def embed(df: DataFrame, id_cols: list[str], text_col: str, provider: Callable[[list[str]], list[list[float] | None]] | None = None, dim: int = 256, groups: list | None = None) -> DataFrame:
     """Sparse vectors (ids, norm, vector) by a provider: a function that takes a list of texts and gives a dense
     vector for each, or None where it failed. Blank texts have no vector; zero components are left out; failed
     texts, or all of a batch for which it raised, fall back to the hash embedder, as all do without a provider."""
     text = df.where(F.coalesce(F.trim(text_col), F.lit("")) != "")
     if provider is None:
-        return sparse_vectors(text, id_cols, text_col, dim)
+        return sparse_vectors(text, id_cols, text_col, dim, groups)
 
     @F.pandas_udf("array<double>")
     def dense(texts: pd.Series) -> pd.Series:
@@ -54,7 +54,7 @@ def embed(df: DataFrame, id_cols: list[str], text_col: str, provider: Callable[[
     entries = F.filter(F.transform("_v", lambda x, i: F.struct(i.cast("int").alias("bucket"), x.alias("value"))), lambda e: e["value"] != 0)
     norm = F.sqrt(F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x))
     remote = found.where("_v IS NOT NULL").select(*id_cols, norm.alias("norm"), F.map_from_entries(entries).alias("vector")).where("norm > 0")
-    return remote.unionByName(sparse_vectors(found.where("_v IS NULL"), id_cols, text_col, dim))
+    return remote.unionByName(sparse_vectors(found.where("_v IS NULL"), id_cols, text_col, dim, groups))
 
 
 def dense_vector(values: Column, dim: int = 256) -> Column:

@@ -250,5 +250,23 @@ s AS (SELECT kb_id, question_id, count(*) AS n_videos, concat_ws('|', {', '.join
 md5(string_agg('{R.DIFFERENCE[0]}' || original_name || '{R.DIFFERENCE[1]}' || {_KB_CUT(120)}, '|' ORDER BY o) FILTER (WHERE o <= 6)) AS differences_md5 FROM q GROUP BY 1, 2)
 SELECT kb_id, question_id, n_videos, CASE WHEN themes = '' THEN '{R.NOTHING_SHARED}' ELSE themes END AS themes, differences_md5 FROM s"""
 
-QUERIES = {f.__name__: f for f in (c4_dense_vector, c5_cosine, d1_vector_search, d2_local_rerank, d3_merge_remote_scores, d4_retrieve_evidence, d5_diversify, d6_citable_stats, d7_build_citations, d8_confidence_level, d9_answer_batch, d10_index_delta, d11_rebuild_index, g6_kb_viewpoints, g6_kb_compare)}
+def _letter_counts(texts: list[str]) -> list[list[float] | None]:
+    """A provider that counts five letters and fails on every text whose length three divides."""
+    return [None if len(t) % 3 == 0 else [float(t.count(x)) for x in "abcde"] for t in texts]
+
+
+def c10_embed(spark: SparkSession, d: str) -> DataFrame:
+    """All segments embedded by a provider that fails on a third of them: entries, their sum, the norm, and the sum of
+    bucket times value."""
+    v = R.embed(_segments(spark, d), ["id"], "content", _letter_counts, groups=[])
+    total = lambda f: F.aggregate(F.map_entries("vector"), F.lit(0.0), lambda a, e: a + f(e))
+    return v.select("id", F.size("vector").cast("long").alias("n_entries"), total(lambda e: e["value"]).alias("total"), F.round("norm", 6).alias("norm"), total(lambda e: e["key"] * e["value"]).alias("weighted"))
+
+
+C10 = with_ctes("segments") + f""", r AS (SELECT id, b AS bucket, CAST(length(content) - length(replace(content, substr('abcde', CAST(b + 1 AS BIGINT), 1), '')) AS DOUBLE) AS value FROM segments, range(5) t(b) WHERE length(content) % 3 <> 0),
+f AS (SELECT id, content FROM segments WHERE length(content) % 3 = 0), h AS ({_embed('f', 'id', 'content')})
+SELECT id, count(*) AS n_entries, sum(value) AS total, round(sqrt(sum(value * value)), 6) AS norm, sum(bucket * value) AS weighted FROM (SELECT id, bucket, value FROM r WHERE value > 0 UNION ALL SELECT id, bucket, value FROM h) GROUP BY id"""
+
+
+QUERIES = {f.__name__: f for f in (c4_dense_vector, c5_cosine, c10_embed, d1_vector_search, d2_local_rerank, d3_merge_remote_scores, d4_retrieve_evidence, d5_diversify, d6_citable_stats, d7_build_citations, d8_confidence_level, d9_answer_batch, d10_index_delta, d11_rebuild_index, g6_kb_viewpoints, g6_kb_compare)}
 ORACLES = {k: globals()["G6_VIEWPOINTS" if k == "g6_kb_viewpoints" else k.split("_")[0].upper()] for k in QUERIES}
