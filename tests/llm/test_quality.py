@@ -1,8 +1,10 @@
+import tracemalloc
+
 import numpy as np
 import public_tokenizers as P
 
 from vidweave.llm import html_extraction as H
-from vidweave.llm import quality_classifier, quality_rules, toxicity
+from vidweave.llm import piece_memo, quality_classifier, quality_rules, toxicity
 
 from .conftest import HOSTILE
 
@@ -255,3 +257,27 @@ def test_toxicity_draws_texts_not_rows(spark):
     assert seen[0].count() <= 70 and few == len(rows)
     got = toxicity.classify(docs, labels).collect()
     assert all(r["predicted"] == int(r["doc_id"] >= 1000) for r in got if r["held_out"])
+
+
+def test_linear_fit_needs_little_beside_its_rows():
+    """Rows are taken one by one and kept as 16-bit places: well below what whole rows and their products would take."""
+    rng = np.random.default_rng(5)
+    n, size = 1500, 800
+
+    def rows():
+        for k in range(n):
+            at = rng.choice(quality_classifier.BUCKETS // 2, size, replace=False) + (k % 2) * quality_classifier.BUCKETS // 2
+            yield at, np.full(size, 0.01), float(k % 2)
+
+    tracemalloc.start()
+    w, _ = quality_classifier.fit_linear(rows(), steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * n * size and w[: quality_classifier.BUCKETS // 2].max() <= 0 <= w[quality_classifier.BUCKETS // 2 :].min()
+    assert not quality_classifier.fit_linear([])[0].any()
+
+
+def test_memo_is_given_up():
+    piece_memo.held(("some", "memo"), dict)
+    piece_memo.release()
+    assert not piece_memo._slot

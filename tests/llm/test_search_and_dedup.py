@@ -198,3 +198,13 @@ def test_bounds_drop_candidates():
     assert rows == want and spared > 0.4 * 20 * 2000 * 64
     again, _, more = vector_topk.search_block(q, c.T, ids, ids[:20], 5, floors=floors)
     assert again == want and more >= spared
+
+
+def test_chosen_documents_pass_one_python_step(spark):
+    """Documents are chosen by bitmap in the step that cuts them: two Python steps in one task would need two workers a core."""
+    docs = spark.createDataFrame([(k, f"{k} some words of text") for k in range(200)] + [(None, "x y z")], "doc_id long, text string")
+    bits = ngram_join._bits(docs.where("doc_id % 50 = 0").select("doc_id"), "doc_id", 1 << 20)
+    out = ngram_join._sets(docs, 4, lambda ids, features, ends: {"doc_id": ids}, "doc_id long", bits, 1 << 20)
+    assert sorted(r[0] for r in out.collect()) == [0, 50, 100, 150]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stored
-from .piece_memo import library_memo, words
+from .piece_memo import library_memo, release, words
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _ITEM = np.dtype([("doc_id", "<i8"), ("start", "<i8"), ("piece", "<i4"), ("length", "<i4"), ("crc", "<i8"), ("nameless", "?")])
@@ -181,6 +181,7 @@ def pack(pieces: DataFrame, capacity: int, block_items: int = 4096, islands: int
         for epoch in range(epochs):
 
             def run(batches: Iterator[pd.DataFrame], epoch: int = epoch, level: int = level) -> Iterator[pd.DataFrame]:
+                release()  # the tokenizer's memo
                 for pdf in batches:
                     for r in pdf.itertuples(index=False):
                         lengths = np.frombuffer(r.items, _ITEM)["length"].astype(np.int64)

@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 from .common import slices, stored
 from .components import connected_components
 from .partenum import signatures
+from .piece_memo import release
 from .shingles import M1, M2, mix, shingle_sets
 
 BITS = 2048
@@ -101,16 +102,24 @@ def connecting_pairs(sizes: np.ndarray, maps: np.ndarray, side: np.ndarray, perc
     return out
 
 
-def _sets(docs: DataFrame, width: int, what, schema: str) -> DataFrame:
-    """docs (doc_id, text) mapped by what(doc ids, features, ends), which gives columns of the schema."""
+def _sets(docs: DataFrame, width: int, what, schema: str, bits=None, filter_bits: int = 1) -> DataFrame:
+    """docs (doc_id, text) mapped by what(doc ids, features, ends), which gives columns of the schema. With `bits`,
+    only documents whose id's bit is set; it is looked up here, as a UDF before would keep a second Python worker
+    for each core, with all that a worker holds, through the later stages of a pipeline."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
+            if bits is not None:
+                batch = batch.filter(pa.array(_is_set(bits.value, batch.column(2).to_numpy())))
+            if not batch.num_rows:
+                continue
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for start, end in slices(map(len, texts), 1_000_000):
                 yield pa.RecordBatch.from_pydict(what(ids.slice(start, end - start), *shingle_sets(texts[start:end], width)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    where = [] if bits is None else [_place("doc_id", filter_bits)]
+    return docs.select("doc_id", "text", *where).mapInArrow(run, schema)
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -193,6 +202,7 @@ def _by_task(df: DataFrame, columns: list[str], work) -> DataFrame:
                 yield pd.DataFrame(h[np.array(found)], columns=["a", "b"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         last, held = None, []
         for pdf in batches:
             keys = pdf[key].to_numpy()
@@ -242,8 +252,7 @@ def join(df: DataFrame, width: int = 5, percent: int = 80, block_sets: int = 300
         raw = features.view(np.uint8)
         return {"h": class_hashes(features, ends)[0], "features": pa.array([raw[8 * a : 8 * b].tobytes() for a, b in zip(np.concatenate([[0], ends[:-1]]).tolist(), ends.tolist(), strict=True)], pa.binary())}
 
-    chosen = docs.where(_bit_is_set("doc_id", _bits(wanted, "doc_id", filter_bits), filter_bits))
-    of_class = _sets(chosen, width, features, "h long, features binary").dropDuplicates(["h"])
+    of_class = _sets(docs, width, features, "h long, features binary", _bits(wanted, "doc_id", filter_bits), filter_bits).dropDuplicates(["h"])
 
     def links(n: np.ndarray, maps: np.ndarray, side: np.ndarray, features: np.ndarray) -> list:
         sets = [np.frombuffer(x, np.uint64) for x in features]

@@ -8,6 +8,7 @@ memory is bounded. A worker keeps its memos from task to task.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import re
@@ -15,6 +16,7 @@ from collections.abc import Callable
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
 
 _RARE = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -27,12 +29,23 @@ def held(key: tuple, make: Callable):
     """What make() gives, kept in this worker from task to task until another key is asked for: a worker that
     runs one operator after another holds the memo of one of them only."""
     if key not in _slot:
-        _slot.clear()
-        gc.collect()
+        release()
         _slot[key] = make()
     return _slot[key]
 
 
+def release() -> None:
+    """Gives up the memo that this worker holds, and its memory. Operators without a memo call it, as a worker
+    that ran another one before still has that one's."""
+    if _slot:
+        _slot.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's; others give memory back by themselves
+        if trim:
+            trim(0)
+
+
 class _Index(dict):
     """Numbers keys in the order they come; keeps the new ones."""
 

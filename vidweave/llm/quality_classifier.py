@@ -18,7 +18,8 @@ keeps its starting point. Rows without an id are voted and scored, but train not
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .piece_memo import release
 
 BUCKETS = 1 << 14
 _WORD = re.compile(rb"(?<!\S)[A-Za-z\x80-\xff'-]+[.,;:?]*(?!\S)")
@@ -132,15 +133,22 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray, dict[str, float]]:
     return np.concatenate([at, level]).astype(np.int64), np.concatenate([count[at] * (10 / max(100, len(grams))), np.ones(len(level))]), x
 
 
-def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, steps: int = 150, rate: float = 0.1, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft targets, by Adam over all rows."""
-    of = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
-    at, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
+def fit_linear(rows: Iterable[tuple[np.ndarray, np.ndarray, float]], steps: int = 150, rate: float = 0.1, decay: float = 1e-3, block: int = 256) -> tuple[np.ndarray, float]:
+    """Logistic regression on rows of (places, values, soft target), by Adam over all rows. Rows are taken and worked on
+    by the block, and places kept as 16 bits, so beside the rows themselves little memory is used."""
+    blocks, targets, rows = [], [], iter(rows)
+    while part := list(islice(rows, block)):
+        blocks.append((np.repeat(np.arange(len(part)), [len(a) for a, _, _ in part]).astype(np.uint16), np.concatenate([a for a, _, _ in part]).astype(np.uint16), np.concatenate([v for _, v, _ in part])))
+        targets.append(np.array([t for _, _, t in part]))
+    n = sum(map(len, targets))
     w, m, s = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for step in range(1, steps + 1):
-        g = np.bincount(of, w[at] * value, minlength=len(rows)) + w[-1]
-        slope = (1 / (1 + np.exp(-np.clip(g, -30, 30))) - target) / len(rows)
-        grad = np.append(np.bincount(at, slope[of] * value, minlength=BUCKETS), slope.sum())
+        grad = np.zeros(BUCKETS + 1)
+        for (of, at, value), target in zip(blocks, targets, strict=True):
+            g = np.bincount(of, w[at] * value, minlength=len(target)) + w[-1]
+            slope = (1 / (1 + np.exp(-np.clip(g, -30, 30))) - target) / n
+            grad[:-1] += np.bincount(at, slope[of] * value, minlength=BUCKETS)
+            grad[-1] += slope.sum()
         grad[:-1] += decay * w[:-1] / len(w)
         m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8)
@@ -159,6 +167,7 @@ def train(docs: DataFrame, most_sample: int = 4000) -> tuple[np.ndarray, float,
     """Weights, bias, and the posterior of each vote pattern. docs: doc_id, text."""
 
     def pattern(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             yield pd.DataFrame({"pattern": [_code(votes(shape(t))) for t in pdf["text"]]})
 
@@ -172,8 +181,9 @@ def train(docs: DataFrame, most_sample: int = 4000) -> tuple[np.ndarray, float,
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_sample)
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [features(t) for t in pdf.sort_values(["doc_id", "text"])["text"]]
-        w, bias = fit_linear([(a, v) for a, v, _ in rows], np.array([soft.get(_code(votes(x)), 0.5) for _, _, x in rows]))
+        release()
+        rows = map(features, pdf.sort_values(["doc_id", "text"])["text"])
+        w, bias = fit_linear((a, v, soft.get(_code(votes(x)), 0.5)) for a, v, x in rows)
         return pd.DataFrame({"w": [w.astype("<f8").tobytes()], "bias": [bias]})
 
     sample = docs.join(F.broadcast(ids.where("doc_id IS NOT NULL").distinct()), "doc_id")
@@ -189,6 +199,7 @@ def classify(df: DataFrame, threshold: float = 0.5, most_sample: int = 4000, tex
     w, bias, soft = train(docs, most_sample)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
@@ -207,6 +218,7 @@ def kept_rows(df: DataFrame, threshold: float = 0.5, most_sample: int = 4000) ->
     w, bias, _ = train(_texts(df, "text", "doc_id"), most_sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             scored = [features(t or "") for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([bool(float((w[at] * value).sum()) + bias >= np.log(threshold / (1 - threshold))) for at, value, _ in scored], pa.bool_()))

@@ -76,12 +76,12 @@ def _vocabulary_memo(model_file: str, bpe: tuple[str, str] | None, most: int) ->
 
     sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
     is_byte = np.array([sp.is_byte(i) for i in range(sp.get_piece_size())])
+    enc = encoding.__wrapped__(*bpe) if bpe else None  # goes with the memo
 
     def ids(ws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         texts = [w.decode() for w in ws]
         lists = sp.encode(texts, num_threads=1)
         if bpe:
-            enc = encoding(*bpe)
             for text, held_ids in zip(texts, lists, strict=True):
                 held_ids.append(-len(encode(" " + text, enc)))
         return joined(lists)
