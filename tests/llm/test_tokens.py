@@ -150,3 +150,16 @@ def test_null_ids(spark):
     packed = best_fit_packing.pack_documents(df, P.path("word_bpe_49k.json")).collect()
     assert order(r["doc_id"] for r in packed) == ids and len({r["sequence_id"] for r in packed}) == 1
     assert all(r["crossovers"] > 0 and r["elites_moved"] > 0 for r in packed)
+
+
+def test_distinct_pieces_are_looked_up_once():
+    """Texts cut in Arrow give the ids of the tokenizer, with odd white space, empty texts and the mark itself, too."""
+    direct, rng = tokenizer("byte_bpe_50k.json"), np.random.default_rng(6)
+    memo = piece_memo._library_memo(P.path("byte_bpe_50k.json"), "\n", False, 4, 60, 90)
+    odd = ["".join(rng.choice(list("abé \n\t\u3000."), n)) for n in rng.integers(0, 20, 400)]
+    for texts in (TEXTS, odd, ["", ""], [], ["a\0b c", "d"], FORMS, TEXTS):
+        for text, ids in zip(texts, memo.spaced_id_lists(texts), strict=True):
+            assert ids.tolist() == direct.encode(text, add_special_tokens=False).ids, text[:50]
+    pieces, which, counts = piece_memo.distinct_pieces(["so it is so", "", "it is\nso"])
+    assert pieces == ["so", " it", " is", " so", "", "it", "\n"] and counts.tolist() == [4, 1, 4]
+    assert [pieces[k] for k in which] == ["so", " it", " is", " so", "", "it", " is", "\n", "so"]

@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RARE = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
@@ -88,9 +89,11 @@ class PieceMemo:
         self._starts = np.cumsum(lengths) - lengths
         self._seen = np.zeros(len(keep), np.int64)
 
-    def numbers(self, pieces: list) -> np.ndarray:
+    def numbers(self, pieces: list, times: np.ndarray | None = None) -> np.ndarray:
+        """The pieces' numbers. times: how often each occurs, if not once."""
         out = np.fromiter(map(self._index.__getitem__, pieces), np.int64, len(pieces))
-        self._seen += np.bincount(out[out < len(self._seen)], minlength=len(self._seen))
+        known = out < len(self._seen)
+        self._seen += np.bincount(out[known], None if times is None else times[known], len(self._seen)).astype(np.int64)
         return out
 
     def settle(self) -> None:
@@ -111,15 +114,27 @@ class PieceMemo:
         total = int(ends[-1]) if len(ends) else 0
         return self._flat[np.repeat(self._starts[numbers] - (ends - lengths), lengths) + np.arange(total)]
 
-
     def id_lists(self, piece_lists: list[list]) -> list[np.ndarray]:
         """The ids of each list of pieces, all looked up at once."""
         self.begin()
         numbers = self.numbers(list(chain.from_iterable(piece_lists)))
         self.settle()
+        return self._split(numbers, np.fromiter(map(len, piece_lists), np.int64, len(piece_lists)))
+
+    def spaced_id_lists(self, texts: list[str]) -> list[np.ndarray]:
+        """id_lists of the spaced_pieces of each text; only distinct pieces become Python strings and are looked up."""
+        if any(_MARK in t for t in texts):
+            return self.id_lists([spaced_pieces(t) for t in texts])
+        pieces, which, counts = distinct_pieces(texts)
+        self.begin()
+        numbers = self.numbers(pieces, np.bincount(which, minlength=len(pieces)))[which]
+        self.settle()
+        return self._split(numbers, counts)
+
+    def _split(self, numbers: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """The ids of runs of pieces, of so many pieces each."""
         ends = np.cumsum(self.lengths[numbers])
-        last = np.cumsum(np.fromiter(map(len, piece_lists), np.int64, len(piece_lists)))
-        return np.split(self.ids(numbers), np.append(0, ends)[last[:-1]])
+        return np.split(self.ids(numbers), np.append(0, ends)[np.cumsum(counts)[:-1]])[: len(counts)]
 
 
 def words(text: str) -> list[bytes]:
@@ -143,6 +158,28 @@ def spaced_pieces(text: str) -> list[str]:
     return out
 
 
+_MARK = "\0"
+_ODD = ("  ", "\n\n", " \n", "\n ", *"\t\x0b\x0c\r\x1c\x1d\x1e\x1f")
+_ODD_WIDE = (*_ODD, *(c for c in map(chr, range(0x80, 0x3001)) if c.isspace()))
+
+
+def marked(text: str) -> str:
+    """The spaced_pieces of a text without _MARK, joined by it."""
+    if text and text[0] not in " \n" and text[-1] not in " \n" and not any(c in text for c in (_ODD if text.isascii() else _ODD_WIDE)):
+        return text.replace("\n", f"{_MARK}\n{_MARK}").replace(" ", f"{_MARK} ")
+    return _MARK.join(spaced_pieces(text))
+
+
+def distinct_pieces(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct spaced_pieces of texts without _MARK, which of them each piece of each text is, and how many
+    pieces each text has (one empty piece, if it is empty)."""
+    lists = pc.split_pattern(pa.array(map(marked, texts), pa.large_string()), _MARK)
+    coded = lists.values.dictionary_encode()
+    one = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+    pieces = pc.binary_join(one, pa.scalar(_MARK, pa.large_string()))[0].as_py().split(_MARK)
+    return pieces, coded.indices.to_numpy(), np.diff(lists.offsets.to_numpy())
+
+
 def joined(lists: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Id lists as what a PieceMemo wants."""
     lengths = np.fromiter(map(len, lists), np.int64, len(lists))

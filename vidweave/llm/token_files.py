@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import new_path, slices, stored
-from .piece_memo import library_memo, spaced_pieces
+from .piece_memo import library_memo
 
 INDEX_MAGIC, TABLE_MAGIC, SEEK_MAGIC, WITH_CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 #: Stands for a null id in the files; it sorts first.
@@ -142,7 +142,7 @@ def write_files(df: DataFrame, tokenizer_file: str, end_id: int, file_bytes: int
     folder = new_path(spark, "token-files")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo = library_memo(tokenizer_file, "\n")
+        memo = library_memo(tokenizer_file, "\n", pack=64)
         files, root = _filesystem(folder)
         files.create_dir(root, recursive=True)
         name = stream = writer = None
@@ -154,7 +154,7 @@ def write_files(df: DataFrame, tokenizer_file: str, end_id: int, file_bytes: int
 
         for pdf in batches:
             for start, end in slices(map(len, pdf["text"])):
-                lists = memo.id_lists([spaced_pieces(t) for t in pdf["text"].iloc[start:end]])
+                lists = memo.spaced_id_lists(pdf["text"].iloc[start:end].tolist())
                 for doc_id, ids in zip(pdf["doc_id"].iloc[start:end], lists, strict=True):
                     if writer is None:
                         name = f"{uuid.uuid4().hex}.zst"
