@@ -172,3 +172,14 @@ def test_multiproof_is_least():
             needed |= {(level, i) for p in range(a // 3, b // 3 + 1) for i in range(3 * p, min(3 * p + 3, n))}
             level, n, a, b = level + 1, -(-n // 3), a // 3, b // 3
         assert set(merkle_manifest.missing(first, last, size)) == needed - derived
+
+
+def test_bucket_texts_look_up_distinct_pieces_only(monkeypatch):
+    """What length_buckets and token_files ask of the memo: a text that repeats its words costs as many look-ups as it has words."""
+    from vidweave.llm import piece_memo
+
+    asked, numbers = [], piece_memo.PieceMemo.numbers
+    monkeypatch.setattr(piece_memo.PieceMemo, "numbers", lambda self, pieces, times=None: asked.append(len(pieces)) or numbers(self, pieces, times))
+    memo = piece_memo.PieceMemo(lambda new: piece_memo.joined([[len(p)] for p in new]))
+    (ids,) = memo.spaced_id_lists(["one two three\n" * 999 + "one two"])
+    assert asked == [4] and ids.tolist() == [3, 4, 6, 1] * 999 + [3, 4]

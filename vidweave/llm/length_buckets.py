@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_path, slices
-from .piece_memo import library_memo, spaced_pieces
+from .piece_memo import library_memo
 
 _SEQUENCES = "doc_id long, start long, length long, doc_tokens long, slot long, part int, ids binary, bucket int"
 
@@ -55,12 +55,12 @@ def write_sequences(df: DataFrame, tokenizer_file: str, end_id: int, capacity: i
         raise ValueError("the capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part = library_memo(tokenizer_file, "\n"), TaskContext.get().partitionId()
+        memo, part = library_memo(tokenizer_file, "\n", pack=64), TaskContext.get().partitionId()
         used = np.zeros(32, np.int64)  # places given out by bucket
         for batch in batches:
             doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(map(len, texts)):
-                lists = [np.append(x, end_id) for x in memo.id_lists([spaced_pieces(t) for t in texts[a:b]])]
+                lists = [np.append(x, end_id) for x in memo.spaced_id_lists(texts[a:b])]
                 totals = np.fromiter(map(len, lists), np.int64, len(lists))
                 owner, length = decompose(totals, capacity)
                 before = np.cumsum(length) - length
