@@ -208,3 +208,12 @@ def test_chosen_documents_pass_one_python_step(spark):
     assert sorted(r[0] for r in out.collect()) == [0, 50, 100, 150]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_top_k_sends_no_blocks_through_the_driver(spark):
+    """The copies of the query blocks are shuffled, however small Spark takes them to be."""
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(100)], "vec_id long, embedding array<double>")
+    found = vector_topk.top_k(df, "vec_id % 50 = 0", 5, query_rows=1, candidate_rows=10)
+    assert found.count() == 10
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[c#", plan) and not re.search(r"BroadcastHashJoin \[c#", plan)

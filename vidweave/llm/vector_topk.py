@@ -14,8 +14,10 @@ component or score that might not fit 64 bits raises an error.
 
 The query set is stated (rows chosen by a condition) and meets all rows in blocks: query blocks are copied to the
 candidate blocks by an equi-join on the latters' numbers, so candidates are shuffled once, and a task holds one
-block pair at a time. Each pair gives at most k rows a query; the best k of those follow from a window over
-the query. Nothing grows on the driver but the two block counts.
+block pair at a time. That join is a sort-merge join by a hint: the copies are many times the query blocks of which
+Spark knows the size, and would be broadcast through the driver. Blocks hold the narrowest integers that fit. Each pair
+gives at most k rows a query; the best k of those follow from a window over the query. Nothing grows on the driver but
+the two block counts.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part, as query
 or as candidate. Vectors of different lengths meet as if the shorter were filled with zeros. Equal scores are
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-_BLOCK = "block string, ids binary, keys binary, dims int, columns binary"
+_BLOCK = "block string, ids binary, keys binary, dims int, width int, columns binary"
 _RESULT = "query_key long, query_id long, vec_key long, vec_id long, score long"
 
 
@@ -47,8 +49,8 @@ def _blocks(df: DataFrame, rows: int) -> DataFrame:
         matrix = np.floor(256.0 * np.array(vectors, np.float64))
         if np.abs(matrix).max() >= 2.0**62:
             raise ValueError("a component times 256 does not fit 64 bits")
-        matrix = matrix.astype(np.int64)
-        return {"block": uuid.uuid4().hex, "ids": np.array(ids, np.int64).tobytes(), "keys": np.array(keys, np.int64).tobytes(), "dims": matrix.shape[1], "columns": np.ascontiguousarray(matrix.T).tobytes()}
+        width = next(w for w in (2, 4, 8) if w == 8 or np.abs(matrix).max() < 2 ** (8 * w - 1))
+        return {"block": uuid.uuid4().hex, "ids": np.array(ids, np.int64).tobytes(), "keys": np.array(keys, np.int64).tobytes(), "dims": matrix.shape[1], "width": width, "columns": np.ascontiguousarray(matrix.T.astype(f"i{width}")).tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple[list, list, list]] = {}
@@ -74,7 +76,7 @@ def _numbered(blocks: DataFrame, name: str) -> tuple[DataFrame, int]:
     names = blocks.select("block").distinct()
     order = names.withColumn("number", (F.row_number().over(Window.orderBy("block")) - 1).cast("int"))
     out = blocks.join(order, "block").drop("block")
-    return out.select(F.col("number").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "keys", "dims", "columns")]), names.count()
+    return out.select(F.col("number").alias(name), *[F.col(c).alias(f"{name}_{c}") for c in ("ids", "keys", "dims", "width", "columns")]), names.count()
 
 
 def search_block(queries: np.ndarray, columns: np.ndarray, ids: np.ndarray, query_keys: np.ndarray, k: int, step: int = 8, floors: np.ndarray | None = None, keys: np.ndarray | None = None) -> tuple[list[tuple[int, int, int]], np.ndarray, int]:
@@ -96,27 +98,48 @@ def search_block(queries: np.ndarray, columns: np.ndarray, ids: np.ndarray, quer
     cuts = [*range(0, dims, step), dims]
     rest_c = np.array([np.sqrt((fc[c:] ** 2).sum(0)) for c in cuts])
     rest_q = np.array([np.sqrt((fq[:, c:] ** 2).sum(1)) for c in cuts])
-    begun = cuts[min(1, len(cuts) - 1)]  # the first block of all queries at once: there is no bound before it
-    first, out, spared = qs[:, :begun] @ cols[:begun], [], 0
+    begun = min(1, len(cuts) - 1)  # the first block of all queries at once: there is no bound before it
+    out, spared = [], 0
     error = 1e-6 + most * 2.0**-40  # of the bounds, which are doubles
-    for row, (q, own) in enumerate(zip(qs, query_keys, strict=True)):
-        live = np.flatnonzero(keys != own)
-        score = first[row, live]
-        for b in range(min(1, len(cuts) - 1), len(cuts) - 1):
+
+    def lowest(bounds: np.ndarray, known: float) -> float:
+        return np.partition(bounds, len(bounds) - k)[len(bounds) - k] if known == -np.inf else known
+
+    for top in range(0, len(qs), 256):  # queries side by side while most of their candidates stay
+        rows = slice(top, top + 256)
+        other = keys != query_keys[rows, None]
+        scores, b, alive = qs[rows, : cuts[begun]] @ cols[: cuts[begun]], begun, other
+        while b < len(cuts) - 1 and len(ids) > k:
+            slack = rest_q[b, rows, None] * rest_c[b]
+            low = floors[rows].copy()
+            for i in np.flatnonzero(low == -np.inf):
+                low[i] = lowest(np.where(other[i], scores[i] - slack[i], -np.inf), low[i])
+            slack += scores
+            alive = other & (slack >= (low - 2 * error)[:, None])
+            if np.count_nonzero(alive) * 4 < alive.size:
+                break
+            scores += qs[rows, cuts[b] : cuts[b + 1]] @ cols[cuts[b] : cuts[b + 1]]
+            b += 1
+        for i, own in enumerate(query_keys[rows]):
+            row, at = top + i, b
+            live = np.flatnonzero(alive[i])
+            score = scores[i, live]
+            spared += (int(np.count_nonzero(other[i])) - len(live)) * (dims - cuts[at])
+            for at in range(b, len(cuts) - 1):
+                if len(live) > k and at > b:
+                    slack = rest_q[at, row] * rest_c[at, live]
+                    stay = score + slack + error >= lowest(score - slack, floors[row]) - error
+                    if not stay.all():
+                        spared += int((~stay).sum()) * (dims - cuts[at])
+                        live, score = live[stay], score[stay]
+                score = score + qs[row, cuts[at] : cuts[at + 1]] @ cols[cuts[at] : cuts[at + 1], live]
             if len(live) > k:
-                slack = rest_q[b, row] * rest_c[b, live]
-                low = floors[row]
-                if low == -np.inf:
-                    low = np.partition(score - slack, len(live) - k)[len(live) - k]
-                stay = score + slack + error >= low - error
-                if not stay.all():
-                    spared += int((~stay).sum()) * (dims - cuts[b])
-                    live, score = live[stay], score[stay]
-            score = score + q[cuts[b] : cuts[b + 1]] @ cols[cuts[b] : cuts[b + 1]][:, live]
-        best = np.lexsort((keys[live], ids[live], -score))[:k]
-        if len(best) == k:
-            floors[row] = max(floors[row], float(score[best[-1]]))
-        out += [(int(own), int(live[i]), int(score[i])) for i in best]
+                stay = score >= np.partition(score, len(live) - k)[len(live) - k]
+                live, score = live[stay], score[stay]
+            best = np.lexsort((keys[live], ids[live], -score))[:k]
+            if len(best) == k:
+                floors[row] = max(floors[row], float(score[best[-1]]))
+            out += [(int(own), int(live[j]), int(score[j])) for j in best]
     return out, floors, spared
 
 
@@ -132,7 +155,7 @@ def top_k(df: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vect
     candidates, n_candidates = _numbered(stored(_blocks(every, candidate_rows), "candidate-blocks"), "c")
     queries, n_queries = _numbered(stored(_blocks(chosen, query_rows), "query-blocks"), "q")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
-    pairs = candidates.join(queries.withColumn("c", each(n_candidates)), "c")
+    pairs = queries.withColumn("c", each(n_candidates)).hint("merge").join(candidates, "c")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[int, np.ndarray] = {}  # of the query blocks met last
@@ -140,8 +163,8 @@ def top_k(df: DataFrame, is_query: str, k: int = 5, id_col: str = "vec_id", vect
             for r in pdf.itertuples(index=False):
                 ids, keys = np.frombuffer(r.c_ids, np.int64), np.frombuffer(r.c_keys, np.int64)
                 own = dict(zip(np.frombuffer(r.q_keys, np.int64).tolist(), np.frombuffer(r.q_ids, np.int64).tolist(), strict=True))
-                columns = np.frombuffer(r.c_columns, np.int64).reshape(r.c_dims, len(ids))
-                rows = np.frombuffer(r.q_columns, np.int64).reshape(r.q_dims, len(own)).T
+                columns = np.frombuffer(r.c_columns, f"i{r.c_width}").reshape(r.c_dims, len(ids)).astype(np.int64)
+                rows = np.frombuffer(r.q_columns, f"i{r.q_width}").reshape(r.q_dims, len(own)).T.astype(np.int64)
                 rows, known[r.q], _ = search_block(rows, columns, ids, np.array(list(own)), k, floors=known.pop(r.q, None), keys=keys)
                 if len(known) > 256:
                     known.pop(next(iter(known)))
