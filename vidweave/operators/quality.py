@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vidweave.functions import text as T
+from vidweave.functions.distance import edit_distance
 
 
 def systematic_sample(segments: DataFrame, n: int) -> DataFrame:
@@ -32,6 +33,16 @@ def cer(hypothesis: Column, reference: Column) -> Column:
     return T.bound(F.struct(comparable(hypothesis).alias("h"), comparable(reference).alias("r")), rate)
 
 
+def _rate(h: Column, r: Column, distance: Column) -> Column:
+    """cer of comparable texts by their distance, which only _open_rate ones need."""
+    return F.when(r == "", F.when(h == "", 0.0).otherwise(1.0)).when(h == r, 0.0).when(F.length(h) >= 2 * F.length(r), 1.0).otherwise(F.least(F.lit(1.0), distance / F.length(r)))
+
+
+def _open_rate(h: Column, r: Column) -> Column:
+    """Whether a rate needs the distance: a text twice as long as the reference differs from it by the whole of it."""
+    return (r != "") & (h != r) & (F.length(h) < 2 * F.length(r))
+
+
 #: Fixed values by mode: confidence for a whole-line swap, least length ratio, least and most error rate.
 FUSION_MODES: dict[str, tuple[float, float, float, float]] = {"CONSERVATIVE": (0.985, 0.62, 0.16, 0.72), "STRONG_VISUAL": (0.94, 0.45, 0.08, 0.88), "LOW_CONFIDENCE": (0.96, 0.42, 0.28, 0.92)}
 
@@ -74,8 +85,12 @@ def fusion_report(samples: DataFrame) -> DataFrame:
     """samples (video_id, asr, ocr, fused, available) by video; without an available sample 1, 0, 1, 0."""
     of = lambda c: F.avg(F.when(F.col("available"), c))
     round4 = lambda c: F.floor(c * 10000 + 0.5) / 10000
-    s = samples.withColumn("_cer", cer(F.col("asr"), F.col("ocr"))).withColumn("_fused", cer(F.col("fused"), F.col("ocr")))
-    g = s.groupBy("video_id").agg(F.count(F.lit(1)).alias("sampled"), F.count(F.when(F.col("available"), 1)).alias("hits"), F.count(F.when(F.col("available") & (F.col("fused") != F.col("asr")), 1)).alias("replacements"), of(F.col("_cer")).alias("c"), of(F.col("_fused")).alias("f"))
+    s = samples.select("video_id", "available", (F.col("fused") != F.col("asr")).alias("_replaced"), *[F.when(F.col("available"), comparable(F.col(c))).alias(f"_{c}") for c in ("asr", "ocr", "fused")])
+    h, r, f = F.col("_asr"), F.col("_ocr"), F.col("_fused")
+    # a line's distances in one batch: the fused text is most often the spoken or the seen one
+    s = s.withColumn("_d", edit_distance(F.when(_open_rate(h, r), h), r)).withColumn("_df", edit_distance(F.when(_open_rate(f, r) & (f != h), f), r))
+    s = s.withColumn("_cer", _rate(h, r, F.col("_d"))).withColumn("_fused_cer", F.when(f == h, F.col("_cer")).otherwise(_rate(f, r, F.col("_df"))))
+    g = s.groupBy("video_id").agg(F.count(F.lit(1)).alias("sampled"), F.count(F.when(F.col("available"), 1)).alias("hits"), F.count(F.when(F.col("available") & F.col("_replaced"), 1)).alias("replacements"), of(F.col("_cer")).alias("c"), of(F.col("_fused_cer")).alias("f"))
     return g.select("video_id", "sampled", "hits", "replacements", round4(F.coalesce("c", F.lit(1.0))).alias("cer"), round4(1 - F.coalesce("c", F.lit(1.0))).alias("similarity"), round4(F.coalesce("f", F.lit(1.0))).alias("fused_cer"), round4(1 - F.coalesce("f", F.lit(1.0))).alias("fused_similarity"))
 
 
