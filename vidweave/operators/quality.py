@@ -20,7 +20,7 @@ def systematic_sample(segments: DataFrame, n: int) -> DataFrame:
 
 
 def comparable(c: Column) -> Column:
-    return F.lower(F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", ""), "，。", ",."))
+    return F.lower(F.translate(F.coalesce(c, F.lit("")), "，。 \t\n\x0b\f\r", ",."))
 
 
 def cer(hypothesis: Column, reference: Column) -> Column:
@@ -59,28 +59,62 @@ def fuse_text(asr: Column, ocr: Column, confidence: Column, mode: str = "CONSERV
     name of the seen one where that lowers the error rate. Both texts' encoding is repaired first, so a garbled one that
     cannot be repaired counts as empty. A spoken text with characters of `traditional` counts as
     mistaken in LOW_CONFIDENCE."""
-    sure, ratio, low, high = FUSION_MODES[mode]
-    cleaned = F.struct(*[tech_tokens(T.repair_encoding(c)["text"]).alias(name) for c, name in ((asr, "a"), (ocr, "o"))])
+    cleaned = F.struct(*[cleaned_line(c).alias(name) for c, name in ((asr, "a"), (ocr, "o"))])
 
     def decided(s: Column) -> Column:
         a, o, rate = s["t"]["a"], s["t"]["o"], s["rate"]
-        n, m = F.length(a), F.length(o)
-        lengths = F.least(n, m) / F.greatest(F.lit(1), F.greatest(n, m))
-        useful = (F.regexp_count(o, F.lit(r"[\p{L}\p{IsHan}]")) >= 2) & (F.regexp_count(o, F.lit(r"\p{Nd}")) * 2 < F.greatest(F.lit(1), m))
-        close = (lengths >= ratio) & rate.between(low, high)
-        if mode == "CONSERVATIVE":
-            swap = (m >= 8) & ((a == "") | (~T.garbled(o) & ((m >= 0.72 * n) | (m >= 12)) & close))
-        elif mode == "STRONG_VISUAL":
-            swap = useful & ~T.garbled(o) & ((a == "") | T.garbled(a) | (((m >= 0.55 * n) | (m >= 10)) & close))
-        else:
-            mistaken = (F.translate(a, traditional, "") != a) if traditional else F.lit(False)
-            swap = useful & ~T.garbled(o) & ((a == "") | T.garbled(a) | ((lengths >= ratio) & (rate <= high) & ((rate >= low) | mistaken)))
-        merged = F.when(F.lower(F.replace(o, F.lit(" "), F.lit(""))).contains("claudecode"), F.regexp_replace(a, r"(?i)Code\s*code", "Claude Code")).otherwise(a)
-        return F.when((o == "") | (confidence < least_confidence), a).when((confidence >= sure) & swap, o).when((merged != a) & (cer(merged, o) < rate), merged).otherwise(a)
+        merged = _merged(a, o)
+        return _fused(a, o, rate, merged, (merged != a) & (cer(merged, o) < rate), confidence, mode, least_confidence, traditional)
 
     return T.bound(T.bound(cleaned, lambda t: F.struct(t.alias("t"), cer(t["a"], t["o"]).alias("rate"))), decided)
 
 
+def cleaned_line(c: Column) -> Column:
+    return tech_tokens(T.repair_encoding(c)["text"])
+
+
+def _merged(a: Column, o: Column) -> Column:
+    """The spoken text with a product name of the seen one."""
+    return F.when(F.lower(F.replace(o, F.lit(" "), F.lit(""))).contains("claudecode"), F.regexp_replace(a, r"(?i)Code\s*code", "Claude Code")).otherwise(a)
+
+
+def _fused(a: Column, o: Column, rate: Column, merged: Column, nearer: Column, confidence: Column, mode: str, least_confidence: float, traditional: str) -> Column:
+    """The text that a mode chooses of the cleaned ones; a rate that does not matter may be null."""
+    sure, ratio, low, high = FUSION_MODES[mode]
+    n, m = F.length(a), F.length(o)
+    lengths = F.least(n, m) / F.greatest(F.lit(1), F.greatest(n, m))
+    letter, digit = r"[\p{L}\p{IsHan}]", r"\p{Nd}"
+    useful = o.rlike(f"(?s){letter}.*?{letter}") & (~o.rlike(digit) | (F.regexp_count(o, F.lit(digit)) * 2 < F.greatest(F.lit(1), m)))
+    close = (lengths >= ratio) & rate.between(low, high)
+    garbled = lambda c: c.rlike(f"[{T.SUSPICIOUS_LATIN}�]|{T.CONTROL}") & T.garbled(c)  # noqa: E731  counts only where there is something to count
+    if mode == "CONSERVATIVE":
+        swap = (m >= 8) & ((a == "") | (~garbled(o) & ((m >= 0.72 * n) | (m >= 12)) & close))
+    elif mode == "STRONG_VISUAL":
+        swap = useful & ~garbled(o) & ((a == "") | garbled(a) | (((m >= 0.55 * n) | (m >= 10)) & close))
+    else:
+        mistaken = (F.translate(a, traditional, "") != a) if traditional else F.lit(False)
+        swap = useful & ~garbled(o) & ((a == "") | garbled(a) | ((lengths >= ratio) & (rate <= high) & ((rate >= low) | mistaken)))
+    return F.when((o == "") | (confidence < least_confidence), a).when((confidence >= sure) & swap, o).when(nearer, merged).otherwise(a)
+
+
+def fuse_texts(pairs: DataFrame, modes: list[str], least_confidence: float = 0.88, traditional: str = "") -> DataFrame:
+    """pairs (asr, ocr, confidence and others) with fuse_text by each mode as columns fused_ and the mode in small letters.
+    Texts are cleaned once for all modes, and distances of whole batches are taken where a mode can depend on them."""
+    own = [c for c in pairs.columns if c not in ("asr", "ocr", "confidence")]
+    p = pairs.select(*own, "confidence", cleaned_line(F.col("asr")).alias("_a"), cleaned_line(F.col("ocr")).alias("_o"))
+    a, o, m, h, r = (F.col(c) for c in ("_a", "_o", "_m", "_h", "_r"))
+    p = p.select("*", _merged(a, o).alias("_m"), comparable(a).alias("_h"), comparable(o).alias("_r"))
+    n, k = F.length(a), F.length(o)
+    sure, ratio = min(FUSION_MODES[x][0] for x in modes), min(FUSION_MODES[x][1] for x in modes)
+    named = m != a
+    asked = (o != "") & (F.col("confidence") >= least_confidence) & (named | ((F.col("confidence") >= sure) & (F.least(n, k) >= ratio * F.greatest(n, k) - 1)))
+    p = p.withColumn("_g", F.when(asked & named, comparable(m)))
+    g = F.col("_g")
+    p = p.withColumn("_d", edit_distance(F.when(asked & _open_rate(h, r), h), r)).withColumn("_dm", edit_distance(F.when(_open_rate(g, r), g), r))
+    p = p.withColumn("_rate", F.when(asked, _rate(h, r, F.col("_d")))).withColumn("_nearer", named & (F.when(asked, _rate(g, r, F.col("_dm"))) < F.col("_rate")))
+    return p.select(*own, *[_fused(a, o, F.col("_rate"), m, F.col("_nearer"), F.col("confidence"), x, least_confidence, traditional).alias(f"fused_{x.lower()}") for x in modes])
+
+
 def fusion_report(samples: DataFrame) -> DataFrame:
     """samples (video_id, asr, ocr, fused, available) by video; without an available sample 1, 0, 1, 0."""
     of = lambda c: F.avg(F.when(F.col("available"), c))
