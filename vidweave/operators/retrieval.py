@@ -16,6 +16,7 @@ from vidweave.sources.storage import stored
 from vidweave.streaming.windows import cache_hits_ttl, last_question_memory
 
 from . import search_index
+from .term_scores import best_segments
 
 
 def sparse_vectors(df: DataFrame, id_cols: list[str], text_col: str, dim: int = 256, groups: list | None = None) -> DataFrame:
@@ -214,26 +215,33 @@ VIEWPOINT, NO_VIEWPOINT, DIFFERENCE = ("《", "》主要围绕："), ("《", "
 SHARED, NOTHING_SHARED = "共同涉及：", "共同点需要结合更多字幕证据继续追问。"
 
 
-def kb_viewpoints(questions: DataFrame, links: DataFrame, videos: DataFrame, segments: DataFrame, k: int = 3, synonyms: list | None = None) -> DataFrame:
+def kb_viewpoints(questions: DataFrame, links: DataFrame, videos: DataFrame, segments: DataFrame, k: int = 3, synonyms: list | None = None, first: int = 0) -> DataFrame:
     """Per question (question_id, kb_id, question; a blank one asks for a comparison of the views) of a base of at
     least two videos, a row a video: its viewpoint from the k segments with most score by kb_score, and their
-    citations. Windows keep k rows a task before anything is shuffled."""
+    citations. Segments meet the questions of their base in batches (term_scores). first: adds `last`, the greatest
+    of the `first` smallest video_ids of the base, for kb_compare."""
     many = links.groupBy("kb_id").agg(F.count(F.lit(1)).alias("_n")).where("_n >= 2").select("kb_id")
     blank = F.trim(F.coalesce("question", F.lit(""))) == ""
     text = F.when(blank, F.lit(COMPARE_DEFAULT)).otherwise(F.trim("question"))
     asked = questions.join(many, "kb_id").select("question_id", "kb_id", T.kb_query_terms(text, synonyms).alias("_terms"))
-    rows = segments.where(F.length(F.trim("content")) >= 6).join(links, "video_id").join(asked, "kb_id").withColumn("score", T.kb_score(F.col("content"), F.col("_terms")))
-    order = Window.partitionBy("kb_id", "question_id", "video_id").orderBy(F.desc("score"), "start_ms", "segment_index")
-    best = rows.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k)
+    some = F.filter(F.coalesce("_terms", F.array().cast("array<string>")), lambda t: F.trim(t) != "")
+    terms = F.transform(some, lambda t: F.struct(F.lower(t).alias("term"), F.greatest(F.lit(2), F.length(t)).alias("weight")))
     time = F.concat(T.format_time(F.col("start_ms")), F.lit("-"), T.format_time(F.col("end_ms")))
-    cut = lambda n: T.compact_text(F.col("content"), n, "...", n - 1)
-    chosen = best.groupBy("kb_id", "question_id", "video_id").agg(F.array_sort(F.collect_list(F.struct("rank", "segment_index", "score", time.alias("time"), cut(72).alias("said"), cut(110).alias("snippet")))).alias("_l"))
-    every = asked.select("kb_id", "question_id").join(links, "kb_id").join(videos.select("video_id", "original_name"), "video_id").join(chosen, ["kb_id", "question_id", "video_id"], "left")
-    said = F.concat(F.lit(VIEWPOINT[0]), "original_name", F.lit(VIEWPOINT[1]), F.array_join("_l.said", "；"))
+    cut = lambda x, n: F.when(F.length(x) > n, F.concat(F.substring(x, 1, n - 1), F.lit("..."))).otherwise(x)
+    start = F.substring(T.collapse(F.col("content")), 1, 111)  # what both cuts need
+    rows = segments.where(F.length(F.trim("content")) >= 6).select("video_id", "start_ms", "segment_index", "end_ms", "content")
+    chosen = best_segments(asked.select("question_id", "kb_id", terms.alias("terms")), links, rows, "content", {"time": time, "start": start}, k).withColumnRenamed("best", "_l")
+    base = links.join(videos.select("video_id", "original_name"), "video_id")
+    ids = asked.select("kb_id", "question_id")
+    if first:
+        place = F.row_number().over(Window.partitionBy("kb_id").orderBy("video_id"))
+        ids = ids.join(base.select("kb_id", "video_id", place.alias("_p")).where(F.col("_p") <= first).groupBy("kb_id").agg(F.max("video_id").alias("last")), "kb_id")
+    every = ids.join(base, "kb_id").join(chosen, ["kb_id", "question_id", "video_id"], "left")
+    said = F.concat(F.lit(VIEWPOINT[0]), "original_name", F.lit(VIEWPOINT[1]), F.array_join(F.transform("_l", lambda x: cut(x["start"], 72)), "；"))
     none = F.concat(F.lit(NO_VIEWPOINT[0]), "original_name", F.lit(NO_VIEWPOINT[1]))
-    no_rows = F.array().cast("array<struct<rank: bigint, segment_index: bigint, score: bigint, time: string, said: string, snippet: string>>")
-    cites = F.transform(F.coalesce("_l", no_rows), lambda x: F.struct(F.concat(F.col("original_name"), F.lit(" "), x["time"]).alias("label"), x["segment_index"].alias("segment_index"), x["score"].alias("score"), x["snippet"].alias("snippet")))
-    return every.select("kb_id", "question_id", "video_id", "original_name", F.when(F.col("_l").isNotNull(), said).otherwise(none).alias("viewpoint"), cites.alias("citations"))
+    cite = lambda x: F.struct(F.concat(F.col("original_name"), F.lit(" "), x["time"]).alias("label"), x["segment_index"].alias("segment_index"), (-x["less"]).alias("score"), cut(x["start"], 110).alias("snippet"))
+    cites = F.coalesce(F.transform("_l", cite), F.array().cast("array<struct<label: string, segment_index: bigint, score: bigint, snippet: string>>"))
+    return every.select("kb_id", "question_id", "video_id", "original_name", F.when(F.col("_l").isNotNull(), said).otherwise(none).alias("viewpoint"), cites.alias("citations"), *(["last"] if first else []))
 
 
 def kb_compare(viewpoints: DataFrame, themes: dict[str, list[str]] | None = None, most_themes: int = 5, most_videos: int = 6) -> DataFrame:
