@@ -247,13 +247,17 @@ def kb_viewpoints(questions: DataFrame, links: DataFrame, videos: DataFrame, seg
 def kb_compare(viewpoints: DataFrame, themes: dict[str, list[str]] | None = None, most_themes: int = 5, most_videos: int = 6) -> DataFrame:
     """Per base and question of kb_viewpoints: videos, themes that some viewpoint speaks of (by name, at most
     most_themes), and what the first videos stress. Votes and the first videos are aggregates, so a base of any number
-    of videos is never in one place."""
+    of videos is never in one place. With `last` (kb_viewpoints with most_videos as `first`) the viewpoints are made and
+    read once, else twice."""
     themes = THEMES if themes is None else themes
     low = F.lower("viewpoint")
     by_name = sorted(themes)
-    ranked = viewpoints.withColumn("_r", F.row_number().over(Window.partitionBy("kb_id", "question_id").orderBy("video_id"))).where(F.col("_r") <= most_videos)
+    if "last" not in viewpoints.columns:
+        place = F.row_number().over(Window.partitionBy("kb_id", "question_id").orderBy("video_id"))
+        least = viewpoints.select("kb_id", "question_id", "video_id", place.alias("_r")).where(F.col("_r") <= most_videos)
+        viewpoints = viewpoints.join(least.groupBy("kb_id", "question_id").agg(F.max("video_id").alias("last")), ["kb_id", "question_id"])
     stress = F.concat(F.lit(DIFFERENCE[0]), "original_name", F.lit(DIFFERENCE[1]), T.compact_text(F.col("viewpoint"), 120, "...", 119))
-    first = ranked.groupBy("kb_id", "question_id").agg(F.array_sort(F.collect_list(F.struct("_r", stress.alias("t")))).alias("_d")).select("kb_id", "question_id", F.col("_d.t").alias("differences"))
-    g = viewpoints.groupBy("kb_id", "question_id").agg(F.count(F.lit(1)).alias("n_videos"), *[F.max(T.contains_any(low, themes[t])).alias(f"_t{i}") for i, t in enumerate(by_name)])
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("video_id") <= F.col("last"), F.struct("video_id", stress.alias("t"))))), 1, most_videos)
+    g = viewpoints.groupBy("kb_id", "question_id").agg(F.count(F.lit(1)).alias("n_videos"), first.alias("_d"), *[F.max(T.contains_any(low, themes[t])).alias(f"_t{i}") for i, t in enumerate(by_name)])
     shared = F.slice(F.array_compact(F.array(*[F.when(F.col(f"_t{i}"), F.lit(SHARED + t)) for i, t in enumerate(by_name)])), 1, most_themes)
-    return g.join(first, ["kb_id", "question_id"]).select("kb_id", "question_id", "n_videos", F.when(F.size(shared) > 0, shared).otherwise(F.array(F.lit(NOTHING_SHARED))).alias("themes"), "differences")
+    return g.select("kb_id", "question_id", "n_videos", F.when(F.size(shared) > 0, shared).otherwise(F.array(F.lit(NOTHING_SHARED))).alias("themes"), F.col("_d.t").alias("differences"))

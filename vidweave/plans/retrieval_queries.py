@@ -215,11 +215,11 @@ C5 = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM e
 THEMES = {"t1": ["thand", "zzz"], "t2": ["of the", "erst"], "t3": ["nowhere to be"], "t4": ["ouhe"]}
 
 
-def _viewpoints(spark: SparkSession, d: str) -> DataFrame:
+def _viewpoints(spark: SparkSession, d: str, first: int = 0) -> DataFrame:
     """Every fifth question is blank."""
     text = F.when(F.col("question_id") % 5 == 0, " ").otherwise(F.col("question"))
     q = S.questions(spark, d).select("question_id", F.col("user_id").alias("kb_id"), text.alias("question"))
-    return R.kb_viewpoints(q, S.kb_videos(spark, d), S.videos(spark, d), S.segments(spark, d), synonyms=[])
+    return R.kb_viewpoints(q, S.kb_videos(spark, d), S.videos(spark, d), S.segments(spark, d), synonyms=[], first=first)
 
 
 def g6_kb_viewpoints(spark: SparkSession, d: str) -> DataFrame:
@@ -228,7 +228,7 @@ def g6_kb_viewpoints(spark: SparkSession, d: str) -> DataFrame:
 
 
 def g6_kb_compare(spark: SparkSession, d: str) -> DataFrame:
-    c = R.kb_compare(_viewpoints(spark, d), THEMES)
+    c = R.kb_compare(_viewpoints(spark, d, 6), THEMES)
     return c.select("kb_id", "question_id", "n_videos", F.array_join("themes", "|").alias("themes"), F.md5(F.array_join("differences", "|")).alias("differences_md5"))
 
 
